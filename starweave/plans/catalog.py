@@ -1,0 +1,52 @@
+"""Plans over the driver's test tables: profiles, models and splits used by the registered queries."""
+
+from __future__ import annotations
+
+import datetime as _dt
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from starweave.operators.keys import candidate_keys
+from starweave.operators.model import Model, infer_model
+from starweave.operators.profile import Profile, profile_tables
+from starweave.operators.split import split
+from starweave.sources.wide import TABLES, load_tables, orders_wide, sales_wide
+
+# Fixed value: the load timestamp stamped on rows by the registered queries (results must be repeatable).
+FIXED_LOAD_TS = _dt.datetime(2024, 1, 1, 0, 0, 0)
+
+
+@dataclass
+class Modelled:
+    source: DataFrame
+    profile: Profile
+    keys: DataFrame
+    model: Model
+    tables: dict[str, DataFrame]
+
+
+def wide_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "orders_wide":
+        return orders_wide(spark, sf_dir)
+    if name == "sales_wide":
+        return sales_wide(spark, sf_dir)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def profile_of(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> Profile:
+    return profile_tables(spark, {n: wide_input(spark, sf_dir, n) for n in names})
+
+
+def catalogue_profile(spark: SparkSession, sf_dir: str) -> Profile:
+    return profile_tables(spark, load_tables(spark, sf_dir, TABLES))
+
+
+def modelled(spark: SparkSession, sf_dir: str, name: str = "orders_wide", order_by: str = "transaction_id",
+             **model_options) -> Modelled:
+    src = wide_input(spark, sf_dir, name)
+    prof = profile_tables(spark, {name: src})
+    keys = candidate_keys(prof)
+    model = infer_model(prof, keys, name, **model_options)
+    tables = split(src, model, name, order_by=order_by, load_ts=FIXED_LOAD_TS)
+    return Modelled(src, prof, keys, model, tables)
