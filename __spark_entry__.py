@@ -283,6 +283,50 @@ def q_flatten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child.select("vec_id", "pos", F.col("embedding").cast("double").alias("val"))
 
 
+def _audited_runs(spark: SparkSession, sf_dir: str) -> str:
+    """Split orders_wide, write it, and load it twice into a fresh audit database: one complete run and one
+    that also names a table outside the model (that table fails, the run is PARTIAL). Returns the database."""
+    import uuid
+
+    from starweave.plans import load, sinks
+    from starweave.session import scratch_path
+
+    m = modelled(spark, sf_dir)
+    tag = uuid.uuid4().hex[:12]
+    out_dir = scratch_path(spark, f"split-{tag}")
+    summary = sinks.write_tables(spark, m.tables, out_dir).collect()  # one row per table
+    paths = {r["table_name"]: r["path"] for r in summary if r["error"] is None}
+    expected = {r["table_name"]: r["row_count"] for r in summary if r["error"] is None}
+    db = f"sw_audit_{tag}"
+    location = scratch_path(spark, f"warehouse-{tag}")
+    load.load_all(spark, m.model, paths, "orders_wide", db, expected_rows=expected, location=location)
+    load.load_all(spark, m.model, {**paths, "DIM_UNMODELLED": out_dir + "/missing"}, "orders_wide", db,
+                  expected_rows=expected, location=location)
+    return db
+
+
+def q_audit_table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starweave.plans import audit
+
+    db = _audited_runs(spark, sf_dir)
+    return audit.recent_status(spark, db).select("STATUS_ID", "RUN_ID", "TABLE_NAME", "STATUS", "ROWS_LOADED",
+                                                  "ROWS_EXPECTED")
+
+
+def q_audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starweave.plans import audit
+
+    return audit.summary(spark, _audited_runs(spark, sf_dir))
+
+
+def q_audit_recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starweave.plans import audit
+
+    db = _audited_runs(spark, sf_dir)
+    return audit.recent_runs(spark, db).select("RUN_ID", "STATUS", "SOURCE_FILE_NAME", "TOTAL_TABLES",
+                                                "TABLES_LOADED", "TABLES_FAILED")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "column_profile_events": q_column_profile("events"),
@@ -325,6 +369,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clustering_recommendation": q_clustering_recommendation,
         "flatten_events_props": q_flatten_events_props,
         "flatten_embeddings": q_flatten_embeddings,
+        "audit_table_status": q_audit_table_status,
+        "audit_summary": q_audit_summary,
+        "audit_recent_runs": q_audit_recent_runs,
     }
 
 
@@ -713,6 +760,34 @@ def sql_clustering_recommendation() -> str:
             "count(DISTINCT transaction_id), 'foreign key' FROM orders_wide) c QUALIFY cluster_rank <= 3")
 
 
+_SPLIT_COUNTS = {
+    "DIM_CUSTOMER": "count(DISTINCT customer_id)", "DIM_ORDER": "count(DISTINCT order_status)",
+    "DIM_TRANSACTION": "count(DISTINCT transaction_id)", "DIM_DATE": "count(DISTINCT CAST(order_date AS DATE))",
+    "FACT_MAIN": "count(*)",
+}
+
+
+def sql_audit_table_status() -> str:
+    w, _ = _src("orders_wide")
+    parts = []
+    for run in (1, 2):
+        for i, (t, e) in enumerate(_SPLIT_COUNTS.items()):
+            sid = (run - 1) * 5 + i + 1
+            parts.append(f"SELECT CAST({sid} AS BIGINT) AS STATUS_ID, CAST({run} AS BIGINT) AS RUN_ID, '{t}' AS TABLE_NAME, "
+                         f"'SUCCESS' AS STATUS, {e} AS ROWS_LOADED, {e} AS ROWS_EXPECTED FROM orders_wide")
+    parts.append("SELECT CAST(11 AS BIGINT), CAST(2 AS BIGINT), 'DIM_UNMODELLED', 'FAILED', CAST(0 AS BIGINT), "
+                 "CAST(0 AS BIGINT)")
+    return w + "\nUNION ALL\n".join(parts)
+
+
+def sql_audit_summary() -> str:
+    w, _ = _src("orders_wide")
+    total = " + ".join(_SPLIT_COUNTS.values())
+    return (w + f"SELECT 'SUCCESS' AS STATUS, CAST(1 AS BIGINT) AS runs, CAST(5 AS BIGINT) AS tables_loaded, "
+            f"CAST(5 AS BIGINT) AS total_tables, {total} AS rows_loaded FROM orders_wide UNION ALL "
+            f"SELECT 'PARTIAL', CAST(1 AS BIGINT), CAST(5 AS BIGINT), CAST(6 AS BIGINT), {total} FROM orders_wide")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "column_profile_events": sql_column_profile("events"),
@@ -784,4 +859,10 @@ def oracle_sql() -> dict[str, str]:
         "flatten_embeddings": (
             "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, "
             "CAST(unnest(embedding) AS DOUBLE) AS val FROM embeddings"),
+        "audit_table_status": sql_audit_table_status(),
+        "audit_summary": sql_audit_summary(),
+        "audit_recent_runs": (
+            "SELECT CAST(2 AS BIGINT) AS RUN_ID, 'PARTIAL' AS STATUS, 'orders_wide' AS SOURCE_FILE_NAME, "
+            "CAST(6 AS BIGINT) AS TOTAL_TABLES, CAST(5 AS BIGINT) AS TABLES_LOADED, CAST(1 AS BIGINT) AS TABLES_FAILED "
+            "UNION ALL SELECT 1, 'SUCCESS', 'orders_wide', 5, 5, 0"),
     }
