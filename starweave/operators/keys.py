@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from starweave.operators.profile import Profile, value_key
+from starweave.functions.frames import local_frame
 
 # Fixed value: share of distinct values over rows for a candidate key.
 MIN_UNIQUENESS = 0.95
@@ -37,7 +38,7 @@ def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -
         .distinct()
         .groupBy("pair").agg(F.count(F.lit(1)).alias("distinct_count"))
     )
-    names = df.sparkSession.createDataFrame(
+    names = local_frame(df.sparkSession, 
         [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_1 string, column_2 string"
     )
     # ``names`` has one row per counted pair: a bounded broadcast.
@@ -80,7 +81,7 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
                     to_count.append((a, b))
         if to_count:
             part = _pair_counts(profile.tables[table], table, [(a["column_name"], b["column_name"]) for a, b in to_count])
-            ords = spark.createDataFrame(
+            ords = local_frame(spark, 
                 [(a["column_name"], b["column_name"], a["ordinal"], b["ordinal"]) for a, b in to_count],
                 "column_1 string, column_2 string, ordinal_1 int, ordinal_2 int",
             )
@@ -90,10 +91,10 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
                     "ordinal_2", "distinct_count", F.lit(None).cast("long").alias("null_count"),
                 )
             )
-    totals = spark.createDataFrame(
+    totals = local_frame(spark, 
         [(t, cols[0]["total_rows"]) for t, cols in by_table.items() if cols], "table_name string, total_rows long"
     )
-    keys = spark.createDataFrame(
+    keys = local_frame(spark, 
         static_rows,
         "table_name string, key_type string, column_1 string, column_2 string, ordinal_1 int, ordinal_2 int, "
         "distinct_count long, null_count long",

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starweave.functions.rules import DEFAULT_PREFIX
 from starweave.operators.profile import Profile
+from starweave.functions.frames import local_frame
 
 # Metadata columns appended to every table, the date dimension layout and model names.
 METADATA_COLUMNS = ("LOAD_TS", "SOURCE_FILE_NAME", "ROW_HASH", "RECORD_SOURCE")
@@ -87,7 +88,7 @@ class Model:
             (self.source_table, i + 1, t.name, t.table_type, ",".join(t.primary_key), t.grain, t.scd_type, len(t.columns))
             for i, t in enumerate(self.tables.values())
         ]
-        return self.spark.createDataFrame(
+        return local_frame(self.spark, 
             rows,
             "source_table string, table_order int, table_name string, table_type string, primary_key string, "
             "grain string, scd_type string, column_count int",
@@ -100,7 +101,7 @@ class Model:
             for t in self.tables.values()
             for j, c in enumerate(t.columns)
         ]
-        return self.spark.createDataFrame(
+        return local_frame(self.spark, 
             rows,
             "source_table string, table_name string, column_order int, column_name string, data_type string, "
             "nullable boolean, is_pk boolean, is_fk boolean, references_table string, references_column string, "
@@ -109,7 +110,7 @@ class Model:
 
     def relationships_frame(self) -> DataFrame:
         rows = [(self.source_table, ft, fc, tt, tc, "many_to_one") for ft, fc, tt, tc in self.relationships]
-        return self.spark.createDataFrame(
+        return local_frame(self.spark, 
             rows,
             "source_table string, from_table string, from_column string, to_table string, to_column string, "
             "relationship_type string",
@@ -120,7 +121,7 @@ class Model:
         for g, cols in self.groups.items():
             nk = self.tables[g].natural_key if g in self.tables else []
             rows += [(self.source_table, g, i + 1, c, c in nk) for i, c in enumerate(cols)]
-        return self.spark.createDataFrame(
+        return local_frame(self.spark, 
             rows, "source_table string, dimension_name string, position int, column_name string, is_natural_key boolean"
         )
 
@@ -288,7 +289,7 @@ def recommend_clustering(model: Model, profile: Profile, max_keys: int = 3) -> D
                 rows.append((t.name, c.name, c.source, 0, "date"))
             elif c.kind == "fk":
                 rows.append((t.name, c.name, c.source.split(",")[0], 1, "foreign key"))
-    cand = model.spark.createDataFrame(
+    cand = local_frame(model.spark, 
         rows, "table_name string, column_name string, source_column string, kind_rank int, reason string"
     )
     from pyspark.sql import Window

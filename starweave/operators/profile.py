@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from starweave.functions.rules import entity_role_expr, grain_expr, logical_type_expr, name_prefix_expr
 from starweave.functions.types import logical_type_of, warehouse_type_of
 from starweave.operators.quantiles import exact_quantiles
+from starweave.functions.frames import local_frame
 
 # Longest value shuffled as text; profile thresholds used by the anomaly report.
 LONG_VALUE = 64
@@ -51,7 +52,7 @@ def column_metadata(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFr
         for t, df in tables.items()
         for i, f in enumerate(df.schema.fields)
     ]
-    meta = spark.createDataFrame(rows, _META_SCHEMA)
+    meta = local_frame(spark, rows, _META_SCHEMA)
     return meta.withColumn("logical_type", logical_type_expr(F.col("column_name"), F.col("physical_kind")))
 
 
@@ -63,9 +64,40 @@ def value_key(c: Column, data_type: T.DataType) -> Column:
     return F.when(F.length(txt) > LONG_VALUE, F.concat(F.lit("#"), F.sha2(txt, 256))).otherwise(txt)
 
 
-def _unpivot_keys(df: DataFrame, table_name: str) -> DataFrame:
-    fields = df.schema.fields
-    keyed = df.select(*[value_key(_q(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)])
+# Values are counted in their own type where one exists (hashing a long or a double is far cheaper than
+# formatting it as text); everything else — strings, booleans, decimals, arrays, structs — as text keys.
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def type_family(dt: T.DataType) -> str:
+    if isinstance(dt, _INTEGRAL):
+        return "integral"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return "fractional"
+    if isinstance(dt, T.TimestampNTZType):
+        return "timestamp_ntz"
+    if isinstance(dt, T.TimestampType):
+        return "timestamp"
+    if isinstance(dt, T.DateType):
+        return "date"
+    return "text"
+
+
+def _family_value(c: Column, dt: T.DataType, family: str) -> Column:
+    if family == "integral":
+        return c.cast("long")
+    if family == "fractional":
+        return F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
+    if family == "text":
+        return value_key(c, dt)
+    return c
+
+
+def _unpivot_family(df: DataFrame, table_name: str, family: str) -> DataFrame | None:
+    fields = [f for f in df.schema.fields if type_family(f.dataType) == family]
+    if not fields:
+        return None
+    keyed = df.select(*[_family_value(_q(f.name), f.dataType, family).alias(f"c{i}") for i, f in enumerate(fields)])
     stacked = F.explode(
         F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"c{i}").alias("value")) for i, f in enumerate(fields)])
     )
@@ -74,11 +106,36 @@ def _unpivot_keys(df: DataFrame, table_name: str) -> DataFrame:
     )
 
 
+FAMILIES = ("integral", "fractional", "timestamp_ntz", "timestamp", "date", "text")
+
+
+def family_frequencies(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Per type family: (table_name, column_name, value, cnt); NULL is counted as its own value.
+
+    Map-side partial aggregation collapses repeated values before the shuffle, so a value held by a
+    third of all rows costs one row per map task.
+    """
+    out = {}
+    for fam in FAMILIES:
+        stacked = None
+        for name, df in tables.items():
+            part = _unpivot_family(df, name, fam)
+            if part is not None:
+                stacked = part if stacked is None else stacked.unionByName(part)
+        if stacked is not None:
+            out[fam] = stacked.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    return out
+
+
 def value_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name, value, cnt) over all tables; NULL is counted as its own value."""
+    """Text-keyed frequencies of every column (all types as text)."""
     stacked = None
     for name, df in tables.items():
-        part = _unpivot_keys(df, name)
+        fields = df.schema.fields
+        keyed = df.select(*[value_key(_q(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)])
+        arr = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"c{i}").alias("value"))
+                                  for i, f in enumerate(fields)]))
+        part = keyed.select(F.lit(name).alias("table_name"), arr.alias("kv")).select("table_name", "kv.column_name", "kv.value")
         stacked = part if stacked is None else stacked.unionByName(part)
     return stacked.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -90,20 +147,34 @@ class Profile:
     spark: SparkSession
     tables: dict[str, DataFrame]
     metadata: DataFrame
-    frequencies: DataFrame
+    families: dict[str, DataFrame]
     _cache: dict = field(default_factory=dict)
 
+    @property
+    def frequencies(self) -> DataFrame:
+        """Text-keyed frequencies (string-like columns: the ones with top values and value counts)."""
+        if "text" in self.families:
+            return self.families["text"]
+        return local_frame(self.spark, [], "table_name string, column_name string, value string, cnt long")
+
     # ---- base profile (G1) --------------------------------------------------------------------------
     def column_profile(self) -> DataFrame:
         if "cp" in self._cache:
             return self._cache["cp"]
-        per_col = self.frequencies.groupBy("table_name", "column_name").agg(
-            F.sum("cnt").alias("total_rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).alias("null_count"),
-            F.count("value").alias("distinct_count"),
-        )
+        per_col = None
+        for freq in self.families.values():
+            part = freq.groupBy("table_name", "column_name").agg(
+                F.sum("cnt").alias("total_rows"),
+                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).alias("null_count"),
+                F.count("value").alias("distinct_count"),
+            )
+            per_col = part if per_col is None else per_col.unionByName(part)
+        if per_col is None:
+            per_col = local_frame(self.spark, [], "table_name string, column_name string, total_rows long, "
+                                                  "null_count long, distinct_count long")
         # Metadata has one row per column: a bounded broadcast.
-        cp = self.metadata.join(per_col, ["table_name", "column_name"], "left")
+        # ``per_col`` has one row per column: a bounded broadcast.
+        cp = self.metadata.join(F.broadcast(per_col), ["table_name", "column_name"], "left")
         total = F.coalesce("total_rows", F.lit(0)).cast("long")
         nulls = F.coalesce("null_count", F.lit(0)).cast("long")
         distinct = F.coalesce("distinct_count", F.lit(0)).cast("long")
@@ -236,7 +307,7 @@ class Profile:
 
 
 def profile_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Profile:
-    return Profile(spark, tables, column_metadata(spark, tables), value_frequencies(tables))
+    return Profile(spark, tables, column_metadata(spark, tables), family_frequencies(tables))
 
 
 def profile_table(df: DataFrame, table_name: str = "input") -> Profile:
@@ -258,7 +329,7 @@ _STRING_SCHEMA = "table_name string, column_name string, avg_length double, max_
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
     if not parts:
-        return spark.createDataFrame([], schema)
+        return local_frame(spark, [], schema)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -276,7 +347,7 @@ def _unpivot_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: list[str], table_name: str = "input") -> DataFrame:
     """Exact min/max/mean/median/sample std and IQR outliers (linear-interpolated quartiles)."""
     if not columns:
-        return df.sparkSession.createDataFrame([], _NUMERIC_SCHEMA)
+        return local_frame(df.sparkSession, [], _NUMERIC_SCHEMA)
     vals = _unpivot_numeric(df, columns)
     moments = vals.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("total_rows"),
@@ -325,7 +396,7 @@ def parse_timestamp(c: Column, data_type: T.DataType) -> Column:
 def date_profile(df: DataFrame, columns: list[str], table_name: str = "input") -> DataFrame:
     """valid / invalid (= rows - valid) date counts, min and max per DATE column; one global aggregate."""
     if not columns:
-        return df.sparkSession.createDataFrame([], _DATE_SCHEMA)
+        return local_frame(df.sparkSession, [], _DATE_SCHEMA)
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(columns):
@@ -348,7 +419,7 @@ def date_profile(df: DataFrame, columns: list[str], table_name: str = "input") -
 def string_profile(df: DataFrame, columns: list[str], table_name: str = "input") -> DataFrame:
     """Average (2 decimals) and maximum length of the non-null values; one global aggregate."""
     if not columns:
-        return df.sparkSession.createDataFrame([], _STRING_SCHEMA)
+        return local_frame(df.sparkSession, [], _STRING_SCHEMA)
     aggs = []
     for i, c in enumerate(columns):
         ln = F.length(_q(c).cast("string"))

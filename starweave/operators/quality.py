@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from starweave.functions.types import spark_type_of
 from starweave.operators.model import Model, ModelTable
+from starweave.functions.frames import local_frame
 
 RESULT_SCHEMA = (
     "table_name string, check_name string, column_name string, passed boolean, violation_count long, "
@@ -33,7 +34,7 @@ def duplicate_keys(df: DataFrame, pk: list[str]) -> DataFrame:
 def check_pk(df: DataFrame, pk: list[str], table_name: str) -> DataFrame:
     spark = df.sparkSession
     if not pk:
-        return spark.createDataFrame(
+        return local_frame(spark, 
             [(table_name, "primary_key_uniqueness", None, False, 0, None, "No primary key columns specified")],
             RESULT_SCHEMA,
         )
@@ -76,7 +77,7 @@ def null_violations(df: DataFrame, required: list[str], table_name: str) -> Data
     present = [c for c in required if c in df.columns]
     spark = df.sparkSession
     if not present:
-        return spark.createDataFrame([], "table_name string, column_name string, null_count long, null_percentage double")
+        return local_frame(spark, [], "table_name string, column_name string, null_count long, null_percentage double")
     one = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(_q(c).isNull()).alias(f"n{i}") for i, c in enumerate(present)])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("null_count"))
                                for i, c in enumerate(present)]))
@@ -124,7 +125,7 @@ def type_mismatches(spark: SparkSession, df: DataFrame, table: ModelTable) -> Da
          actual[c.name].simpleString())
         for c in table.columns if c.name in actual
     ]
-    frame = spark.createDataFrame(
+    frame = local_frame(spark, 
         rows, "table_name string, column_name string, expected string, expected_family string, "
               "actual_family string, actual string"
     )
@@ -164,7 +165,7 @@ def run_all(model: Model, tables: dict[str, DataFrame], include_types: bool = Fa
         if ft in tables and tt in tables:
             parts.append(check_fk(tables[ft], tables[tt], fc, tc, f"{ft} -> {tt}"))
     if not parts:
-        return spark.createDataFrame([], RESULT_SCHEMA)
+        return local_frame(spark, [], RESULT_SCHEMA)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

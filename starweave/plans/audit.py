@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from starweave.functions.frames import local_frame
 
 RUNS = "INGESTION_RUNS"
 STATUS = "INGESTION_TABLE_STATUS"
@@ -39,7 +40,7 @@ def _t(db: str, name: str) -> str:
 def ensure_audit_tables(spark: SparkSession, db: str) -> None:
     for name, schema in ((RUNS, RUNS_SCHEMA), (STATUS, STATUS_SCHEMA), (ERRORS, ERRORS_SCHEMA)):
         if not spark.catalog.tableExists(f"{db}.{name}"):
-            spark.createDataFrame([], schema).write.mode("overwrite").format("parquet").saveAsTable(_t(db, name))
+            local_frame(spark, [], schema).write.mode("overwrite").format("parquet").saveAsTable(_t(db, name))
 
 
 def _next_id(spark: SparkSession, db: str, table: str, col: str) -> int:
@@ -55,7 +56,7 @@ def log_run(spark: SparkSession, db: str, run: dict, run_id: int | None = None)
         F.coalesce(F.max("EVENT_SEQ"), F.lit(0)).alias("m")).first()["m"] + 1
     row = (run_id, seq, run.get("run_start_ts"), run.get("run_end_ts"), run.get("status"), run.get("source_file_name"),
            run.get("total_tables", 0), run.get("tables_loaded", 0), run.get("tables_failed", 0), run.get("error_message"))
-    spark.createDataFrame([row], RUNS_SCHEMA).write.mode("append").insertInto(_t(db, RUNS))
+    local_frame(spark, [row], RUNS_SCHEMA).write.mode("append").insertInto(_t(db, RUNS))
     return run_id
 
 
@@ -69,7 +70,7 @@ def log_table_status(spark: SparkSession, db: str, run_id: int, rows: list[dict]
          r.get("load_start_ts"), r.get("load_end_ts"), r.get("error_message"))
         for i, r in enumerate(rows)
     ]
-    spark.createDataFrame(data, STATUS_SCHEMA).write.mode("append").insertInto(_t(db, STATUS))
+    local_frame(spark, data, STATUS_SCHEMA).write.mode("append").insertInto(_t(db, STATUS))
 
 
 def log_errors(spark: SparkSession, db: str, run_id: int, table_name: str, rejects: DataFrame) -> None:

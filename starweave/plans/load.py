@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from starweave.functions.types import spark_type_of
 from starweave.operators.model import Model, ModelTable
 from starweave.plans import audit
+from starweave.functions.frames import local_frame
 
 _CORRUPT = "_corrupt_record"
 
@@ -50,7 +51,7 @@ def create_tables(spark: SparkSession, model: Model, db: str) -> dict[str, T.Str
     out = {}
     for name, t in model.tables.items():
         schema = table_schema(t)
-        spark.createDataFrame([], schema).write.mode("overwrite").format("parquet").saveAsTable(_t(db, name))
+        local_frame(spark, [], schema).write.mode("overwrite").format("parquet").saveAsTable(_t(db, name))
         out[name] = schema
     return out
 
@@ -112,7 +113,7 @@ def validate_row_counts(spark: SparkSession, db: str, expected: dict[str, int])
     actual = parts[0]
     for p in parts[1:]:
         actual = actual.unionByName(p)
-    exp = spark.createDataFrame(list(expected.items()), "table_name string, expected long")
+    exp = local_frame(spark, list(expected.items()), "table_name string, expected long")
     return exp.join(actual, "table_name", "left").select(
         "table_name", "expected", F.coalesce("actual", F.lit(0)).alias("actual"),
         (F.coalesce("actual", F.lit(0)) - F.col("expected")).alias("difference"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from starweave.functions.frames import local_frame
 
 SUMMARY_SCHEMA = "table_name string, path string, row_count long, size_bytes long, error string"
 
@@ -42,7 +43,7 @@ def write_tables(
             rows.append((name, path, int(n), size, None))
         except Exception as exc:  # noqa: BLE001 - recorded per table
             rows.append((name, path, None, None, f"Error creating {name}: {exc}"[:2000]))
-    return spark.createDataFrame(rows, SUMMARY_SCHEMA)
+    return local_frame(spark, rows, SUMMARY_SCHEMA)
 
 
 def _size(spark: SparkSession, path: str) -> int:
