@@ -188,6 +188,10 @@ class Profile:
             distinct.alias("distinct_count"),
             pct(distinct).alias("distinct_percentage"),
         )
+        # One row per column: computed once and kept as a literal frame, so the model, key and anomaly
+        # steps that read it do not re-run the frequency aggregation.
+        rows = [tuple(r) for r in cp.collect()]
+        cp = local_frame(self.spark, rows, cp.schema)
         self._cache["cp"] = cp
         return cp
 
@@ -258,10 +262,12 @@ class Profile:
         return {t: [c for _, c in sorted(v)] for t, v in out.items()}
 
     def numeric_profile(self) -> DataFrame:
-        """G2 + G4 per INTEGER/FLOAT column: min, max, mean, median, std, q1, q3, IQR outliers."""
-        parts = [numeric_profile(df, cols, t) for t, cols in self._columns_of(("INTEGER", "FLOAT")).items()
-                 for df in [self.tables[t]]]
-        return _union(parts, self.spark, _NUMERIC_SCHEMA)
+        """Min, max, mean, median, std, q1, q3 and IQR outliers per INTEGER/FLOAT column of every table,
+        all tables in one quantile job."""
+        if "np" not in self._cache:
+            self._cache["np"] = numeric_profile_tables(
+                {t: (self.tables[t], cols) for t, cols in self._columns_of(("INTEGER", "FLOAT")).items()}, self.spark)
+        return self._cache["np"]
 
     def date_profile(self) -> DataFrame:
         parts = [date_profile(self.tables[t], cols, t) for t, cols in self._columns_of(("DATE",)).items()]
@@ -346,9 +352,28 @@ def _unpivot_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: list[str], table_name: str = "input") -> DataFrame:
     """Exact min/max/mean/median/sample std and IQR outliers (linear-interpolated quartiles)."""
-    if not columns:
-        return local_frame(df.sparkSession, [], _NUMERIC_SCHEMA)
-    vals = _unpivot_numeric(df, columns)
+    return numeric_profile_tables({table_name: (df, columns)}, df.sparkSession)
+
+
+def numeric_profile_tables(inputs: dict[str, tuple[DataFrame, list[str]]], spark: SparkSession) -> DataFrame:
+    """``numeric_profile`` for many tables at once: one unpivot, one sort for the quantiles."""
+    parts = [
+        _unpivot_numeric(df, cols).select(F.lit(t).alias("table_name"), "column_name", "v")
+        for t, (df, cols) in inputs.items() if cols
+    ]
+    if not parts:
+        return local_frame(spark, [], _NUMERIC_SCHEMA)
+    vals = parts[0]
+    for p in parts[1:]:
+        vals = vals.unionByName(p)
+    stats = _numeric_stats(vals.select(F.concat_ws("\u0001", "table_name", "column_name").alias("column_name"), "v"))
+    key = F.split(F.col("column_name"), "\u0001")
+    return stats.select(key[0].alias("table_name"), key[1].alias("column_name"),
+                        *[c for c in stats.columns if c != "column_name"])
+
+
+def _numeric_stats(vals: DataFrame) -> DataFrame:
+    """Statistics per ``column_name`` group of a (column_name, v) frame."""
     moments = vals.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
@@ -373,7 +398,7 @@ def numeric_profile(df: DataFrame, columns: list[str], table_name: str = "input"
     return (
         moments.join(qw, "column_name", "left").join(outl, "column_name", "left")
         .select(
-            F.lit(table_name).alias("table_name"), "column_name", "total_rows", "min", "max", "mean", "median", "std",
+            "column_name", "total_rows", "min", "max", "mean", "median", "std",
             "q1", "q3",
             F.coalesce("outlier_count", F.lit(0)).cast("long").alias("outlier_count"),
             F.when(total > 0, F.round(F.coalesce("outlier_count", F.lit(0)) * 100.0 / total, 2))

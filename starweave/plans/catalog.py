@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from starweave.operators.keys import candidate_keys
@@ -44,7 +45,9 @@ def catalogue_profile(spark: SparkSession, sf_dir: str) -> Profile:
 
 def modelled(spark: SparkSession, sf_dir: str, name: str = "orders_wide", order_by: str = "transaction_id",
              **model_options) -> Modelled:
-    src = wide_input(spark, sf_dir, name)
+    # The wide input is read by the profile, every dimension and the fact: keep it (spilling to disk, and
+    # recomputed from its deterministic lineage if an executor is lost).
+    src = wide_input(spark, sf_dir, name).persist(StorageLevel.MEMORY_AND_DISK)
     prof = profile_tables(spark, {name: src})
     keys = candidate_keys(prof)
     model = infer_model(prof, keys, name, **model_options)
