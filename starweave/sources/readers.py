@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SUPPORTED_FORMATS = ("csv", "json", "jsonl", "parquet")
 _OVER = "_over"
-_CORRUPT = "_corrupt_record"
+# A null marker that never occurs in text (so empty fields stay empty strings while parsing).
+_NEVER = "\u0000"
 
 
 def format_from_path(path: str) -> str:
@@ -52,9 +53,10 @@ def read_csv(
     """CSV with inferred types; over-long lines are skipped, short lines are null-padded.
 
     Spark's DROPMALFORMED would drop short rows too, so every line is read as strings against the header
-    schema widened by two fields (``_over`` and the corrupt-record column). A line with more fields than
-    the header either fills ``_over`` or fits the widened schema exactly (then it is *not* flagged
-    corrupt, while every normal line is, being one field short).
+    schema widened by one trailing field ``_over``: a line with more fields than the header fills it. The
+    null marker is set to a character that never occurs in text, so an empty surplus field still counts
+    (empty data fields are turned into NULL afterwards). Only ``_over`` decides, which keeps the result
+    the same when Spark prunes the parsed columns (e.g. for a count of the rejects).
     """
     from starweave.sources.sniff import sniff_delimiter, sniff_encoding
 
@@ -63,19 +65,17 @@ def read_csv(
     if sep is None:
         sep = sniff_delimiter(spark, path, encoding)
     names = _header_columns(spark, path, sep, encoding, header)
-    schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in names]
-        + [T.StructField(_OVER, T.StringType()), T.StructField(_CORRUPT, T.StringType())]
-    )
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_OVER, T.StringType())])
     raw = (
         spark.read.schema(schema)
         .option("header", header).option("sep", sep).option("encoding", encoding)
-        .option("escape", '"').option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", multi_line)
+        .option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", _NEVER)
+        .option("multiLine", multi_line)
         .csv(path)
     )
-    over_long = F.col(_OVER).isNotNull() | F.col(_CORRUPT).isNull()
-    kept = raw.where(~over_long).select(*[F.col(f"`{n}`") for n in names])
+    over_long = F.col(_OVER).isNotNull()
+    text = {n: F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`")) for n in names}
+    kept = raw.where(~over_long).select(*[text[n].alias(n) for n in names])
     if infer_types:
         inferred = (
             spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
@@ -90,8 +90,7 @@ def read_csv(
         return kept
     rejects = raw.where(over_long).select(
         F.col("_metadata.file_path").alias("file_path"),
-        F.coalesce(F.col(_CORRUPT), F.concat_ws(sep, *[F.col(f"`{n}`") for n in names], F.col(_OVER)))
-        .alias("rejected_row"),
+        F.concat_ws(sep, *[F.col(f"`{n}`") for n in names], F.col(_OVER)).alias("rejected_row"),
         F.lit("too many fields").alias("error_message"),
     )
     return CsvRead(kept, rejects)

@@ -45,18 +45,18 @@ def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") ->
 
 
 def sniff_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, encoding): ``utf-8`` when every line is valid UTF-8, else ``latin-1``."""
+    """(file_path, encoding): ``utf-8`` when every line is valid UTF-8, else ``iso-8859-1`` (Latin-1)."""
     lines = spark.read.format("text").load(path).select(
         "value", F.col("_metadata.file_path").alias("file_path")
     )
     return lines.groupBy("file_path").agg(
-        F.when(F.bool_and(F.is_valid_utf8("value")), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding")
+        F.when(F.bool_and(F.is_valid_utf8("value")), F.lit("utf-8")).otherwise(F.lit("iso-8859-1")).alias("encoding")
     )
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
     enc = {r["encoding"] for r in sniff_encodings(spark, path).collect()}
-    return "latin-1" if "latin-1" in enc else "utf-8"
+    return "iso-8859-1" if "iso-8859-1" in enc else "utf-8"
 
 
 def file_metadata(spark: SparkSession, path: str) -> DataFrame:
