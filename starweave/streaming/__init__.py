@@ -1,0 +1,5 @@
+"""Continuous ingestion: files landing in a folder are split and loaded batch by batch."""
+
+from starweave.streaming.ingest import ingest_stream
+
+__all__ = ["ingest_stream"]

@@ -1,0 +1,28 @@
+import os
+
+import pyspark.sql.functions as F
+
+from starweave.operators.keys import candidate_keys
+from starweave.operators.model import infer_model
+from starweave.operators.profile import profile_table
+from starweave.plans import audit
+from starweave.streaming import ingest_stream
+
+
+def test_stream_batches_keep_first_dimension_rows(spark, tmpdir_path):
+    rows = [(i, i % 5, f"c{i % 5}", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "order_id long, customer_id long, customer_name string, total_amount double")
+    p = profile_table(df, "orders")
+    m = infer_model(p, candidate_keys(p), "orders")
+    landing = os.path.join(tmpdir_path, "landing")
+    df.where("order_id < 20").write.parquet(os.path.join(landing, "part1"))
+    df.where("order_id >= 20").withColumn("customer_name", F.lit("changed")).write.parquet(os.path.join(landing, "part2"))
+    q = ingest_stream(spark, m, landing + "/*", df.schema, "sw_stream_test", order_by="order_id",
+                      max_files_per_trigger=1, checkpoint_location=os.path.join(tmpdir_path, "ckpt"))
+    q.awaitTermination(120)
+    for t in ("FACT_MAIN", "DIM_CUSTOMER"):
+        spark.catalog.refreshTable(f"sw_stream_test.{t}")
+    assert spark.table("sw_stream_test.FACT_MAIN").count() == 40
+    dim = spark.table("sw_stream_test.DIM_CUSTOMER")
+    assert dim.count() == 5 and dim.where("customer_name = 'changed'").count() == 0
+    assert audit.runs(spark, "sw_stream_test").count() >= 2
