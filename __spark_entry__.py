@@ -18,7 +18,7 @@ from starweave.operators.profile import histogram, profile_tables
 from starweave.operators.split import resolve_fk
 from starweave.plans.catalog import catalogue_profile, modelled, profile_of, wide_input
 from starweave.sources.nested import flatten_nested
-from starweave.sources.wide import ORDERS_WIDE_SQL
+from starweave.sources.wide import ORDERS_WIDE_SQL, SALES_WIDE_SQL
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -46,6 +46,11 @@ SCHEMAS: dict[str, list[tuple[str, str]]] = {
     "benchmark": [("item_id", "INTEGER"), ("text", "STRING")],
     "labels": [("doc_id", "INTEGER"), ("quality", "INTEGER"), ("toxic", "INTEGER")],
     "conversations": [("conv_id", "INTEGER"), ("turn", "INTEGER"), ("role", "STRING"), ("text", "STRING")],
+    "sales_wide": [("transaction_id", "INTEGER"), ("customer_id", "INTEGER"), ("customer_name", "STRING"),
+                   ("customer_segment", "STRING"), ("customer_nation", "STRING"), ("product_id", "INTEGER"),
+                   ("product_brand", "STRING"), ("product_type", "STRING"), ("quantity", "FLOAT"), ("amount", "FLOAT"),
+                   ("discount_rate", "FLOAT"), ("order_status", "STRING"), ("order_priority", "STRING"),
+                   ("ship_date", "DATE"), ("order_date", "DATE")],
     "orders_wide": [("transaction_id", "INTEGER"), ("customer_id", "INTEGER"), ("customer_name", "STRING"),
                     ("customer_segment", "STRING"), ("customer_nation", "STRING"), ("order_status", "STRING"),
                     ("order_priority", "STRING"), ("order_date", "DATE"), ("total_amount", "FLOAT")],
@@ -283,6 +288,67 @@ def q_flatten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return child.select("vec_id", "pos", F.col("embedding").cast("double").alias("val"))
 
 
+def q_column_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue_profile(spark, sf_dir).column_profile().select(*_PROFILE_COLS)
+
+
+def q_numeric_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = catalogue_profile(spark, sf_dir).numeric_profile().select(
+        "table_name", "column_name", "total_rows", "min", "max", "mean", "median", "std", "q1", "q3",
+        "outlier_count", "outlier_percentage")
+    return _round(out, ["min", "max", "mean", "median", "std", "q1", "q3"])
+
+
+def q_split_events(table: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return modelled(spark, sf_dir, "events", order_by="event_id").tables[table]
+    return run
+
+
+def q_model_columns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelled(spark, sf_dir, "events", order_by="event_id").model.columns_frame().select(
+        "table_name", "column_order", "column_name", "data_type", "nullable", "is_pk", "is_fk", "references_table",
+        "references_column")
+
+
+def q_csv_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``orders`` as CSV (split-table sink), read it back with sniffing, type inference and reject
+    handling, and return the typed rows."""
+    import uuid
+
+    from starweave.plans import sinks
+    from starweave.session import scratch_path
+    from starweave.sources import read_csv
+
+    out = scratch_path(spark, f"csv-{uuid.uuid4().hex[:12]}")
+    sinks.write_tables(spark, {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet")}, out, fmt="csv").collect()
+    back = read_csv(spark, sinks.table_path(out, "orders"))
+    return back.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                       F.col("o_orderdate").cast("string").alias("o_orderdate"), "o_orderpriority")
+
+
+def q_jsonl_roundtrip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from starweave.session import scratch_path
+    from starweave.sources import read_jsonl
+
+    out = scratch_path(spark, f"jsonl-{uuid.uuid4().hex[:12]}")
+    (spark.read.parquet(f"{sf_dir}/events.parquet").write.mode("overwrite")
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").json(out))
+    back = read_jsonl(spark, out)
+    return back.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value",
+                       "props")
+
+
+def q_validate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starweave.functions.frames import local_frame
+    from starweave.sources import validate_source
+
+    rows = [(t, *validate_source(spark, f"{sf_dir}/{t}.parquet")) for t in CATALOGUE]
+    return local_frame(spark, rows, "table_name string, ok boolean, message string")
+
+
 def _audited_runs(spark: SparkSession, sf_dir: str) -> str:
     """Split orders_wide, write it, and load it twice into a fresh audit database: one complete run and one
     that also names a table outside the model (that table fails, the run is PARTIAL). Returns the database."""
@@ -369,6 +435,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clustering_recommendation": q_clustering_recommendation,
         "flatten_events_props": q_flatten_events_props,
         "flatten_embeddings": q_flatten_embeddings,
+        "column_profile_all": q_column_profile_all,
+        "numeric_profile_all": q_numeric_profile_all,
+        "date_profile_lineitem": q_date_profile("lineitem"),
+        "string_profile_conversations": q_string_profile("conversations"),
+        "string_profile_pages": q_string_profile("pages"),
+        "top_values_conversations": q_top_values("conversations"),
+        "top_values_pages": q_top_values("pages"),
+        "candidate_keys_sales_wide": q_candidate_keys("sales_wide"),
+        "entity_roles_sales_wide": q_entity_roles("sales_wide"),
+        "candidate_keys_conversations": q_candidate_keys("conversations"),
+        "model_columns_events": q_model_columns_events,
+        "fact_main_events": q_split_events("FACT_MAIN"),
+        "dim_event_events": q_split_events("DIM_EVENT"),
+        "dim_user_events": q_split_events("DIM_USER"),
+        "dim_date_events": q_split_events("DIM_DATE"),
+        "csv_roundtrip_orders": q_csv_roundtrip_orders,
+        "jsonl_roundtrip_events": q_jsonl_roundtrip_events,
+        "validate_sources": q_validate_sources,
         "audit_table_status": q_audit_table_status,
         "audit_summary": q_audit_summary,
         "audit_recent_runs": q_audit_recent_runs,
@@ -395,6 +479,8 @@ def _src(table: str) -> tuple[str, str]:
     """(WITH-clause prefix, relation name)."""
     if table == "orders_wide":
         return f"WITH orders_wide AS ({ORDERS_WIDE_SQL})\n", "orders_wide"
+    if table == "sales_wide":
+        return f"WITH sales_wide AS ({SALES_WIDE_SQL})\n", "sales_wide"
     return "", table
 
 
@@ -788,6 +874,70 @@ def sql_audit_summary() -> str:
             f"SELECT 'PARTIAL', CAST(1 AS BIGINT), CAST(5 AS BIGINT), CAST(6 AS BIGINT), {total} FROM orders_wide")
 
 
+_EV_COLS = [c for c, _ in SCHEMAS["events"]]
+_EV_META = f"{LOAD_TS_SQL} AS LOAD_TS, 'events' AS SOURCE_FILE_NAME, {{rh}} AS ROW_HASH, 'events' AS RECORD_SOURCE"
+
+
+def sql_events_fact() -> str:
+    fk = lambda c: f"CASE WHEN \"{c}\" IS NOT NULL THEN sha256(CAST(\"{c}\" AS VARCHAR)) END AS {c}_FK"
+    return ("SELECT event_id, value, CASE WHEN ts IS NOT NULL THEN sha256(CAST(CAST(ts AS DATE) AS VARCHAR)) END AS ts_FK, "
+            f"{fk('event_id')}, {fk('props')}, {fk('user_id')}, " + _EV_META.format(rh=_hash_sql(_EV_COLS)) + " FROM events")
+
+
+def sql_events_dim(name: str, nk: str, attrs: list[str]) -> str:
+    attr_sql = "".join(f"arg_min(\"{a}\", event_id) AS \"{a}\", " for a in attrs)
+    meta = _EV_META.format(rh=f"arg_min({_hash_sql(_EV_COLS)}, event_id)")
+    return (f"SELECT sha256(CAST(\"{nk}\" AS VARCHAR)) AS {name}_SK, \"{nk}\" AS {nk}_NK, {attr_sql}{meta} "
+            f"FROM events WHERE \"{nk}\" IS NOT NULL GROUP BY \"{nk}\"")
+
+
+def sql_events_dim_date() -> str:
+    return sql_dim_date().replace(f"WITH orders_wide AS ({ORDERS_WIDE_SQL})\n", "").replace(
+        "CAST(order_date AS DATE) AS DATE_NK FROM orders_wide WHERE order_date IS NOT NULL",
+        "CAST(ts AS DATE) AS DATE_NK FROM events WHERE ts IS NOT NULL").replace("'orders_wide'", "'events'")
+
+
+# Expected events model (fixed: derived by reading the rules; FIXTURES.md F4).
+_EVENTS_MODEL = [
+    ("FACT_MAIN", 1, "event_id", "NUMBER(38,0)", False, True, False, None, None),
+    ("FACT_MAIN", 2, "value", "FLOAT", False, False, False, None, None),
+    ("FACT_MAIN", 3, "ts_FK", "TEXT", False, False, True, "DIM_DATE", "DATE_SK"),
+    ("FACT_MAIN", 4, "event_id_FK", "TEXT", False, False, True, "DIM_EVENT", "DIM_EVENT_SK"),
+    ("FACT_MAIN", 5, "props_FK", "TEXT", False, False, True, "DIM_DIMENSION", "DIM_DIMENSION_SK"),
+    ("FACT_MAIN", 6, "user_id_FK", "TEXT", False, False, True, "DIM_USER", "DIM_USER_SK"),
+    ("DIM_EVENT", 1, "DIM_EVENT_SK", "TEXT", False, True, False, None, None),
+    ("DIM_EVENT", 2, "event_id_NK", "NUMBER(38,0)", False, False, False, None, None),
+    ("DIM_EVENT", 3, "event_type", "TEXT", False, False, False, None, None),
+    ("DIM_DIMENSION", 1, "DIM_DIMENSION_SK", "TEXT", False, True, False, None, None),
+    ("DIM_DIMENSION", 2, "props_NK", "TEXT", False, False, False, None, None),
+    ("DIM_USER", 1, "DIM_USER_SK", "TEXT", False, True, False, None, None),
+    ("DIM_USER", 2, "user_id_NK", "NUMBER(38,0)", False, False, False, None, None),
+] + [r for r in _MODEL_COLUMNS if r[0] == "DIM_DATE"]
+_EVENTS_WIDTH = {"FACT_MAIN": 6, "DIM_EVENT": 3, "DIM_DIMENSION": 2, "DIM_USER": 2, "DIM_DATE": 10}
+
+
+def sql_model_columns_events() -> str:
+    rows = list(_EVENTS_MODEL)
+    for t, width in _EVENTS_WIDTH.items():
+        for j, (m, dt, nl) in enumerate(_METADATA):
+            rows.append((t, width + j + 1, m, dt, nl, False, False, None, None))
+    return _values(rows, ["table_name", "column_order", "column_name", "data_type", "nullable", "is_pk", "is_fk",
+                          "references_table", "references_column"])
+
+
+def sql_column_profile_all() -> str:
+    return "\nUNION ALL\n".join(_profile_branch(t, t, i + 1, c, k) for t in CATALOGUE for i, (c, k) in enumerate(SCHEMAS[t]))
+
+
+def sql_numeric_profile_all() -> str:
+    body = "\nUNION ALL\n".join(_numeric_branch(t, t, c) for t in CATALOGUE for c in _numeric_cols(t))
+    return (f"SELECT table_name, column_name, total_rows, round(min, 2) AS min, round(max, 2) AS max, "
+            f"round(mean, 2) AS mean, round(median, 2) AS median, round(std, 2) AS std, round(q1, 2) AS q1, "
+            f"round(q3, 2) AS q3, outlier_count, "
+            f"CASE WHEN total_rows > 0 THEN round(outlier_count * 100.0::DOUBLE / total_rows, 2) ELSE 0.0 END AS outlier_percentage "
+            f"FROM ({body}) s")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "column_profile_events": sql_column_profile("events"),
@@ -859,6 +1009,26 @@ def oracle_sql() -> dict[str, str]:
         "flatten_embeddings": (
             "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, "
             "CAST(unnest(embedding) AS DOUBLE) AS val FROM embeddings"),
+        "column_profile_all": sql_column_profile_all(),
+        "numeric_profile_all": sql_numeric_profile_all(),
+        "date_profile_lineitem": sql_date_profile("lineitem"),
+        "string_profile_conversations": sql_string_profile("conversations"),
+        "string_profile_pages": sql_string_profile("pages"),
+        "top_values_conversations": sql_top_values("conversations"),
+        "top_values_pages": sql_top_values("pages"),
+        "candidate_keys_sales_wide": sql_candidate_keys("sales_wide"),
+        "entity_roles_sales_wide": sql_entity_roles("sales_wide"),
+        "candidate_keys_conversations": sql_candidate_keys("conversations"),
+        "model_columns_events": sql_model_columns_events(),
+        "fact_main_events": sql_events_fact(),
+        "dim_event_events": sql_events_dim("DIM_EVENT", "event_id", ["event_type"]),
+        "dim_user_events": sql_events_dim("DIM_USER", "user_id", []),
+        "dim_date_events": sql_events_dim_date(),
+        "csv_roundtrip_orders": (
+            "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, "
+            "o_orderpriority FROM orders"),
+        "jsonl_roundtrip_events": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+        "validate_sources": _values([(t, True, None) for t in CATALOGUE], ["table_name", "ok", "message"]),
         "audit_table_status": sql_audit_table_status(),
         "audit_summary": sql_audit_summary(),
         "audit_recent_runs": (

@@ -75,3 +75,14 @@ def sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_orderdate").alias("order_date"),
         )
     )
+
+
+SALES_WIDE_SQL = """
+SELECT o_orderkey * 10 + l_linenumber AS transaction_id, c_custkey AS customer_id, c_name AS customer_name,
+       c_mktsegment AS customer_segment, n_name AS customer_nation, p_partkey AS product_id, p_brand AS product_brand,
+       p_type AS product_type, l_quantity AS quantity, l_extendedprice AS amount, l_discount AS discount_rate,
+       o_orderstatus AS order_status, o_orderpriority AS order_priority, l_shipdate AS ship_date,
+       o_orderdate AS order_date
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+     JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
+"""
