@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from starweave.functions.rules import entity_role_expr, grain_expr, logical_type_expr, name_prefix_expr
 from starweave.functions.types import logical_type_of, warehouse_type_of
-from starweave.operators.quantiles import exact_quantiles
+from starweave.operators.quantiles import quantiles_of_sorted, sorted_values
 from starweave.functions.frames import local_frame
 
 # Longest value shuffled as text; profile thresholds used by the anomaly report.
@@ -373,32 +373,34 @@ def numeric_profile_tables(inputs: dict[str, tuple[DataFrame, list[str]]], spark
 
 
 def _numeric_stats(vals: DataFrame) -> DataFrame:
-    """Statistics per ``column_name`` group of a (column_name, v) frame."""
-    moments = vals.groupBy("column_name").agg(
+    """Statistics per ``column_name`` group of a (column_name, v) frame. The source is read once: the
+    sorted, checkpointed values feed the quantiles, the moments and the outlier count alike."""
+    ordered = sorted_values(vals, "column_name", "v")  # columns g, v
+    moments = ordered.groupBy("g").agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
     )
-    q = exact_quantiles(vals.where(F.col("v").isNotNull()), "column_name", "v", [0.25, 0.5, 0.75])
-    qw = q.groupBy("column_name").agg(
+    q = quantiles_of_sorted(ordered, [0.25, 0.5, 0.75])
+    qw = q.groupBy("g").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
         F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
         F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"),
     )
     iqr = F.col("q3") - F.col("q1")
     bounds = qw.select(
-        "column_name",
+        "g",
         (F.col("q1") - IQR_FACTOR * iqr).alias("lo"),
         (F.col("q3") + IQR_FACTOR * iqr).alias("hi"),
     )
     # One row per profiled column on the small side: a bounded broadcast.
-    outl = vals.join(F.broadcast(bounds), "column_name").groupBy("column_name").agg(
+    outl = ordered.join(F.broadcast(bounds), "g").groupBy("g").agg(
         F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("outlier_count")
     )
     total = F.col("total_rows")
     return (
-        moments.join(qw, "column_name", "left").join(outl, "column_name", "left")
+        moments.join(qw, "g", "left").join(outl, "g", "left")
         .select(
-            "column_name", "total_rows", "min", "max", "mean", "median", "std",
+            F.col("g").alias("column_name"), "total_rows", "min", "max", "mean", "median", "std",
             "q1", "q3",
             F.coalesce("outlier_count", F.lit(0)).cast("long").alias("outlier_count"),
             F.when(total > 0, F.round(F.coalesce("outlier_count", F.lit(0)) * 100.0 / total, 2))

@@ -7,6 +7,9 @@ of all rows still spreads over many partitions — and checkpointed so partition
 fixed. Per-partition counts (a tiny frame: partitions × groups) then give each row's global rank, and
 only the rows at the wanted ranks are kept. Interpolation is linear: ``lo + (hi - lo) * frac`` at
 position ``p * (n - 1)``.
+
+The checkpointed sorted frame is also the cheapest input for other per-group statistics (moments,
+outlier counts): it holds just ``(group, value)``, so callers can reuse it instead of re-reading the source.
 """
 
 from __future__ import annotations
@@ -16,16 +19,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 from starweave.session import checkpoint_dir
 
 
-def exact_quantiles(vals: DataFrame, group_col: str, value_col: str, probs: list[float]) -> DataFrame:
-    """(group, prob, value) for every group of ``vals`` (non-null values only)."""
+def sorted_values(vals: DataFrame, group_col: str, value_col: str) -> DataFrame:
+    """``(g, v)`` range-partitioned and sorted by (g, v) — NULLs first within a group — and checkpointed
+    into the shared checkpoint folder (lineage cut, positions fixed)."""
     spark = vals.sparkSession
     checkpoint_dir(spark)
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     t = vals.select(
         F.col(group_col).alias("g"), F.col(value_col).alias("v"), F.monotonically_increasing_id().alias("_t")
     )
-    ordered = t.repartitionByRange(n_parts, "g", "v", "_t").sortWithinPartitions("g", "v", "_t").checkpoint(eager=True)
-    pos = ordered.select("g", "v", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_r"))
+    ordered = t.repartitionByRange(n_parts, "g", "v", "_t").sortWithinPartitions("g", "v", "_t")
+    return ordered.checkpoint(eager=True).select("g", "v")
+
+
+def quantiles_of_sorted(ordered: DataFrame, probs: list[float]) -> DataFrame:
+    """(g, prob, value) from the output of ``sorted_values`` (non-null values only)."""
+    pos = ordered.select("g", "v", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_r")) \
+        .where(F.col("v").isNotNull())
     per = pos.groupBy("_p", "g").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("r0"))
     before = Window.partitionBy("g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(
@@ -37,8 +47,7 @@ def exact_quantiles(vals: DataFrame, group_col: str, value_col: str, probs: list
     targets = totals.select(
         "g", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     ).select(
-        "g", "prob",
-        (F.col("prob") * (F.col("total") - 1)).alias("position"),
+        "g", "prob", (F.col("prob") * (F.col("total") - 1)).alias("position"),
     ).select(
         "g", "prob", "position",
         F.floor("position").cast("long").alias("lo_rank"),
@@ -54,7 +63,10 @@ def exact_quantiles(vals: DataFrame, group_col: str, value_col: str, probs: list
     hi = picked.select("g", F.col("rank").alias("hi_rank"), F.col("v").alias("v_hi"))
     out = targets.join(lo, ["g", "lo_rank"]).join(hi, ["g", "hi_rank"])
     frac = F.col("position") - F.col("lo_rank")
-    return out.select(
-        F.col("g").alias(group_col), "prob",
-        (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value"),
-    )
+    return out.select("g", "prob", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value"))
+
+
+def exact_quantiles(vals: DataFrame, group_col: str, value_col: str, probs: list[float]) -> DataFrame:
+    """(group, prob, value) for every group of ``vals`` (non-null values only)."""
+    q = quantiles_of_sorted(sorted_values(vals, group_col, value_col), probs)
+    return q.withColumnRenamed("g", group_col)
