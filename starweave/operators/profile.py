@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from starweave.functions.rules import entity_role_expr, grain_expr, logical_type_expr, name_prefix_expr
 from starweave.functions.types import logical_type_of, warehouse_type_of
 from starweave.operators.quantiles import quantiles_of_sorted, sorted_values
-from starweave.functions.frames import local_frame
+from starweave.functions.frames import balanced, local_frame
 
 # Longest value shuffled as text; profile thresholds used by the anomaly report.
 LONG_VALUE = 64
@@ -83,6 +83,13 @@ def type_family(dt: T.DataType) -> str:
     return "text"
 
 
+# One grouping key type for every column: a struct with one field per family, only the column's own field
+# set (NULL struct for a NULL value). Struct keys hash natively, so all columns of all tables share one
+# unpivot, one scan and one shuffle.
+_KEY_FIELDS = (("integral", "l", "bigint"), ("fractional", "d", "double"), ("timestamp_ntz", "tn", "timestamp_ntz"),
+               ("timestamp", "tz", "timestamp"), ("date", "dt", "date"), ("text", "s", "string"))
+
+
 def _family_value(c: Column, dt: T.DataType, family: str) -> Column:
     if family == "integral":
         return c.cast("long")
@@ -93,11 +100,17 @@ def _family_value(c: Column, dt: T.DataType, family: str) -> Column:
     return c
 
 
-def _unpivot_family(df: DataFrame, table_name: str, family: str) -> DataFrame | None:
-    fields = [f for f in df.schema.fields if type_family(f.dataType) == family]
-    if not fields:
-        return None
-    keyed = df.select(*[_family_value(_q(f.name), f.dataType, family).alias(f"c{i}") for i, f in enumerate(fields)])
+def typed_key(c: Column, dt: T.DataType) -> Column:
+    fam = type_family(dt)
+    fields = [
+        (_family_value(c, dt, fam) if f == fam else F.lit(None).cast(t)).alias(name) for f, name, t in _KEY_FIELDS
+    ]
+    return F.when(c.isNull(), F.lit(None)).otherwise(F.struct(*fields))
+
+
+def _unpivot_typed(df: DataFrame, table_name: str) -> DataFrame:
+    fields = df.schema.fields
+    keyed = df.select(*[typed_key(_q(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)])
     stacked = F.explode(
         F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"c{i}").alias("value")) for i, f in enumerate(fields)])
     )
@@ -106,25 +119,17 @@ def _unpivot_family(df: DataFrame, table_name: str, family: str) -> DataFrame |
     )
 
 
-FAMILIES = ("integral", "fractional", "timestamp_ntz", "timestamp", "date", "text")
-
-
-def family_frequencies(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Per type family: (table_name, column_name, value, cnt); NULL is counted as its own value.
+def typed_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, value struct, cnt) over all columns of all tables; NULL is its own value.
 
     Map-side partial aggregation collapses repeated values before the shuffle, so a value held by a
     third of all rows costs one row per map task.
     """
-    out = {}
-    for fam in FAMILIES:
-        stacked = None
-        for name, df in tables.items():
-            part = _unpivot_family(df, name, fam)
-            if part is not None:
-                stacked = part if stacked is None else stacked.unionByName(part)
-        if stacked is not None:
-            out[fam] = stacked.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    return out
+    stacked = None
+    for name, df in tables.items():
+        part = _unpivot_typed(df, name)
+        stacked = part if stacked is None else stacked.unionByName(part)
+    return stacked.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def value_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
@@ -147,31 +152,28 @@ class Profile:
     spark: SparkSession
     tables: dict[str, DataFrame]
     metadata: DataFrame
-    families: dict[str, DataFrame]
+    typed: DataFrame
     _cache: dict = field(default_factory=dict)
 
     @property
     def frequencies(self) -> DataFrame:
-        """Text-keyed frequencies (string-like columns: the ones with top values and value counts)."""
-        if "text" in self.families:
-            return self.families["text"]
-        return local_frame(self.spark, [], "table_name string, column_name string, value string, cnt long")
+        """Text-keyed frequencies of the string-like columns (the ones with top values and value counts)."""
+        text_cols = [(t, f.name) for t, df in self.tables.items() for f in df.schema.fields
+                     if type_family(f.dataType) == "text"]
+        names = local_frame(self.spark, text_cols, "table_name string, column_name string")
+        # One row per text column: a bounded broadcast.
+        return self.typed.join(F.broadcast(names), ["table_name", "column_name"]).select(
+            "table_name", "column_name", F.col("value.s").alias("value"), "cnt")
 
     # ---- base profile (G1) --------------------------------------------------------------------------
     def column_profile(self) -> DataFrame:
         if "cp" in self._cache:
             return self._cache["cp"]
-        per_col = None
-        for freq in self.families.values():
-            part = freq.groupBy("table_name", "column_name").agg(
-                F.sum("cnt").alias("total_rows"),
-                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).alias("null_count"),
-                F.count("value").alias("distinct_count"),
-            )
-            per_col = part if per_col is None else per_col.unionByName(part)
-        if per_col is None:
-            per_col = local_frame(self.spark, [], "table_name string, column_name string, total_rows long, "
-                                                  "null_count long, distinct_count long")
+        per_col = self.typed.groupBy("table_name", "column_name").agg(
+            F.sum("cnt").alias("total_rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).alias("null_count"),
+            F.count("value").alias("distinct_count"),
+        )
         # Metadata has one row per column: a bounded broadcast.
         # ``per_col`` has one row per column: a bounded broadcast.
         cp = self.metadata.join(F.broadcast(per_col), ["table_name", "column_name"], "left")
@@ -313,7 +315,8 @@ class Profile:
 
 
 def profile_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Profile:
-    return Profile(spark, tables, column_metadata(spark, tables), family_frequencies(tables))
+    tables = {n: balanced(df) for n, df in tables.items()}
+    return Profile(spark, tables, column_metadata(spark, tables), typed_frequencies(tables))
 
 
 def profile_table(df: DataFrame, table_name: str = "input") -> Profile:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from starweave.functions.frames import balanced
 from starweave.operators.keys import candidate_keys
 from starweave.operators.model import Model, infer_model
 from starweave.operators.profile import Profile, profile_tables
@@ -47,7 +48,7 @@ def modelled(spark: SparkSession, sf_dir: str, name: str = "orders_wide", order_
              **model_options) -> Modelled:
     # The wide input is read by the profile, every dimension and the fact: keep it (spilling to disk, and
     # recomputed from its deterministic lineage if an executor is lost).
-    src = wide_input(spark, sf_dir, name).persist(StorageLevel.MEMORY_AND_DISK)
+    src = balanced(wide_input(spark, sf_dir, name)).persist(StorageLevel.MEMORY_AND_DISK)
     prof = profile_tables(spark, {name: src})
     keys = candidate_keys(prof)
     model = infer_model(prof, keys, name, **model_options)
