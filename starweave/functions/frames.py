@@ -17,10 +17,26 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def _size_estimate(df: DataFrame) -> int | None:
+# Inputs read from more files than this are taken to arrive in enough splits already.
+_FEW_FILES = 64
+
+
+def _input_bytes(df: DataFrame, limit: int) -> int | None:
+    """Total size of the files under ``df`` (stops counting past ``limit``); None when unknown or many files."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate, no change
+        files = df.inputFiles()
+        if not files or len(files) > _FEW_FILES:
+            return None
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        total = 0
+        for f in files:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            total += path.getFileSystem(conf).getFileStatus(path).getLen()
+            if total > limit:
+                break
+        return total
+    except Exception:  # noqa: BLE001 - unknown size: leave the input as it is
         return None
 
 
@@ -28,14 +44,16 @@ def balanced(df: DataFrame) -> DataFrame:
     """Spread a *small* input over all cores before heavy per-row work.
 
     A file smaller than a couple of splits (often a single Parquet row group) is read by one task, and every
-    per-row step above the scan (unpivoting, hashing, map-side aggregation) then runs on that task alone.
-    Inputs whose estimated size is under two file splits are round-robin repartitioned to the default
-    parallelism — a shuffle of at most two splits' worth of data. Larger inputs already arrive in many
-    splits and are returned unchanged, so this never adds a shuffle at scale.
+    per-row step above the scan (joins with broadcast sides, unpivoting, hashing, map-side aggregation) then
+    runs on that task alone. When the input comes from at most a few dozen files totalling less than two
+    file splits, it is round-robin repartitioned to the default parallelism — a shuffle of at most two
+    splits' worth of data. Larger inputs already arrive in many splits and are returned unchanged, so this
+    never adds a shuffle at scale.
     """
     spark = df.sparkSession
-    size = _size_estimate(df)
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b").rstrip("B") or 134217728)
+    raw = str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).lower().rstrip("b")
+    split = int(raw) if raw.isdigit() else 134217728
+    size = _input_bytes(df, 2 * split)
     if size is None or size > 2 * split:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism)

@@ -3,16 +3,16 @@
 Singles come straight from the column profile. Pairs are pruned before any data is touched:
  * a pair cannot reach the threshold when d(a)·d(b) < 0.95·n (NULL counts as one more value);
  * a pair containing a column whose values (NULL included) are all different has exactly n values.
-Only the remaining pairs are counted, all in one job: each row emits one ``(pair, [key a, key b])``
-entry per pair, counted with map-side partial aggregation. The key is the same text key the profile
-uses, compared as an array, so NULL is a value and ``('a|b','c')`` differs from ``('a','b|c')``.
+Only the remaining pairs are counted: each row emits a typed ``(pair, a, b)`` entry per pair, counted with
+map-side partial aggregation. Values keep their types (so ``('a|b','c')`` differs from ``('a','b|c')``)
+and NULL is a value.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from starweave.operators.profile import Profile, value_key
+from starweave.operators.profile import Profile, _family_value, type_family
 from starweave.functions.frames import local_frame
 
 # Fixed value: share of distinct values over rows for a candidate key.
@@ -25,24 +25,34 @@ _SCHEMA = (
 
 
 def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Exact distinct counts of the given column pairs.
+
+    Pairs are grouped by the type families of their two columns; within a group every row emits one
+    ``(pair, a, b)`` entry per pair with native types (no text formatting), counted by a partially
+    aggregated ``distinct`` and a per-pair count — linear in rows × pairs, shuffled by value, never
+    gathered into one task. NULL is a value (``distinct`` treats NULLs as equal).
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    needed = sorted({c for p in pairs for c in p})
-    idx = {c: i for i, c in enumerate(needed)}
-    keyed = df.select(*[value_key(F.col(f"`{c}`"), types[c]).alias(f"k{idx[c]}") for c in needed])
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.array(F.col(f"k{idx[a]}"), F.col(f"k{idx[b]}")).alias("key"))
-        for i, (a, b) in enumerate(pairs)
-    ]))
-    counted = (
-        keyed.select(stacked.alias("e")).select("e.pair", "e.key")
-        .distinct()
-        .groupBy("pair").agg(F.count(F.lit(1)).alias("distinct_count"))
-    )
-    names = local_frame(df.sparkSession, 
-        [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_1 string, column_2 string"
-    )
+    by_sig: dict[tuple[str, str], list[tuple[int, str, str]]] = {}
+    for i, (a, b) in enumerate(pairs):
+        by_sig.setdefault((type_family(types[a]), type_family(types[b])), []).append((i, a, b))
+    out = None
+    for (fa, fb), members in by_sig.items():
+        q = lambda c: F.col(f"`{c}`")
+        stacked = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("pair"), _family_value(q(a), types[a], fa).alias("a"),
+                     _family_value(q(b), types[b], fb).alias("b"))
+            for i, a, b in members
+        ]))
+        counted = (
+            df.select(stacked.alias("e")).select("e.pair", "e.a", "e.b").distinct()
+            .groupBy("pair").agg(F.count(F.lit(1)).alias("distinct_count"))
+        )
+        out = counted if out is None else out.unionByName(counted)
+    names = local_frame(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)],
+                        "pair int, column_1 string, column_2 string")
     # ``names`` has one row per counted pair: a bounded broadcast.
-    return counted.join(F.broadcast(names), "pair").select(
+    return out.join(F.broadcast(names), "pair").select(
         F.lit(table_name).alias("table_name"), "column_1", "column_2", "distinct_count"
     )
 
@@ -110,8 +120,10 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
     order = Window.partitionBy("table_name").orderBy(
         F.desc("uniqueness"), F.when(F.col("key_type") == "single", 0).otherwise(1), "ordinal_1", "ordinal_2"
     )
-    # The key list is metadata-sized (at most columns² / 2 rows per table).
-    return keys.withColumn("key_rank", F.row_number().over(order))
+    ranked = keys.withColumn("key_rank", F.row_number().over(order))
+    # The key list is metadata-sized (at most columns² / 2 rows per table): computed once, then reused by
+    # the model, the table profile and reports without re-counting pairs.
+    return local_frame(spark, [tuple(r) for r in ranked.collect()], ranked.schema)
 
 
 def key_counts(keys: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from starweave.functions.rules import entity_role_expr, grain_expr, logical_type_expr, name_prefix_expr
 from starweave.functions.types import logical_type_of, warehouse_type_of
-from starweave.operators.quantiles import quantiles_of_sorted, sorted_values
+from starweave.operators.quantiles import quantile_values, sorted_values
 from starweave.functions.frames import balanced, local_frame
 
 # Longest value shuffled as text; profile thresholds used by the anomaly report.
@@ -377,36 +377,31 @@ def numeric_profile_tables(inputs: dict[str, tuple[DataFrame, list[str]]], spark
 
 def _numeric_stats(vals: DataFrame) -> DataFrame:
     """Statistics per ``column_name`` group of a (column_name, v) frame. The source is read once: the
-    sorted, checkpointed values feed the quantiles, the moments and the outlier count alike."""
+    sorted, checkpointed values give the quartiles, then one aggregate over them gives the moments and
+    the outlier counts (bounds as per-column literals — one per column, metadata-sized)."""
+    spark = vals.sparkSession
     ordered = sorted_values(vals, "column_name", "v")  # columns g, v
-    moments = ordered.groupBy("g").agg(
+    q = quantile_values(ordered, [0.25, 0.5, 0.75])
+    lo, hi = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for g, ps in q.items():
+        iqr = ps[0.75] - ps[0.25]
+        lo = F.when(F.col("g") == g, F.lit(ps[0.25] - IQR_FACTOR * iqr)).otherwise(lo)
+        hi = F.when(F.col("g") == g, F.lit(ps[0.75] + IQR_FACTOR * iqr)).otherwise(hi)
+    stats = ordered.groupBy("g").agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.count_if((F.col("v") < lo) | (F.col("v") > hi)).alias("outlier_count"),
     )
-    q = quantiles_of_sorted(ordered, [0.25, 0.5, 0.75])
-    qw = q.groupBy("g").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"),
-    )
-    iqr = F.col("q3") - F.col("q1")
-    bounds = qw.select(
-        "g",
-        (F.col("q1") - IQR_FACTOR * iqr).alias("lo"),
-        (F.col("q3") + IQR_FACTOR * iqr).alias("hi"),
-    )
-    # One row per profiled column on the small side: a bounded broadcast.
-    outl = ordered.join(F.broadcast(bounds), "g").groupBy("g").agg(
-        F.count_if((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))).alias("outlier_count")
-    )
+    qf = local_frame(spark, [(g, ps[0.25], ps[0.5], ps[0.75]) for g, ps in q.items()],
+                     "g string, q1 double, median double, q3 double")
     total = F.col("total_rows")
+    # ``qf`` has one row per column: a bounded broadcast.
     return (
-        moments.join(qw, "g", "left").join(outl, "g", "left")
+        stats.join(F.broadcast(qf), "g", "left")
         .select(
-            F.col("g").alias("column_name"), "total_rows", "min", "max", "mean", "median", "std",
-            "q1", "q3",
-            F.coalesce("outlier_count", F.lit(0)).cast("long").alias("outlier_count"),
-            F.when(total > 0, F.round(F.coalesce("outlier_count", F.lit(0)) * 100.0 / total, 2))
+            F.col("g").alias("column_name"), "total_rows", "min", "max", "mean", "median", "std", "q1", "q3",
+            F.col("outlier_count").cast("long").alias("outlier_count"),
+            F.when(total > 0, F.round(F.col("outlier_count") * 100.0 / total, 2))
             .otherwise(F.lit(0.0)).alias("outlier_percentage"),
         )
     )

@@ -4,8 +4,8 @@
 group holding billions of rows that is one task holding the whole column. Here the values of all
 groups are range-partitioned and sorted once — with a unique tie-breaker, so a value repeated a third
 of all rows still spreads over many partitions — and checkpointed so partition ids and positions are
-fixed. Per-partition counts (a tiny frame: partitions × groups) then give each row's global rank, and
-only the rows at the wanted ranks are kept. Interpolation is linear: ``lo + (hi - lo) * frac`` at
+fixed. Per-partition counts (partitions × groups rows) then locate every wanted rank, and only the rows at
+those ranks are read back. Interpolation is linear: ``lo + (hi - lo) * frac`` at
 position ``p * (n - 1)``.
 
 The checkpointed sorted frame is also the cheapest input for other per-group statistics (moments,
@@ -14,8 +14,11 @@ outlier counts): it holds just ``(group, value)``, so callers can reuse it inste
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
 
+from pyspark.sql import DataFrame, functions as F
+
+from starweave.functions.frames import local_frame
 from starweave.session import checkpoint_dir
 
 
@@ -32,38 +35,54 @@ def sorted_values(vals: DataFrame, group_col: str, value_col: str) -> DataFrame:
     return ordered.checkpoint(eager=True).select("g", "v")
 
 
-def quantiles_of_sorted(ordered: DataFrame, probs: list[float]) -> DataFrame:
-    """(g, prob, value) from the output of ``sorted_values`` (non-null values only)."""
+def quantile_values(ordered: DataFrame, probs: list[float]) -> dict:
+    """``{group: {prob: value}}`` from the output of ``sorted_values`` (non-null values only).
+
+    Two small collects: counts per (partition, group) — partitions × groups rows — and the handful of rows
+    at the wanted ranks (groups × probs × 2). Rank arithmetic on those is metadata-sized.
+    """
     pos = ordered.select("g", "v", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_r")) \
         .where(F.col("v").isNotNull())
-    per = pos.groupBy("_p", "g").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("r0"))
-    before = Window.partitionBy("g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(
-        "_p", "g", "r0",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
-        F.sum("n").over(Window.partitionBy("g")).alias("total"),
-    )
-    totals = per.select("g", "total").distinct()
-    targets = totals.select(
-        "g", "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    ).select(
-        "g", "prob", (F.col("prob") * (F.col("total") - 1)).alias("position"),
-    ).select(
-        "g", "prob", "position",
-        F.floor("position").cast("long").alias("lo_rank"),
-        F.ceil("position").cast("long").alias("hi_rank"),
-    )
-    wanted = targets.select("g", F.explode(F.array("lo_rank", "hi_rank")).alias("rank")).distinct()
-    # ``per`` has partitions x groups rows and ``wanted`` groups x probs x 2: both bounded broadcasts.
-    ranked = pos.join(F.broadcast(per), ["_p", "g"]).select(
-        "g", "v", (F.col("before") + F.col("_r") - F.col("r0")).alias("rank")
-    )
-    picked = ranked.join(F.broadcast(wanted), ["g", "rank"])
-    lo = picked.select("g", F.col("rank").alias("lo_rank"), F.col("v").alias("v_lo"))
-    hi = picked.select("g", F.col("rank").alias("hi_rank"), F.col("v").alias("v_hi"))
-    out = targets.join(lo, ["g", "lo_rank"]).join(hi, ["g", "hi_rank"])
-    frac = F.col("position") - F.col("lo_rank")
-    return out.select("g", "prob", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value"))
+    per = pos.groupBy("_p", "g").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("r0")).collect()
+    by_group: dict = {}
+    for r in sorted(per, key=lambda r: r["_p"]):
+        by_group.setdefault(r["g"], []).append((r["_p"], r["n"], r["r0"]))
+    wanted = []  # (partition, group, row id) of every needed rank
+    plan = {}
+    for g, parts in by_group.items():
+        total = sum(n for _, n, _ in parts)
+        plan[g] = {}
+        for p in probs:
+            position = p * (total - 1)
+            lo, hi = math.floor(position), math.ceil(position)
+            plan[g][p] = (lo, hi, position - lo)
+            for rank in {lo, hi}:
+                before = 0
+                for part, n, r0 in parts:
+                    if rank < before + n:
+                        wanted.append((part, g, r0 + rank - before, rank))
+                        break
+                    before += n
+    if not wanted:
+        return {}
+    spec = local_frame(ordered.sparkSession, wanted, "_p int, g string, _r long, rank long")
+    # ``spec`` has groups x probs x 2 rows: a bounded broadcast.
+    picked = pos.join(F.broadcast(spec), ["_p", "g", "_r"]).select("g", "rank", "v").collect()
+    value_at = {(r["g"], r["rank"]): r["v"] for r in picked}
+    out: dict = {}
+    for g, ps in plan.items():
+        out[g] = {}
+        for p, (lo, hi, frac) in ps.items():
+            v_lo, v_hi = value_at[(g, lo)], value_at[(g, hi)]
+            out[g][p] = v_lo + (v_hi - v_lo) * frac
+    return out
+
+
+def quantiles_of_sorted(ordered: DataFrame, probs: list[float]) -> DataFrame:
+    """(g, prob, value) as a frame."""
+    vals = quantile_values(ordered, probs)
+    rows = [(g, float(p), float(v)) for g, ps in vals.items() for p, v in ps.items()]
+    return local_frame(ordered.sparkSession, rows, "g string, prob double, value double")
 
 
 def exact_quantiles(vals: DataFrame, group_col: str, value_col: str, probs: list[float]) -> DataFrame:
