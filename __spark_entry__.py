@@ -146,6 +146,16 @@ def q_table_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue_profile(spark, sf_dir).table_profile().select("table_name", "total_rows", "total_columns", "grain")
 
 
+def q_table_profile_keys(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from starweave.operators.keys import key_counts
+
+        p = profile_of(spark, sf_dir, (name,))
+        return p.table_profile(key_counts(candidate_keys(p))).select(
+            "table_name", "total_rows", "total_columns", "grain", "candidate_key_count")
+    return run
+
+
 def q_anomalies_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue_profile(spark, sf_dir).anomalies()
 
@@ -414,6 +424,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "entity_roles_events": q_entity_roles("events"),
         "table_profile_all": q_table_profile_all,
         "anomalies_all": q_anomalies_all,
+        "table_profile_events": q_table_profile_keys("events"),
+        "table_profile_orders_wide": q_table_profile_keys("orders_wide"),
         "dimension_groups_orders_wide": q_dimension_groups,
         "model_columns_orders_wide": q_model_columns,
         "model_relationships_orders_wide": q_model_relationships,
@@ -649,6 +661,20 @@ def sql_table_profile_all() -> str:
     return "\nUNION ALL\n".join(branches)
 
 
+def sql_table_profile_keys(table: str) -> str:
+    w, rel = _src(table)
+    keys = sql_candidate_keys(table)
+    keys_body = keys[len(w):] if w else keys
+    names = [c for c, _ in SCHEMAS[table]]
+    txn = any("transaction" in c.lower() and "id" in c.lower() for c in names)
+    has_date = any("date" in c.lower() or "time" in c.lower() for c in names)
+    has_id = any("_id" in c.lower() or c.lower() == "id" for c in names)
+    grain = "transaction" if txn else ("event" if has_date and has_id else "row_level")
+    return (w + f"SELECT '{table}' AS table_name, (SELECT count(*) FROM {rel}) AS total_rows, "
+            f"CAST({len(names)} AS BIGINT) AS total_columns, '{grain}' AS grain, "
+            f"(SELECT count(*) FROM ({keys_body}) k) AS candidate_key_count")
+
+
 def sql_anomalies_all() -> str:
     prof = "\nUNION ALL\n".join(_profile_branch(t, t, i + 1, c, k) for t in CATALOGUE for i, (c, k) in enumerate(SCHEMAS[t]))
     nums = "\nUNION ALL\n".join(_numeric_branch(t, t, c) for t in CATALOGUE for c in _numeric_cols(t))
@@ -965,6 +991,8 @@ def oracle_sql() -> dict[str, str]:
         "entity_roles_events": sql_entity_roles("events"),
         "table_profile_all": sql_table_profile_all(),
         "anomalies_all": sql_anomalies_all(),
+        "table_profile_events": sql_table_profile_keys("events"),
+        "table_profile_orders_wide": sql_table_profile_keys("orders_wide"),
         "dimension_groups_orders_wide": sql_dimension_groups(),
         "model_columns_orders_wide": sql_model_columns(),
         "model_relationships_orders_wide": sql_model_relationships(),

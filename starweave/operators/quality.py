@@ -145,6 +145,27 @@ def check_types(spark: SparkSession, df: DataFrame, table: ModelTable) -> DataFr
     )
 
 
+def load_split_tables(spark: SparkSession, model: Model, paths: dict[str, str], fmt: str = "parquet"
+                      ) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Read written split tables back with the *model* schema (no type re-inference). A table that cannot
+    be read yields a failed ``file_load`` check row instead of stopping the others."""
+    from starweave.plans.load import table_schema
+    from starweave.sources.readers import read_with_schema
+
+    tables: dict[str, DataFrame] = {}
+    failures = []
+    for name, path in paths.items():
+        try:
+            if name not in model.tables:
+                raise ValueError(f"table {name} is not in the model")
+            df = read_with_schema(spark, path, table_schema(model.tables[name]), fmt)
+            df.limit(1).collect()  # surfaces missing or unreadable files now
+            tables[name] = df
+        except Exception as exc:  # noqa: BLE001 - recorded as a check row
+            failures.append((name, "file_load", None, False, None, None, f"Failed to load file: {exc}"[:2000]))
+    return tables, local_frame(spark, failures, RESULT_SCHEMA)
+
+
 def run_all(model: Model, tables: dict[str, DataFrame], include_types: bool = False) -> DataFrame:
     """PK and NULL checks per table, FK check per relationship (tables missing from ``tables`` are
     skipped), optionally type checks; one result frame."""

@@ -66,6 +66,12 @@ def test_write_load_audit_runs(spark, tmpdir_path):
     assert all(r["error"] is None for r in summary)
     paths = {r["table_name"]: r["path"] for r in summary}
     expected = {r["table_name"]: r["row_count"] for r in summary}
+    from starweave.operators.quality import load_split_tables, run_all
+
+    back, failed = load_split_tables(spark, m, {**paths, "DIM_GONE": paths["FACT_MAIN"] + "_missing"})
+    assert failed.count() == 1 and failed.first()["check_name"] == "file_load"
+    assert back["FACT_MAIN"].schema["total_amount"].dataType.simpleString() == "double"
+    assert all(r["passed"] for r in run_all(m, back).collect())
     db = "sw_test_audit"
     loc = os.path.join(tmpdir_path, "wh")
     r1 = load.load_all(spark, m, paths, "orders.csv", db, expected_rows=expected, location=loc)
