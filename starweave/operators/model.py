@@ -161,9 +161,13 @@ def group_dimensions(dimensions: list[str], ids: list[str]) -> dict[str, list[st
     return groups
 
 
-def _natural_key(cols: list[str], ids: list[str]) -> list[str]:
+def _natural_key(cols: list[str], ids: list[str], junk_key: str = "first") -> list[str]:
+    """Id-like columns of the group; a group without one is keyed by its first column (``junk_key='first'``,
+    other attributes then come from the first row) or by all its columns (``junk_key='all'``)."""
     nk = [c for c in cols if c in ids or _NK_ID.search(c.lower())]
-    return nk or cols[:1]
+    if nk:
+        return nk
+    return list(cols) if junk_key == "all" else cols[:1]
 
 
 def infer_model(
@@ -174,11 +178,15 @@ def infer_model(
     include_date_dim: bool = True,
     pk_mode: str = "reference",
     keep_unassigned: bool = False,
+    junk_key: str = "first",
+    sk_columns: list[str] | None = None,
 ) -> Model:
     """Star schema when the table has both measures and dimension columns, else a single 3NF table.
 
     ``model_type`` forces ``star`` or ``3nf``; ``pk_mode='full'`` keeps both columns of a composite best key;
-    ``keep_unassigned`` puts role-less columns (wide text, booleans) into the fact as degenerate attributes.
+    ``keep_unassigned`` puts role-less columns (wide text, booleans) into the fact as degenerate attributes;
+    ``junk_key='all'`` keys an id-less dimension by all its columns; ``sk_columns`` sets the columns hashed
+    into ``FACT_SK`` / ``MAIN_SK`` (default: the first five source columns).
     """
     spark = profile.spark
     roles = (
@@ -214,7 +222,7 @@ def infer_model(
     tables: dict[str, ModelTable] = {}
     relationships: list[tuple[str, str, str, str]] = []
     groups: dict[str, list[str]] = {}
-    fact_sk_columns = order[:5]
+    fact_sk_columns = list(sk_columns) if sk_columns else order[:5]
 
     if model_type == "star":
         fact_cols: list[ModelColumn] = []
@@ -240,7 +248,7 @@ def infer_model(
         groups = group_dimensions(by_role["dimensions"], by_role["ids"])
         dim_tables: list[ModelTable] = []
         for dim, cols in groups.items():
-            nk = _natural_key(cols, by_role["ids"])
+            nk = _natural_key(cols, by_role["ids"], junk_key)
             fk = f"{nk[0]}_FK"
             if fk not in names:
                 names.add(fk)

@@ -55,15 +55,15 @@ def orphan_keys(fact: DataFrame, dim: DataFrame, fk: str, pk: str) -> DataFrame:
     return fks.join(pks, "key", "left_anti")
 
 
+def orphan_sample(fact: DataFrame, dim: DataFrame, fk: str, pk: str, n: int = ORPHAN_SAMPLE) -> DataFrame:
+    """The ``n`` smallest orphan keys (a top-k, never a collect of all orphans)."""
+    return orphan_keys(fact, dim, fk, pk).orderBy("key").limit(n)
+
+
 def check_fk(fact: DataFrame, dim: DataFrame, fk: str, pk: str, label: str) -> DataFrame:
-    orphans = orphan_keys(fact, dim, fk, pk)
-    n = orphans.agg(F.count(F.lit(1)).alias("n"))
-    sample = orphans.orderBy("key").limit(ORPHAN_SAMPLE).agg(
-        F.array_sort(F.collect_list(F.col("key").cast("string"))).alias("sample")
-    )
-    # Both sides are single-row aggregates: joined on a constant key (bounded).
-    res = n.withColumn("_k", F.lit(1)).join(sample.withColumn("_k", F.lit(1)), "_k")
-    return res.select(
+    """Count of distinct orphan FK values (NULL FKs are not orphans); see ``orphan_sample`` for the keys."""
+    n = orphan_keys(fact, dim, fk, pk).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(
         F.lit(label).alias("table_name"), F.lit("foreign_key_integrity").alias("check_name"),
         F.lit(fk).alias("column_name"), (F.col("n") == 0).alias("passed"),
         F.col("n").alias("violation_count"), F.lit(None).cast("double").alias("violation_percentage"),
@@ -134,6 +134,30 @@ def type_mismatches(spark: SparkSession, df: DataFrame, table: ModelTable) -> Da
     )
 
 
+def value_type_violations(df: DataFrame, expected: dict[str, str], table_name: str) -> DataFrame:
+    """Value-level type check: per column, the non-null values that do not convert to the expected Spark
+    type (``try_cast``), as a count and a share of the non-null values. One aggregate for all columns."""
+    present = [(c, t) for c, t in expected.items() if c in df.columns]
+    if not present:
+        return local_frame(df.sparkSession, [], "table_name string, column_name string, expected string, "
+                                                "failed_count long, failed_percentage double")
+    aggs = []
+    for i, (c, t) in enumerate(present):
+        v = F.col(f"`{c}`")
+        aggs += [F.count(v).alias(f"n{i}"), F.count_if(v.isNotNull() & F.expr(f"try_cast(`{c}` AS {t})").isNull())
+                 .alias(f"f{i}")]
+    one = df.agg(*aggs)
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("expected"), F.col(f"n{i}").alias("n"),
+                 F.col(f"f{i}").alias("failed_count"))
+        for i, (c, t) in enumerate(present)
+    ]))
+    return one.select(rows.alias("r")).select(
+        F.lit(table_name).alias("table_name"), "r.column_name", "r.expected", "r.failed_count",
+        F.when(F.col("r.n") > 0, F.round(F.col("r.failed_count") * 100.0 / F.col("r.n"), 2)).otherwise(0.0)
+        .alias("failed_percentage"))
+
+
 def check_types(spark: SparkSession, df: DataFrame, table: ModelTable) -> DataFrame:
     m = type_mismatches(spark, df, table).agg(F.count(F.lit(1)).alias("k"))
     return m.select(

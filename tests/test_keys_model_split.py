@@ -99,3 +99,29 @@ def test_pk_fk_null_checks(spark):
     assert fk["violation_count"] == 1 and fk["message"] == "Found 1 orphaned foreign keys"
     nv = null_violations(df, ["fk", "k", "missing"], "t").collect()
     assert [(r["column_name"], r["null_count"], r["null_percentage"]) for r in nv] == [("fk", 1, 25.0)]
+
+
+def test_junk_key_and_sk_columns_options(spark):
+    rows = [(i, ["P", "O", "F"][i % 3], ["1-URGENT", "2-HIGH"][i % 2], float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_no long, order_status string, order_priority string, total_amount double")
+    p = profile_table(df, "o")
+    keys = candidate_keys(p)
+    m1 = infer_model(p, keys, "o")
+    assert m1.tables["DIM_ORDER"].natural_key == ["order_status"]
+    m2 = infer_model(p, keys, "o", junk_key="all", sk_columns=["row_no"])
+    assert m2.tables["DIM_ORDER"].natural_key == ["order_status", "order_priority"]
+    t2 = split(df, m2, "o", order_by="row_no", load_ts=TS)
+    assert t2["DIM_ORDER"].count() == 6
+    assert orphan_keys(t2["FACT_MAIN"], t2["DIM_ORDER"], "order_status_FK", "DIM_ORDER_SK").count() == 0
+
+
+def test_value_type_violations_and_orphan_sample(spark):
+    from starweave.operators.quality import orphan_sample, value_type_violations
+
+    df = spark.createDataFrame([("1",), ("x",), (None,), ("3",)], "amount string")
+    r = value_type_violations(df, {"amount": "double"}, "t").first()
+    assert (r["failed_count"], r["failed_percentage"]) == (1, 33.33)
+    fact = spark.createDataFrame([(i,) for i in range(300)], "fk long")
+    dim = spark.createDataFrame([(0,)], "pk long")
+    s = [r["key"] for r in orphan_sample(fact, dim, "fk", "pk").collect()]
+    assert s == list(range(1, 101))
