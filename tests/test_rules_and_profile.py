@@ -110,3 +110,12 @@ def test_histogram_bins(spark):
 def test_grain(spark):
     df = spark.createDataFrame([(1, dt.date(2024, 1, 1))], "user_id long, created_date date")
     assert profile_table(df).grain().first()["grain"] == "event"
+
+
+def test_approx_numeric_profile_close_to_exact(spark):
+    df = spark.createDataFrame([(float(i % 1000),) for i in range(20000)], "amount double")
+    p = profile_table(df)
+    exact = p.numeric_profile().first()
+    approx = p.numeric_profile(approx=True).first()
+    assert approx["total_rows"] == exact["total_rows"] and approx["mean"] == exact["mean"]
+    assert abs(approx["median"] - exact["median"]) <= 1.0
