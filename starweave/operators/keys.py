@@ -10,6 +10,7 @@ and NULL is a value.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from starweave.operators.profile import Profile, _family_value, type_family
@@ -24,7 +25,7 @@ _SCHEMA = (
 )
 
 
-def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -> DataFrame:
+def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
     """Exact distinct counts of the given column pairs.
 
     Pairs are grouped by the type families of their two columns; within a group every row emits one
@@ -33,6 +34,10 @@ def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -
     gathered into one task. NULL is a value (``distinct`` treats NULLs as equal).
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+    needed = sorted({c for p in pairs for c in p})
+    # Every signature group reads the pair columns: project them once and keep them for the count
+    # (spilling to disk), so the source is scanned once however many groups there are.
+    df = df.select(*[F.col(f"`{c}`") for c in needed]).persist(StorageLevel.MEMORY_AND_DISK)
     by_sig: dict[tuple[str, str], list[tuple[int, str, str]]] = {}
     for i, (a, b) in enumerate(pairs):
         by_sig.setdefault((type_family(types[a]), type_family(types[b])), []).append((i, a, b))
@@ -52,7 +57,7 @@ def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -
     names = local_frame(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)],
                         "pair int, column_1 string, column_2 string")
     # ``names`` has one row per counted pair: a bounded broadcast.
-    return out.join(F.broadcast(names), "pair").select(
+    return df, out.join(F.broadcast(names), "pair").select(
         F.lit(table_name).alias("table_name"), "column_1", "column_2", "distinct_count"
     )
 
@@ -69,6 +74,7 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
         by_table.setdefault(r["table_name"], []).append(r)
     static_rows = []
     counted_parts = []
+    pair_inputs: list[DataFrame] = []
     for table, cols in by_table.items():
         cols.sort(key=lambda r: r["ordinal"])
         n = cols[0]["total_rows"] if cols else 0
@@ -90,7 +96,9 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
                 elif da * db >= min_uniqueness * n:
                     to_count.append((a, b))
         if to_count:
-            part = _pair_counts(profile.tables[table], table, [(a["column_name"], b["column_name"]) for a, b in to_count])
+            cached, part = _pair_counts(profile.tables[table], table,
+                                        [(a["column_name"], b["column_name"]) for a, b in to_count])
+            pair_inputs.append(cached)
             ords = local_frame(spark, 
                 [(a["column_name"], b["column_name"], a["ordinal"], b["ordinal"]) for a, b in to_count],
                 "column_1 string, column_2 string, ordinal_1 int, ordinal_2 int",
@@ -123,7 +131,10 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
     ranked = keys.withColumn("key_rank", F.row_number().over(order))
     # The key list is metadata-sized (at most columns² / 2 rows per table): computed once, then reused by
     # the model, the table profile and reports without re-counting pairs.
-    return local_frame(spark, [tuple(r) for r in ranked.collect()], ranked.schema)
+    rows = [tuple(r) for r in ranked.collect()]
+    for cached in pair_inputs:
+        cached.unpersist()
+    return local_frame(spark, rows, ranked.schema)
 
 
 def key_counts(keys: DataFrame) -> DataFrame:

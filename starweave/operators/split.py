@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starweave.functions.calendar import calendar_columns
@@ -137,10 +138,15 @@ def split(
     source_name: str,
     order_by: list[str] | str | None = None,
     load_ts: _dt.datetime | None = None,
+    cache_input: bool = True,
 ) -> dict[str, DataFrame]:
-    """Lazy frames for every model table, dimensions first. Build errors are raised per table by
-    ``split_tables``; this function only plans."""
+    """Lazy frames for every model table, dimensions first (nothing runs until they are written or
+    checked). With ``cache_input`` an uncached input is persisted, since every table reads it."""
     ctx = SplitContext(source_name, load_ts or _dt.datetime.now().replace(microsecond=0))
+    if cache_input and df.storageLevel == StorageLevel.NONE and len(model.tables) > 1:
+        # Every dimension and the fact read the input: keep it (spilling to disk; recomputed from its
+        # deterministic lineage if an executor is lost) so it is scanned once.
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     ordered = with_order(df, order_by)
     out: dict[str, DataFrame] = {}
     for name, t in model.tables.items():
