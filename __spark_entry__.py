@@ -597,7 +597,7 @@ def sql_top_values(table: str) -> str:
         txt = f"CAST(\"{c}\" AS VARCHAR)"
         key = f"CASE WHEN length({txt}) > 64 THEN '#' || sha256({txt}) ELSE {txt} END"
         branches.append(
-            f"SELECT '{table}' AS table_name, '{c}' AS column_name, rank, value, count FROM ("
+            f"SELECT '{table}' AS table_name, '{c}' AS column_name, CAST(rank AS INTEGER) AS rank, value, count FROM ("
             f"SELECT k, min(raw) AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, k ASC) AS rank "
             f"FROM (SELECT {key} AS k, {txt} AS raw FROM {rel} WHERE \"{c}\" IS NOT NULL) GROUP BY k) WHERE rank <= 10")
     return w + "\nUNION ALL\n".join(branches)
@@ -1053,8 +1053,8 @@ def oracle_sql() -> dict[str, str]:
         "dim_user_events": sql_events_dim("DIM_USER", "user_id", []),
         "dim_date_events": sql_events_dim_date(),
         "csv_roundtrip_orders": (
-            "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, "
-            "o_orderpriority FROM orders"),
+            "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, "
+            "o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders"),
         "jsonl_roundtrip_events": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
         "validate_sources": _values([(t, True, None) for t in CATALOGUE], ["table_name", "ok", "message"]),
         "audit_table_status": sql_audit_table_status(),
