@@ -4,8 +4,8 @@
 group holding billions of rows that is one task holding the whole column. Here the values of all
 groups are range-partitioned and sorted once — with a unique tie-breaker, so a value repeated a third
 of all rows still spreads over many partitions — and checkpointed so partition ids and positions are
-fixed. Per-partition counts (partitions × groups rows) then locate every wanted rank, and only the rows at
-those ranks are read back. Interpolation is linear: ``lo + (hi - lo) * frac`` at
+fixed. Running per-partition counts then locate every wanted rank, and only the rows at those ranks are
+read back. Interpolation is linear: ``lo + (hi - lo) * frac`` at
 position ``p * (n - 1)``.
 
 The checkpointed sorted frame is also the cheapest input for other per-group statistics (moments,
@@ -14,9 +14,7 @@ outlier counts): it holds just ``(group, value)``, so callers can reuse it inste
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from starweave.functions.frames import local_frame
 from starweave.session import checkpoint_dir
@@ -38,43 +36,38 @@ def sorted_values(vals: DataFrame, group_col: str, value_col: str) -> DataFrame:
 def quantile_values(ordered: DataFrame, probs: list[float]) -> dict:
     """``{group: {prob: value}}`` from the output of ``sorted_values`` (non-null values only).
 
-    Two small collects: counts per (partition, group) — partitions × groups rows — and the handful of rows
-    at the wanted ranks (groups × probs × 2). Rank arithmetic on those is metadata-sized.
+    Counts per (partition, group) get running totals on the executors (a window over partitions ×
+    groups rows, one task per group); each wanted rank is located in its partition there, so only
+    groups × probs × 2 rows reach the driver, twice: the located positions, then the values at them.
     """
     pos = ordered.select("g", "v", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_r")) \
         .where(F.col("v").isNotNull())
-    per = pos.groupBy("_p", "g").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("r0")).collect()
-    by_group: dict = {}
-    for r in sorted(per, key=lambda r: r["_p"]):
-        by_group.setdefault(r["g"], []).append((r["_p"], r["n"], r["r0"]))
-    wanted = []  # (partition, group, row id) of every needed rank
-    plan = {}
-    for g, parts in by_group.items():
-        total = sum(n for _, n, _ in parts)
-        plan[g] = {}
-        for p in probs:
-            position = p * (total - 1)
-            lo, hi = math.floor(position), math.ceil(position)
-            plan[g][p] = (lo, hi, position - lo)
-            for rank in {lo, hi}:
-                before = 0
-                for part, n, r0 in parts:
-                    if rank < before + n:
-                        wanted.append((part, g, r0 + rank - before, rank))
-                        break
-                    before += n
-    if not wanted:
+    per = pos.groupBy("_p", "g").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("r0"))
+    running = Window.partitionBy("g").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = per.select(
+        "_p", "g", "n", "r0",
+        (F.sum("n").over(running) - F.col("n")).alias("before"),
+        F.sum("n").over(Window.partitionBy("g")).alias("total"),
+    )
+    position = F.col("prob") * (F.col("total") - 1)
+    targets = per.select("g", "total").distinct().select(
+        "g", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "total"
+    ).select("g", "prob", F.floor(position).cast("long").alias("lo"), F.ceil(position).cast("long").alias("hi"),
+             (position - F.floor(position)).alias("frac"))
+    ranks = targets.select("g", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
+    located = ranks.join(per, "g").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+    spec_rows = [(r["_p"], r["g"], r["r0"] + r["rank"] - r["before"], r["rank"])
+                 for r in located.select("_p", "g", "r0", "rank", "before").collect()]
+    if not spec_rows:
         return {}
-    spec = local_frame(ordered.sparkSession, wanted, "_p int, g string, _r long, rank long")
+    spec = local_frame(ordered.sparkSession, spec_rows, "_p int, g string, _r long, rank long")
     # ``spec`` has groups x probs x 2 rows: a bounded broadcast.
     picked = pos.join(F.broadcast(spec), ["_p", "g", "_r"]).select("g", "rank", "v").collect()
     value_at = {(r["g"], r["rank"]): r["v"] for r in picked}
     out: dict = {}
-    for g, ps in plan.items():
-        out[g] = {}
-        for p, (lo, hi, frac) in ps.items():
-            v_lo, v_hi = value_at[(g, lo)], value_at[(g, hi)]
-            out[g][p] = v_lo + (v_hi - v_lo) * frac
+    for t in targets.collect():  # groups x probs rows
+        v_lo, v_hi = value_at[(t["g"], t["lo"])], value_at[(t["g"], t["hi"])]
+        out.setdefault(t["g"], {})[t["prob"]] = v_lo + (v_hi - v_lo) * t["frac"]
     return out
 
 
