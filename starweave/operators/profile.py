@@ -493,20 +493,23 @@ def string_profile(df: DataFrame, columns: list[str], table_name: str = "input")
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width histogram: (bin, bin_start, bin_end, count); the maximum falls into the last bin."""
+    """Equal-width histogram: (bin, bin_start, bin_end, count); the maximum falls into the last bin.
+
+    The range is one global aggregate (two numbers, read back as literals); the counts are a second,
+    partially aggregated pass."""
     v = F.expr(f"try_cast(`{column}` AS DOUBLE)")
     vals = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    rng = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width == 0, F.lit(1)).otherwise(
-        F.least(F.floor(F.lit(float(bins)) * (F.col("v") - F.col("lo")) / width).cast("long") + 1, F.lit(bins))
-    )
-    # The range frame has exactly one row: a bounded broadcast on a constant key.
-    joined = vals.withColumn("_k", F.lit(1)).join(F.broadcast(rng.withColumn("_k", F.lit(1))), "_k")
-    counts = joined.groupBy(b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
+    rng = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if rng is None or rng["lo"] is None:
+        return local_frame(df.sparkSession, [], "bin long, bin_start double, bin_end double, count long")
+    lo, hi = float(rng["lo"]), float(rng["hi"])
+    width = hi - lo
+    b = (F.lit(1).cast("long") if width == 0 else
+         F.least(F.floor(F.lit(float(bins)) * (F.col("v") - F.lit(lo)) / F.lit(width)).cast("long") + 1, F.lit(bins)))
+    counts = vals.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counts.select(
         "bin",
-        (F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / bins).alias("bin_start"),
-        (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("bin_end"),
+        (F.lit(lo) + (F.col("bin") - 1) * F.lit(width) / bins).alias("bin_start"),
+        (F.lit(lo) + F.col("bin") * F.lit(width) / bins).alias("bin_end"),
         "count",
     )
