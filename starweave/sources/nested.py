@@ -18,18 +18,24 @@ def _flatten_structs(df: DataFrame, sep: str = "_") -> DataFrame:
     return df
 
 
-def flatten_nested(df: DataFrame, key_columns: list[str], sep: str = "_") -> dict[str, DataFrame]:
+def flatten_nested(df: DataFrame, key_columns: list[str], sep: str = "_", sk_name: str = "PARENT_SK"
+                   ) -> dict[str, DataFrame]:
     """``{"parent": ..., "<array field>": ...}``.
 
-    The parent keeps scalar and struct fields (structs flattened). Each array field becomes a child
-    table keyed by the parent key plus the element position; arrays of structs are flattened too.
-    Empty and NULL arrays produce no child rows (``posexplode``) — the parent row carries the key.
-    Every output is a narrow transform of the input: no shuffle.
+    The parent keeps scalar and struct fields (structs flattened) plus ``PARENT_SK`` (SHA-256 of the key
+    columns, like every surrogate key). Each array field becomes a child table carrying ``PARENT_SK``, the
+    key columns and the element position; arrays of structs are flattened too. Empty and NULL arrays
+    produce no child rows (``posexplode``). Every output is a narrow transform of the input: no shuffle.
     """
+    from starweave.functions.hashing import hash_frame_columns
+
     arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     keys = [F.col(f"`{k}`") for k in key_columns]
-    out = {"parent": _flatten_structs(df.drop(*arrays), sep)}
+    keyed = df.withColumn(sk_name, hash_frame_columns(df, key_columns))
+    sk = F.col(sk_name)
+    parent = keyed.drop(*arrays)
+    out = {"parent": _flatten_structs(parent.select(sk, *[c for c in parent.columns if c != sk_name]), sep)}
     for name in arrays:
-        child = df.select(*keys, F.posexplode(F.col(f"`{name}`")).alias("pos", name))
+        child = keyed.select(sk, *keys, F.posexplode(F.col(f"`{name}`")).alias("pos", name))
         out[name] = _flatten_structs(child, sep)
     return out

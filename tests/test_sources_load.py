@@ -52,8 +52,27 @@ def test_flatten_nested(spark):
     df = spark.createDataFrame([(1, (2, "x"), [(1.0,), (2.0,)]), (2, (3, "y"), [])],
                                "id long, info struct<n:long, s:string>, items array<struct<v:double>>")
     out = flatten_nested(df, ["id"])
-    assert out["parent"].columns == ["id", "info_n", "info_s"]
-    assert sorted(tuple(r) for r in out["items"].collect()) == [(1, 0, 1.0), (1, 1, 2.0)]
+    assert out["parent"].columns == ["PARENT_SK", "id", "info_n", "info_s"]
+    assert sorted(tuple(r)[1:] for r in out["items"].collect()) == [(1, 0, 1.0), (1, 1, 2.0)]
+    sks = {r["PARENT_SK"] for r in out["items"].collect()}
+    parent_sk = out["parent"].where("id = 1").first()["PARENT_SK"]
+    assert sks == {parent_sk}
+
+
+def test_headerless_csv_and_per_file_sniffing(spark, tmpdir_path):
+    import os
+
+    from starweave.sources.sniff import sniff_delimiters
+
+    p = _write(os.path.join(tmpdir_path, "nohdr.csv"), "1,a\n2,b\n")
+    df = read_csv(spark, p, header=False)
+    assert df.columns == ["_c0", "_c1"] and df.count() == 2
+    d = os.path.join(tmpdir_path, "many")
+    os.makedirs(d)
+    _write(os.path.join(d, "x.csv"), "a|b\n1|2\n")
+    _write(os.path.join(d, "y.csv"), "a\tb\n1\t2\n")
+    found = {os.path.basename(r["file_path"]): r["delimiter"] for r in sniff_delimiters(spark, d).collect()}
+    assert found == {"x.csv": "|", "y.csv": "\t"}
 
 
 def test_write_load_audit_runs(spark, tmpdir_path):
