@@ -34,13 +34,15 @@ def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -
     gathered into one task. NULL is a value (``distinct`` treats NULLs as equal).
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    needed = sorted({c for p in pairs for c in p})
-    # Every signature group reads the pair columns: project them once and keep them for the count
-    # (spilling to disk), so the source is scanned once however many groups there are.
-    df = df.select(*[F.col(f"`{c}`") for c in needed]).persist(StorageLevel.MEMORY_AND_DISK)
     by_sig: dict[tuple[str, str], list[tuple[int, str, str]]] = {}
     for i, (a, b) in enumerate(pairs):
         by_sig.setdefault((type_family(types[a]), type_family(types[b])), []).append((i, a, b))
+    needed = sorted({c for p in pairs for c in p})
+    df = df.select(*[F.col(f"`{c}`") for c in needed])
+    if len(by_sig) > 1 and df.storageLevel == StorageLevel.NONE:
+        # Every signature group reads the pair columns: keep the projection for the count (spilling to
+        # disk), so the source is scanned once however many groups there are.
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for (fa, fb), members in by_sig.items():
         q = lambda c: F.col(f"`{c}`")
