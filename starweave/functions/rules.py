@@ -83,3 +83,11 @@ def grain_expr(name: Column) -> Column:
     has_date = F.bool_or(ln.contains("date") | ln.contains("time"))
     has_id = F.bool_or(ln.contains("_id") | (ln == "id"))
     return F.when(has_txn, F.lit("transaction")).when(has_date & has_id, F.lit("event")).otherwise(F.lit("row_level"))
+
+
+# Text date/timestamp layouts tried, in this order, after Spark's ISO parsing (month first
+# for ambiguous slashed dates, like the lenient parser being reproduced).
+DATE_FORMATS = (
+    "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd",
+    "dd.MM.yyyy", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+)

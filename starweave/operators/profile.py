@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from starweave.functions.rules import entity_role_expr, grain_expr, logical_type_expr, name_prefix_expr
+from starweave.functions.rules import DATE_FORMATS, entity_role_expr, grain_expr, logical_type_expr, name_prefix_expr
 from starweave.functions.types import logical_type_of, warehouse_type_of
 from starweave.operators.quantiles import quantile_values, sorted_values
 from starweave.functions.frames import balanced, local_frame
@@ -445,7 +445,9 @@ def parse_timestamp(c: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.DateType):
         return c.cast("timestamp_ntz")
     if isinstance(data_type, T.StringType):
-        return F.try_to_timestamp(c).cast("timestamp_ntz")
+        t = F.trim(c)
+        parsed = [F.try_to_timestamp(t)] + [F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS]
+        return F.coalesce(*parsed).cast("timestamp_ntz")
     return F.lit(None).cast("timestamp_ntz")
 
 

@@ -119,3 +119,11 @@ def test_approx_numeric_profile_close_to_exact(spark):
     approx = p.numeric_profile(approx=True).first()
     assert approx["total_rows"] == exact["total_rows"] and approx["mean"] == exact["mean"]
     assert abs(approx["median"] - exact["median"]) <= 1.0
+
+
+def test_lenient_date_parsing(spark):
+    df = spark.createDataFrame([("2024-01-15",), ("01/16/2024",), ("2024/01/17",), ("20240118",), ("Jan 19, 2024",),
+                                ("garbage",), ("13/45/2024",)], "order_date string")
+    r = profile_table(df).date_profile().first()
+    assert (r["valid_date_count"], r["invalid_date_count"]) == (5, 2)
+    assert r["min_date"].startswith("2024-01-15") and r["max_date"].startswith("2024-01-19")
