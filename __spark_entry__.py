@@ -303,6 +303,15 @@ def q_column_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue_profile(spark, sf_dir).column_profile().select(*_PROFILE_COLS)
 
 
+def q_date_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue_profile(spark, sf_dir).date_profile()
+
+
+def q_entity_roles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue_profile(spark, sf_dir).entity_roles().select(
+        "table_name", "column_name", "ordinal", "logical_type", "entity_role", "name_prefix")
+
+
 def q_numeric_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = catalogue_profile(spark, sf_dir).numeric_profile().select(
         "table_name", "column_name", "total_rows", "min", "max", "mean", "median", "std", "q1", "q3",
@@ -450,6 +459,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flatten_embeddings": q_flatten_embeddings,
         "column_profile_all": q_column_profile_all,
         "numeric_profile_all": q_numeric_profile_all,
+        "date_profile_all": q_date_profile_all,
+        "entity_roles_all": q_entity_roles_all,
+        "top_values_lineitem": q_top_values("lineitem"),
+        "candidate_keys_lineitem": q_candidate_keys("lineitem"),
         "date_profile_lineitem": q_date_profile("lineitem"),
         "string_profile_conversations": q_string_profile("conversations"),
         "string_profile_pages": q_string_profile("pages"),
@@ -1040,6 +1053,11 @@ def oracle_sql() -> dict[str, str]:
             "CAST(unnest(embedding) AS DOUBLE) AS val FROM embeddings"),
         "column_profile_all": sql_column_profile_all(),
         "numeric_profile_all": sql_numeric_profile_all(),
+        "date_profile_all": "\nUNION ALL\n".join(
+            sql_date_profile(t) for t in CATALOGUE if any(lt == "DATE" for _, lt in _logical(t))),
+        "entity_roles_all": "\nUNION ALL\n".join(f"SELECT * FROM ({sql_entity_roles(t)})" for t in CATALOGUE),
+        "top_values_lineitem": sql_top_values("lineitem"),
+        "candidate_keys_lineitem": sql_candidate_keys("lineitem"),
         "date_profile_lineitem": sql_date_profile("lineitem"),
         "string_profile_conversations": sql_string_profile("conversations"),
         "string_profile_pages": sql_string_profile("pages"),
