@@ -132,19 +132,6 @@ def typed_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
     return stacked.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def value_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
-    """Text-keyed frequencies of every column (all types as text)."""
-    stacked = None
-    for name, df in tables.items():
-        fields = df.schema.fields
-        keyed = df.select(*[value_key(_q(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)])
-        arr = F.explode(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"c{i}").alias("value"))
-                                  for i, f in enumerate(fields)]))
-        part = keyed.select(F.lit(name).alias("table_name"), arr.alias("kv")).select("table_name", "kv.column_name", "kv.value")
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-
-
 @dataclass
 class Profile:
     """Lazy profile frames of a set of tables. Nothing is computed until an action runs."""
