@@ -83,7 +83,7 @@ def test_write_load_audit_runs(spark, tmpdir_path):
     tabs = split(df, m, "orders.csv", order_by="order_id")
     summary = sinks.write_tables(spark, tabs, os.path.join(tmpdir_path, "out")).collect()
     assert all(r["error"] is None for r in summary)
-    totals = sinks.split_totals(spark.createDataFrame(summary)).first()
+    totals = sinks.split_totals(spark.createDataFrame(summary, sinks.SUMMARY_SCHEMA)).first()
     assert totals["tables_written"] == len(summary) and totals["total_rows"] == sum(r["row_count"] for r in summary)
     paths = {r["table_name"]: r["path"] for r in summary}
     expected = {r["table_name"]: r["row_count"] for r in summary}
