@@ -2,8 +2,12 @@
 
 The canonical text of a value is what the hash covers, so it is defined once, here:
 strings as is, integers in decimal, timestamps as ``yyyy-MM-dd HH:mm:ss[.f]``, dates as ``yyyy-MM-dd``,
-booleans as ``True`` / ``False``, doubles in Spark's shortest decimal form. NULL becomes the empty string
-(``concat_ws`` would silently skip a NULL and shift the remaining fields).
+booleans as ``True`` / ``False``, floating point in the shortest round-trip form with fixed notation for
+1e-4 <= |x| < 1e16 (``10000000.0``, ``0.00025``) and ``1e+16`` / ``2.5e-06`` outside — the layout of
+Python's ``str`` and of DuckDB (single precision: numpy's layout, positional below 1e6) (Spark's own cast writes ``1.0E7`` and, on some JVMs, 17 digits where 16
+suffice), built with string functions. NULL and NaN
+(a missing value to pandas) become the empty string (``concat_ws`` would silently skip a NULL and shift the
+remaining fields).
 """
 
 from __future__ import annotations
@@ -17,11 +21,68 @@ SEPARATOR = "|"
 DIGEST_BITS = 256
 
 
+def float_text(c: Column, single: bool = False) -> Column:
+    """Shortest round-trip text of a float/double, laid out as described above; NaN -> NULL.
+
+    The shortest digits are the first ``%.Ne`` rendering (15, 16, then 17 significant digits; 6 to 9 for
+    single precision) that converts back to the same value — any value with a shorter exact form has it
+    as the zero-padded prefix of its 15-digit rounding, so values of up to 15 significant digits are exact.
+    For values that need 16-17 digits the JVM formatter rounds from its own digit string, so in rare ties
+    the last digit can differ from a correctly rounded rendering.
+    """
+    kind = "float" if single else "double"
+    x = c.cast("double")
+    tries = (6, 7, 8, 9) if single else (15, 16, 17)
+    chosen = F.format_string(f"%.{tries[-1] - 1}e", x)
+    for p in reversed(tries[:-1]):
+        cand = F.format_string(f"%.{p - 1}e", x)
+        chosen = F.when(cand.try_cast(kind) == c, cand).otherwise(chosen)
+    body = F.regexp_replace(chosen, "^-", "")
+    sign = F.when(chosen.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    e = F.substring_index(body, "e", -1).cast("int")  # decimal exponent of the leading digit
+    stripped = F.regexp_replace(F.regexp_replace(F.substring_index(body, "e", 1), r"\.", ""), "0+$", "")
+    digits = F.when(stripped == "", F.lit("0")).otherwise(stripped)
+    n = F.length(digits)
+    fixed_big = F.concat(  # 1 <= |x| < 1e16
+        F.rpad(F.substr(digits, F.lit(1), e + 1), e + 1, F.lit("0")), F.lit("."),
+        F.when(n > e + 1, F.substr(digits, e + 2, n)).otherwise(F.lit("0")),
+    )
+    fixed_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)  # 1e-4 <= |x| < 1
+    sci = F.concat(
+        F.when(n > 1, F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.lit("."), F.substr(digits, F.lit(2), n)))
+        .otherwise(digits),
+        F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.when(F.abs(e) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(e).cast("string"),
+    )
+    if single:  # numpy's float32 text: positional for 1e-4 <= |x| < 1e6 (by value)
+        positional = (F.abs(x) >= 1e-4) & (F.abs(x) < 1e6)
+    else:  # Python's float text: positional when the leading digit's exponent is in [-4, 16)
+        positional = (e >= -4) & (e < 16)
+    text = F.concat(sign, F.when(positional, F.when(e >= 0, fixed_big).otherwise(fixed_small)).otherwise(sci))
+    # Fast path: Spark's own text without exponent and with at most 15 significant digits is already the
+    # shortest form (a decimal of <= 15 digits that converts back to the value is unique).
+    plain = c.cast("string")
+    significant = F.length(F.regexp_replace(F.regexp_replace(plain, "[^0-9]", ""), "^0+", ""))
+    fast = ~plain.contains("E") & (significant <= 15)
+    if single:
+        fast = fast & (F.abs(x) >= 1e-4) & (F.abs(x) < 1e6)
+    return (
+        F.when(c.isNull() | F.isnan(c), F.lit(None).cast("string"))
+        .when(c == float("inf"), F.lit("inf"))
+        .when(c == float("-inf"), F.lit("-inf"))
+        .when(c == 0, F.when(plain.startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
+        .when(fast, plain)
+        .otherwise(text)
+    )
+
+
 def canonical_text(col: Column | str, data_type: T.DataType | None = None) -> Column:
     """Text form of one value used inside hashes; NULL stays NULL."""
     c = F.col(col) if isinstance(col, str) else col
     if isinstance(data_type, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return float_text(c, single=isinstance(data_type, T.FloatType))
     return c.cast("string")
 
 
