@@ -21,8 +21,8 @@ SEPARATOR = "|"
 DIGEST_BITS = 256
 
 
-def float_text(c: Column, single: bool = False) -> Column:
-    """Shortest round-trip text of a float/double, laid out as described above; NaN -> NULL.
+def _formatted_float_text(c: Column, single: bool) -> Column:
+    """Shortest round-trip text of a finite, non-zero float/double, laid out as described above.
 
     The shortest digits are the first ``%.Ne`` rendering (15, 16, then 17 significant digits; 6 to 9 for
     single precision) that converts back to the same value — any value with a shorter exact form has it
@@ -59,20 +59,27 @@ def float_text(c: Column, single: bool = False) -> Column:
     else:  # Python's float text: positional when the leading digit's exponent is in [-4, 16)
         positional = (e >= -4) & (e < 16)
     text = F.concat(sign, F.when(positional, F.when(e >= 0, fixed_big).otherwise(fixed_small)).otherwise(sci))
-    # Fast path: Spark's own text without exponent and with at most 15 significant digits is already the
-    # shortest form (a decimal of <= 15 digits that converts back to the value is unique).
+    return text
+
+
+def float_text(c: Column, single: bool = False) -> Column:
+    """Shortest round-trip text of a float/double (see ``_formatted_float_text``); NaN -> NULL."""
     plain = c.cast("string")
-    significant = F.length(F.regexp_replace(F.regexp_replace(plain, "[^0-9]", ""), "^0+", ""))
-    fast = ~plain.contains("E") & (significant <= 15)
+    # Fast path: Spark's own text without exponent and with at most 15 digits in all (sign and point
+    # aside) is already the shortest form (a decimal of <= 15 digits that converts back is unique).
+    fast = ~plain.contains("E") & (F.length(plain) <= F.when(plain.startswith("-"), 17).otherwise(16))
     if single:
-        fast = fast & (F.abs(x) >= 1e-4) & (F.abs(x) < 1e6)
+        fast = fast & (F.abs(c) >= 1e-4) & (F.abs(c) < 1e6)
+    # The formatted rendering reuses its pieces many times; inside a lambda it is evaluated only for the
+    # rows that reach it instead of being hoisted in front of the CASE for every row.
+    formatted = F.transform(F.array(c), lambda v: _formatted_float_text(v, single))[0]
     return (
         F.when(c.isNull() | F.isnan(c), F.lit(None).cast("string"))
         .when(c == float("inf"), F.lit("inf"))
         .when(c == float("-inf"), F.lit("-inf"))
         .when(c == 0, F.when(plain.startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
         .when(fast, plain)
-        .otherwise(text)
+        .otherwise(formatted)
     )
 
 
