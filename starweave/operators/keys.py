@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from starweave.functions.frames import local_frame
-from starweave.operators.profile import Profile, _family_value, type_family
+from starweave.operators.profile import Profile, family_value, type_family
 
 # Fixed value: share of distinct values over rows for a candidate key.
 MIN_UNIQUENESS = 0.95
@@ -42,8 +42,8 @@ def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -
     for (fa, fb), members in by_sig.items():
         q = lambda c: F.col(f"`{c}`")
         stacked = F.explode(F.array(*[
-            F.struct(F.lit(i).alias("pair"), _family_value(q(a), types[a], fa).alias("a"),
-                     _family_value(q(b), types[b], fb).alias("b"))
+            F.struct(F.lit(i).alias("pair"), family_value(q(a), types[a], fa).alias("a"),
+                     family_value(q(b), types[b], fb).alias("b"))
             for i, a, b in members
         ]))
         counted = (

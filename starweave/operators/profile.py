@@ -1,13 +1,13 @@
 """Column profiling as Spark aggregates.
 
 One frequency table ``(table_name, column_name, value, cnt)`` — every column of every table unpivoted
-to text and counted with map-side partial aggregation — answers totals, null counts, distinct counts,
-top values, entity ratios and anomalies in a single shuffle for a whole catalogue of tables. Values
-longer than ``LONG_VALUE`` characters are replaced by a ``#``-prefixed SHA-256 digest before the
-shuffle, so long texts are counted exactly without moving their bytes.
+to a typed key and counted with map-side partial aggregation — answers totals, null counts, distinct
+counts, top values, entity ratios and anomalies in a single shuffle for a whole catalogue of tables.
+Text values longer than ``LONG_VALUE`` characters are replaced by a ``#``-prefixed SHA-256 digest before
+the shuffle, so long texts are counted exactly without moving their bytes.
 
-Numeric quantiles are exact and distributed (``quantiles.exact_quantiles``); date, length and moment
-statistics are single-pass global aggregates.
+Numeric quantiles are exact and distributed (``quantiles``); date and length statistics are single-pass
+global aggregates.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from starweave.functions.rules import DATE_FORMATS, entity_role_expr, grain_expr, logical_type_expr, name_prefix_expr
 from starweave.functions.types import logical_type_of, warehouse_type_of
-from starweave.operators.quantiles import quantile_values, sorted_values
 from starweave.functions.frames import balanced, local_frame
+from starweave.operators.quantiles import quantile_values, sorted_values
 
 # Longest value shuffled as text; profile thresholds used by the anomaly report.
 LONG_VALUE = 64
@@ -90,7 +90,7 @@ _KEY_FIELDS = (("integral", "l", "bigint"), ("fractional", "d", "double"), ("tim
                ("timestamp", "tz", "timestamp"), ("date", "dt", "date"), ("text", "s", "string"))
 
 
-def _family_value(c: Column, dt: T.DataType, family: str) -> Column:
+def family_value(c: Column, dt: T.DataType, family: str) -> Column:
     if family == "integral":
         return c.cast("long")
     if family == "fractional":
@@ -103,7 +103,7 @@ def _family_value(c: Column, dt: T.DataType, family: str) -> Column:
 def typed_key(c: Column, dt: T.DataType) -> Column:
     fam = type_family(dt)
     fields = [
-        (_family_value(c, dt, fam) if f == fam else F.lit(None).cast(t)).alias(name) for f, name, t in _KEY_FIELDS
+        (family_value(c, dt, fam) if f == fam else F.lit(None).cast(t)).alias(name) for f, name, t in _KEY_FIELDS
     ]
     return F.when(c.isNull(), F.lit(None)).otherwise(F.struct(*fields))
 
@@ -134,7 +134,8 @@ def typed_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
 
 @dataclass
 class Profile:
-    """Lazy profile frames of a set of tables. Nothing is computed until an action runs."""
+    """Profile frames of a set of tables. The frequency table is lazy; the column profile (one row per
+    column) is computed on first use and then kept as a literal frame."""
 
     spark: SparkSession
     tables: dict[str, DataFrame]
@@ -161,7 +162,6 @@ class Profile:
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).alias("null_count"),
             F.count("value").alias("distinct_count"),
         )
-        # Metadata has one row per column: a bounded broadcast.
         # ``per_col`` has one row per column: a bounded broadcast.
         cp = self.metadata.join(F.broadcast(per_col), ["table_name", "column_name"], "left")
         total = F.coalesce("total_rows", F.lit(0)).cast("long")
