@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+def _literal(v, dt: T.DataType):
+    """A literal of type ``dt``; wall-clock timestamps go through text so no time zone shifts them."""
+    if isinstance(v, _dt.datetime) and isinstance(dt, T.TimestampNTZType):
+        return F.lit(v.isoformat(sep=" ")).cast(dt)
+    return F.lit(v).cast(dt)
+
+
 def local_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A frame of literal rows (metadata-sized: columns, tables, checks — never data rows)."""
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     if not rows:
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
     structs = [
-        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)])
+        F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(r, st.fields)])
         for r in rows
     ]
     return spark.range(1).select(F.inline(F.array(*structs)))

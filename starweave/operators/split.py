@@ -38,7 +38,7 @@ class SplitContext:
 
     def metadata(self, row_hash: Column) -> list[Column]:
         return [
-            F.lit(self.load_ts).cast("timestamp_ntz").alias("LOAD_TS"),
+            F.lit(self.load_ts.isoformat(sep=" ")).cast("timestamp_ntz").alias("LOAD_TS"),  # zone-free literal
             F.lit(self.source_name).alias("SOURCE_FILE_NAME"),
             row_hash.alias("ROW_HASH"),
             F.lit(self.source_name).alias("RECORD_SOURCE"),
