@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from starweave.functions.types import spark_type_of
@@ -80,16 +81,27 @@ class CopyResult:
     rows_loaded: int
     errors_seen: int
     rejects: DataFrame | None
+    parsed: DataFrame | None = None  # kept parse of a CSV file; release with ``release()``
+
+    def release(self) -> None:
+        if self.parsed is not None:
+            self.parsed.unpersist()
 
 
 def copy_into(spark: SparkSession, path: str, db: str, table: str, fmt: str = "parquet") -> CopyResult:
-    """Load a written table file set with the target table's schema (by name)."""
+    """Load a written table file set with the target table's schema (by name).
+
+    CSV rows with the wrong number of fields are rejected, not fatal: the file is parsed once against the
+    target schema plus a corrupt-record column and kept (spilling to disk) while the good rows are
+    appended and the rejects counted and returned for the errors table.
+    """
     schema = spark.table(_t(db, table)).schema
+    raw = None
     if fmt == "csv":
         wide = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
                             + [T.StructField(_CORRUPT, T.StringType())])
         raw = (spark.read.schema(wide).option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
+               .option("columnNameOfCorruptRecord", _CORRUPT).csv(path)).persist(StorageLevel.MEMORY_AND_DISK)
         good = raw.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
         rejects = raw.where(F.col(_CORRUPT).isNotNull()).select(
             F.lit(None).cast("long").alias("row_number"), F.lit("malformed row").alias("error_message"),
@@ -101,7 +113,7 @@ def copy_into(spark: SparkSession, path: str, db: str, table: str, fmt: str = "p
     align_by_name(good, schema).observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(_t(db, table))
     loaded = int(obs.get.get("n", 0))
     errors = rejects.count() if rejects is not None else 0
-    return CopyResult(loaded + errors, loaded, errors, rejects)
+    return CopyResult(loaded + errors, loaded, errors, rejects, raw)
 
 
 def validate_row_counts(spark: SparkSession, db: str, expected: dict[str, int]) -> DataFrame:
@@ -152,6 +164,7 @@ def load_all(
             res = copy_into(spark, path, db, table, fmt)
             if res.rejects is not None and res.errors_seen:
                 audit.log_errors(spark, db, run_id, table, res.rejects)
+            res.release()
             n = res.rows_loaded
             if n == 0:  # fall back to a by-name load of the file; an empty file is a success with 0 rows
                 n = append_by_name(spark, spark.read.format(fmt).option("header", True).load(path), db, table)

@@ -110,3 +110,24 @@ def test_write_load_audit_runs(spark, tmpdir_path):
     assert detail["tables"].where("STATUS = 'FAILED'").count() == 1
     by_status = {r["STATUS"]: r["runs"] for r in audit.summary(spark, db).collect()}
     assert by_status == {"SUCCESS": 1, "PARTIAL": 1, "FAILED": 1}
+
+
+def test_csv_load_rejects_go_to_errors_table(spark, tmpdir_path):
+    rows = [(i, i % 3, f"c{i % 3}", float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "order_id long, customer_id long, customer_name string, total_amount double")
+    p = profile_table(df, "orders")
+    m = infer_model(p, candidate_keys(p), "orders")
+    tabs = split(df, m, "orders.csv", order_by="order_id")
+    out = os.path.join(tmpdir_path, "csvout")
+    summary = sinks.write_tables(spark, {"FACT_MAIN": tabs["FACT_MAIN"]}, out, fmt="csv").collect()
+    path = summary[0]["path"]
+    header = open(os.path.join(path, [f for f in os.listdir(path) if f.endswith(".csv")][0])).readline()
+    with open(os.path.join(path, "late-arrival.csv"), "w") as f:  # a new file (appending would break checksums)
+        f.write(header + "broken,row,with,too,many,fields,in,it,for,the,table,really\n")
+    db = "sw_test_csv_errors"
+    res = load.load_all(spark, m, {"FACT_MAIN": path}, "orders.csv", db, fmt="csv",
+                        location=os.path.join(tmpdir_path, "wh2"))
+    assert res["status"] == "SUCCESS"
+    assert res["tables"][0]["rows_loaded"] == 30
+    errors = audit.recent_errors(spark, db).collect()
+    assert len(errors) == 1 and errors[0]["TABLE_NAME"] == "FACT_MAIN" and "broken" in errors[0]["REJECTED_ROW"]
