@@ -55,14 +55,27 @@ def balanced(df: DataFrame) -> DataFrame:
     A file smaller than a couple of splits (often a single Parquet row group) is read by one task, and every
     per-row step above the scan (joins with broadcast sides, unpivoting, hashing, map-side aggregation) then
     runs on that task alone. When the input comes from at most a few dozen files totalling less than two
-    file splits, it is round-robin repartitioned to the default parallelism — a shuffle of at most two
-    splits' worth of data. Larger inputs already arrive in many splits and are returned unchanged, so this
+    file splits (and more than the file-open cost, below which one task is cheaper), it is round-robin
+    repartitioned to the default parallelism — a shuffle of at most two splits' worth of data. Larger inputs already arrive in many splits and are returned unchanged, so this
     never adds a shuffle at scale.
     """
     spark = df.sparkSession
-    raw = str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).lower().rstrip("b")
-    split = int(raw) if raw.isdigit() else 134217728
+    split = _bytes_conf(spark, "spark.sql.files.maxPartitionBytes", 134217728)
+    floor = _bytes_conf(spark, "spark.sql.files.openCostInBytes", 4194304)
     size = _input_bytes(df, 2 * split)
-    if size is None or size > 2 * split:
+    # Below Spark's own file-open cost an input is cheaper to process in one task than to redistribute.
+    if size is None or size > 2 * split or size < floor:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _bytes_conf(spark: SparkSession, key: str, default: int) -> int:
+    try:
+        raw = str(spark.conf.get(key)).strip().lower()  # without a fallback: Spark's own default applies
+    except Exception:  # noqa: BLE001
+        return default
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    raw = raw[:-1] if raw.endswith("b") else raw
+    if raw and raw[-1] in units and raw[:-1].isdigit():
+        return int(raw[:-1]) * units[raw[-1]]
+    return int(raw) if raw.isdigit() else default
