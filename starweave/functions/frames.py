@@ -26,8 +26,10 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructTy
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-# Inputs read from more files than this are taken to arrive in enough splits already.
+# Inputs read from more files than this are taken to arrive in enough splits already; inputs under
+# _TINY_INPUT bytes are not worth a shuffle.
 _FEW_FILES = 64
+_TINY_INPUT = 1 << 20
 
 
 def _input_bytes(df: DataFrame, limit: int) -> int | None:
@@ -55,16 +57,15 @@ def balanced(df: DataFrame) -> DataFrame:
     A file smaller than a couple of splits (often a single Parquet row group) is read by one task, and every
     per-row step above the scan (joins with broadcast sides, unpivoting, hashing, map-side aggregation) then
     runs on that task alone. When the input comes from at most a few dozen files totalling less than two
-    file splits (and more than the file-open cost, below which one task is cheaper), it is round-robin
+    file splits (and more than 1 MB, below which one task is cheaper), it is round-robin
     repartitioned to the default parallelism — a shuffle of at most two splits' worth of data. Larger inputs already arrive in many splits and are returned unchanged, so this
     never adds a shuffle at scale.
     """
     spark = df.sparkSession
     split = _bytes_conf(spark, "spark.sql.files.maxPartitionBytes", 134217728)
-    floor = _bytes_conf(spark, "spark.sql.files.openCostInBytes", 4194304)
     size = _input_bytes(df, 2 * split)
-    # Below Spark's own file-open cost an input is cheaper to process in one task than to redistribute.
-    if size is None or size > 2 * split or size < floor:
+    # Tiny inputs (code tables) are cheaper to process in one task than to redistribute.
+    if size is None or size > 2 * split or size < _TINY_INPUT:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism)
 
