@@ -21,17 +21,22 @@ def write_tables(
     fmt: str = "parquet",
     mode: str = "overwrite",
     partition_by: dict[str, list[str]] | None = None,
+    sort_within: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Write every table to ``out_dir/<lower-case name>``; a failing table does not stop the others.
 
     Row counts come from an ``Observation`` on the write itself (no second pass); sizes from a listing
-    of the written files (contents are not read). Returns the split summary frame.
+    of the written files (contents are not read). ``partition_by`` / ``sort_within`` lay a table out by
+    columns (e.g. the natural key of a dimension, or ``model.recommend_clustering`` for the fact): a local
+    sort per task, no shuffle. Returns the split summary frame.
     """
     rows = []
     for name, df in tables.items():
         path = table_path(out_dir, name)
         obs = Observation(f"rows_{name}")
         try:
+            if sort_within and name in sort_within:
+                df = df.sortWithinPartitions(*sort_within[name])
             writer = df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).format(fmt)
             if fmt == "csv":
                 writer = writer.option("header", True).option("escape", '"')
@@ -59,3 +64,11 @@ def split_totals(summary: DataFrame) -> DataFrame:
         F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_rows"),
         F.round(F.coalesce(F.sum("size_bytes"), F.lit(0)) / (1024 * 1024), 2).alias("total_mb"),
     )
+
+
+def clustering_layout(recommendation: DataFrame) -> dict[str, list[str]]:
+    """``{table: [columns]}`` from ``model.recommend_clustering`` (metadata-sized), for ``sort_within``."""
+    out: dict[str, list[tuple[int, str]]] = {}
+    for r in recommendation.select("table_name", "cluster_rank", "column_name").collect():
+        out.setdefault(r["table_name"], []).append((r["cluster_rank"], r["column_name"]))
+    return {t: [c for _, c in sorted(v)] for t, v in out.items()}

@@ -81,7 +81,11 @@ def test_write_load_audit_runs(spark, tmpdir_path):
     p = profile_table(df, "orders")
     m = infer_model(p, candidate_keys(p), "orders")
     tabs = split(df, m, "orders.csv", order_by="order_id")
-    summary = sinks.write_tables(spark, tabs, os.path.join(tmpdir_path, "out")).collect()
+    from starweave.operators.model import recommend_clustering
+
+    layout = sinks.clustering_layout(recommend_clustering(m, p))
+    layout["DIM_CUSTOMER"] = ["customer_id_NK"]
+    summary = sinks.write_tables(spark, tabs, os.path.join(tmpdir_path, "out"), sort_within=layout).collect()
     assert all(r["error"] is None for r in summary)
     totals = sinks.split_totals(spark.createDataFrame(summary, sinks.SUMMARY_SCHEMA)).first()
     assert totals["tables_written"] == len(summary) and totals["total_rows"] == sum(r["row_count"] for r in summary)
