@@ -39,6 +39,7 @@ MAIN_TABLE = "MAIN_TABLE"
 FACT_SK = "FACT_SK"
 MAIN_SK = "MAIN_SK"
 SCD_DEFAULT = "Type 1"
+RELATIONSHIP_TYPE = "many_to_one"
 _NK_ID = re.compile(r"_id$")
 
 
@@ -109,7 +110,7 @@ class Model:
         )
 
     def relationships_frame(self) -> DataFrame:
-        rows = [(self.source_table, ft, fc, tt, tc, "many_to_one") for ft, fc, tt, tc in self.relationships]
+        rows = [(self.source_table, ft, fc, tt, tc, RELATIONSHIP_TYPE) for ft, fc, tt, tc in self.relationships]
         return local_frame(self.spark, 
             rows,
             "source_table string, from_table string, from_column string, to_table string, to_column string, "

@@ -26,6 +26,9 @@ LONG_VALUE = 64
 TOP_K = 10
 HIGH_NULL_PCT = 50.0
 HIGH_OUTLIER_PCT = 10.0
+ISSUE_HIGH_NULLS = "High null percentage"
+ISSUE_HIGH_OUTLIERS = "High outlier percentage"
+ISSUE_CONSTANT = "Constant value (no variation)"
 HISTOGRAM_BINS = 50
 IQR_FACTOR = 1.5
 
@@ -291,17 +294,17 @@ class Profile:
         """(table, column, issue, value): >50 % nulls, >10 % outliers, a single distinct value."""
         cp = self.column_profile()
         high_null = cp.where(F.col("null_percentage") > HIGH_NULL_PCT).select(
-            "table_name", "column_name", F.lit("High null percentage").alias("issue"),
+            "table_name", "column_name", F.lit(ISSUE_HIGH_NULLS).alias("issue"),
             F.format_string("%.2f%%", F.col("null_percentage")).alias("value"),
         )
         constant = cp.where(F.col("distinct_count") == 1).select(
-            "table_name", "column_name", F.lit("Constant value (no variation)").alias("issue"), F.lit("N/A").alias("value")
+            "table_name", "column_name", F.lit(ISSUE_CONSTANT).alias("issue"), F.lit("N/A").alias("value")
         )
         out = high_null.unionByName(constant)
         if outliers is None:
             outliers = self.numeric_profile()
         high_out = outliers.where(F.col("outlier_percentage") > HIGH_OUTLIER_PCT).select(
-            "table_name", "column_name", F.lit("High outlier percentage").alias("issue"),
+            "table_name", "column_name", F.lit(ISSUE_HIGH_OUTLIERS).alias("issue"),
             F.format_string("%.2f%%", F.col("outlier_percentage")).alias("value"),
         )
         return out.unionByName(high_out)

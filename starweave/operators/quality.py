@@ -18,8 +18,18 @@ RESULT_SCHEMA = (
     "table_name string, check_name string, column_name string, passed boolean, violation_count long, "
     "violation_percentage double, message string"
 )
-# Fixed value: how many orphan keys a foreign-key check reports.
+# How many orphan keys a foreign-key check reports, and the check messages.
 ORPHAN_SAMPLE = 100
+MSG_NO_PK = "No primary key columns specified"
+MSG_PK_DUPLICATES = "Found %d duplicate primary key rows"
+MSG_PK_UNIQUE = "Primary key is unique"
+MSG_FK_ORPHANS = "Found %d orphaned foreign keys"
+MSG_FK_VALID = "All foreign keys valid"
+MSG_NULLS_FOUND = "Found nulls in %d required columns"
+MSG_NULLS_NONE = "All required columns have no nulls"
+MSG_TYPES_MISMATCH = "Type mismatches in %d columns"
+MSG_TYPES_MATCH = "All columns match expected types"
+MSG_FILE_LOAD = "Failed to load file: "
 
 
 def _q(name: str) -> Column:
@@ -35,7 +45,7 @@ def check_pk(df: DataFrame, pk: list[str], table_name: str) -> DataFrame:
     spark = df.sparkSession
     if not pk:
         return local_frame(spark, 
-            [(table_name, "primary_key_uniqueness", None, False, 0, None, "No primary key columns specified")],
+            [(table_name, "primary_key_uniqueness", None, False, 0, None, MSG_NO_PK)],
             RESULT_SCHEMA,
         )
     dup = duplicate_keys(df, pk).agg(F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("n"))
@@ -43,8 +53,8 @@ def check_pk(df: DataFrame, pk: list[str], table_name: str) -> DataFrame:
         F.lit(table_name).alias("table_name"), F.lit("primary_key_uniqueness").alias("check_name"),
         F.lit(",".join(pk)).alias("column_name"), (F.col("n") == 0).alias("passed"),
         F.col("n").alias("violation_count"), F.lit(None).cast("double").alias("violation_percentage"),
-        F.when(F.col("n") > 0, F.format_string("Found %d duplicate primary key rows", F.col("n")))
-        .otherwise(F.lit("Primary key is unique")).alias("message"),
+        F.when(F.col("n") > 0, F.format_string(MSG_PK_DUPLICATES, F.col("n")))
+        .otherwise(F.lit(MSG_PK_UNIQUE)).alias("message"),
     )
 
 
@@ -67,8 +77,8 @@ def check_fk(fact: DataFrame, dim: DataFrame, fk: str, pk: str, label: str) -> D
         F.lit(label).alias("table_name"), F.lit("foreign_key_integrity").alias("check_name"),
         F.lit(fk).alias("column_name"), (F.col("n") == 0).alias("passed"),
         F.col("n").alias("violation_count"), F.lit(None).cast("double").alias("violation_percentage"),
-        F.when(F.col("n") > 0, F.format_string("Found %d orphaned foreign keys", F.col("n")))
-        .otherwise(F.lit("All foreign keys valid")).alias("message"),
+        F.when(F.col("n") > 0, F.format_string(MSG_FK_ORPHANS, F.col("n")))
+        .otherwise(F.lit(MSG_FK_VALID)).alias("message"),
     )
 
 
@@ -95,8 +105,8 @@ def check_nulls(df: DataFrame, required: list[str], table_name: str) -> DataFram
         F.lit(table_name).alias("table_name"), F.lit("null_constraints").alias("check_name"),
         F.lit(None).cast("string").alias("column_name"), (F.col("k") == 0).alias("passed"),
         F.col("n").alias("violation_count"), F.lit(None).cast("double").alias("violation_percentage"),
-        F.when(F.col("k") > 0, F.format_string("Found nulls in %d required columns", F.col("k")))
-        .otherwise(F.lit("All required columns have no nulls")).alias("message"),
+        F.when(F.col("k") > 0, F.format_string(MSG_NULLS_FOUND, F.col("k")))
+        .otherwise(F.lit(MSG_NULLS_NONE)).alias("message"),
     )
 
 
@@ -164,8 +174,8 @@ def check_types(spark: SparkSession, df: DataFrame, table: ModelTable) -> DataFr
         F.lit(table.name).alias("table_name"), F.lit("data_types").alias("check_name"),
         F.lit(None).cast("string").alias("column_name"), (F.col("k") == 0).alias("passed"),
         F.col("k").cast("long").alias("violation_count"), F.lit(None).cast("double").alias("violation_percentage"),
-        F.when(F.col("k") > 0, F.format_string("Type mismatches in %d columns", F.col("k")))
-        .otherwise(F.lit("All columns match expected types")).alias("message"),
+        F.when(F.col("k") > 0, F.format_string(MSG_TYPES_MISMATCH, F.col("k")))
+        .otherwise(F.lit(MSG_TYPES_MATCH)).alias("message"),
     )
 
 
@@ -186,7 +196,7 @@ def load_split_tables(spark: SparkSession, model: Model, paths: dict[str, str],
             df.limit(1).collect()  # surfaces missing or unreadable files now
             tables[name] = df
         except Exception as exc:  # noqa: BLE001 - recorded as a check row
-            failures.append((name, "file_load", None, False, None, None, f"Failed to load file: {exc}"[:2000]))
+            failures.append((name, "file_load", None, False, None, None, f"{MSG_FILE_LOAD}{exc}"[:2000]))
     return tables, local_frame(spark, failures, RESULT_SCHEMA)
 
 

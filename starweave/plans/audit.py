@@ -12,9 +12,14 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from starweave.functions.frames import local_frame
 
+# Audit table names and run / table statuses.
 RUNS = "INGESTION_RUNS"
 STATUS = "INGESTION_TABLE_STATUS"
 ERRORS = "INGESTION_ERRORS"
+IN_PROGRESS = "IN_PROGRESS"
+SUCCESS = "SUCCESS"
+PARTIAL = "PARTIAL"
+FAILED = "FAILED"
 
 RUNS_SCHEMA = (
     "RUN_ID long, EVENT_SEQ long, RUN_START_TS timestamp_ntz, RUN_END_TS timestamp_ntz, STATUS string, "

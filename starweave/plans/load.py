@@ -133,7 +133,7 @@ def validate_row_counts(spark: SparkSession, db: str, expected: dict[str, int])
 
 
 def run_status(loaded: int, failed: int) -> str:
-    return "SUCCESS" if failed == 0 else ("PARTIAL" if loaded > 0 else "FAILED")
+    return audit.SUCCESS if failed == 0 else (audit.PARTIAL if loaded > 0 else audit.FAILED)
 
 
 def load_all(
@@ -151,7 +151,7 @@ def load_all(
     ns = create_namespace(spark, db, location)
     audit.ensure_audit_tables(spark, db)
     create_tables(spark, model, db)
-    run_id = audit.log_run(spark, db, {"run_start_ts": start, "status": "IN_PROGRESS", "source_file_name": source_name,
+    run_id = audit.log_run(spark, db, {"run_start_ts": start, "status": audit.IN_PROGRESS, "source_file_name": source_name,
                                        "total_tables": len(paths)})
     status_rows, loaded, failed = [], 0, 0
     for table, path in paths.items():
@@ -168,10 +168,10 @@ def load_all(
             n = res.rows_loaded
             if n == 0:  # fall back to a by-name load of the file; an empty file is a success with 0 rows
                 n = append_by_name(spark, spark.read.format(fmt).option("header", True).load(path), db, table)
-            row.update(status="SUCCESS", rows_loaded=n)
+            row.update(status=audit.SUCCESS, rows_loaded=n)
             loaded += 1
         except Exception as exc:  # noqa: BLE001 - a failing table does not stop the others
-            row.update(status="FAILED", error_message=str(exc)[:2000])
+            row.update(status=audit.FAILED, error_message=str(exc)[:2000])
             failed += 1
         row["load_end_ts"] = audit.now()
         status_rows.append(row)

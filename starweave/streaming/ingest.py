@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 from starweave.operators.model import Model
 from starweave.operators.split import split
 from starweave.plans import audit
-from starweave.plans.load import align_by_name, create_namespace, create_tables
+from starweave.plans.load import align_by_name, create_namespace, create_tables, run_status
 from starweave.session import scratch_path
 
 
@@ -40,15 +40,15 @@ def _append_batch(spark: SparkSession, model: Model, db: str, source_name: str,
                 out.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(target)
                 n = int(obs.get.get("n", 0))
                 spark.catalog.refreshTable(target)
-                rows.append({"table_name": name, "status": "SUCCESS", "rows_loaded": n, "load_start_ts": t0,
+                rows.append({"table_name": name, "status": audit.SUCCESS, "rows_loaded": n, "load_start_ts": t0,
                              "load_end_ts": _dt.datetime.now()})
                 ok += 1
             except Exception as exc:  # noqa: BLE001 - recorded, other tables continue
-                rows.append({"table_name": name, "status": "FAILED", "error_message": str(exc)[:2000],
+                rows.append({"table_name": name, "status": audit.FAILED, "error_message": str(exc)[:2000],
                              "load_start_ts": t0, "load_end_ts": _dt.datetime.now()})
                 failed += 1
         run_id = audit.log_run(spark, db, {"run_start_ts": start, "run_end_ts": _dt.datetime.now(),
-                                           "status": "SUCCESS" if failed == 0 else ("PARTIAL" if ok else "FAILED"),
+                                           "status": run_status(ok, failed),
                                            "source_file_name": f"{source_name}#batch{batch_id}",
                                            "total_tables": len(tables), "tables_loaded": ok, "tables_failed": failed})
         audit.log_table_status(spark, db, run_id, rows)
