@@ -80,3 +80,16 @@ def _bytes_conf(spark: SparkSession, key: str, default: int) -> int:
     if raw and raw[-1] in units and raw[:-1].isdigit():
         return int(raw[:-1]) * units[raw[-1]]
     return int(raw) if raw.isdigit() else default
+
+
+# Largest side broadcast on an explicit hint (rows); beyond it the join is left to AQE's measured sizes.
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it holds at most ``max_rows`` rows, else ``df`` unchanged (AQE then picks a
+    broadcast only if the measured size allows, otherwise a sort-merge join with skew splitting).
+
+    The check is ``limit(max_rows + 1).count()``: it stops reading as soon as the bound is exceeded.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
