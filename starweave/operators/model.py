@@ -311,3 +311,18 @@ def recommend_clustering(model: Model, profile: Profile, max_keys: int = 3) -> D
         .where(F.col("cluster_rank") <= max_keys)
         .select("table_name", "cluster_rank", "column_name", "source_column", "distinct_count", "reason")
     )
+
+
+def infer_models(profile: Profile, keys: DataFrame, **options) -> dict[str, Model]:
+    """``infer_model`` for every table of a (catalogue) profile; options as for ``infer_model``."""
+    names = [r["table_name"] for r in profile.metadata.select("table_name").distinct().collect()]  # table list
+    return {n: infer_model(profile, keys, n, **options) for n in sorted(names)}
+
+
+def models_frame(models: dict[str, Model], view: str = "tables") -> DataFrame:
+    """One frame over many models: ``view`` is ``tables``, ``columns``, ``relationships`` or ``groups``."""
+    frames = [getattr(m, f"{view}_frame")() for m in models.values()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out

@@ -125,3 +125,21 @@ def test_value_type_violations_and_orphan_sample(spark):
     dim = spark.createDataFrame([(0,)], "pk long")
     s = [r["key"] for r in orphan_sample(fact, dim, "fk", "pk").collect()]
     assert s == list(range(1, 101))
+
+
+def test_catalogue_models(spark):
+    from starweave.operators.model import infer_models, models_frame
+    from starweave.plans.catalog import catalogue_profile
+
+    p = catalogue_profile(spark, "/root/testdata/sf0.001")
+    models = infer_models(p, candidate_keys(p))
+    assert len(models) == 14
+    tables = models_frame(models, "tables").collect()
+    by_source = {}
+    for r in tables:
+        by_source.setdefault(r["source_table"], set()).add(r["table_name"])
+    for src in ("orders", "lineitem", "events"):          # tables with a date column get DIM_DATE
+        assert "DIM_DATE" in by_source[src]
+    assert "DIM_DATE" not in by_source["region"]
+    rels = models_frame(models, "relationships").where("source_table = 'lineitem'").count()
+    assert rels == len(models["lineitem"].relationships)
