@@ -129,9 +129,12 @@ def q_histogram_extendedprice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_candidate_keys(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # The two integers that are NULL where they do not apply are shown as DOUBLE: one representation
+        # of "NULL or a number" that every engine and client reads alike.
         return candidate_keys(profile_of(spark, sf_dir, (name,))).select(
-            "table_name", "key_rank", "key_type", "column_1", "column_2", "ordinal_1", "ordinal_2", "uniqueness",
-            "distinct_count", "null_count")
+            "table_name", "key_rank", "key_type", "column_1", "column_2", "ordinal_1",
+            F.col("ordinal_2").cast("double").alias("ordinal_2"), "uniqueness", "distinct_count",
+            F.col("null_count").cast("double").alias("null_count"))
     return run
 
 
@@ -180,9 +183,16 @@ def q_model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modelled(spark, sf_dir).model.summary()
 
 
+def _date_as_text(df: DataFrame) -> DataFrame:
+    """DATE columns in their ISO text form: the value the surrogate keys hash, and one representation
+    that reads the same from every engine and client."""
+    return df.select(*[F.col(f.name).cast("string").alias(f.name) if f.dataType.typeName() == "date" else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def q_split_table(table: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return modelled(spark, sf_dir).tables[table]
+        return _date_as_text(modelled(spark, sf_dir).tables[table])
     return run
 
 
@@ -321,7 +331,7 @@ def q_numeric_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_split_events(table: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return modelled(spark, sf_dir, "events", order_by="event_id").tables[table]
+        return _date_as_text(modelled(spark, sf_dir, "events", order_by="event_id").tables[table])
     return run
 
 
@@ -634,8 +644,8 @@ def sql_candidate_keys(table: str) -> str:
     body = "\nUNION ALL\n".join(branches)
     return (w + f"SELECT '{table}' AS table_name, CAST(row_number() OVER (ORDER BY round(dc / n, 4) DESC, "
             f"CASE key_type WHEN 'single' THEN 0 ELSE 1 END, o1, o2) AS INTEGER) AS key_rank, key_type, column_1, column_2, "
-            f"CAST(o1 AS INTEGER) AS ordinal_1, CAST(o2 AS INTEGER) AS ordinal_2, round(dc / n, 4) AS uniqueness, "
-            f"dc AS distinct_count, nc AS null_count FROM ({body}) s WHERE dc >= 0.95 * n")
+            f"CAST(o1 AS INTEGER) AS ordinal_1, CAST(o2 AS DOUBLE) AS ordinal_2, round(dc / n, 4) AS uniqueness, "
+            f"dc AS distinct_count, CAST(nc AS DOUBLE) AS null_count FROM ({body}) s WHERE dc >= 0.95 * n")
 
 
 def _roles_body(table: str) -> str:
@@ -728,7 +738,8 @@ def sql_dim_date() -> str:
     rh = ("sha256(concat_ws('|', CAST(DATE_NK AS VARCHAR), CAST(YEAR AS VARCHAR), CAST(QUARTER AS VARCHAR), "
           "CAST(MONTH AS VARCHAR), CAST(DAY AS VARCHAR), CAST(DAY_OF_WEEK AS VARCHAR), DAY_NAME, MONTH_NAME, "
           "CASE WHEN IS_WEEKEND THEN 'True' ELSE 'False' END))")
-    return (w + f"SELECT DATE_SK, DATE_NK, YEAR, QUARTER, MONTH, DAY, DAY_OF_WEEK, DAY_NAME, MONTH_NAME, IS_WEEKEND, "
+    return (w + f"SELECT DATE_SK, CAST(DATE_NK AS VARCHAR) AS DATE_NK, YEAR, QUARTER, MONTH, DAY, DAY_OF_WEEK, DAY_NAME, "
+            f"MONTH_NAME, IS_WEEKEND, "
             f"{LOAD_TS_SQL} AS LOAD_TS, 'orders_wide' AS SOURCE_FILE_NAME, {rh} AS ROW_HASH, 'orders_wide' AS RECORD_SOURCE "
             f"FROM (SELECT sha256(CAST(DATE_NK AS VARCHAR)) AS DATE_SK, DATE_NK, {cal} FROM "
             f"(SELECT DISTINCT CAST(order_date AS DATE) AS DATE_NK FROM orders_wide WHERE order_date IS NOT NULL) d) c")
