@@ -5,7 +5,7 @@ Singles come straight from the column profile. Pairs are pruned before any data
  * a pair containing a column whose values (NULL included) are all different has exactly n values.
 Only the remaining pairs are counted: each row emits a typed ``(pair, a, b)`` entry per pair, counted with
 map-side partial aggregation. Values keep their types (so ``('a|b','c')`` differs from ``('a','b|c')``)
-and NULL is a value.
+and NULL is a value. Pairs sharing a near-unique column are counted through it (``_pair_counts_near_unique``).
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
-from starweave.functions.frames import local_frame
-from starweave.operators.profile import Profile, family_value, type_family
+from starweave.functions.frames import BROADCAST_MAX_ROWS, local_frame
+from starweave.operators.profile import Profile, family_value, type_family, typed_key
 
 # Fixed value: share of distinct values over rows for a candidate key.
 MIN_UNIQUENESS = 0.95
@@ -59,6 +59,42 @@ def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -
     )
 
 
+# Fixed value: a pivot column qualifies for the duplicate-rows shortcut when at most this share of the rows
+# carries a value that occurs more than once.
+NEAR_UNIQUE_DUP_SHARE = 0.05
+
+
+def _pair_counts_near_unique(df: DataFrame, table_name: str, pivot: str, others: list[str], n: int
+                             ) -> tuple[DataFrame, DataFrame] | None:
+    """Exact distinct counts of the pairs (pivot, other) for a near-unique pivot column.
+
+    A row whose pivot value occurs once contributes exactly one distinct pair, so the count is the number
+    of such singleton values plus the distinct pairs among the rows whose pivot value repeats. Those rows
+    are found by one aggregation of the pivot column and a broadcast semi-join with the repeated values —
+    only when that set is small (checked); otherwise ``None`` and the caller counts the pairs directly.
+    """
+    key = typed_key(F.col(f"`{pivot}`"), df.schema[pivot].dataType)
+    per_value = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    stats = per_value.agg(F.count_if(F.col("c") == 1).alias("singletons"),
+                          F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).alias("dup_rows")).first()
+    if stats["dup_rows"] > NEAR_UNIQUE_DUP_SHARE * n:
+        return None
+    repeated = per_value.where(F.col("c") > 1).select("k")
+    if repeated.limit(BROADCAST_MAX_ROWS + 1).count() > BROADCAST_MAX_ROWS:
+        return None
+    keyed = df.select("*", key.alias("__k"))
+    # ``repeated`` is size-checked above; NULL is a value, hence the null-safe join key.
+    dup_rows = keyed.join(F.broadcast(repeated), keyed["__k"].eqNullSafe(repeated["k"]), "left_semi").drop("__k")
+    cached, counted = _pair_counts(dup_rows, table_name, [(pivot, o) for o in others])
+    singles = stats["singletons"]
+    got = counted.select("column_1", "column_2", (F.col("distinct_count") + F.lit(singles)).alias("distinct_count"))
+    names = local_frame(df.sparkSession, [(pivot, o) for o in others], "column_1 string, column_2 string")
+    # Pairs with no repeated rows at all have exactly ``singles`` distinct values.
+    return cached, names.join(got, ["column_1", "column_2"], "left").select(
+        F.lit(table_name).alias("table_name"), "column_1", "column_2",
+        F.coalesce("distinct_count", F.lit(singles)).cast("long").alias("distinct_count"))
+
+
 def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pairs: bool = True) -> DataFrame:
     """Candidate keys of every profiled table, with ``key_rank`` = order by uniqueness (4 decimals)
     descending, singles before pairs, then column order."""
@@ -93,9 +129,38 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
                 elif da * db >= min_uniqueness * n:
                     to_count.append((a, b))
         if to_count:
-            cached, part = _pair_counts(profile.tables[table], table,
-                                        [(a["column_name"], b["column_name"]) for a, b in to_count])
-            pair_inputs.append(cached)
+            # Pairs sharing a near-unique column (few rows with a repeated value) are counted through it.
+            by_pivot: dict[str, list] = {}
+            for a, b in to_count:
+                pv, other = (a, b) if a["distinct_count"] >= b["distinct_count"] else (b, a)
+                dup_bound = n - pv["distinct_count"] - (1 if pv["null_count"] else 0)
+                if dup_bound <= NEAR_UNIQUE_DUP_SHARE * n * 2:
+                    by_pivot.setdefault(pv["column_name"], []).append((a, b, other["column_name"]))
+            parts = []
+            rest = list(to_count)
+            for pv, members in by_pivot.items():
+                if len(members) < 2:
+                    continue  # one pair: counting it directly is as cheap
+                res = _pair_counts_near_unique(profile.tables[table], table, pv, [o for _, _, o in members], n)
+                if res is None:
+                    continue
+                cached, got = res
+                pair_inputs.append(cached)
+                order = {(pv, o): (a["column_name"], b["column_name"]) for a, b, o in members}
+                fix = local_frame(spark, [(k[0], k[1], v[0], v[1]) for k, v in order.items()],
+                                  "p string, o string, column_1 string, column_2 string")
+                parts.append(got.join(F.broadcast(fix), (got.column_1 == fix.p) & (got.column_2 == fix.o))
+                             .select(got.table_name, fix.column_1, fix.column_2, got.distinct_count))
+                done = {(a["column_name"], b["column_name"]) for a, b, _ in members}
+                rest = [(a, b) for a, b in rest if (a["column_name"], b["column_name"]) not in done]
+            if rest:
+                cached, part = _pair_counts(profile.tables[table], table,
+                                            [(a["column_name"], b["column_name"]) for a, b in rest])
+                pair_inputs.append(cached)
+                parts.append(part)
+            part = parts[0]
+            for extra in parts[1:]:
+                part = part.unionByName(extra)
             ords = local_frame(spark, 
                 [(a["column_name"], b["column_name"], a["ordinal"], b["ordinal"]) for a, b in to_count],
                 "column_1 string, column_2 string, ordinal_1 int, ordinal_2 int",
