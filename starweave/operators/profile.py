@@ -158,6 +158,8 @@ class Profile:
 
     # ---- base profile (G1) --------------------------------------------------------------------------
     def column_profile(self) -> DataFrame:
+        """Per column: logical type, rows, non-null / null counts and %, distinct count (NULL excluded) and %
+        of rows — one aggregation of the frequency table, kept after the first call."""
         if "cp" in self._cache:
             return self._cache["cp"]
         per_col = self.typed.groupBy("table_name", "column_name").agg(
@@ -189,6 +191,7 @@ class Profile:
 
     # ---- entity roles (G10) and grain (G11) ---------------------------------------------------------
     def entity_roles(self) -> DataFrame:
+        """Per column: ids / dates / facts / dimensions (or NULL) and the name prefix used for grouping."""
         cp = self.column_profile()
         return cp.select(
             "table_name", "column_name", "ordinal", "logical_type", "distinct_count", "total_rows",
@@ -198,6 +201,7 @@ class Profile:
         )
 
     def grain(self) -> DataFrame:
+        """Per table: transaction / event / row_level, from column names alone."""
         return self.metadata.groupBy("table_name").agg(grain_expr(F.col("column_name")).alias("grain"))
 
     # ---- top values (G5, W1) and boolean counts (G6) ------------------------------------------------
@@ -240,6 +244,7 @@ class Profile:
         )
 
     def value_counts(self, logical_types=("BOOLEAN",)) -> DataFrame:
+        """Count of every non-null value of the columns of the given logical types (booleans by default)."""
         cols = self.metadata.where(F.col("logical_type").isin(*logical_types)).select("table_name", "column_name")
         return self.frequencies.where(F.col("value").isNotNull()).join(
             F.broadcast(cols), ["table_name", "column_name"]
@@ -271,15 +276,18 @@ class Profile:
         return self._cache["np"]
 
     def date_profile(self) -> DataFrame:
+        """Valid / invalid dates, min and max per DATE column of every table (one aggregate per table)."""
         parts = [date_profile(self.tables[t], cols, t) for t, cols in self._columns_of(("DATE",)).items()]
         return _union(parts, self.spark, _DATE_SCHEMA)
 
     def string_profile(self) -> DataFrame:
+        """Average and maximum length per STRING column of every table (one aggregate per table)."""
         parts = [string_profile(self.tables[t], cols, t) for t, cols in self._columns_of(("STRING",)).items()]
         return _union(parts, self.spark, _STRING_SCHEMA)
 
     # ---- table profile (G9) and anomalies (P7) ------------------------------------------------------
     def table_profile(self, candidate_key_counts: DataFrame | None = None) -> DataFrame:
+        """Per table: rows, columns, grain and (given ``keys.key_counts``) the number of candidate keys."""
         cp = self.column_profile()
         tp = cp.groupBy("table_name").agg(
             F.max("total_rows").alias("total_rows"), F.count(F.lit(1)).alias("total_columns")
@@ -310,6 +318,7 @@ class Profile:
         return out.unionByName(high_out)
 
     def preview(self, table_name: str, n: int = 100) -> DataFrame:
+        """The first ``n`` rows of a table (a limit is the feature here)."""
         return self.tables[table_name].limit(n)
 
 
