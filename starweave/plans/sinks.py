@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from starweave.functions.frames import local_frame
 
 SUMMARY_SCHEMA = "table_name string, path string, row_count long, size_bytes long, error string"
@@ -37,6 +37,10 @@ def write_tables(
         try:
             if sort_within and name in sort_within:
                 df = df.sortWithinPartitions(*sort_within[name])
+            if fmt == "csv":  # temporal values as their exact canonical text (the CSV writer's default is lossy)
+                df = df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name)
+                                 if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+                                 else F.col(f"`{f.name}`") for f in df.schema.fields])
             writer = df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).format(fmt)
             if fmt == "csv":
                 writer = writer.option("header", True).option("escape", '"')

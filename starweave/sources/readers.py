@@ -12,6 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SUPPORTED_FORMATS = ("csv", "json", "jsonl", "parquet")
+# Text fields read as missing values (the default NA tokens of the CSV reader being reproduced).
+NA_VALUES = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+    "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+# Types tried, narrowest first; date-like text stays text (dates are parsed where they are profiled).
+_INFER_ORDER = ("int", "bigint", "double", "boolean")
 _OVER = "_over"
 # A null marker that never occurs in text (so empty fields stay empty strings while parsing).
 _NEVER = "\u0000"
@@ -46,9 +53,9 @@ def read_csv(
     encoding: str | None = None,
     header: bool = True,
     infer_types: bool = True,
-    sampling_ratio: float = 1.0,
     multi_line: bool = False,
     with_rejects: bool = False,
+    na_values: tuple[str, ...] = NA_VALUES,
 ) -> DataFrame | CsvRead:
     """CSV with inferred types; over-long lines are skipped, short lines are null-padded.
 
@@ -57,6 +64,10 @@ def read_csv(
     null marker is set to a character that never occurs in text, so an empty surplus field still counts
     (empty data fields are turned into NULL afterwards). Only ``_over`` decides, which keeps the result
     the same when Spark prunes the parsed columns (e.g. for a count of the rejects).
+
+    Fields equal to one of ``na_values`` are missing values; ``infer_types`` then picks, per column, the
+    narrowest of int / bigint / double / boolean that every remaining value converts to (one aggregate;
+    date-like text stays text).
     """
     from starweave.sources.sniff import sniff_delimiter, sniff_encoding
 
@@ -74,18 +85,11 @@ def read_csv(
         .csv(path)
     )
     over_long = F.col(_OVER).isNotNull()
-    text = {n: F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`")) for n in names}
+    na = list(na_values)
+    text = {n: F.when(~F.col(f"`{n}`").isin(na), F.col(f"`{n}`")) if na else F.col(f"`{n}`") for n in names}
     kept = raw.where(~over_long).select(*[text[n].alias(n) for n in names])
     if infer_types:
-        inferred = (
-            spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-            .option("escape", '"').option("inferSchema", True).option("samplingRatio", sampling_ratio)
-            .option("mode", "DROPMALFORMED").option("multiLine", multi_line).csv(path)
-        ).schema
-        types = {f.name: f.dataType for f in inferred.fields}
-        kept = kept.select(
-            *[F.expr(f"try_cast(`{n}` AS {types.get(n, T.StringType()).simpleString()})").alias(n) for n in names]
-        )
+        kept = _typed(kept, names)
     if not with_rejects:
         return kept
     rejects = raw.where(over_long).select(
@@ -96,6 +100,33 @@ def read_csv(
     return CsvRead(kept, rejects)
 
 
+def _typed(kept: DataFrame, names: list[str]) -> DataFrame:
+    """Cast every text column to the narrowest of int, bigint, double, boolean that all its non-missing
+    values convert to (else keep text); a column with no values at all becomes double. One aggregate."""
+    checks = []
+    for i, n in enumerate(names):
+        c = F.col(f"`{n}`")
+        checks.append(F.count(c).alias(f"n{i}"))
+        for t in _INFER_ORDER:
+            conv = F.lower(F.trim(c)).isin("true", "false") if t == "boolean" else F.expr(f"try_cast(`{n}` AS {t})").isNotNull()
+            checks.append(F.count_if(c.isNotNull() & ~conv).alias(f"{t}{i}"))
+    r = kept.agg(*checks).first()
+    cols = []
+    for i, n in enumerate(names):
+        if r[f"n{i}"] == 0:
+            chosen = "double"
+        else:
+            chosen = next((t for t in _INFER_ORDER if r[f"{t}{i}"] == 0), "string")
+        c = F.col(f"`{n}`")
+        if chosen == "boolean":
+            cols.append((F.lower(F.trim(c)) == "true").alias(n))
+        elif chosen == "string":
+            cols.append(c.alias(n))
+        else:
+            cols.append(F.expr(f"try_cast(`{n}` AS {chosen})").alias(n))
+    return kept.select(*cols)
+
+
 def read_json(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A JSON document holding an array of records (multi-line JSON)."""
     reader = spark.read.option("multiLine", True)

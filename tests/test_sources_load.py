@@ -135,3 +135,13 @@ def test_csv_load_rejects_go_to_errors_table(spark, tmpdir_path):
     assert res["tables"][0]["rows_loaded"] == 30
     errors = audit.recent_errors(spark, db).collect()
     assert len(errors) == 1 and errors[0]["TABLE_NAME"] == "FACT_MAIN" and "broken" in errors[0]["REJECTED_ROW"]
+
+
+
+def test_csv_na_tokens_and_inference(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "na.csv"),
+               "id,amount,flag,when,note\n1,2.5,true,2024-01-02,NA\n2,NA,false,2024-01-03,x\n3,null,True,N/A,n/a\n")
+    df = read_csv(spark, p)
+    assert dict(df.dtypes) == {"id": "int", "amount": "double", "flag": "boolean", "when": "string", "note": "string"}
+    rows = sorted(tuple(r) for r in df.collect())
+    assert rows == [(1, 2.5, True, "2024-01-02", None), (2, None, False, "2024-01-03", "x"), (3, None, True, None, None)]
