@@ -20,6 +20,12 @@ from starweave.plans.catalog import catalogue_profile, modelled, profile_of, wid
 from starweave.sources.nested import flatten_nested
 from starweave.sources.wide import ORDERS_WIDE_SQL, SALES_WIDE_SQL
 
+try:  # the training-data operators are an optional subpackage with their own queries and SQL
+    import corpus_pipeline
+    from starweave.llm import queries as llm_queries
+except ImportError:
+    llm_queries = corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Column layout of the driver's tables: (name, kind by Spark type) — used to write the oracle SQL.
@@ -424,7 +430,7 @@ def q_audit_recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    out = {
         "column_profile_events": q_column_profile("events"),
         "column_profile_orders_wide": q_column_profile("orders_wide"),
         "column_profile_lineitem": q_column_profile("lineitem"),
@@ -493,6 +499,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_summary": q_audit_summary,
         "audit_recent_runs": q_audit_recent_runs,
     }
+    if llm_queries is not None:
+        out |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    return out
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -990,7 +999,7 @@ def sql_numeric_profile_all() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    out = {
         "column_profile_events": sql_column_profile("events"),
         "column_profile_orders_wide": sql_column_profile("orders_wide"),
         "column_profile_lineitem": sql_column_profile("lineitem"),
@@ -1094,3 +1103,8 @@ def oracle_sql() -> dict[str, str]:
             "CAST(6 AS BIGINT) AS TOTAL_TABLES, CAST(5 AS BIGINT) AS TABLES_LOADED, CAST(1 AS BIGINT) AS TABLES_FAILED "
             "UNION ALL SELECT 1, 'SUCCESS', 'orders_wide', 5, 5, 0"),
     }
+    if llm_queries is not None:
+        out |= llm_queries.ORACLES
+        if corpus_pipeline.ORACLE_SQL is not None:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out

@@ -37,12 +37,16 @@ def get_session(master: str | None = None, app_name: str = "starweave", **conf:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session leaves it unset (tests, local runs) do we pick a scratch folder ourselves.
+    Where the session leaves it unset a scratch folder is picked only for ``local[...]`` masters (tests, one
+    machine); on a cluster a machine-local folder would be invisible to the other executors, so that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="starweave-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
