@@ -62,8 +62,9 @@ class _WordCache(dict):
 
 
 @lru_cache(maxsize=4)
-def tokenizer(json_path: str, ranks_path: str, pattern: str, special: tuple[str, ...]) -> Callable[[str], bytes]:
-    """Text to ids (as bytes) like the byte-level BPE of ``json_path`` with ``add_special_tokens=False``.
+def tokenizer(json_path: str | None, ranks_path: str, pattern: str, special: tuple[str, ...]) -> Callable[[str], bytes]:
+    """Text to ids (as bytes) like the byte-level BPE of ``json_path`` with ``add_special_tokens=False`` (None if the
+    vocabulary has ranks and no special tokens).
 
     The same vocabulary is read as ranks, which is faster. The splitting pattern starts a new piece at every space that
     follows a character other than white space, so a text in which no space follows white space is encoded word by word
@@ -77,7 +78,7 @@ def tokenizer(json_path: str, ranks_path: str, pattern: str, special: tuple[str,
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    plain = Tokenizer.from_file(json_path)
+    plain = Tokenizer.from_file(json_path) if json_path else None
     pack = lambda ids: b"".join([i.to_bytes(WIDTH, "little") for i in ids])
     direct = lambda text: pack(bpe.encode_ordinary(text))
     by_word = _WordCache(direct).__getitem__
@@ -94,13 +95,13 @@ def tokenizer(json_path: str, ranks_path: str, pattern: str, special: tuple[str,
     return encode
 
 
-def public_tokenizer(name: str = "byte_bpe_50k") -> Callable[[], Callable[[str], bytes]]:
+def public_tokenizer(name: str = "byte_bpe_50k", special: tuple[str, ...] = ("<|endoftext|>",)) -> Callable:
     """A maker of the public byte-level tokenizer ``name`` (its files' places are looked up where it is called)."""
     def make() -> Callable[[str], bytes]:
         import public_tokenizers
 
-        return tokenizer(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"),
-                         public_tokenizers.PATTERN, ("<|endoftext|>",))
+        return tokenizer(public_tokenizers.path(f"{name}.json") if special else None,
+                         public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, special)
 
     return make
 

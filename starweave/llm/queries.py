@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from starweave.llm import decontaminate, line_dedup, minhash, packing, quality_rules
+from starweave.llm import (decontaminate, licences, line_dedup, minhash, packing, quality_model, quality_rules, token_rollup,
+                           url_filter, warc_merkle)
+from starweave.llm.common import materialize, new_scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,11 +25,82 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+FILE_PAGES = 1000
+
+
+def _archive(pages: DataFrame, body: Column) -> DataFrame:
+    """(page_id, file, offset, payload): pages as WARC records, FILE_PAGES page ids to a file, one after the other."""
+    rows = pages.select("page_id", F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / FILE_PAGES)).alias("file"),
+                        warc_merkle.warc_record(F.col("url"), F.col("html")).alias("original"),
+                        warc_merkle.warc_record(F.col("url"), body).alias("payload"))
+    before = Window.partitionBy("file").orderBy("page_id", F.xxhash64("original")).rowsBetween(Window.unboundedPreceding, -1)
+    length = F.octet_length("original").cast("long")
+    return rows.withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0))).drop("original")
+
+
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records of a replica of ``pages`` as WARC files: bodies changed, records lost, records added.
+
+    The replica is derived from the pages: page ids that leave 5 when divided by 97 lose the last character of their
+    body to a ``~`` (or get one), those that leave 7 with 101 are lost, and those that leave 11 with 103 come once more
+    a gibibyte further on.
+    """
+    pages = _read(spark, sf_dir, "pages")
+    body = F.coalesce("html", F.lit(""))
+    damaged = F.when(F.col("page_id") % 97 == 5, F.concat(F.expr("left(coalesce(html, ''), greatest(char_length(html) - 1, 0))"),
+                                                          F.lit("~"))).otherwise(body)
+    ours = materialize(_archive(pages, body), "archive")
+    theirs = _archive(pages, damaged).filter(F.coalesce(F.col("page_id") % 101 != 7, F.lit(True)))
+    again = ours.filter(F.col("page_id") % 103 == 11).withColumn("offset", F.col("offset") + (1 << 30))
+    theirs = materialize(theirs.unionByName(again), "replica")
+    found = warc_merkle.audit(warc_merkle.record_hashes(ours), warc_merkle.record_hashes(theirs))
+    places = ours.unionByName(again).select("page_id", F.col("file").alias("p_file"), F.col("offset").alias("p_offset"))
+    out = found.join(places, F.col("file").eqNullSafe(F.col("p_file")) & (F.col("offset") == F.col("p_offset")))
+    return out.select("page_id", "file", "offset", "kind")
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels outside the held-out third."""
+    return quality_model.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of at most 2048 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, listed rule and verdict of every page's url."""
+    return url_filter.judge(_read(spark, sf_dir, "pages"))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digest of every document, the licence it is and the notices it has."""
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer after inserts, deletes, revisions and repeated commits.
+
+    All documents are inserted with their counts under one tokenizer; those whose id leaves 0 when divided by 10 are
+    deleted, and those that leave 1 are counted anew under another tokenizer. Batches 2 and 3 are committed twice.
+    """
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = docs.withColumn("multi", F.coalesce(F.col("doc_id") % 10 == 1, F.lit(False)))
+    counts = materialize(token_rollup.count_tokens(docs, "text", {
+        "plain": packing.public_tokenizer(), "multi": packing.public_tokenizer("byte_bpe_multi_50k", special=())}), "counts")
+    store = token_rollup.Rollup(spark, new_scratch(spark, "rollup"))
+    old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
+    store.apply("1-insert", token_rollup.signed(counts, 1, old, "plain"))
+    deleted = token_rollup.signed(counts.filter(F.col("doc_id") % 10 == 0), -1, old, "plain")
+    revised = counts.filter(F.col("doc_id") % 10 == 1)
+    changes = token_rollup.signed(revised, -1, old, "plain").unionByName(token_rollup.signed(revised, 1, new, "multi"))
+    for _ in range(2):
+        store.apply("2-delete", deleted)
+        store.apply("3-revise", changes)
+    return store.totals()
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and robust outlier verdict of every document."""
     return quality_rules.judge(_read(spark, sf_dir, "documents"))
@@ -42,9 +115,31 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc_audit": op3_warc_audit,
+    "op4_quality_model": op4_quality_model,
     "op5_packing": op5_packing,
+    "op6_url_filter": op6_url_filter,
+    "op7_licence_scan": op7_licence_scan,
+    "op8_token_rollup": op8_token_rollup,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_OP3_SQL = f"""
+WITH r AS (
+  SELECT page_id, printf('pages-%06d.warc', CAST(floor(page_id / {FILE_PAGES}) AS BIGINT)) AS file,
+         strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ')
+         + strlen(coalesce(url, '')) + 2 + strlen('Content-Length: ')
+         + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + 4 + strlen(coalesce(html, '')) + 4 AS length
+  FROM pages),
+o AS (SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)
+SELECT page_id, file, "offset", 'missing' AS kind FROM o WHERE page_id % 101 = 7
+UNION ALL SELECT page_id, file, "offset", 'changed' FROM o WHERE page_id % 97 = 5 AND page_id % 101 <> 7
+UNION ALL SELECT page_id, file, "offset" + 1073741824, 'extra' FROM o WHERE page_id % 103 = 11
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc_audit": _OP3_SQL,
+    "op7_licence_scan": licences.oracle(),
+}
