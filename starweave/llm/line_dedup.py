@@ -210,20 +210,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     drops = materialize(repeated_lines(docs, id_col, text_col, min_chars, min_docs), "line-drops")
     size = drops.agg(F.sum(F.size("drop") * 8 + 32)).first()[0] or 0
-    drops = drops.select(F.col("id").alias("__drop_id"), F.col("drop").alias("__drop"))
+    drop_id, drop, kept, n_lines, n_dropped = fresh_names(docs.columns, "drop_id", "drop", "kept", "n_lines", "n_dropped")
+    drops = drops.select(F.col("id").alias(drop_id), F.col("drop").alias(drop))
     if size <= broadcast_limit:
         drops = F.broadcast(drops)
-    n_lines, n_dropped = fresh_names(docs.columns, "n_lines", "n_dropped")
     c = lambda name: F.col(f"`{name}`")
     text = F.coalesce(c(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x: (F.char_length(F.btrim(x, F.lit(WHITE_SPACE))) < min_chars)
-                    | ~F.array_contains(F.col("__drop"), line_hash(x)))
-    joined = docs.join(drops, c(id_col).cast("long").eqNullSafe(F.col("__drop_id")), "left")
-    joined = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
+    rest = F.filter(F.split(text, "\n", -1), lambda x: (F.char_length(F.btrim(x, F.lit(WHITE_SPACE))) < min_chars)
+                    | ~F.array_contains(F.col(drop), line_hash(x)))
+    joined = docs.join(drops, c(id_col).cast("long").eqNullSafe(F.col(drop_id)), "left")
+    joined = joined.withColumn(kept, F.when(F.col(drop).isNotNull(), rest))
     before = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    hit = F.col("__kept").isNotNull()
+    hit = F.col(kept).isNotNull()
     return joined.select(
-        *[F.when(hit, F.array_join("__kept", "\n")).otherwise(c(n)).alias(n) if n == text_col else c(n) for n in docs.columns],
-        before.alias(n_lines),
-        F.when(hit, before - F.size("__kept")).otherwise(0).cast("long").alias(n_dropped))
+        *[F.when(hit, F.array_join(kept, "\n")).otherwise(c(n)).alias(n) if n == text_col else c(n) for n in docs.columns],
+        before.alias(n_lines), F.when(hit, before - F.size(kept)).otherwise(0).cast("long").alias(n_dropped))

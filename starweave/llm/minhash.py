@@ -428,16 +428,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     verdict = near_duplicates(docs, id_col, text_col, settings)
     dropped = materialize(verdict.filter(~F.col("kept")).select(F.col(id_col).alias("gone")).distinct(), "dropped")
-    key = F.col(f"`{id_col}`").cast("long")
-    out = docs.join(small(dropped, 16), key == F.col("gone"), "left_anti")
-    twice = _repeated_ids(docs.select(key.alias("id")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key, text = F.col("row")[id_col].cast("long"), F.col("row")[text_col]
+    columns = [F.col("row")[c].alias(c) for c in docs.columns]
+    out = rows.join(small(dropped, 16), key == F.col("gone"), "left_anti")
+    twice = _repeated_ids(docs.select(F.col(f"`{id_col}`").cast("long").alias("id")))
     if twice.isEmpty():
-        return out
-    text = F.col(f"`{text_col}`")
+        return out.select(*columns)
     worded = F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     again = (key == F.col("twice")) & worded
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = (out.join(small(twice, 16), again, "left_semi").select(key.alias("__id"), row.alias("__row"), text.alias("__text"))
-           .groupBy("__id").agg(F.min_by("__row", "__text").alias("__row")))
-    one = one.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
-    return out.join(small(twice, 16), again, "left_anti").unionByName(one)
+    one = (out.join(small(twice, 16), again, "left_semi").select(key.alias("id"), "row", text.alias("text"))
+           .groupBy("id").agg(F.min_by("row", "text").alias("row")).select("row"))
+    return out.join(small(twice, 16), again, "left_anti").unionByName(one).select(*columns)
