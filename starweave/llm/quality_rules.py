@@ -40,7 +40,7 @@ class Settings:
     steps: int = 4
     min_group: int = 50
     cutoff: float = 50.0
-    floors: tuple[float, ...] = (0.5, 0.3, 0.05, 0.25, 0.25)
+    floors: tuple[float, ...] = (1.5, 0.3, 0.05, 0.25, 0.25)
 
 
 def _repeat_words(grams: Column) -> Column:
