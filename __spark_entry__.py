@@ -6,6 +6,7 @@ and rounding are identical on both sides; the oracle SQL is DuckDB over the pre-
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -236,16 +237,11 @@ def q_dq_fk_orphans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_dq_nulls_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NULL counts of every column of every table (every column treated as required)."""
-    parts = []
-    for t in CATALOGUE:
-        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-        rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_count"))
-                                   for c in df.columns]))
-        parts.append(one.select(F.lit(t).alias("table_name"), "n", rows.alias("r")).select(
-            "table_name", "r.column_name", "r.null_count",
-            F.when(F.col("n") > 0, F.round(F.col("r.null_count") * 100.0 / F.col("n"), 2)).otherwise(0.0)
-            .alias("null_percentage")))
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in CATALOGUE}
+    return _all([quality.null_counts(df, df.columns, t) for t, df in frames.items()])
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -268,34 +264,22 @@ def q_dq_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_row_count_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of the split tables against the counts the model implies (fact = input rows,
+    """Row counts of the loaded split tables against the counts the model implies (fact = input rows,
     dimension = distinct non-null natural keys)."""
-    m = modelled(spark, sf_dir)
-    src = m.source
-    parts = []
+    from starweave.plans import load
+
+    db, m = _loaded(spark, sf_dir)
+    expected = {}
     for name, t in m.model.tables.items():
-        actual = m.tables[name].agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("table_name"), F.lit(None).cast("long").alias("expected"), F.col("n").alias("actual"))
         if t.table_type == "FACT":
-            exp = src.agg(F.count(F.lit(1)).alias("n"))
+            n = m.source.agg(F.count(F.lit(1)))
         elif name == "DIM_DATE":
-            exp = src.select(F.explode(F.array(*[F.to_date(F.col(c)) for c in m.model.date_columns])).alias("d")) \
-                .where("d IS NOT NULL").agg(F.count_distinct("d").alias("n"))
+            n = m.source.select(F.explode(F.array(*[F.to_date(F.col(c)) for c in m.model.date_columns])).alias("d")).agg(
+                F.count_distinct("d"))
         else:
-            nk = [F.col(c) for c in t.natural_key]
-            cond = F.lit(True)
-            for c in nk:
-                cond = cond & c.isNotNull()
-            exp = src.where(cond).agg(F.count_distinct(F.struct(*nk)).alias("n"))
-        parts += [actual, exp.select(F.lit(name).alias("table_name"), F.col("n").alias("expected"),
-                                     F.lit(None).cast("long").alias("actual"))]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    # Two single-row aggregates per table, folded by table name (no join).
-    out = both.groupBy("table_name").agg(F.max("expected").alias("expected"), F.max("actual").alias("actual"))
-    return out.select("table_name", "expected", "actual", (F.col("actual") - F.col("expected")).alias("difference"),
-                      (F.col("actual") == F.col("expected")).alias("passed"))
+            n = m.source.agg(F.count_distinct(*[F.col(c) for c in t.natural_key]))
+        expected[name] = n.first()[0]
+    return load.validate_row_counts(spark, db, expected)
 
 
 def q_clustering_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +290,20 @@ def q_clustering_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_flatten_events_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id", F.from_json("props", "map<string,string>").alias("props"))
-    return ev.select("event_id", F.explode("props").alias("prop_key", "prop_value"))
+    child = flatten_nested(ev, ["event_id"])["props"]
+    return child.select("event_id", F.col("props_key").alias("prop_key"), F.col("props_value").alias("prop_value"))
+
+
+def q_flatten_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a struct that holds an array of orders that hold an array of line numbers: two levels of children."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("lines"))
+    nested = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("custkey")).agg(
+        F.struct(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("orderkey"), "lines"))).alias("orders")).alias("info"))
+    child = flatten_nested(nested, ["custkey"])["info_orders_lines"]
+    return child.select("custkey", F.col("info_orders_pos").alias("order_pos"), F.col("pos").alias("line_pos"),
+                        F.col("info_orders_lines").alias("linenumber"))
 
 
 def q_flatten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,8 +347,6 @@ def q_model_columns_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_csv_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write ``orders`` as CSV (split-table sink), read it back with sniffing, type inference and reject
     handling, and return the typed rows."""
-    import uuid
-
     from starweave.plans import sinks
     from starweave.session import scratch_path
     from starweave.sources import read_csv
@@ -364,8 +359,6 @@ def q_csv_roundtrip_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_jsonl_roundtrip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     from starweave.session import scratch_path
     from starweave.sources import read_jsonl
 
@@ -385,28 +378,207 @@ def q_validate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local_frame(spark, rows, "table_name string, ok boolean, message string")
 
 
-def _audited_runs(spark: SparkSession, sf_dir: str) -> str:
-    """Split orders_wide, write it, and load it twice into a fresh audit database: one complete run and one
-    that also names a table outside the model (that table fails, the run is PARTIAL). Returns the database."""
-    import uuid
-
+def _loaded(spark: SparkSession, sf_dir: str):
+    """orders_wide split, written and loaded into a fresh audit database by one complete run: (database, modelled)."""
     from starweave.plans import load, sinks
     from starweave.session import scratch_path
 
     m = modelled(spark, sf_dir)
     tag = uuid.uuid4().hex[:12]
-    out_dir = scratch_path(spark, f"split-{tag}")
-    summary = sinks.write_tables(spark, m.tables, out_dir).collect()  # one row per table
-    paths = {r["table_name"]: r["path"] for r in summary if r["error"] is None}
-    expected = {r["table_name"]: r["row_count"] for r in summary if r["error"] is None}
+    summary = sinks.write_tables(spark, m.tables, scratch_path(spark, f"split-{tag}")).collect()  # one row per table
+    m.paths = {r["table_name"]: r["path"] for r in summary if r["error"] is None}
+    m.expected = {r["table_name"]: r["row_count"] for r in summary if r["error"] is None}
     db = f"sw_audit_{tag}"
-    location = scratch_path(spark, f"warehouse-{tag}")
-    load.load_all(spark, m.model, paths, "orders_wide", db, expected_rows=expected, location=location)
-    load.load_all(spark, m.model, {**paths, "DIM_UNMODELLED": out_dir + "/missing"}, "orders_wide", db,
-                  expected_rows=expected, location=location)
+    load.load_all(spark, m.model, m.paths, "orders_wide", db, expected_rows=m.expected,
+                  location=scratch_path(spark, f"warehouse-{tag}"))
+    return db, m
+
+
+def _audited_runs(spark: SparkSession, sf_dir: str) -> str:
+    """A complete run, and one that also names a table outside the model (that table fails, the run is PARTIAL)."""
+    from starweave.plans import load
+
+    db, m = _loaded(spark, sf_dir)
+    missing = {"DIM_UNMODELLED": m.paths["FACT_MAIN"] + "-missing"}
+    load.load_all(spark, m.model, {**m.paths, **missing}, "orders_wide", db, expected_rows=m.expected)
     return db
 
 
+def q_audit_run_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drill-down into the failed run of a complete one, a partial one and one in which nothing could be loaded."""
+    from starweave.plans import audit, load
+
+    db = _audited_runs(spark, sf_dir)
+    load.load_all(spark, modelled(spark, sf_dir).model, {"DIM_NOWHERE": "/nowhere"}, "orders_wide", db)
+    detail = audit.run_detail(spark, db, status=audit.FAILED)
+    return detail["run"].join(detail["tables"].withColumnRenamed("STATUS", "TABLE_STATUS"), "RUN_ID").select(
+        "RUN_ID", "STATUS", "TOTAL_TABLES", "TABLES_LOADED", "TABLES_FAILED", "TABLE_NAME", "TABLE_STATUS", "ROWS_LOADED")
+
+
+def _lineitem_csv(spark: SparkSession, sf_dir: str) -> str:
+    """lineitem as CSV in which quantities of every 40th order are no numbers and every 50th order has a code "7D"."""
+    from starweave.plans import sinks
+    from starweave.session import scratch_path
+
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", F.when(F.col("l_orderkey") % 50 == 0, F.lit("7D")).otherwise(F.col("l_linenumber").cast("string")).alias("l_linenumber"),
+        F.when(F.col("l_orderkey") % 40 == 0, F.lit("many")).otherwise(F.col("l_quantity").cast("string")).alias("l_quantity"),
+        F.when(F.col("l_orderkey") % 3 == 0, F.lit("two\nlines")).otherwise("one").alias("note"))
+    out = scratch_path(spark, f"lineitem-{uuid.uuid4().hex[:12]}")
+    sinks.write_tables(spark, {"lineitem": li}, out, fmt="csv").collect()
+    return sinks.table_path(out, "lineitem")
+
+
+def _csv_loaded(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
+    from starweave.plans import audit, load
+    from starweave.session import scratch_path
+
+    db = f"sw_csv_{uuid.uuid4().hex[:12]}"
+    load.create_namespace(spark, db, scratch_path(spark, db))
+    audit.ensure_audit_tables(spark, db)
+    spark.sql(f"CREATE TABLE {db}.lineitem (l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, note STRING) USING parquet")
+    result = load.copy_into(spark, _lineitem_csv(spark, sf_dir), db, "lineitem", "csv")
+    audit.log_errors(spark, db, 1, "lineitem", result.rejects)
+    return db, result
+
+
+def q_csv_load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows loaded and rejected, by reason, from a CSV file with values that do not fit the table's types."""
+    db, result = _csv_loaded(spark, sf_dir)
+    good = spark.table(f"{db}.lineitem").agg(F.count(F.lit(1)).alias("rows"), F.count("l_quantity").alias("with_quantity"),
+                                             F.count_if(F.col("note").contains("\n")).alias("two_lines"))
+    bad = spark.table(f"{db}.INGESTION_ERRORS").groupBy(F.col("ERROR_MESSAGE").alias("reason")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("ROW_NUMBER").alias("with_quantity"),
+        F.count_if(F.col("REJECTED_ROW").contains("\n")).alias("two_lines"))
+    return good.select(F.lit("loaded").alias("reason"), "rows", "with_quantity", "two_lines").unionByName(bad)
+
+
+def q_csv_recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error view (its latest 500 entries) over the rejects of the same load."""
+    from starweave.plans import audit
+
+    db, _ = _csv_loaded(spark, sf_dir)
+    return audit.recent_errors(spark, db).agg(F.count(F.lit(1)).alias("shown"), F.count_distinct("ERROR_ID").alias("ids"),
+                                              F.min("TABLE_NAME").alias("table_name"))
+
+
+def q_csv_roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text with line breaks and quotes written as CSV and read back."""
+    from starweave.plans import sinks
+    from starweave.session import scratch_path
+    from starweave.sources import read_csv
+
+    out = scratch_path(spark, f"csv-{uuid.uuid4().hex[:12]}")
+    sinks.write_tables(spark, {"documents": spark.read.parquet(f"{sf_dir}/documents.parquet")}, out, fmt="csv").collect()
+    back = read_csv(spark, sinks.table_path(out, "documents"), na_values=("",))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+def q_csv_mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder of customer files in two encodings and two delimiters; the first column has codes like "10D"."""
+    from starweave.session import scratch_path
+    from starweave.sources import read_csv
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        "c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit("D")).alias("code"),
+        F.concat("c_name", F.lit(" José")).alias("name"), "c_acctbal")
+    out = scratch_path(spark, f"mixed-{uuid.uuid4().hex[:12]}")
+    for k, (sep, encoding) in enumerate(((",", "UTF-8"), (";", "ISO-8859-1"))):
+        c.where(F.col("c_custkey") % 2 == k).write.mode("append").option("header", True).option("sep", sep).option(
+            "encoding", encoding).csv(out)
+    return read_csv(spark, out).select("c_custkey", "code", "name", "c_acctbal")
+
+
+def q_json_array_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON array document per nation, read back as one table."""
+    from starweave.session import scratch_path
+    from starweave.sources import read_json
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    docs = c.groupBy(F.col("c_nationkey").alias("n")).agg(F.to_json(F.collect_list(F.struct("c_custkey", "c_name", "c_nationkey"))).alias("value"))
+    out = scratch_path(spark, f"json-{uuid.uuid4().hex[:12]}")
+    docs.write.partitionBy("n").text(out)
+    return read_json(spark, out).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name",
+                                        F.col("c_nationkey").cast("long").alias("c_nationkey"))
+
+
+def q_split_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split tables written as CSV and read back with the model's schema: rows per table and the checks' verdicts."""
+    from starweave.plans import sinks
+    from starweave.session import scratch_path
+
+    m = modelled(spark, sf_dir)
+    summary = sinks.write_tables(spark, m.tables, scratch_path(spark, f"split-{uuid.uuid4().hex[:12]}"), fmt="csv").collect()
+    back, failed = quality.load_split_tables(spark, m.model, {r["table_name"]: r["path"] for r in summary}, "csv")
+    counts = _all([df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in back.items()])
+    checks = quality.run_all(m.model, back, include_types=True).unionByName(failed)
+    bad = checks.groupBy(F.element_at(F.split("table_name", " "), 1).alias("table_name")).agg(F.count_if(~F.col("passed")).alias("failed"))
+    return counts.join(bad, "table_name").select("table_name", "rows", "failed")
+
+
+def q_append_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers appended to a table with other column order, one column more and one type wider."""
+    from starweave.plans import load
+    from starweave.session import scratch_path
+
+    db = f"sw_append_{uuid.uuid4().hex[:12]}"
+    load.create_namespace(spark, db, scratch_path(spark, db))
+    spark.sql(f"CREATE TABLE {db}.customer (c_name STRING, c_custkey BIGINT, c_note STRING, c_nationkey BIGINT) USING parquet")
+    load.append_by_name(spark, spark.read.parquet(f"{sf_dir}/customer.parquet"), db, "customer")
+    return spark.table(f"{db}.customer")
+
+
+def _wide_model_columns(**options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return modelled(spark, sf_dir, **options).model.columns_frame().select(
+            "table_name", "column_order", "column_name", "data_type", "nullable", "is_pk", "is_fk", "references_table",
+            "references_column")
+    return run
+
+
+def q_numeric_profile_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of lineitem in which NaN stands for the values of line number 7; NaN counts as missing."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("l_quantity"))
+    p = profile_tables(spark, {"lineitem": li})
+    out = p.numeric_profile().join(p.column_profile().select("column_name", "null_count", "distinct_count"), "column_name").select(
+        "column_name", "total_rows", "null_count", "distinct_count", "min", "max", "mean", "median", "std", "q1", "q3", "outlier_count")
+    return _round(out, ["min", "max", "mean", "median", "std", "q1", "q3"])
+
+
+def q_date_profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as text in two layouts, with texts that are no dates and missing ones."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.col("o_orderdate").cast("date")
+    text = (F.when(F.col("o_orderkey") % 10 == 0, F.lit("soon")).when(F.col("o_orderkey") % 10 == 1, F.lit(None).cast("string"))
+            .when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "MM/dd/yyyy")).otherwise(day.cast("string")))
+    return profile_tables(spark, {"orders": o.select(text.alias("order_date"))}).date_profile()
+
+
+def q_dq_failing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary-key, foreign-key, NULL and value-type checks on frames that violate them, with the first violations."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(F.col("o_orderkey") % 5 != 0)
+    holes = li.select(F.when(F.col("l_linenumber") > 1, F.col("l_quantity")).alias("l_quantity"), "l_suppkey")
+    out = _all([quality.check_pk(li, ["l_orderkey"], "lineitem"), quality.check_fk(li, orders, "l_orderkey", "o_orderkey", "lineitem -> orders"),
+                quality.check_nulls(holes, ["l_quantity", "l_suppkey"], "lineitem")])
+    return out.select("table_name", "check_name", "column_name", "passed", "violation_count", "message",
+                      F.array_join("sample", ",").alias("sample"))
+
+
+def q_dq_value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a text column that do not convert to the expected type."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.when(F.col("l_linenumber") == 3, F.lit("n/k")).otherwise(F.col("l_quantity").cast("string")).alias("l_quantity"))
+    return quality.value_type_violations(li, {"l_quantity": "double"}, "lineitem")
+
+
+def q_orphan_sample_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 least document ids without a label (a top-k report)."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.orphan_sample(docs, labels, "doc_id", "doc_id").select(F.col("key").alias("doc_id"))
+
+
 def q_audit_table_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starweave.plans import audit
 
@@ -498,6 +670,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "audit_table_status": q_audit_table_status,
         "audit_summary": q_audit_summary,
         "audit_recent_runs": q_audit_recent_runs,
+        "audit_run_detail": q_audit_run_detail,
+        "flatten_order_lines": q_flatten_order_lines,
+        "csv_load_rejects": q_csv_load_rejects,
+        "csv_recent_errors": q_csv_recent_errors,
+        "csv_roundtrip_documents": q_csv_roundtrip_documents,
+        "csv_mixed_folder": q_csv_mixed_folder,
+        "json_array_customers": q_json_array_customers,
+        "split_readback": q_split_readback,
+        "append_by_name": q_append_by_name,
+        "model_columns_3nf": _wide_model_columns(model_type="3nf"),
+        "model_columns_no_date": _wide_model_columns(include_date_dim=False),
+        "numeric_profile_nan": q_numeric_profile_nan,
+        "date_profile_text": q_date_profile_text,
+        "dq_failing_checks": q_dq_failing_checks,
+        "dq_value_types": q_dq_value_types,
+        "orphan_sample_labels": q_orphan_sample_labels,
     }
     if llm_queries is not None:
         out |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
@@ -628,11 +816,10 @@ def sql_top_values(table: str) -> str:
     branches = []
     for c in cols:
         txt = f"CAST(\"{c}\" AS VARCHAR)"
-        key = f"CASE WHEN length({txt}) > 64 THEN '#' || sha256({txt}) ELSE {txt} END"
         branches.append(
             f"SELECT '{table}' AS table_name, '{c}' AS column_name, CAST(rank AS INTEGER) AS rank, value, count FROM ("
-            f"SELECT k, min(raw) AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, k ASC) AS rank "
-            f"FROM (SELECT {key} AS k, {txt} AS raw FROM {rel} WHERE \"{c}\" IS NOT NULL) GROUP BY k) WHERE rank <= 10")
+            f"SELECT {txt} AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, sha256({txt}) ASC) AS rank "
+            f"FROM {rel} WHERE \"{c}\" IS NOT NULL GROUP BY {txt}) WHERE rank <= 10")
     return w + "\nUNION ALL\n".join(branches)
 
 
@@ -903,7 +1090,7 @@ def sql_clustering_recommendation() -> str:
             "SELECT 'FACT_MAIN', 'customer_id_FK', 'customer_id', 1, count(DISTINCT customer_id), 'foreign key' FROM orders_wide "
             "UNION ALL SELECT 'FACT_MAIN', 'order_status_FK', 'order_status', 1, count(DISTINCT order_status), 'foreign key' "
             "FROM orders_wide UNION ALL SELECT 'FACT_MAIN', 'transaction_id_FK', 'transaction_id', 1, "
-            "count(DISTINCT transaction_id), 'foreign key' FROM orders_wide) c QUALIFY cluster_rank <= 3")
+            "count(DISTINCT transaction_id), 'foreign key' FROM orders_wide) c")
 
 
 _SPLIT_COUNTS = {
@@ -998,6 +1185,102 @@ def sql_numeric_profile_all() -> str:
             f"FROM ({body}) s")
 
 
+_MODEL_NAMES = ["table_name", "column_order", "column_name", "data_type", "nullable", "is_pk", "is_fk", "references_table",
+                "references_column"]
+
+
+def _with_metadata(rows: list[tuple]) -> str:
+    """Model rows, each table followed by the four metadata columns."""
+    out = list(rows)
+    for t in dict.fromkeys(r[0] for r in rows):
+        width = sum(r[0] == t for r in rows)
+        out += [(t, width + j + 1, m, dt, nl, False, False, None, None) for j, (m, dt, nl) in enumerate(_METADATA)]
+    return _values(out, _MODEL_NAMES)
+
+
+def sql_model_columns_3nf() -> str:
+    """3NF: one main table with the best key first, then every other column in the order of the input; no fact."""
+    types = {"INTEGER": "NUMBER(38,0)", "FLOAT": "FLOAT", "STRING": "TEXT", "DATE": "TIMESTAMP_NTZ"}
+    rest = [(c, k) for c, k in SCHEMAS["orders_wide"] if c != "transaction_id"]
+    rows = [("MAIN_TABLE", 1, "transaction_id", "NUMBER(38,0)", False, True, False, None, None)]
+    rows += [("MAIN_TABLE", i + 2, c, types[k], False, False, False, None, None) for i, (c, k) in enumerate(rest)]
+    return _with_metadata(rows + [r for r in _MODEL_COLUMNS if r[0] == "DIM_DATE"])
+
+
+def sql_model_columns_no_date() -> str:
+    """Without the date dimension neither its table nor the fact's key to it exists."""
+    kept = [r for r in _MODEL_COLUMNS if r[0] != "DIM_DATE" and r[7] != "DIM_DATE"]
+    order: dict[str, int] = {}
+    rows = []
+    for r in kept:
+        order[r[0]] = order.get(r[0], 0) + 1
+        rows.append((r[0], order[r[0]], *r[2:]))
+    return _with_metadata(rows)
+
+
+_NEW_ORACLES = {
+    "audit_run_detail": (
+        "SELECT CAST(3 AS BIGINT) AS RUN_ID, 'FAILED' AS STATUS, CAST(1 AS BIGINT) AS TOTAL_TABLES, CAST(0 AS BIGINT) AS TABLES_LOADED, "
+        "CAST(1 AS BIGINT) AS TABLES_FAILED, 'DIM_NOWHERE' AS TABLE_NAME, 'FAILED' AS TABLE_STATUS, CAST(0 AS BIGINT) AS ROWS_LOADED"),
+    "flatten_order_lines": (
+        "WITH o AS (SELECT o_custkey AS custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) "
+        "AS order_pos FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) "
+        "SELECT custkey, order_pos, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS line_pos, "
+        "l_linenumber AS linenumber FROM o JOIN lineitem ON l_orderkey = o_orderkey"),
+    "csv_load_rejects": (
+        "SELECT reason, count(*) AS rows, count(*) AS with_quantity, count(*) FILTER (l_orderkey % 3 = 0) AS two_lines FROM ("
+        "SELECT l_orderkey, CASE WHEN l_orderkey % 40 <> 0 AND l_orderkey % 50 <> 0 THEN 'loaded' ELSE 'cannot convert: ' || "
+        "concat_ws(', ', CASE WHEN l_orderkey % 50 = 0 THEN 'l_linenumber' END, CASE WHEN l_orderkey % 40 = 0 THEN 'l_quantity' END) END AS reason "
+        "FROM lineitem) GROUP BY reason"),
+    "csv_recent_errors": (
+        "SELECT least(count(*), 500) AS shown, least(count(*), 500) AS ids, 'lineitem' AS table_name FROM lineitem "
+        "WHERE l_orderkey % 40 = 0 OR l_orderkey % 50 = 0"),
+    "csv_roundtrip_documents": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "csv_mixed_folder": (
+        "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, CAST(c_custkey AS VARCHAR) || 'D' AS code, c_name || ' José' AS name, c_acctbal "
+        "FROM customer"),
+    "json_array_customers": (
+        "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer"),
+    "append_by_name": (
+        "SELECT c_name, CAST(c_custkey AS BIGINT) AS c_custkey, CAST(NULL AS VARCHAR) AS c_note, CAST(c_nationkey AS BIGINT) AS c_nationkey "
+        "FROM customer"),
+    "numeric_profile_nan": (
+        "WITH v AS (SELECT CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS DOUBLE) END AS x FROM lineitem), "
+        "q AS (SELECT quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM v) "
+        "SELECT 'l_quantity' AS column_name, count(*) AS total_rows, count(*) - count(x) AS null_count, count(DISTINCT x) AS distinct_count, "
+        "round(min(x), 2) AS min, round(max(x), 2) AS max, round(avg(x), 2) AS mean, round(quantile_cont(x, 0.5), 2) AS median, "
+        "round(stddev_samp(x), 2) AS std, round(any_value(q1), 2) AS q1, round(any_value(q3), 2) AS q3, "
+        "count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outlier_count FROM v, q"),
+    "date_profile_text": (
+        "SELECT 'orders' AS table_name, 'order_date' AS column_name, count(*) FILTER (o_orderkey % 10 > 1) AS valid_date_count, "
+        "count(*) FILTER (o_orderkey % 10 <= 1) AS invalid_date_count, "
+        "CAST(CAST(min(o_orderdate) FILTER (o_orderkey % 10 > 1) AS TIMESTAMP) AS VARCHAR) AS min_date, "
+        "CAST(CAST(max(o_orderdate) FILTER (o_orderkey % 10 > 1) AS TIMESTAMP) AS VARCHAR) AS max_date FROM orders"),
+    "dq_failing_checks": (
+        "WITH d AS (SELECT l_orderkey AS k, count(*) AS c FROM lineitem GROUP BY 1 HAVING count(*) > 1), "
+        "f AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)), "
+        "n AS (SELECT count(*) AS c FROM lineitem WHERE l_linenumber <= 1) "
+        "SELECT 'lineitem' AS table_name, 'primary_key_uniqueness' AS check_name, 'l_orderkey' AS column_name, false AS passed, "
+        "CAST(sum(c) AS BIGINT) AS violation_count, printf('Found %d duplicate primary key rows', CAST(sum(c) AS BIGINT)) AS message, "
+        "(SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT CAST(k AS VARCHAR) AS t FROM d ORDER BY t LIMIT 10)) AS sample FROM d "
+        "UNION ALL SELECT 'lineitem -> orders', 'foreign_key_integrity', 'l_orderkey', false, count(*), "
+        "printf('Found %d orphaned foreign keys', count(*)), "
+        "(SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT CAST(k AS VARCHAR) AS t FROM f ORDER BY t LIMIT 10)) FROM f "
+        "UNION ALL SELECT 'lineitem', 'null_constraints', NULL, false, c, 'Found nulls in 1 required columns', 'l_quantity: ' || c FROM n"),
+    "dq_value_types": (
+        "SELECT 'lineitem' AS table_name, 'l_quantity' AS column_name, 'double' AS expected, count(*) FILTER (l_linenumber = 3) AS failed_count, "
+        "round(count(*) FILTER (l_linenumber = 3) * 100.0::DOUBLE / count(*), 2) AS failed_percentage FROM lineitem"),
+    "orphan_sample_labels": (
+        "SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY 1 LIMIT 100"),
+}
+
+
+def sql_split_readback() -> str:
+    w, _ = _src("orders_wide")
+    return w + "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, {e} AS rows, CAST(0 AS BIGINT) AS failed FROM orders_wide"
+                                     for t, e in _SPLIT_COUNTS.items())
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "column_profile_events": sql_column_profile("events"),
@@ -1103,6 +1386,8 @@ def oracle_sql() -> dict[str, str]:
             "CAST(6 AS BIGINT) AS TOTAL_TABLES, CAST(5 AS BIGINT) AS TABLES_LOADED, CAST(1 AS BIGINT) AS TABLES_FAILED "
             "UNION ALL SELECT 1, 'SUCCESS', 'orders_wide', 5, 5, 0"),
     }
+    out |= _NEW_ORACLES | {"model_columns_3nf": sql_model_columns_3nf(), "model_columns_no_date": sql_model_columns_no_date(),
+                           "split_readback": sql_split_readback()}
     if llm_queries is not None:
         out |= llm_queries.ORACLES
         if corpus_pipeline.ORACLE_SQL is not None:

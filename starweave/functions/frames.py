@@ -1,95 +1,20 @@
-"""Small literal frames built JVM-side (no Python worker round trip, sizes known to the optimizer)."""
+"""Small local frames: metadata-sized rows (columns, tables, checks) as a local relation, never data rows."""
 
 from __future__ import annotations
 
-import datetime as _dt
-
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-
-
-def _literal(v, dt: T.DataType):
-    """A literal of type ``dt``; wall-clock timestamps go through text so no time zone shifts them."""
-    if isinstance(v, _dt.datetime) and isinstance(dt, T.TimestampNTZType):
-        return F.lit(v.isoformat(sep=" ")).cast(dt)
-    return F.lit(v).cast(dt)
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_frame(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
-    """A frame of literal rows (metadata-sized: columns, tables, checks — never data rows)."""
+    """A frame of the given rows; the optimizer sees a local relation of known size."""
     st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    if not rows:
-        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
-    structs = [
-        F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(r, st.fields)])
-        for r in rows
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-# Inputs read from more files than this are taken to arrive in enough splits already; inputs under
-# _TINY_INPUT bytes are not worth a shuffle.
-_FEW_FILES = 64
-_TINY_INPUT = 1 << 20
-
-
-def _input_bytes(df: DataFrame, limit: int) -> int | None:
-    """Total size of the files under ``df`` (stops counting past ``limit``); None when unknown or many files."""
-    try:
-        files = df.inputFiles()
-        if not files or len(files) > _FEW_FILES:
-            return None
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        total = 0
-        for f in files:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            total += path.getFileSystem(conf).getFileStatus(path).getLen()
-            if total > limit:
-                break
-        return total
-    except Exception:  # noqa: BLE001 - unknown size: leave the input as it is
-        return None
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a *small* input over all cores before heavy per-row work.
-
-    A file smaller than a couple of splits (often a single Parquet row group) is read by one task, and every
-    per-row step above the scan (joins with broadcast sides, unpivoting, hashing, map-side aggregation) then
-    runs on that task alone. When the input comes from at most a few dozen files totalling less than two
-    file splits (and more than 1 MB, below which one task is cheaper), it is round-robin
-    repartitioned to the default parallelism — a shuffle of at most two splits' worth of data. Larger inputs already arrive in many splits and are returned unchanged, so this
-    never adds a shuffle at scale.
-    """
-    spark = df.sparkSession
-    split = _bytes_conf(spark, "spark.sql.files.maxPartitionBytes", 134217728)
-    size = _input_bytes(df, 2 * split)
-    # Tiny inputs (code tables) are cheaper to process in one task than to redistribute.
-    if size is None or size > 2 * split or size < _TINY_INPUT:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
-
-
-def _bytes_conf(spark: SparkSession, key: str, default: int) -> int:
-    try:
-        raw = str(spark.conf.get(key)).strip().lower()  # without a fallback: Spark's own default applies
-    except Exception:  # noqa: BLE001
-        return default
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    raw = raw[:-1] if raw.endswith("b") else raw
-    if raw and raw[-1] in units and raw[:-1].isdigit():
-        return int(raw[:-1]) * units[raw[-1]]
-    return int(raw) if raw.isdigit() else default
-
-
-# Largest side broadcast on an explicit hint (rows); beyond it the join is left to AQE's measured sizes.
-BROADCAST_MAX_ROWS = 100_000
-
+    arrow = to_arrow_schema(st)
+    columns = list(zip(*rows)) if rows else [()] * len(st.fields)
+    arrays = [pa.array([_arrow_value(v, f.dataType) for v in c], a.type) for c, f, a in zip(columns, st.fields, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=st.names), st)
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it holds at most ``max_rows`` rows, else ``df`` unchanged (AQE then picks a
-    broadcast only if the measured size allows, otherwise a sort-merge join with skew splitting).
 
-    The check is ``limit(max_rows + 1).count()``: it stops reading as soon as the bound is exceeded.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _arrow_value(v, dt: T.DataType):
+    return float(v) if v is not None and isinstance(dt, (T.FloatType, T.DoubleType)) else v

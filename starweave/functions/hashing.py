@@ -1,7 +1,7 @@
 """Deterministic text form of values and SHA-256 keys over it (row hash, surrogate keys).
 
 The canonical text of a value is what the hash covers, so it is defined once, here:
-strings as is, integers in decimal, timestamps as ``yyyy-MM-dd HH:mm:ss[.f]``, dates as ``yyyy-MM-dd``,
+strings as is, integers in decimal, timestamps as ``yyyy-MM-dd HH:mm:ss[.ffffff]`` (instants in UTC), dates as ``yyyy-MM-dd``,
 booleans as ``True`` / ``False``, floating point in the shortest round-trip form with fixed notation for
 1e-4 <= |x| < 1e16 (``10000000.0``, ``0.00025``) and ``1e+16`` / ``2.5e-06`` outside — the layout of
 Python's ``str`` and of DuckDB (single precision: numpy's layout, positional below 1e6) (Spark's own cast writes ``1.0E7`` and, on some JVMs, 17 digits where 16
@@ -90,9 +90,21 @@ def canonical_text(col: Column | str, data_type: T.DataType | None = None) -> Co
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return float_text(c, single=isinstance(data_type, T.FloatType))
+    if isinstance(data_type, T.TimestampType):  # the UTC wall time, whatever the session's zone
+        seconds = (F.unix_micros(c) / F.lit(1000000).cast("decimal(20,0)")).cast("decimal(18,6)")
+        c = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+        return _six_digits(c.cast("string"))
+    if isinstance(data_type, T.TimestampNTZType):
+        return _six_digits(c.cast("string"))
     return c.cast("string")
 
 
+def _six_digits(text: Column) -> Column:
+    """Timestamp text whose fraction, if there is one, has six digits."""
+    return F.when(text.contains("."), F.concat(F.substring_index(text, ".", 1), F.lit("."),
+                                               F.rpad(F.substring_index(text, ".", -1), 6, "0"))).otherwise(text)
+
+
 def hash_columns(columns: Iterable[Column | str], types: Iterable[T.DataType | None] | None = None) -> Column:
     """SHA-256 hex over ``text(v1)|text(v2)|...`` with NULL as ''."""
     cols = list(columns)
@@ -105,4 +117,4 @@ def hash_frame_columns(df, names: Iterable[str]) -> Column:
     """``hash_columns`` over named columns of ``df``, using their declared types."""
     names = list(names)
     types = {f.name: f.dataType for f in df.schema.fields}
-    return hash_columns([F.col(n) for n in names], [types[n] for n in names])
+    return hash_columns([F.col(f"`{n}`") for n in names], [types[n] for n in names])

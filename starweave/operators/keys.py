@@ -3,96 +3,75 @@
 Singles come straight from the column profile. Pairs are pruned before any data is touched:
  * a pair cannot reach the threshold when d(a)·d(b) < 0.95·n (NULL counts as one more value);
  * a pair containing a column whose values (NULL included) are all different has exactly n values.
-Only the remaining pairs are counted: each row emits a typed ``(pair, a, b)`` entry per pair, counted with
-map-side partial aggregation. Values keep their types (so ``('a|b','c')`` differs from ``('a','b|c')``)
-and NULL is a value. Pairs sharing a near-unique column are counted through it (``_pair_counts_near_unique``).
+
+The remaining pairs are counted in slices of their hash space, ``PAIRS_PER_JOB`` pairs to a job. The duplicates of a
+slice are exact, and a pair whose duplicates so far exceed 5 % of all rows cannot be a key any more: it is dropped
+for good, so only pairs that are (nearly) keys are ever counted in full. Values keep their types (``('a|b','c')``
+differs from ``('a','b|c')``) and NULL is a value.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
-from starweave.functions.frames import BROADCAST_MAX_ROWS, local_frame
-from starweave.operators.profile import Profile, family_value, type_family, typed_key
+from starweave.functions.frames import local_frame
+from starweave.operators.profile import Profile, family_value, is_missing, type_family
 
 # Fixed value: share of distinct values over rows for a candidate key.
 MIN_UNIQUENESS = 0.95
 
 
-def _pair_counts(df: DataFrame, table_name: str, pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """Exact distinct counts of the given column pairs.
+# Hash slices counted in each round (of SLICES), and pairs counted by one job.
+SLICES = 32
+ROUNDS = ((0, 1), (1, 4), (4, 12), (12, 32))
+PAIRS_PER_JOB = 48
 
-    Pairs are grouped by the type families of their two columns; within a group every row emits one
-    ``(pair, a, b)`` entry per pair with native types (no text formatting), counted by a partially
-    aggregated ``distinct`` and a per-pair count — linear in rows × pairs, shuffled by value, never
-    gathered into one task. NULL is a value (``distinct`` treats NULLs as equal).
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    by_sig: dict[tuple[str, str], list[tuple[int, str, str]]] = {}
-    for i, (a, b) in enumerate(pairs):
-        by_sig.setdefault((type_family(types[a]), type_family(types[b])), []).append((i, a, b))
-    needed = sorted({c for p in pairs for c in p})
-    df = df.select(*[F.col(f"`{c}`") for c in needed])
-    if len(by_sig) > 1 and df.storageLevel == StorageLevel.NONE:
-        # Every signature group reads the pair columns: keep the projection for the count (spilling to
-        # disk), so the source is scanned once however many groups there are.
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = None
-    for (fa, fb), members in by_sig.items():
-        q = lambda c: F.col(f"`{c}`")
-        stacked = F.explode(F.array(*[
-            F.struct(F.lit(i).alias("pair"), family_value(q(a), types[a], fa).alias("a"),
-                     family_value(q(b), types[b], fb).alias("b"))
-            for i, a, b in members
-        ]))
-        counted = (
-            df.select(stacked.alias("e")).select("e.pair", "e.a", "e.b").distinct()
-            .groupBy("pair").agg(F.count(F.lit(1)).alias("distinct_count"))
-        )
-        out = counted if out is None else out.unionByName(counted)
-    names = local_frame(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)],
-                        "pair int, column_1 string, column_2 string")
-    # ``names`` has one row per counted pair: a bounded broadcast.
-    return df, out.join(F.broadcast(names), "pair").select(
-        F.lit(table_name).alias("table_name"), "column_1", "column_2", "distinct_count"
-    )
 
+def _slice_counts(df: DataFrame, pairs: list[tuple[int, str, str]], lo: int, hi: int) -> DataFrame:
+    """(pair, distinct, rows) within the hash slices lo..hi-1 of each (number, column, column).
 
-# Fixed value: a pivot column qualifies for the duplicate-rows shortcut when at most this share of the rows
-# carries a value that occurs more than once.
-NEAR_UNIQUE_DUP_SHARE = 0.05
+    Pairs are grouped by the type families of their columns; a row emits one typed entry for each pair whose value
+    hash is in the slices, counted with partial aggregation: a hot value is one row per task.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    by_families: dict[tuple[str, str], list] = {}
+    for i, a, b in pairs:
+        by_families.setdefault((type_family(types[a]), type_family(types[b])), []).append((i, a, b))
 
+    def value(c: str, family: str):
+        col = F.col(f"`{c}`")
+        return F.when(~is_missing(col, types[c]), family_value(col, types[c], family))
 
-def _pair_counts_near_unique(df: DataFrame, table_name: str, pivot: str, others: list[str], n: int
-                             ) -> tuple[DataFrame, DataFrame] | None:
-    """Exact distinct counts of the pairs (pivot, other) for a near-unique pivot column.
+    def entry(i: int, a: str, b: str, fa: str, fb: str):
+        return F.struct(F.lit(i).alias("pair"), value(a, fa).alias("a"), value(b, fb).alias("b"))
 
-    A row whose pivot value occurs once contributes exactly one distinct pair, so the count is the number
-    of such singleton values plus the distinct pairs among the rows whose pivot value repeats. Those rows
-    are found by one aggregation of the pivot column and a broadcast semi-join with the repeated values —
-    only when that set is small (checked); otherwise ``None`` and the caller counts the pairs directly.
-    """
-    key = typed_key(F.col(f"`{pivot}`"), df.schema[pivot].dataType)
-    per_value = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    stats = per_value.agg(F.count_if(F.col("c") == 1).alias("singletons"),
-                          F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).alias("dup_rows")).first()
-    if stats["dup_rows"] > NEAR_UNIQUE_DUP_SHARE * n:
-        return None
-    repeated = per_value.where(F.col("c") > 1).select("k")
-    if repeated.limit(BROADCAST_MAX_ROWS + 1).count() > BROADCAST_MAX_ROWS:
-        return None
-    keyed = df.select("*", key.alias("__k"))
-    # ``repeated`` is size-checked above; NULL is a value, hence the null-safe join key.
-    dup_rows = keyed.join(F.broadcast(repeated), keyed["__k"].eqNullSafe(repeated["k"]), "left_semi").drop("__k")
-    cached, counted = _pair_counts(dup_rows, table_name, [(pivot, o) for o in others])
-    singles = stats["singletons"]
-    got = counted.select("column_1", "column_2", (F.col("distinct_count") + F.lit(singles)).alias("distinct_count"))
-    names = local_frame(df.sparkSession, [(pivot, o) for o in others], "column_1 string, column_2 string")
-    # Pairs with no repeated rows at all have exactly ``singles`` distinct values.
-    return cached, names.join(got, ["column_1", "column_2"], "left").select(
-        F.lit(table_name).alias("table_name"), "column_1", "column_2",
-        F.coalesce("distinct_count", F.lit(singles)).cast("long").alias("distinct_count"))
+    out = None
+    for (fa, fb), members in by_families.items():
+        entries = F.array(*[entry(i, a, b, fa, fb) for i, a, b in members])
+        inside = F.filter(entries, lambda e: F.pmod(F.xxhash64(e["a"], e["b"]), F.lit(SLICES)).between(lo, hi - 1))
+        part = df.select(F.explode(inside).alias("e")).groupBy("e.pair", "e.a", "e.b").agg(F.count(F.lit(1)).alias("c")).groupBy(
+            "pair").agg(F.count(F.lit(1)).alias("distinct"), F.sum("c").alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pair_distinct_counts(df: DataFrame, pairs: list[tuple[str, str]], n: int, min_uniqueness: float) -> dict[tuple[str, str], int]:
+    """Distinct values of those pairs that reach ``min_uniqueness`` of the ``n`` rows; the others are left out."""
+    distinct = {p: 0 for p in pairs}
+    duplicates = {p: 0 for p in pairs}
+    for lo, hi in ROUNDS:
+        left = list(distinct)
+        for at in range(0, len(left), PAIRS_PER_JOB):
+            batch = left[at:at + PAIRS_PER_JOB]
+            columns = sorted({c for p in batch for c in p})
+            counts = _slice_counts(df.select(*[F.col(f"`{c}`") for c in columns]),
+                                   [(i, a, b) for i, (a, b) in enumerate(batch)], lo, hi)
+            for r in counts.collect():  # one row per pair
+                pair = batch[r["pair"]]
+                distinct[pair] += r["distinct"]
+                duplicates[pair] += r["rows"] - r["distinct"]
+        distinct = {p: d for p, d in distinct.items() if n - duplicates[p] >= min_uniqueness * n}
+    return distinct
 
 
 def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pairs: bool = True) -> DataFrame:
@@ -105,16 +84,14 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
     by_table: dict[str, list] = {}
     for r in cp_rows:
         by_table.setdefault(r["table_name"], []).append(r)
-    static_rows = []
-    counted_parts = []
-    pair_inputs: list[DataFrame] = []
+    rows = []
     for table, cols in by_table.items():
         cols.sort(key=lambda r: r["ordinal"])
         n = cols[0]["total_rows"] if cols else 0
         for r in cols:
             u = r["distinct_count"] / n if n else 0.0
             if u >= min_uniqueness:
-                static_rows.append((table, "single", r["column_name"], None, r["ordinal"], None,
+                rows.append((table, "single", r["column_name"], None, r["ordinal"], None,
                                     r["distinct_count"], r["null_count"]))
         if not pairs or n == 0:
             continue
@@ -124,63 +101,22 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
                 da = a["distinct_count"] + (1 if a["null_count"] else 0)
                 db = b["distinct_count"] + (1 if b["null_count"] else 0)
                 if da == n or db == n:
-                    static_rows.append((table, "composite", a["column_name"], b["column_name"], a["ordinal"],
+                    rows.append((table, "composite", a["column_name"], b["column_name"], a["ordinal"],
                                         b["ordinal"], n, None))
                 elif da * db >= min_uniqueness * n:
                     to_count.append((a, b))
-        if to_count:
-            # Pairs sharing a near-unique column (few rows with a repeated value) are counted through it.
-            by_pivot: dict[str, list] = {}
-            for a, b in to_count:
-                pv, other = (a, b) if a["distinct_count"] >= b["distinct_count"] else (b, a)
-                dup_bound = n - pv["distinct_count"] - (1 if pv["null_count"] else 0)
-                if dup_bound <= NEAR_UNIQUE_DUP_SHARE * n * 2:
-                    by_pivot.setdefault(pv["column_name"], []).append((a, b, other["column_name"]))
-            parts = []
-            rest = list(to_count)
-            for pv, members in by_pivot.items():
-                if len(members) < 2:
-                    continue  # one pair: counting it directly is as cheap
-                res = _pair_counts_near_unique(profile.tables[table], table, pv, [o for _, _, o in members], n)
-                if res is None:
-                    continue
-                cached, got = res
-                pair_inputs.append(cached)
-                order = {(pv, o): (a["column_name"], b["column_name"]) for a, b, o in members}
-                fix = local_frame(spark, [(k[0], k[1], v[0], v[1]) for k, v in order.items()],
-                                  "p string, o string, column_1 string, column_2 string")
-                parts.append(got.join(F.broadcast(fix), (got.column_1 == fix.p) & (got.column_2 == fix.o))
-                             .select(got.table_name, fix.column_1, fix.column_2, got.distinct_count))
-                done = {(a["column_name"], b["column_name"]) for a, b, _ in members}
-                rest = [(a, b) for a, b in rest if (a["column_name"], b["column_name"]) not in done]
-            if rest:
-                cached, part = _pair_counts(profile.tables[table], table,
-                                            [(a["column_name"], b["column_name"]) for a, b in rest])
-                pair_inputs.append(cached)
-                parts.append(part)
-            part = parts[0]
-            for extra in parts[1:]:
-                part = part.unionByName(extra)
-            ords = local_frame(spark, 
-                [(a["column_name"], b["column_name"], a["ordinal"], b["ordinal"]) for a, b in to_count],
-                "column_1 string, column_2 string, ordinal_1 int, ordinal_2 int",
-            )
-            counted_parts.append(
-                part.join(F.broadcast(ords), ["column_1", "column_2"]).select(
-                    "table_name", F.lit("composite").alias("key_type"), "column_1", "column_2", "ordinal_1",
-                    "ordinal_2", "distinct_count", F.lit(None).cast("long").alias("null_count"),
-                )
-            )
+        names = [(a["column_name"], b["column_name"]) for a, b in to_count]
+        found = pair_distinct_counts(profile.tables[table], names, n, min_uniqueness) if names else {}
+        rows += [(table, "composite", *names[k], a["ordinal"], b["ordinal"], found[names[k]], None)
+                 for k, (a, b) in enumerate(to_count) if names[k] in found]
     totals = local_frame(spark, 
         [(t, cols[0]["total_rows"]) for t, cols in by_table.items() if cols], "table_name string, total_rows long"
     )
     keys = local_frame(spark, 
-        static_rows,
+        rows,
         "table_name string, key_type string, column_1 string, column_2 string, ordinal_1 int, ordinal_2 int, "
         "distinct_count long, null_count long",
     )
-    for p in counted_parts:
-        keys = keys.unionByName(p)
     keys = keys.join(F.broadcast(totals), "table_name").select(
         "table_name", "key_type", "column_1", "column_2", "ordinal_1", "ordinal_2",
         F.round(F.when(F.col("total_rows") > 0, F.col("distinct_count") / F.col("total_rows")).otherwise(0.0), 4)
@@ -193,10 +129,7 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
     ranked = keys.withColumn("key_rank", F.row_number().over(order))
     # The key list is metadata-sized (at most columns² / 2 rows per table): computed once, then reused by
     # the model, the table profile and reports without re-counting pairs.
-    rows = [tuple(r) for r in ranked.collect()]
-    for cached in pair_inputs:
-        cached.unpersist()
-    return local_frame(spark, rows, ranked.schema)
+    return local_frame(spark, [tuple(r) for r in ranked.collect()], ranked.schema)
 
 
 def key_counts(keys: DataFrame) -> DataFrame:

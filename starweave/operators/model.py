@@ -283,9 +283,9 @@ def infer_model(
     return Model(spark, table_name, model_type, grain, tables, relationships, groups, by_role["dates"], fact_sk_columns)
 
 
-def recommend_clustering(model: Model, profile: Profile, max_keys: int = 3) -> DataFrame:
+def recommend_clustering(model: Model, profile: Profile, max_keys: int | None = None) -> DataFrame:
     """Clustering / partitioning candidates for fact tables: date columns, then foreign-key sources, by
-    ascending distinct count (coarse columns first); the first ``max_keys`` are recommended."""
+    ascending distinct count (coarse columns first); all of them, or the first ``max_keys``."""
     cp = profile.column_profile().where(F.col("table_name") == model.source_table).select(
         F.col("column_name").alias("source_column"), "distinct_count"
     )
@@ -297,7 +297,7 @@ def recommend_clustering(model: Model, profile: Profile, max_keys: int = 3) -> D
             if c.kind == "date_fk":
                 rows.append((t.name, c.name, c.source, 0, "date"))
             elif c.kind == "fk":
-                rows.append((t.name, c.name, c.source.split(",")[0], 1, "foreign key"))
+                rows.append((t.name, c.name, model.tables[c.references].natural_key[0], 1, "foreign key"))
     cand = local_frame(model.spark, 
         rows, "table_name string, column_name string, source_column string, kind_rank int, reason string"
     )
@@ -308,7 +308,7 @@ def recommend_clustering(model: Model, profile: Profile, max_keys: int = 3) -> D
     return (
         cand.join(F.broadcast(cp), "source_column")
         .withColumn("cluster_rank", F.row_number().over(w))
-        .where(F.col("cluster_rank") <= max_keys)
+        .where(F.lit(True) if max_keys is None else F.col("cluster_rank") <= max_keys)
         .select("table_name", "cluster_rank", "column_name", "source_column", "distinct_count", "reason")
     )
 

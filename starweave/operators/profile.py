@@ -2,12 +2,14 @@
 
 One frequency table ``(table_name, column_name, value, cnt)`` — every column of every table unpivoted
 to a typed key and counted with map-side partial aggregation — answers totals, null counts, distinct
-counts, top values, entity ratios and anomalies in a single shuffle for a whole catalogue of tables.
-Text values longer than ``LONG_VALUE`` characters are replaced by a ``#``-prefixed SHA-256 digest before
-the shuffle, so long texts are counted exactly without moving their bytes.
+counts, top values, entity ratios, numeric statistics and anomalies. It is counted once, written to the shared
+folder and read from there; a question about some columns only counts those.
 
-Numeric quantiles are exact and distributed (``quantiles``); date and length statistics are single-pass
-global aggregates.
+Text values longer than ``LONG_VALUE`` characters are carried as a ``#``-prefixed SHA-256 digest, so long texts are
+counted exactly without moving their bytes. Which form a value takes changes no result: ranks break ties by the
+SHA-256 digest of the value, whatever its length. NaN counts as a missing value, like NULL.
+
+Numeric quantiles are exact (``quantiles``); date and length statistics are single-pass global aggregates.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from starweave.functions.rules import DATE_FORMATS, entity_role_expr, grain_expr, logical_type_expr, name_prefix_expr
 from starweave.functions.types import logical_type_of, warehouse_type_of
-from starweave.functions.frames import balanced, local_frame
-from starweave.operators.quantiles import quantile_values, sorted_values
+from starweave.functions.frames import local_frame
+from starweave.operators.quantiles import weighted_quantiles
+from starweave.session import written
 
-# Longest value shuffled as text; profile thresholds used by the anomaly report.
+# Longest value carried as text; profile thresholds used by the anomaly report.
 LONG_VALUE = 64
+_DIGEST_KEY = 65  # length of the key of a longer value: "#" and the hexadecimal digest
 TOP_K = 10
 HIGH_NULL_PCT = 50.0
 HIGH_OUTLIER_PCT = 10.0
@@ -108,7 +112,12 @@ def typed_key(c: Column, dt: T.DataType) -> Column:
     fields = [
         (family_value(c, dt, fam) if f == fam else F.lit(None).cast(t)).alias(name) for f, name, t in _KEY_FIELDS
     ]
-    return F.when(c.isNull(), F.lit(None)).otherwise(F.struct(*fields))
+    return F.when(~is_missing(c, dt), F.struct(*fields))
+
+
+def is_missing(c: Column, dt: T.DataType) -> Column:
+    """NULL, or NaN of a floating-point column."""
+    return (c.isNull() | F.isnan(c)) if isinstance(dt, (T.FloatType, T.DoubleType)) else c.isNull()
 
 
 def _unpivot_typed(df: DataFrame, table_name: str) -> DataFrame:
@@ -137,24 +146,32 @@ def typed_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
 
 @dataclass
 class Profile:
-    """Profile frames of a set of tables. The frequency table is lazy; the column profile (one row per
-    column) is computed on first use and then kept as a literal frame."""
+    """Profile frames of a set of tables. Frequencies are counted on first use and written; metadata-sized results
+    (one row per column) are kept as local frames."""
 
     spark: SparkSession
     tables: dict[str, DataFrame]
     metadata: DataFrame
-    typed: DataFrame
     _cache: dict = field(default_factory=dict)
 
-    @property
-    def frequencies(self) -> DataFrame:
-        """Text-keyed frequencies of the string-like columns (the ones with top values and value counts)."""
-        text_cols = [(t, f.name) for t, df in self.tables.items() for f in df.schema.fields
-                     if type_family(f.dataType) == "text"]
-        names = local_frame(self.spark, text_cols, "table_name string, column_name string")
-        # One row per text column: a bounded broadcast.
-        return self.typed.join(F.broadcast(names), ["table_name", "column_name"]).select(
-            "table_name", "column_name", F.col("value.s").alias("value"), "cnt")
+    def typed(self, logical: tuple[str, ...] | None = None) -> DataFrame:
+        """Frequencies of all columns, or at least those of the given logical types."""
+        if ("typed", None) in self._cache:
+            return self._cache[("typed", None)]
+        if ("typed", logical) not in self._cache:
+            tables = self.tables
+            if logical is not None:
+                tables = {t: self.tables[t].select(*[_q(c) for c in cols]) for t, cols in self._columns_of(logical).items()}
+            schema = "table_name string, column_name string, value struct<" + ", ".join(
+                f"{name}: {kind}" for _, name, kind in _KEY_FIELDS) + ">, cnt long"
+            self._cache[("typed", logical)] = (written(typed_frequencies(tables), "frequencies") if tables
+                                               else local_frame(self.spark, [], schema))
+        return self._cache[("typed", logical)]
+
+    def _of_types(self, logical: tuple[str, ...]) -> DataFrame:
+        """Frequencies of exactly the columns of the given logical types, with the column's position."""
+        cols = self.metadata.where(F.col("logical_type").isin(*logical)).select("table_name", "column_name", "ordinal")
+        return self.typed(logical).join(F.broadcast(cols), ["table_name", "column_name"])  # one row per column
 
     # ---- base profile (G1) --------------------------------------------------------------------------
     def column_profile(self) -> DataFrame:
@@ -162,7 +179,7 @@ class Profile:
         of rows — one aggregation of the frequency table, kept after the first call."""
         if "cp" in self._cache:
             return self._cache["cp"]
-        per_col = self.typed.groupBy("table_name", "column_name").agg(
+        per_col = self.typed().groupBy("table_name", "column_name").agg(
             F.sum("cnt").alias("total_rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))), F.lit(0)).alias("null_count"),
             F.count("value").alias("distinct_count"),
@@ -205,50 +222,44 @@ class Profile:
         return self.metadata.groupBy("table_name").agg(grain_expr(F.col("column_name")).alias("grain"))
 
     # ---- top values (G5, W1) and boolean counts (G6) ------------------------------------------------
-    def top_values(self, k: int = TOP_K, logical_types=("STRING",), resolve: bool = True) -> DataFrame:
-        """Top ``k`` non-null values per column by count, ties by value key (ascending)."""
-        cols = self.metadata.where(F.col("logical_type").isin(*logical_types)).select("table_name", "column_name")
-        freq = self.frequencies.where(F.col("value").isNotNull()).join(F.broadcast(cols), ["table_name", "column_name"])
-        w = Window.partitionBy("table_name", "column_name").orderBy(F.desc("cnt"), F.asc("value"))
-        top = freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        top = top.select("table_name", "column_name", "rank", F.col("value").alias("value_key"), F.col("cnt").alias("count"))
-        if not resolve:
-            return top.withColumn("value", F.col("value_key"))
-        return self._resolve_hashed(top)
-
-    def _resolve_hashed(self, top: DataFrame) -> DataFrame:
-        """Replace digest keys of long values by the values themselves (scan of the affected columns only)."""
-        hashed = top.where(F.col("value_key").startswith("#")).select("table_name", "column_name", "value_key").collect()
-        if not hashed:
-            return top.withColumn("value", F.col("value_key"))
+    def top_value_keys(self, k: int = TOP_K, logical_types=("STRING",)) -> DataFrame:
+        """Top ``k`` non-null value keys per column by count, ties by the SHA-256 digest of the value (ascending)."""
+        freq = self._of_types(tuple(logical_types)).where(F.col("value.s").isNotNull()).select(
+            "table_name", "column_name", F.col("value.s").alias("value_key"), F.col("cnt").alias("count"))
+        is_digest = F.length("value_key") == _DIGEST_KEY
+        digest = F.when(is_digest, F.substr(F.col("value_key"), F.lit(2))).otherwise(F.sha2("value_key", 256))
+        w = Window.partitionBy("table_name", "column_name").orderBy(F.desc("count"), F.asc("digest"))
+        top = freq.withColumn("digest", digest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return top.select("table_name", "column_name", "rank", "value_key", "count")
+
+    def top_values(self, k: int = TOP_K, logical_types=("STRING",)) -> DataFrame:
+        """``top_value_keys`` with the values themselves; ``k`` rows per column are kept as a local frame."""
+        top = self.top_value_keys(k, logical_types)
+        rows = top.collect()  # k rows per column
+        top = local_frame(self.spark, [tuple(r) for r in rows], top.schema)
         wanted: dict[tuple[str, str], list[str]] = {}
-        for r in hashed:
-            wanted.setdefault((r["table_name"], r["column_name"]), []).append(r["value_key"])
-        parts = []
+        for r in rows:
+            if len(r["value_key"]) == _DIGEST_KEY:
+                wanted.setdefault((r["table_name"], r["column_name"]), []).append(r["value_key"])
+        if not wanted:
+            return top.withColumn("value", F.col("value_key"))
+        parts = []  # long values: read again, only in the columns concerned
         for (t, c), keys in wanted.items():
             df = self.tables[t]
-            dt = df.schema[c].dataType
-            key = value_key(_q(c), dt)
+            key = value_key(_q(c), df.schema[c].dataType)
             parts.append(
                 df.select(key.alias("value_key"), _q(c).cast("string").alias("raw"))
                 .where(F.col("value_key").isin(keys))
-                .groupBy("value_key").agg(F.first("raw").alias("raw"))
-                .select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "value_key", "raw")
-            )
-        resolved = parts[0]
-        for p in parts[1:]:
-            resolved = resolved.unionByName(p)
-        # At most k rows per column: a bounded broadcast.
-        return top.join(F.broadcast(resolved), ["table_name", "column_name", "value_key"], "left").select(
-            "table_name", "column_name", "rank", "value_key", F.coalesce("raw", "value_key").alias("value"), "count"
-        )
+                .groupBy("value_key").agg(F.min("raw").alias("raw"))
+                .select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "value_key", "raw"))
+        raw = _union(parts, self.spark, "table_name string, column_name string, value_key string, raw string")
+        return top.join(raw, ["table_name", "column_name", "value_key"], "left").select(
+            "table_name", "column_name", "rank", "value_key", F.coalesce("raw", "value_key").alias("value"), "count")
 
     def value_counts(self, logical_types=("BOOLEAN",)) -> DataFrame:
         """Count of every non-null value of the columns of the given logical types (booleans by default)."""
-        cols = self.metadata.where(F.col("logical_type").isin(*logical_types)).select("table_name", "column_name")
-        return self.frequencies.where(F.col("value").isNotNull()).join(
-            F.broadcast(cols), ["table_name", "column_name"]
-        ).select("table_name", "column_name", "value", F.col("cnt").alias("count"))
+        return self._of_types(tuple(logical_types)).where(F.col("value.s").isNotNull()).select(
+            "table_name", "column_name", F.col("value.s").alias("value"), F.col("cnt").alias("count"))
 
     # ---- type-specific statistics -------------------------------------------------------------------
     def _columns_of(self, logical: tuple[str, ...]) -> dict[str, list[str]]:
@@ -260,8 +271,8 @@ class Profile:
 
     def numeric_profile(self, approx: bool = False, accuracy: int = 10000) -> DataFrame:
         """Min, max, mean, median, std, q1, q3 and IQR outliers per INTEGER/FLOAT column of every table,
-        all tables in one quantile job. ``approx=True`` uses ``approx_percentile`` sketches instead of the
-        exact sort (no shuffle of values; rank error at most 1/``accuracy`` of the rows)."""
+        from the frequency table. ``approx=True`` uses ``approx_percentile`` sketches over the
+        values instead (no shuffle of values; rank error at most 1/``accuracy`` of the rows)."""
         if approx:
             cols = self._columns_of(("INTEGER", "FLOAT"))
             parts = [
@@ -271,8 +282,9 @@ class Profile:
             return _approx_numeric_stats(_union(parts, self.spark, "table_name string, column_name string, v double"),
                                          accuracy)
         if "np" not in self._cache:
-            self._cache["np"] = numeric_profile_tables(
-                {t: (self.tables[t], cols) for t, cols in self._columns_of(("INTEGER", "FLOAT")).items()}, self.spark)
+            v = F.coalesce(F.col("value.l").cast("double"), F.col("value.d"), F.expr("try_cast(value.s AS double)"))
+            freq = self._of_types(("INTEGER", "FLOAT")).select("table_name", "column_name", v.alias("v"), F.col("cnt").alias("n"))
+            self._cache["np"] = _numeric_stats(freq)
         return self._cache["np"]
 
     def date_profile(self) -> DataFrame:
@@ -287,11 +299,14 @@ class Profile:
 
     # ---- table profile (G9) and anomalies (P7) ------------------------------------------------------
     def table_profile(self, candidate_key_counts: DataFrame | None = None) -> DataFrame:
-        """Per table: rows, columns, grain and (given ``keys.key_counts``) the number of candidate keys."""
-        cp = self.column_profile()
-        tp = cp.groupBy("table_name").agg(
-            F.max("total_rows").alias("total_rows"), F.count(F.lit(1)).alias("total_columns")
-        ).join(self.grain(), "table_name")
+        """Per table: rows, columns, grain and (given ``keys.key_counts``) the number of candidate keys.
+
+        Rows are counted by a scan without columns; no value is read."""
+        counts = [df.agg(F.count(F.lit(1)).alias("total_rows")).select(F.lit(t).alias("table_name"), "total_rows")
+                  for t, df in self.tables.items()]
+        tp = _union(counts, self.spark, "table_name string, total_rows long").join(
+            self.metadata.groupBy("table_name").agg(F.count(F.lit(1)).alias("total_columns"),
+                                                    grain_expr(F.col("column_name")).alias("grain")), "table_name")
         if candidate_key_counts is not None:
             tp = tp.join(candidate_key_counts, "table_name", "left").withColumn(
                 "candidate_key_count", F.coalesce("candidate_key_count", F.lit(0)).cast("long")
@@ -323,8 +338,7 @@ class Profile:
 
 
 def profile_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Profile:
-    tables = {n: balanced(df) for n, df in tables.items()}
-    return Profile(spark, tables, column_metadata(spark, tables), typed_frequencies(tables))
+    return Profile(spark, tables, column_metadata(spark, tables))
 
 
 def profile_table(df: DataFrame, table_name: str = "input") -> Profile:
@@ -356,63 +370,45 @@ def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFram
 def _unpivot_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, v double) for the given columns; nulls and non-numeric text become NULL."""
     stacked = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column_name"), F.expr(f"try_cast(`{c}` AS DOUBLE)").alias("v")) for c in columns])
+        F.array(*[F.struct(F.lit(c).alias("column_name"), F.nanvl(F.expr(f"try_cast(`{c}` AS DOUBLE)"), F.lit(None)).alias("v"))
+                  for c in columns])
     )
     return df.select(stacked.alias("kv")).select("kv.column_name", "kv.v")
 
 
-def numeric_profile(df: DataFrame, columns: list[str], table_name: str = "input") -> DataFrame:
-    """Exact min/max/mean/median/sample std and IQR outliers (linear-interpolated quartiles)."""
-    return numeric_profile_tables({table_name: (df, columns)}, df.sparkSession)
-
+def _numeric_stats(freq: DataFrame) -> DataFrame:
+    """Statistics per column from (table_name, column_name, v, n): n rows hold the value v (NULL: missing).
 
-def numeric_profile_tables(inputs: dict[str, tuple[DataFrame, list[str]]], spark: SparkSession) -> DataFrame:
-    """``numeric_profile`` for many tables at once: one unpivot, one sort for the quantiles."""
-    parts = [
-        _unpivot_numeric(df, cols).select(F.lit(t).alias("table_name"), "column_name", "v")
-        for t, (df, cols) in inputs.items() if cols
-    ]
-    if not parts:
-        return local_frame(spark, [], _NUMERIC_SCHEMA)
-    vals = parts[0]
-    for p in parts[1:]:
-        vals = vals.unionByName(p)
-    stats = _numeric_stats(vals.select(F.concat_ws("\u0001", "table_name", "column_name").alias("column_name"), "v"))
-    key = F.split(F.col("column_name"), "\u0001")
-    return stats.select(key[0].alias("table_name"), key[1].alias("column_name"),
-                        *[c for c in stats.columns if c != "column_name"])
-
-
-def _numeric_stats(vals: DataFrame) -> DataFrame:
-    """Statistics per ``column_name`` group of a (column_name, v) frame. The source is read once: the
-    sorted, checkpointed values give the quartiles, then one aggregate over them gives the moments and
-    the outlier counts (bounds as per-column literals — one per column, metadata-sized)."""
-    spark = vals.sparkSession
-    ordered = sorted_values(vals, "column_name", "v")  # columns g, v
-    q = quantile_values(ordered, [0.25, 0.5, 0.75])
-    lo, hi = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for g, ps in q.items():
-        iqr = ps[0.75] - ps[0.25]
-        lo = F.when(F.col("g") == g, F.lit(ps[0.25] - IQR_FACTOR * iqr)).otherwise(lo)
-        hi = F.when(F.col("g") == g, F.lit(ps[0.75] + IQR_FACTOR * iqr)).otherwise(hi)
-    stats = ordered.groupBy("g").agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
-        F.count_if((F.col("v") < lo) | (F.col("v") > hi)).alias("outlier_count"),
-    )
-    qf = local_frame(spark, [(g, ps[0.25], ps[0.5], ps[0.75]) for g, ps in q.items()],
-                     "g string, q1 double, median double, q3 double")
-    total = F.col("total_rows")
-    # ``qf`` has one row per column: a bounded broadcast.
-    return (
-        stats.join(F.broadcast(qf), "g", "left")
-        .select(
-            F.col("g").alias("column_name"), "total_rows", "min", "max", "mean", "median", "std", "q1", "q3",
-            F.col("outlier_count").cast("long").alias("outlier_count"),
-            F.when(total > 0, F.round(F.col("outlier_count") * 100.0 / total, 2))
-            .otherwise(F.lit(0.0)).alias("outlier_percentage"),
-        )
-    )
+    Three passes over the distinct values: moments, quartiles, then squared deviations and outliers. What they yield
+    is one row per column, kept as a local frame.
+    """
+    spark = freq.sparkSession
+    key = ["table_name", "column_name"]
+    real = F.col("v").isNotNull()
+    first = freq.groupBy(*key).agg(
+        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("n"),
+        F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.col("v") * F.col("n")).alias("s")).collect()
+    quart = weighted_quantiles(freq.where(real).select(F.struct(*key).alias("g"), "v", "n"), (0.25, 0.5, 0.75))
+    rows = []
+    for r in first:
+        q = quart.get((r["table_name"], r["column_name"]))
+        mean = r["s"] / r["n"] if r["n"] else None
+        step = IQR_FACTOR * (q[0.75] - q[0.25]) if q else None
+        rows.append((r["table_name"], r["column_name"], r["total"], r["n"], r["min"], r["max"], mean, *(
+            (q[0.25], q[0.5], q[0.75], q[0.25] - step, q[0.75] + step) if q else (None,) * 5)))
+    base = local_frame(spark, rows, "table_name string, column_name string, total long, n_real long, min double, max double, "
+                                    "mean double, q1 double, median double, q3 double, lo double, hi double")
+    off = F.col("v") - F.col("mean")
+    second = freq.where(real).join(F.broadcast(base), key).groupBy(*key).agg(  # one row per column
+        F.sum(F.col("n") * off * off).alias("ss"),
+        F.coalesce(F.sum(F.when((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")), F.col("n"))), F.lit(0)).alias("out"))
+    total, out = F.col("total"), F.coalesce("out", F.lit(0)).cast("long")
+    stats = base.join(F.broadcast(second), key, "left").select(
+        *key, total.alias("total_rows"), "min", "max", "mean", "median",
+        F.when(F.col("n_real") > 1, F.sqrt(F.col("ss") / (F.col("n_real") - 1))).alias("std"), "q1", "q3",
+        out.alias("outlier_count"),
+        F.when(total > 0, F.round(out * 100.0 / total, 2)).otherwise(F.lit(0.0)).alias("outlier_percentage"))
+    return local_frame(spark, [tuple(r) for r in stats.collect()], stats.schema)
 
 
 def _approx_numeric_stats(vals: DataFrame, accuracy: int) -> DataFrame:

@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from starweave.functions.types import spark_type_of
 from starweave.operators.model import Model, ModelTable
+from starweave.operators.profile import is_missing
 from starweave.functions.frames import local_frame
 
 RESULT_SCHEMA = (
     "table_name string, check_name string, column_name string, passed boolean, violation_count long, "
-    "violation_percentage double, message string"
+    "violation_percentage double, message string, sample array<string>"
 )
 # How many orphan keys a foreign-key check reports, and the check messages.
 ORPHAN_SAMPLE = 100
+SAMPLE = 10  # violations shown in a check's result
 MSG_NO_PK = "No primary key columns specified"
 MSG_PK_DUPLICATES = "Found %d duplicate primary key rows"
 MSG_PK_UNIQUE = "Primary key is unique"
@@ -41,20 +43,31 @@ def duplicate_keys(df: DataFrame, pk: list[str]) -> DataFrame:
     return df.groupBy(*[_q(c) for c in pk]).agg(F.count(F.lit(1)).alias("row_count")).where(F.col("row_count") > 1)
 
 
+def _with_sample(counts: DataFrame, shown: DataFrame) -> DataFrame:
+    """One row (n, sample): the count of ``counts`` (n) and the least ``SAMPLE`` texts of ``shown`` (text)."""
+    top = shown.orderBy("text").limit(SAMPLE).agg(F.sort_array(F.collect_list("text")).alias("sample"))
+    both = counts.select("n", F.lit(None).cast("array<string>").alias("sample")).unionByName(
+        top.select(F.lit(None).cast("long").alias("n"), "sample"))
+    return both.agg(F.max("n").alias("n"), F.max("sample").alias("sample"))
+
+
 def check_pk(df: DataFrame, pk: list[str], table_name: str) -> DataFrame:
     spark = df.sparkSession
     if not pk:
-        return local_frame(spark, 
-            [(table_name, "primary_key_uniqueness", None, False, 0, None, MSG_NO_PK)],
+        return local_frame(spark,
+            [(table_name, "primary_key_uniqueness", None, False, 0, None, MSG_NO_PK, [])],
             RESULT_SCHEMA,
         )
-    dup = duplicate_keys(df, pk).agg(F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("n"))
+    keys = duplicate_keys(df, pk)
+    dup = _with_sample(
+        keys.agg(F.coalesce(F.sum("row_count"), F.lit(0)).cast("long").alias("n")),
+        keys.select(F.concat_ws("|", *[F.coalesce(_q(c).cast("string"), F.lit("NULL")) for c in pk]).alias("text")))
     return dup.select(
         F.lit(table_name).alias("table_name"), F.lit("primary_key_uniqueness").alias("check_name"),
         F.lit(",".join(pk)).alias("column_name"), (F.col("n") == 0).alias("passed"),
         F.col("n").alias("violation_count"), F.lit(None).cast("double").alias("violation_percentage"),
         F.when(F.col("n") > 0, F.format_string(MSG_PK_DUPLICATES, F.col("n")))
-        .otherwise(F.lit(MSG_PK_UNIQUE)).alias("message"),
+        .otherwise(F.lit(MSG_PK_UNIQUE)).alias("message"), "sample",
     )
 
 
@@ -72,41 +85,49 @@ def orphan_sample(fact: DataFrame, dim: DataFrame, fk: str, pk: str, n: int = OR
 
 def check_fk(fact: DataFrame, dim: DataFrame, fk: str, pk: str, label: str) -> DataFrame:
     """Count of distinct orphan FK values (NULL FKs are not orphans); see ``orphan_sample`` for the keys."""
-    n = orphan_keys(fact, dim, fk, pk).agg(F.count(F.lit(1)).alias("n"))
+    keys = orphan_keys(fact, dim, fk, pk)
+    n = _with_sample(keys.agg(F.count(F.lit(1)).alias("n")), keys.select(F.col("key").cast("string").alias("text")))
     return n.select(
         F.lit(label).alias("table_name"), F.lit("foreign_key_integrity").alias("check_name"),
         F.lit(fk).alias("column_name"), (F.col("n") == 0).alias("passed"),
         F.col("n").alias("violation_count"), F.lit(None).cast("double").alias("violation_percentage"),
         F.when(F.col("n") > 0, F.format_string(MSG_FK_ORPHANS, F.col("n")))
-        .otherwise(F.lit(MSG_FK_VALID)).alias("message"),
+        .otherwise(F.lit(MSG_FK_VALID)).alias("message"), "sample",
     )
 
 
-def null_violations(df: DataFrame, required: list[str], table_name: str) -> DataFrame:
-    """(table, column, null_count, null_percentage) for every required column holding NULLs."""
-    present = [c for c in required if c in df.columns]
-    spark = df.sparkSession
+def null_counts(df: DataFrame, columns: list[str], table_name: str) -> DataFrame:
+    """(table, column, null_count, null_percentage) of the given columns (NaN counts as NULL); one aggregate."""
+    present = [c for c in columns if c in df.columns]
     if not present:
-        return local_frame(spark, [], "table_name string, column_name string, null_count long, null_percentage double")
-    one = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(_q(c).isNull()).alias(f"n{i}") for i, c in enumerate(present)])
+        return local_frame(df.sparkSession, [], "table_name string, column_name string, null_count long, null_percentage double")
+    one = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(is_missing(_q(c), df.schema[c].dataType)).alias(f"n{i}")
+                                                   for i, c in enumerate(present)])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("null_count"))
                                for i, c in enumerate(present)]))
     return one.select("__n", rows.alias("r")).select(
         F.lit(table_name).alias("table_name"), "r.column_name", "r.null_count",
         F.when(F.col("__n") > 0, F.round(F.col("r.null_count") * 100.0 / F.col("__n"), 2)).otherwise(0.0)
         .alias("null_percentage"),
-    ).where(F.col("null_count") > 0)
+    )
+
+
+def null_violations(df: DataFrame, required: list[str], table_name: str) -> DataFrame:
+    """``null_counts`` of the required columns that hold NULLs."""
+    return null_counts(df, required, table_name).where(F.col("null_count") > 0)
 
 
 def check_nulls(df: DataFrame, required: list[str], table_name: str) -> DataFrame:
     v = null_violations(df, required, table_name)
-    summary = v.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("null_count"), F.lit(0)).cast("long").alias("n"))
+    each = F.concat("column_name", F.lit(": "), F.col("null_count").cast("string"))
+    summary = v.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("null_count"), F.lit(0)).cast("long").alias("n"),
+                    F.sort_array(F.collect_list(each)).alias("sample"))  # one entry per column
     return summary.select(
         F.lit(table_name).alias("table_name"), F.lit("null_constraints").alias("check_name"),
         F.lit(None).cast("string").alias("column_name"), (F.col("k") == 0).alias("passed"),
         F.col("n").alias("violation_count"), F.lit(None).cast("double").alias("violation_percentage"),
         F.when(F.col("k") > 0, F.format_string(MSG_NULLS_FOUND, F.col("k")))
-        .otherwise(F.lit(MSG_NULLS_NONE)).alias("message"),
+        .otherwise(F.lit(MSG_NULLS_NONE)).alias("message"), "sample",
     )
 
 
@@ -169,13 +190,14 @@ def value_type_violations(df: DataFrame, expected: dict[str, str], table_name: s
 
 
 def check_types(spark: SparkSession, df: DataFrame, table: ModelTable) -> DataFrame:
-    m = type_mismatches(spark, df, table).agg(F.count(F.lit(1)).alias("k"))
+    each = F.concat("column_name", F.lit(": expected "), "expected", F.lit(", found "), "actual")
+    m = type_mismatches(spark, df, table).agg(F.count(F.lit(1)).alias("k"), F.sort_array(F.collect_list(each)).alias("sample"))
     return m.select(
         F.lit(table.name).alias("table_name"), F.lit("data_types").alias("check_name"),
         F.lit(None).cast("string").alias("column_name"), (F.col("k") == 0).alias("passed"),
         F.col("k").cast("long").alias("violation_count"), F.lit(None).cast("double").alias("violation_percentage"),
         F.when(F.col("k") > 0, F.format_string(MSG_TYPES_MISMATCH, F.col("k")))
-        .otherwise(F.lit(MSG_TYPES_MATCH)).alias("message"),
+        .otherwise(F.lit(MSG_TYPES_MATCH)).alias("message"), "sample",
     )
 
 
@@ -196,7 +218,7 @@ def load_split_tables(spark: SparkSession, model: Model, paths: dict[str, str],
             df.limit(1).collect()  # surfaces missing or unreadable files now
             tables[name] = df
         except Exception as exc:  # noqa: BLE001 - recorded as a check row
-            failures.append((name, "file_load", None, False, None, None, f"{MSG_FILE_LOAD}{exc}"[:2000]))
+            failures.append((name, "file_load", None, False, None, None, f"{MSG_FILE_LOAD}{exc}", []))
     return tables, local_frame(spark, failures, RESULT_SCHEMA)
 
 

@@ -1,84 +1,108 @@
-"""Exact quantiles without gathering a column into one task.
-
-``percentile`` (and ``median``) keep every distinct value of a group in one aggregation buffer; for a
-group holding billions of rows that is one task holding the whole column. Here the values of all
-groups are range-partitioned and sorted once — with a unique tie-breaker, so a value repeated a third
-of all rows still spreads over many partitions — and checkpointed so partition ids and positions are
-fixed. Running per-partition counts then locate every wanted rank, and only the rows at those ranks are
-read back. Interpolation is linear: ``lo + (hi - lo) * frac`` at
-position ``p * (n - 1)``.
+"""Exact quantiles of columns given as distinct values with their row counts.
 
-The checkpointed sorted frame is also the cheapest input for other per-group statistics (moments,
-outlier counts): it holds just ``(group, value)``, so callers can reuse it instead of re-reading the source.
+``percentile`` keeps every distinct value of a group in one aggregation buffer, and a window over a group sorts it in
+one task; both hold a whole column in one place. Here the wanted ranks are bracketed first: while a bracket holds
+more than ``BRACKET_ROWS`` distinct values it is cut at sketched quantiles of them, the rows of each part are counted
+exactly, and only the parts that hold a wanted rank go on. What is left is small enough to be ordered in one task.
+A value that a third of all rows hold is one row here. Interpolation is linear: ``lo + (hi - lo) * frac`` at
+position ``p * (n - 1)``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from starweave.functions.frames import local_frame
-from starweave.session import checkpoint_dir
+from starweave.session import written
 
+BRACKET_ROWS = 1_000_000
+PARTS = 32
 
-def sorted_values(vals: DataFrame, group_col: str, value_col: str) -> DataFrame:
-    """``(g, v)`` range-partitioned and sorted by (g, v) — NULLs first within a group — and checkpointed
-    into the shared checkpoint folder (lineage cut, positions fixed)."""
-    spark = vals.sparkSession
-    checkpoint_dir(spark)
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    t = vals.select(
-        F.col(group_col).alias("g"), F.col(value_col).alias("v"), F.monotonically_increasing_id().alias("_t")
-    )
-    ordered = t.repartitionByRange(n_parts, "g", "v", "_t").sortWithinPartitions("g", "v", "_t")
-    return ordered.checkpoint(eager=True).select("g", "v")
 
+def weighted_quantiles(freq: DataFrame, probs: tuple[float, ...]) -> dict:
+    """``{group: {prob: value}}`` of (g, v, n): n rows of group g hold the distinct value v (no NULLs).
 
-def quantile_values(ordered: DataFrame, probs: list[float]) -> dict:
-    """``{group: {prob: value}}`` from the output of ``sorted_values`` (non-null values only).
-
-    Counts per (partition, group) get running totals on the executors (a window over partitions ×
-    groups rows, one task per group); each wanted rank is located in its partition there, so only
-    groups × probs × 2 rows reach the driver, twice: the located positions, then the values at them.
+    Only figures per group and bracket reach the driver (groups are columns: metadata-sized); ``g`` may be a struct.
     """
-    pos = ordered.select("g", "v", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_r")) \
-        .where(F.col("v").isNotNull())
-    per = pos.groupBy("_p", "g").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("r0"))
-    running = Window.partitionBy("g").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.select(
-        "_p", "g", "n", "r0",
-        (F.sum("n").over(running) - F.col("n")).alias("before"),
-        F.sum("n").over(Window.partitionBy("g")).alias("total"),
-    )
-    position = F.col("prob") * (F.col("total") - 1)
-    targets = per.select("g", "total").distinct().select(
-        "g", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "total"
-    ).select("g", "prob", F.floor(position).cast("long").alias("lo"), F.ceil(position).cast("long").alias("hi"),
-             (position - F.floor(position)).alias("frac"))
-    ranks = targets.select("g", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
-    located = ranks.join(per, "g").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
-    spec_rows = [(r["_p"], r["g"], r["r0"] + r["rank"] - r["before"], r["rank"])
-                 for r in located.select("_p", "g", "r0", "rank", "before").collect()]
-    if not spec_rows:
+    spark = freq.sparkSession
+    sizes = freq.groupBy("g").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct")).collect()
+    wanted: dict[int, set[int]] = {}  # bracket: ranks inside it
+    offset: dict[int, int] = {}  # bracket: rows of its group before it
+    group, size = {}, {}
+    for i, r in enumerate(sizes):
+        group[i], size[i], offset[i] = r["g"], r["distinct"], 0
+        at = [p * (r["rows"] - 1) for p in probs]
+        wanted[i] = {int(x) for p in at for x in (math.floor(p), math.ceil(p))}
+    if not sizes:
         return {}
-    spec = local_frame(ordered.sparkSession, spec_rows, "_p int, g string, _r long, rank long")
-    # ``spec`` has groups x probs x 2 rows: a bounded broadcast.
-    picked = pos.join(F.broadcast(spec), ["_p", "g", "_r"]).select("g", "rank", "v").collect()
-    value_at = {(r["g"], r["rank"]): r["v"] for r in picked}
+    ids = local_frame(spark, [(*_parts(r["g"]), i) for i, r in enumerate(sizes)], _key_schema(freq))
+    on = F.lit(True)
+    for k, c in enumerate(_key_columns(freq)):
+        on = on & c.eqNullSafe(ids[f"k{k}"])
+    rows = freq.join(F.broadcast(ids), on).select("b", "v", "n")  # one row per group
+    owner = {i: i for i in group}
+    while max(size.values()) > BRACKET_ROWS:
+        big = [b for b in wanted if size[b] > BRACKET_ROWS]
+        grid = [k / PARTS for k in range(1, PARTS)]
+        cuts = rows.where(F.col("b").isin(big)).groupBy("b").agg(F.percentile_approx("v", grid, 10000).alias("cuts"))
+        parted = rows.join(F.broadcast(cuts), "b", "left").select(
+            "b", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("v"))), F.lit(0)).alias("part"), "v", "n")
+        counts = parted.groupBy("b", "part").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct")).collect()
+        by: dict[int, list] = {}
+        for r in counts:
+            by.setdefault(r["b"], []).append((r["part"], r["rows"], r["distinct"]))
+        new_wanted, new_size, new_offset, new_owner, keep = {}, {}, {}, {}, []
+        for b, parts in by.items():
+            before = offset[b]
+            for part, n, distinct in sorted(parts):
+                inside = {x for x in wanted[b] if before <= x < before + n}
+                if inside:
+                    new = len(keep)
+                    keep.append((b, part, new))
+                    new_wanted[new], new_size[new], new_offset[new], new_owner[new] = inside, distinct, before, owner[b]
+                before += n
+        names = local_frame(spark, keep, "b int, part int, new int")
+        rows = written(parted.join(F.broadcast(names), ["b", "part"]).select(F.col("new").alias("b"), "v", "n"), "brackets")
+        wanted, size, offset, owner = new_wanted, new_size, new_offset, new_owner
+    spec = local_frame(spark, [(b, x - offset[b], x) for b, xs in wanted.items() for x in xs], "b int, inside long, rank long")
+    upto = F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.select("b", "v", "n", upto.alias("upto")).join(F.broadcast(spec), "b").where(
+        (F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
+    value = {(owner[r["b"]], r["rank"]): r["v"] for r in placed.select("b", "rank", "v").collect()}
     out: dict = {}
-    for t in targets.collect():  # groups x probs rows
-        v_lo, v_hi = value_at[(t["g"], t["lo"])], value_at[(t["g"], t["hi"])]
-        out.setdefault(t["g"], {})[t["prob"]] = v_lo + (v_hi - v_lo) * t["frac"]
+    for i, r in enumerate(sizes):
+        for p in probs:
+            at = p * (r["rows"] - 1)
+            lo, hi = value[(i, math.floor(at))], value[(i, math.ceil(at))]
+            out.setdefault(_as_key(r["g"]), {})[p] = lo + (hi - lo) * (at - math.floor(at))
     return out
 
 
-def quantiles_of_sorted(ordered: DataFrame, probs: list[float]) -> DataFrame:
-    """(g, prob, value) as a frame."""
-    vals = quantile_values(ordered, probs)
-    rows = [(g, float(p), float(v)) for g, ps in vals.items() for p, v in ps.items()]
-    return local_frame(ordered.sparkSession, rows, "g string, prob double, value double")
+def _key_columns(freq: DataFrame) -> list:
+    kind = freq.schema["g"].dataType
+    return [F.col("g")[f.name] for f in kind.fields] if hasattr(kind, "fields") else [F.col("g")]
+
+
+def _key_schema(freq: DataFrame) -> str:
+    kind = freq.schema["g"].dataType
+    types = [f.dataType for f in kind.fields] if hasattr(kind, "fields") else [kind]
+    return ", ".join(f"k{k} {t.simpleString()}" for k, t in enumerate(types)) + ", b int"
+
+
+def _parts(g) -> tuple:
+    return tuple(g) if isinstance(g, tuple) else (g,)
+
+
+def _as_key(g):
+    return tuple(g) if isinstance(g, tuple) else g
 
 
 def exact_quantiles(vals: DataFrame, group_col: str, value_col: str, probs: list[float]) -> DataFrame:
     """(group, prob, value) for every group of ``vals`` (non-null values only)."""
-    q = quantiles_of_sorted(sorted_values(vals, group_col, value_col), probs)
-    return q.withColumnRenamed("g", group_col)
+    freq = vals.where(F.col(value_col).isNotNull()).groupBy(F.col(group_col).alias("g"), F.col(value_col).cast("double").alias("v"))
+    found = weighted_quantiles(written(freq.agg(F.count(F.lit(1)).alias("n")), "frequencies"), tuple(probs))
+    kind = vals.schema[group_col].dataType.simpleString()
+    return local_frame(vals.sparkSession, [(g, p, v) for g, ps in found.items() for p, v in ps.items()],
+                       f"{group_col} {kind}, prob double, value double")

@@ -12,15 +12,16 @@
 from __future__ import annotations
 
 import datetime as _dt
+import warnings
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starweave.functions.calendar import calendar_columns
 from starweave.functions.hashing import hash_columns, hash_frame_columns
 from starweave.operators.model import DATE_DIMENSION, FACT_SK, MAIN_SK, Model, ModelTable
-from starweave.operators.profile import parse_timestamp
+from starweave.operators.profile import is_missing, parse_timestamp
+from starweave.session import written
 
 ORDER_COL = "__order"
 
@@ -55,15 +56,17 @@ def surrogate_key(df: DataFrame, columns: list[str]) -> Column:
 
 
 def with_order(df: DataFrame, order_by: list[str] | str | None = None) -> DataFrame:
-    """Attach the order that defines a natural key's "first" row.
+    """Attach the order that defines a natural key's "first" row: the given columns, then the row's hash.
 
-    Pass explicit columns whenever the input has them. Without, the generated id is only stable when
-    taken directly above a file scan (same splits, same positions on a task retry).
+    Ties of the given columns are thus decided by the rows themselves, so the same rows are first in every run. Without
+    columns the order is that of the row hashes alone, which is repeatable but not the order of the file; a warning
+    says so.
     """
     if isinstance(order_by, str):
         order_by = [order_by]
-    order = F.struct(*[_q(c) for c in order_by]) if order_by else F.monotonically_increasing_id()
-    return df.withColumn(ORDER_COL, order)
+    if not order_by:
+        warnings.warn("no order columns: the first row of a natural key is the one with the least row hash", stacklevel=3)
+    return df.withColumn(ORDER_COL, F.struct(*[_q(c) for c in order_by or []], row_hash(df).alias("__hash")))
 
 
 def _date_of(df: DataFrame, column: str) -> Column:
@@ -83,11 +86,11 @@ def build_dimension(df: DataFrame, table: ModelTable, ctx: SplitContext) -> Data
     src = df.drop(ORDER_COL)
     keyed = df.select(
         *[_q(c) for c in nk], _q(ORDER_COL),
-        F.struct(*[_q(a) for a in attrs], row_hash(src).alias("__row_hash")).alias("__row"),
+        F.struct(*[_q(a) for a in attrs], _q(f"{ORDER_COL}`.`__hash").alias("__row_hash")).alias("__row"),
     )
     not_null = F.lit(True)
-    for c in nk:
-        not_null = not_null & _q(c).isNotNull()
+    for c in nk:  # NaN is a missing value, too
+        not_null = not_null & ~is_missing(_q(c), src.schema[c].dataType)
     first = keyed.where(not_null).groupBy(*[_q(c) for c in nk]).agg(F.min_by("__row", ORDER_COL).alias("__row"))
     return first.select(
         surrogate_key(src, nk).alias(f"{table.name}_SK"),
@@ -110,7 +113,7 @@ def build_date_dimension(df: DataFrame, date_columns: list[str], ctx: SplitConte
 def _fk_expr(df: DataFrame, nk: list[str]) -> Column:
     cond = F.lit(True)
     for c in nk:
-        cond = cond & _q(c).isNotNull()
+        cond = cond & ~is_missing(_q(c), df.schema[c].dataType)
     return F.when(cond, surrogate_key(df, nk))
 
 
@@ -128,7 +131,7 @@ def build_fact(df: DataFrame, model: Model, table: ModelTable, ctx: SplitContext
             d = _date_of(src, c.source)
             cols.append(F.when(d.isNotNull(), date_key(d)).alias(c.name))
         elif c.kind == "fk":
-            cols.append(_fk_expr(src, c.source.split(",")).alias(c.name))
+            cols.append(_fk_expr(src, model.tables[c.references].natural_key).alias(c.name))
     return src.select(*cols, *ctx.metadata(row_hash(src)))
 
 
@@ -141,12 +144,10 @@ def split(
     cache_input: bool = True,
 ) -> dict[str, DataFrame]:
     """Lazy frames for every model table, dimensions first (nothing runs until they are written or
-    checked). With ``cache_input`` an uncached input is persisted, since every table reads it."""
+    checked). With ``cache_input`` the input is written to the shared folder first, since every table reads it."""
     ctx = SplitContext(source_name, load_ts or _dt.datetime.now().replace(microsecond=0))
-    if cache_input and df.storageLevel == StorageLevel.NONE and len(model.tables) > 1:
-        # Every dimension and the fact read the input: keep it (spilling to disk; recomputed from its
-        # deterministic lineage if an executor is lost) so it is scanned once.
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if cache_input and len(model.tables) > 1:
+        df = written(df, "split-input")  # every dimension and the fact read it
     ordered = with_order(df, order_by)
     out: dict[str, DataFrame] = {}
     for name, t in model.tables.items():

@@ -5,14 +5,13 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from starweave.functions.frames import balanced
 from starweave.operators.keys import candidate_keys
 from starweave.operators.model import Model, infer_model
 from starweave.operators.profile import Profile, profile_tables
 from starweave.operators.split import split
+from starweave.session import written
 from starweave.sources.wide import TABLES, load_tables, orders_wide, sales_wide
 
 # Fixed value: the load timestamp stamped on rows by the registered queries (results must be repeatable).
@@ -37,11 +36,11 @@ def wide_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def profile_of(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> Profile:
-    """Profile of test tables; derived wide inputs (joins) are kept, since profiling reads them several times."""
+    """Profile of test tables; derived wide inputs (joins) are written once, since profiling reads them several times."""
     def prepared(n: str) -> DataFrame:
         df = wide_input(spark, sf_dir, n)
         if n in ("orders_wide", "sales_wide"):
-            return balanced(df).persist(StorageLevel.MEMORY_AND_DISK)
+            return written(df, n)
         return df
     return profile_tables(spark, {n: prepared(n) for n in names})
 
@@ -52,15 +51,10 @@ def catalogue_profile(spark: SparkSession, sf_dir: str) -> Profile:
 
 def modelled(spark: SparkSession, sf_dir: str, name: str = "orders_wide", order_by: str = "transaction_id",
              **model_options) -> Modelled:
-    # The wide input is read by the profile, every dimension and the fact: keep it (spilling to disk, and
-    # recomputed from its deterministic lineage if an executor is lost).
-    src = balanced(wide_input(spark, sf_dir, name)).persist(StorageLevel.MEMORY_AND_DISK)
+    # The wide input is read by the profile, every dimension and the fact: it is written once.
+    src = written(wide_input(spark, sf_dir, name), name)
     prof = profile_tables(spark, {name: src})
     keys = candidate_keys(prof)
     model = infer_model(prof, keys, name, **model_options)
-    # Split tables are read by several checks each; keep them like the input (the reference flow writes
-    # them out and re-reads them — ``plans.sinks`` + ``sources.read_with_schema`` — which is the choice
-    # when they should outlive the session).
-    tables = {n: t.persist(StorageLevel.MEMORY_AND_DISK)
-              for n, t in split(src, model, name, order_by=order_by, load_ts=FIXED_LOAD_TS).items()}
+    tables = split(src, model, name, order_by=order_by, load_ts=FIXED_LOAD_TS, cache_input=False)
     return Modelled(src, prof, keys, model, tables)

@@ -2,9 +2,9 @@
 
 * ``create_namespace`` / ``create_tables``: the database and one empty table per model table (schema from
   the model, duplicate column names dropped keeping the first);
-* ``copy_into``: read a written table with the *target* schema; malformed CSV rows are rejected into the
-  errors table instead of failing the load; counts come from ``Observation`` on the write;
-* ``append_by_name``: align columns by name (missing ones NULL) — the fallback when a file's layout differs;
+* ``copy_into``: load a written table by column name; rows that do not fit the *target* schema are rejected into
+  the errors table instead of failing the load; counts come from ``Observation`` on the write;
+* ``append_by_name``: append a frame, its columns aligned by name (missing ones NULL);
 * ``load_all``: namespace → audit tables → tables → run event → each table → final run event.
   Tables fail independently; the run ends SUCCESS, PARTIAL or FAILED.
 """
@@ -13,15 +13,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from starweave.functions.types import spark_type_of
 from starweave.operators.model import Model, ModelTable
 from starweave.plans import audit
 from starweave.functions.frames import local_frame
-
-_CORRUPT = "_corrupt_record"
+from starweave.session import written
+from starweave.sources.readers import _OVER, POSITION, converted, raw_csv, read_any
 
 
 def _t(db: str, name: str) -> str:
@@ -80,40 +79,63 @@ class CopyResult:
     rows_parsed: int
     rows_loaded: int
     errors_seen: int
-    rejects: DataFrame | None
-    parsed: DataFrame | None = None  # kept parse of a CSV file; release with ``release()``
+    rejects: DataFrame
+
 
-    def release(self) -> None:
-        if self.parsed is not None:
-            self.parsed.unpersist()
+def _numbered(raw: DataFrame) -> DataFrame:
+    """``raw`` (a written table of ``raw_csv``) with each row's number within its file, from counts per split."""
+    file, block, pos = POSITION
+    splits = raw.groupBy(file, block).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first"))
+    before = Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col(file).alias("s_file"), F.col(block).alias("s_block"), "first",
+                           F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return raw.join(splits, (F.col(file) == F.col("s_file")) & (F.col(block) == F.col("s_block"))).withColumn(
+        "__row", F.col("before") + F.col(pos) - F.col("first") + 1)
 
 
 def copy_into(spark: SparkSession, path: str, db: str, table: str, fmt: str = "parquet") -> CopyResult:
-    """Load a written table file set with the target table's schema (by name).
+    """Load a written file set into a table by column name; rows that do not fit are rejected, not fatal.
 
-    CSV rows with the wrong number of fields are rejected, not fatal: the file is parsed once against the
-    target schema plus a corrupt-record column and kept (spilling to disk) while the good rows are
-    appended and the rejects counted and returned for the errors table.
+    A row is rejected if it has more fields than its header, or if a value that is present cannot be converted to
+    the column's type; no value is silently turned into NULL. Rejects carry their row number within the file (CSV; other
+    formats have none), what was wrong, and the row's text. The rows are parsed once, into the shared folder.
     """
     schema = spark.table(_t(db, table)).schema
-    raw = None
     if fmt == "csv":
-        wide = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
-                            + [T.StructField(_CORRUPT, T.StringType())])
-        raw = (spark.read.schema(wide).option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
-               .option("columnNameOfCorruptRecord", _CORRUPT).csv(path)).persist(StorageLevel.MEMORY_AND_DISK)
-        good = raw.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
-        rejects = raw.where(F.col(_CORRUPT).isNotNull()).select(
-            F.lit(None).cast("long").alias("row_number"), F.lit("malformed row").alias("error_message"),
-            F.col(_CORRUPT).alias("rejected_row"))
+        parsed = _numbered(written(raw_csv(spark, path), "parsed"))
+        names = [c for c in parsed.columns if c not in (_OVER, *POSITION, "s_file", "s_block", "first", "before", "__row")]
+        source = {n: F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`")) for n in names}
+        surplus, number = F.col(_OVER).isNotNull(), F.col("__row")
+        text = F.concat_ws(",", *[F.col(f"`{n}`") for n in names], F.col(_OVER))
     else:
-        good = spark.read.format(fmt).load(path)
-        rejects = None
+        parsed = read_any(spark, path, fmt)
+        names = parsed.columns
+        source = {n: F.col(f"`{n}`") for n in names}
+        surplus, number = F.lit(False), F.lit(None).cast("long")
+        text = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]))
+        parsed = parsed if fmt == "parquet" else written(parsed, "parsed")
+    types = {f.name: f.dataType for f in parsed.schema.fields}
+
+    def value(f: T.StructField) -> Column:
+        if f.name not in source:
+            return F.lit(None).cast(f.dataType)
+        if types[f.name] == f.dataType:
+            return source[f.name]
+        if isinstance(types[f.name], T.StringType):
+            return converted(source[f.name], f.dataType.simpleString())
+        return source[f.name].try_cast(f.dataType)
+
+    failed = F.array_compact(F.array(F.lit(None).cast("string"), *[
+        F.when(source[f.name].isNotNull() & value(f).isNull(), F.lit(f.name)) for f in schema.fields if f.name in source]))
+    message = F.when(surplus, "too many fields").when(F.size(failed) > 0, F.concat(F.lit("cannot convert: "), F.array_join(failed, ", ")))
+    marked = parsed.withColumn("__error", message)
     obs = Observation(f"copy_{table}")
-    align_by_name(good, schema).observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(_t(db, table))
-    loaded = int(obs.get.get("n", 0))
-    errors = rejects.count() if rejects is not None else 0
-    return CopyResult(loaded + errors, loaded, errors, rejects, raw)
+    good = marked.where(F.col("__error").isNull()).select(*[value(f).alias(f.name) for f in schema.fields])
+    good.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(_t(db, table))
+    rejects = marked.where(F.col("__error").isNotNull()).select(
+        number.alias("row_number"), F.col("__error").alias("error_message"), text.alias("rejected_row"))
+    loaded, errors = int(obs.get.get("n", 0)), rejects.count()
+    return CopyResult(loaded + errors, loaded, errors, rejects)
 
 
 def validate_row_counts(spark: SparkSession, db: str, expected: dict[str, int]) -> DataFrame:
@@ -162,16 +184,12 @@ def load_all(
             if table not in model.tables:
                 raise ValueError(f"table {table} is not in the model")
             res = copy_into(spark, path, db, table, fmt)
-            if res.rejects is not None and res.errors_seen:
+            if res.errors_seen:
                 audit.log_errors(spark, db, run_id, table, res.rejects)
-            res.release()
-            n = res.rows_loaded
-            if n == 0:  # fall back to a by-name load of the file; an empty file is a success with 0 rows
-                n = append_by_name(spark, spark.read.format(fmt).option("header", True).load(path), db, table)
-            row.update(status=audit.SUCCESS, rows_loaded=n)
+            row.update(status=audit.SUCCESS, rows_loaded=res.rows_loaded)  # an empty file is a success with 0 rows
             loaded += 1
         except Exception as exc:  # noqa: BLE001 - a failing table does not stop the others
-            row.update(status=audit.FAILED, error_message=str(exc)[:2000])
+            row.update(status=audit.FAILED, error_message=str(exc))
             failed += 1
         row["load_end_ts"] = audit.now()
         status_rows.append(row)

@@ -51,7 +51,7 @@ def write_tables(
             size = _size(spark, path)
             rows.append((name, path, int(n), size, None))
         except Exception as exc:  # noqa: BLE001 - recorded per table
-            rows.append((name, path, None, None, f"Error creating {name}: {exc}"[:2000]))
+            rows.append((name, path, None, None, f"Error creating {name}: {exc}"))
     return local_frame(spark, rows, SUMMARY_SCHEMA)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine assumes. AQE re-plans joins and coalesces partitions at run time and splits
 # skewed join partitions; the session time zone pins timestamp <-> text conversions (hashes use it).
@@ -14,7 +15,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # checkpoint files of collected RDDs (the quantile sort) are removed once no longer referenced
+    # checkpoint files of collected RDDs are removed once no longer referenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -56,3 +57,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh folder below the shared checkpoint folder and read back.
+
+    The lineage ends there: later readers do not recompute it, and a lost executor loses nothing. The folders are
+    kept until the application's checkpoint folder is cleared, like Spark's own checkpoints.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"starweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
 """Readers for CSV, JSON (array documents), JSON lines and Parquet.
 
 All readers are lazy ``spark.read`` plans: files are split by ``spark.sql.files.maxPartitionBytes``,
-so there is no "chunked" mode to manage — the scan is always partitioned.
+so there is no "chunked" mode to manage — the scan is always partitioned. Two layouts cannot be split, whatever the
+engine: a JSON array document and a CSV file with quoted line breaks are read by one task per file.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from starweave.session import written
+from starweave.sources.sniff import file_layouts
 
 SUPPORTED_FORMATS = ("csv", "json", "jsonl", "parquet")
 # Text fields read as missing values (the default NA tokens of the CSV reader being reproduced).
@@ -38,12 +42,62 @@ class CsvRead:
     rejects: DataFrame
 
 
+POSITION = ("__file", "__block", "__id")
+
+
 def _header_columns(spark: SparkSession, path: str, sep: str, encoding: str, header: bool) -> list[str]:
-    probe = (
-        spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-        .option("inferSchema", False).csv(path)
+    return (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
+            .option("multiLine", encoding == "utf-16").option("inferSchema", False).csv(path).columns)
+
+
+def _raw_group(spark: SparkSession, path: str, first_file: str, sep: str, encoding: str, multi_line: bool, header: bool) -> DataFrame:
+    """All fields as text, the surplus field ``_over`` and where each row stands, read with one layout."""
+    names = _header_columns(spark, first_file, sep, encoding, header)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_OVER, T.StringType())])
+    rows = (
+        spark.read.schema(schema)
+        .option("header", header).option("sep", sep).option("encoding", encoding)
+        .option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", _NEVER)
+        .option("multiLine", multi_line).csv(path)
     )
-    return probe.columns
+    return rows.select(*[F.col(f"`{n}`") for n in names], _OVER, F.col("_metadata.file_path").alias(POSITION[0]),
+                       F.col("_metadata.file_block_start").alias(POSITION[1]),
+                       F.monotonically_increasing_id().alias(POSITION[2]))
+
+
+def raw_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, header: bool = True,
+            multi_line: bool | None = None) -> DataFrame:
+    """Every CSV row below ``path`` as text, each file with the delimiter, encoding and line mode found for it.
+
+    Files are grouped by layout (a handful of groups, whatever their number). A group is read with its options and keeps
+    the rows of its own files, found by a semi-join with the table of layouts; columns are matched by name.
+    """
+    if sep is not None and encoding is not None and multi_line is not None:
+        return _raw_group(spark, path, path, sep, encoding, multi_line, header)
+    layouts = written(file_layouts(spark, path), "file-layouts")
+    if sep is not None:
+        layouts = layouts.withColumn("delimiter", F.lit(sep))
+    if encoding is not None:
+        layouts = layouts.withColumn("encoding", F.lit(encoding))
+    if multi_line is not None:
+        layouts = layouts.withColumn("multi_line", F.lit(multi_line))
+    keys = ["encoding", "delimiter", "multi_line"]
+    groups = layouts.groupBy(*keys).agg(F.min("file_path").alias("first")).orderBy("first").collect()  # few by construction
+    if not groups:
+        return _raw_group(spark, path, path, sep or ",", encoding or "utf-8", bool(multi_line), header)
+    out = None
+    for g in groups:
+        first = path if len(groups) == 1 else g["first"]
+        part = _raw_group(spark, path, first, g["delimiter"], g["encoding"], g["multi_line"], header)
+        if len(groups) > 1:
+            own = layouts.where(" and ".join(f"{k} = {_sql(g[k])}" for k in keys)).select("file_path")
+            part = part.join(own, F.col(POSITION[0]) == F.col("file_path"), "left_semi")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _sql(v) -> str:
+    return str(v).lower() if isinstance(v, bool) else "'" + v.replace("\t", "\\t") + "'"
 
 
 def read_csv(
@@ -53,12 +107,15 @@ def read_csv(
     encoding: str | None = None,
     header: bool = True,
     infer_types: bool = True,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     with_rejects: bool = False,
     na_values: tuple[str, ...] = NA_VALUES,
 ) -> DataFrame | CsvRead:
     """CSV with inferred types; over-long lines are skipped, short lines are null-padded.
 
+    Delimiter, encoding and whether quoted fields span lines are found per file unless given; a file whose quotes never
+    span lines stays splittable.
+
     Spark's DROPMALFORMED would drop short rows too, so every line is read as strings against the header
     schema widened by one trailing field ``_over``: a line with more fields than the header fills it. The
     null marker is set to a character that never occurs in text, so an empty surplus field still counts
@@ -69,21 +126,8 @@ def read_csv(
     narrowest of int / bigint / double / boolean that every remaining value converts to (one aggregate;
     date-like text stays text).
     """
-    from starweave.sources.sniff import sniff_delimiter, sniff_encoding
-
-    if encoding is None:
-        encoding = sniff_encoding(spark, path)
-    if sep is None:
-        sep = sniff_delimiter(spark, path, encoding)
-    names = _header_columns(spark, path, sep, encoding, header)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_OVER, T.StringType())])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", header).option("sep", sep).option("encoding", encoding)
-        .option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", _NEVER)
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    raw = raw_csv(spark, path, sep, encoding, header, multi_line)
+    names = [c for c in raw.columns if c != _OVER and c not in POSITION]
     over_long = F.col(_OVER).isNotNull()
     na = list(na_values)
     text = {n: F.when(~F.col(f"`{n}`").isin(na), F.col(f"`{n}`")) if na else F.col(f"`{n}`") for n in names}
@@ -93,13 +137,28 @@ def read_csv(
     if not with_rejects:
         return kept
     rejects = raw.where(over_long).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.concat_ws(sep, *[F.col(f"`{n}`") for n in names], F.col(_OVER)).alias("rejected_row"),
+        F.col(POSITION[0]).alias("file_path"),
+        F.concat_ws(sep or ",", *[F.col(f"`{n}`") for n in names], F.col(_OVER)).alias("rejected_row"),
         F.lit("too many fields").alias("error_message"),
     )
     return CsvRead(kept, rejects)
 
 
+# What counts as the text of a number (casts alone would also take type suffixes like "10D").
+_NUMBERS = {"int": r"^\s*[+-]?\d+\s*$", "bigint": r"^\s*[+-]?\d+\s*$",
+            "double": r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"}
+
+
+def converted(c: Column, kind: str) -> Column:
+    """Text as a value of the Spark type ``kind``, NULL if it cannot be one."""
+    if kind == "boolean":
+        return F.when(F.lower(F.trim(c)).isin("true", "false"), F.lower(F.trim(c)) == "true")
+    pattern = _NUMBERS.get(kind) or (_NUMBERS["double"] if kind in ("float", "smallint", "tinyint") or kind.startswith("decimal")
+                                     else None)
+    cast = c.try_cast(kind)
+    return cast if pattern is None else F.when(c.rlike(pattern), cast)
+
+
 def _typed(kept: DataFrame, names: list[str]) -> DataFrame:
     """Cast every text column to the narrowest of int, bigint, double, boolean that all its non-missing
     values convert to (else keep text); a column with no values at all becomes double. One aggregate."""
@@ -108,22 +167,13 @@ def _typed(kept: DataFrame, names: list[str]) -> DataFrame:
         c = F.col(f"`{n}`")
         checks.append(F.count(c).alias(f"n{i}"))
         for t in _INFER_ORDER:
-            conv = F.lower(F.trim(c)).isin("true", "false") if t == "boolean" else F.expr(f"try_cast(`{n}` AS {t})").isNotNull()
-            checks.append(F.count_if(c.isNotNull() & ~conv).alias(f"{t}{i}"))
+            checks.append(F.count_if(c.isNotNull() & converted(c, t).isNull()).alias(f"{t}{i}"))
     r = kept.agg(*checks).first()
     cols = []
     for i, n in enumerate(names):
-        if r[f"n{i}"] == 0:
-            chosen = "double"
-        else:
-            chosen = next((t for t in _INFER_ORDER if r[f"{t}{i}"] == 0), "string")
+        chosen = "double" if r[f"n{i}"] == 0 else next((t for t in _INFER_ORDER if r[f"{t}{i}"] == 0), "string")
         c = F.col(f"`{n}`")
-        if chosen == "boolean":
-            cols.append((F.lower(F.trim(c)) == "true").alias(n))
-        elif chosen == "string":
-            cols.append(c.alias(n))
-        else:
-            cols.append(F.expr(f"try_cast(`{n}` AS {chosen})").alias(n))
+        cols.append((c if chosen == "string" else converted(c, chosen)).alias(n))
     return kept.select(*cols)
 
 
@@ -168,7 +218,10 @@ def read_with_schema(
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
     if fmt == "csv":
-        return spark.read.schema(schema).option("header", header).option("escape", '"').csv(path)
+        kept = read_csv(spark, path, header=header, infer_types=False, na_values=("",))
+        have = set(kept.columns)
+        return kept.select(*[(converted(F.col(f"`{f.name}`"), f.dataType.simpleString()) if f.name in have
+                              else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
     if fmt in ("json", "jsonl"):
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("multiLine", fmt == "json").json(path)
     raise ValueError(f"Unsupported file type: {fmt}")

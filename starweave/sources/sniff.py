@@ -2,61 +2,61 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Delimiters tried in this order on the first line; the first one present wins.
 DELIMITERS = (",", ";", "\t", "|")
 DEFAULT_DELIMITER = ","
 
 
-def _first_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """First line of every file: the first split of each file, earliest row within it."""
-    lines = spark.read.option("encoding", encoding).text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("_pos"),
-    )
-    return (
-        lines.where(F.col("block_start") == 0)
-        .groupBy("file_path")
-        .agg(F.min_by("value", "_pos").alias("first_line"))
-    )
-
-
-def delimiter_expr(line):
+def delimiter_expr(line: Column) -> Column:
     out = F.lit(DEFAULT_DELIMITER)
     for d in reversed(DELIMITERS):
         out = F.when(line.contains(d), F.lit(d)).otherwise(out)
     return out
 
 
-def sniff_delimiters(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+def file_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, encoding, delimiter, multi_line) of every text file below ``path``, from one pass over its lines.
+
+    The encoding is UTF-16 with a byte-order mark, UTF-8 if every line is valid UTF-8, else Latin-1. ``multi_line`` is
+    true if a line has an odd number of quotes, that is if a quoted field may span lines. Files without lines are left out.
+    """
+    lines = spark.read.format("text").load(path).select(
+        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    first = F.min_by("value", F.when(F.col("block") == 0, F.col("pos")))
+    files = lines.groupBy("file_path").agg(
+        first.alias("first"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("odd"))
+    mark = F.hex(F.substring(F.col("first").cast("binary"), 1, 2))
+    wide = F.coalesce(mark.isin("FFFE", "FEFF"), F.lit(False))
+    encoding = F.when(wide, "utf-16").when(F.col("utf8"), "utf-8").otherwise("iso-8859-1")
+    return files.select("file_path", encoding.alias("encoding"), delimiter_expr(F.col("first")).alias("delimiter"),
+                        (wide | F.col("odd")).alias("multi_line"))
+
+
+def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, delimiter) for every file below ``path``."""
-    return _first_lines(spark, path, encoding).select("file_path", delimiter_expr(F.col("first_line")).alias("delimiter"))
+    return file_layouts(spark, path).select("file_path", "delimiter")
 
 
-def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """Delimiter of the first file (by path order)."""
-    row = sniff_delimiters(spark, path, encoding).orderBy("file_path").first()
+    row = file_layouts(spark, path).orderBy("file_path").first()
     return row["delimiter"] if row else DEFAULT_DELIMITER
 
 
 def sniff_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, encoding): ``utf-8`` when every line is valid UTF-8, else ``iso-8859-1`` (Latin-1)."""
-    lines = spark.read.format("text").load(path).select(
-        "value", F.col("_metadata.file_path").alias("file_path")
-    )
-    return lines.groupBy("file_path").agg(
-        F.when(F.bool_and(F.is_valid_utf8("value")), F.lit("utf-8")).otherwise(F.lit("iso-8859-1")).alias("encoding")
-    )
+    """(file_path, encoding) for every file below ``path``."""
+    return file_layouts(spark, path).select("file_path", "encoding")
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    enc = {r["encoding"] for r in sniff_encodings(spark, path).collect()}
-    return "iso-8859-1" if "iso-8859-1" in enc else "utf-8"
+    """Encoding of the first file (by path order)."""
+    row = file_layouts(spark, path).orderBy("file_path").first()
+    return row["encoding"] if row else "utf-8"
 
 
 def file_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -71,16 +71,21 @@ def file_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate_source(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[bool, str | None]:
-    """(ok, message): the path exists, the format is supported and a first row can be read."""
+    """(ok, message): the path exists (on whichever file system it names), the format is supported and a first row can
+    be read. Types are not inferred."""
     from starweave.sources.readers import SUPPORTED_FORMATS, format_from_path, read_any
 
     fmt = (fmt or format_from_path(path)).lower()
-    if not os.path.exists(path) and "://" not in path:
-        return False, "File does not exist"
+    try:
+        spark.read.format("binaryFile").load(path)  # resolves the path only
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return False, "File does not exist"
+        return False, f"File validation failed: {exc}"
     if fmt not in SUPPORTED_FORMATS:
         return False, f"Unsupported file type: {fmt}"
     try:
-        read_any(spark, path, fmt).limit(1).collect()
+        read_any(spark, path, fmt, **({"infer_types": False} if fmt == "csv" else {})).limit(1).collect()
     except Exception as exc:  # noqa: BLE001 - the message is the result
         return False, f"File validation failed: {exc}"
     return True, None

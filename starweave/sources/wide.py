@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starweave.functions.frames import broadcast_if_small
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -19,8 +17,7 @@ def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, Dat
 def orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with its customer and the customer's nation.
 
-    ``nation`` is a code table: it is broadcast after a size check (``broadcast_if_small``). The customer
-    join is left to AQE, which broadcasts it only when its measured size is under the threshold and
+    The joins are left to AQE, which broadcasts a side only when its measured size is under the threshold and
     otherwise sort-merges (splitting a hot customer's partition when skewed).
     """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -28,7 +25,7 @@ def orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(broadcast_if_small(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("o_orderkey").alias("transaction_id"),
             F.col("c_custkey").alias("customer_id"),
@@ -57,7 +54,7 @@ def sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(broadcast_if_small(t["nation"]), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
         .select(
             (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"),

@@ -35,3 +35,29 @@ def test_row_hash_matches_python_rule(spark):
     got = [r[0] for r in df.select(hash_frame_columns(df, df.columns)).collect()]
     want = [hashlib.sha256("|".join("" if v is None else str(v) for v in r).encode()).hexdigest() for r in rows]
     assert got == want
+
+
+def test_timestamps_have_six_digits_and_are_utc(spark):
+    df = spark.sql("SELECT timestamp'2024-01-02 03:04:05.5+02:00' AS t, timestamp_ntz'2024-01-02 03:04:05.25' AS n, "
+                   "timestamp'2024-01-02 00:00:00Z' AS w")
+    row = df.select(*[canonical_text(c, df.schema[c].dataType) for c in df.columns]).first()
+    assert tuple(row) == ("2024-01-02 01:04:05.500000", "2024-01-02 03:04:05.250000", "2024-01-02 00:00:00")
+
+
+def test_dotted_names_and_repeatable_first_row(spark):
+    import datetime as dt
+
+    from starweave.operators.keys import candidate_keys
+    from starweave.operators.model import infer_model
+    from starweave.operators.profile import profile_table
+    from starweave.operators.split import split
+
+    rows = [(i, i % 3, f"n{i % 9}", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "`sale.id` long, customer_id long, customer_name string, `unit.price` double")
+    p = profile_table(df, "s")
+    m = infer_model(p, candidate_keys(p), "s")
+    firsts = []
+    for parts in (1, 5):
+        tables = split(df.repartition(parts), m, "s", order_by="customer_id", load_ts=dt.datetime(2024, 1, 1))
+        firsts.append({n: sorted(map(str, t.collect())) for n, t in tables.items()})
+    assert firsts[0] == firsts[1] and len(firsts[0]["DIM_CUSTOMER"]) == 3

@@ -145,3 +145,41 @@ def test_csv_na_tokens_and_inference(spark, tmpdir_path):
     assert dict(df.dtypes) == {"id": "int", "amount": "double", "flag": "boolean", "when": "string", "note": "string"}
     rows = sorted(tuple(r) for r in df.collect())
     assert rows == [(1, 2.5, True, "2024-01-02", None), (2, None, False, "2024-01-03", "x"), (3, None, True, None, None)]
+
+
+def test_codes_with_number_suffixes_stay_text(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "codes.csv"), "code,n\n10D,1\n20F,2\n")
+    df = read_csv(spark, p)
+    assert dict(df.dtypes) == {"code": "string", "n": "int"} and [r["code"] for r in df.orderBy("n").collect()] == ["10D", "20F"]
+
+
+def test_folder_of_mixed_layouts(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "mixed")
+    os.makedirs(d)
+    _write(os.path.join(d, "a.csv"), 'id,name\n1,José\n2,"two\nlines, one row"\n')
+    _write(os.path.join(d, "b.csv"), "id;name\n3;Málaga\n", encoding="latin-1")
+    _write(os.path.join(d, "c.csv"), "id\tname\n4\tπ\n", encoding="utf-16")
+    rows = sorted(tuple(r) for r in read_csv(spark, d).collect())
+    assert rows == [(1, "José"), (2, "two\nlines, one row"), (3, "Málaga"), (4, "π")]
+
+
+def test_unconvertible_rows_are_rejected_with_their_number(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "bad.csv"), "note,id\na,1\nb,x\nc,\nd,7D\ne,5,6\n")
+    db = "sw_test_rejects"
+    load.create_namespace(spark, db, os.path.join(tmpdir_path, "wh3"))
+    spark.sql(f"CREATE TABLE {db}.t (id INT, note STRING, extra DOUBLE) USING parquet")
+    res = load.copy_into(spark, p, db, "t", "csv")
+    assert (res.rows_parsed, res.rows_loaded, res.errors_seen) == (5, 2, 3)
+    assert {(r["id"], r["note"]) for r in spark.table(f"{db}.t").collect()} == {(1, "a"), (None, "c")}
+    rejects = sorted((r["row_number"], r["error_message"]) for r in res.rejects.collect())
+    assert rejects == [(2, "cannot convert: id"), (4, "cannot convert: id"), (5, "too many fields")]
+
+
+def test_nested_arrays_below_the_first_level(spark):
+    df = spark.createDataFrame([(1, ([("x", [1, 2]), ("y", [])],))], "id long, o struct<items:array<struct<s:string,tags:array<int>>>>")
+    out = flatten_nested(df, ["id"])
+    assert set(out) == {"parent", "o_items", "o_items_tags"}
+    assert sorted(tuple(r)[1:] for r in out["o_items"].collect()) == [(1, 0, "x"), (1, 1, "y")]
+    tags = out["o_items_tags"]
+    assert tags.columns == ["PARENT_SK", "id", "o_items_pos", "pos", "o_items_tags"]
+    assert sorted(tuple(r)[1:] for r in tags.collect()) == [(1, 0, 0, 1), (1, 0, 1, 2)]
