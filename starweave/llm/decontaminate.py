@@ -3,26 +3,27 @@
 A window is ``window`` consecutive words of an item (a shorter item is one window). It occurs in a document only if all
 of its words do, so the one rarest word of a window is a sufficient prefix: a document without it cannot hold it.
 
-1. Words of the benchmark are ordered by rarity: in how many word positions of all documents each occurs.
+1. Words of the benchmark are ordered by rarity: at how many word positions of all documents each occurs.
 2. Every distinct window keeps its rarest word and that word's place in it (ties: the smallest word, the first place).
 3. Document word positions meet windows on the prefix word. The place gives where the window would start; the length
-   bound 0 <= start <= words - length and the words at the window's two ends must fit.
-4. Per document the candidate starts are verified exactly, word for word, against the window's words.
+   bound 0 <= start <= words - length must hold.
+4. The window is compared exactly, word for word, with the document's words from that start on.
 
-The benchmark side is broadcast only while its size, which is checked, stays within a limit; beyond it the joins shuffle.
-Documents' texts are never moved for the words' sake: candidates come back to them by document key.
+While the windows' size, which is checked, stays within a limit they are broadcast, and a position is compared where its
+document is read: nothing but true occurrences is shuffled. Beyond the limit positions and windows meet in a shuffle, the
+starts that remain come back to the documents by id and text hash, and the comparison is made there.
 
 Cases: null text has no words; an item without words has no window; items with equal windows all count; rows that repeat
 an id are matched row by row (told apart by a hash of the text); null ids of documents are allowed; an empty table of
 documents gives an empty result and an empty benchmark clean documents; extra columns pass through
-``drop_contaminated`` and ``remove_hits`` needs no other column than id and text.
+``drop_contaminated``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starweave.llm.common import BROADCAST_LIMIT, ascii_lower, let, materialize
+from starweave.llm.common import BROADCAST_LIMIT, ascii_lower, materialize
 
 # Fixed value: what separates words (every ASCII character other than digits and a-z, after lower-casing).
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,45 +57,44 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             item_text_col: str = "text", window: int = WINDOW, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(id, text_hash, hits): per document with occurring windows an array of (start, length, items), starts from 0."""
     benchmark = materialize(windows_of(items, item_id_col, item_text_col, window), "windows")
-    tokens = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"),
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"),
                          item_words(F.col(f"`{text_col}`")).alias("ws"))
-    positions = tokens.select("id", "text_hash", F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "word"))
 
     # 1. rarity of the benchmark's words over all documents
     vocabulary = materialize(benchmark.select(F.explode("words").alias("v")).distinct(), "vocabulary")
     known = _bounded(vocabulary, _bytes(vocabulary, F.octet_length("v") + 32), limit)
-    found = positions.select("word").join(known, F.col("word") == F.col("v"), "left_semi")
-    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
-    counts = materialize(counts, "rarity")
+    # (outer: the filter on empty arrays that Spark adds otherwise would split every text twice)
+    found = narrow.select(F.explode_outer("ws").alias("word")).join(known, F.col("word") == F.col("v"), "left_semi")
+    counts = materialize(found.groupBy("word").agg(F.count(F.lit(1)).alias("occurrences")), "rarity")
 
     # 2. the rarest word of each window, and its place
-    placed = benchmark.select("window_id", "words", F.posexplode("words").alias("place", "word"))
-    ranked = placed.join(counts, "word", "left").groupBy("window_id", "words").agg(
+    placed = benchmark.select("window_id", "words", "items", F.posexplode("words").alias("place", "word"))
+    ranked = placed.join(counts, "word", "left").groupBy("window_id", "words", "items").agg(
         F.min(F.struct(F.coalesce("occurrences", F.lit(0)).alias("occurrences"), "word", "place")).alias("prefix"))
     prefixes = ranked.filter(F.col("prefix.occurrences") > 0).select(
-        "window_id", "words", F.col("prefix.word").alias("prefix_word"), F.col("prefix.place").alias("place"))
+        "window_id", "words", "items", F.col("prefix.word").alias("prefix_word"), F.col("prefix.place").alias("place"))
     prefixes = materialize(prefixes, "prefixes")
+    size = _bytes(prefixes, 2 * F.octet_length(F.array_join("words", " ")) + 32 * F.size("items") + 256)
 
-    # 3. positions that hold a prefix word, kept with the window's start; bounds leave few of them
-    keys = prefixes.select("prefix_word", "window_id", "place", F.size("words").alias("length"))
-    keys = _bounded(keys, _bytes(keys, F.octet_length("prefix_word") + 48), limit)
     start = F.col("pos") - F.col("place")
+    inside = (start >= 0) & (start <= F.size("ws") - F.size("words"))
+    same = F.slice(F.col("ws"), start + 1, F.size("words")) == F.col("words")
+    if size <= limit:  # 3 and 4 where the documents are read
+        positions = narrow.select("id", "text_hash", "ws", F.posexplode_outer("ws").alias("pos", "word"))
+        hits = positions.join(F.broadcast(prefixes), F.col("word") == F.col("prefix_word")).filter(inside & same).select(
+            "id", "text_hash", F.struct(start.alias("start"), F.size("words").alias("length"), "items").alias("hit"))
+        return hits.groupBy("id", "text_hash").agg(F.collect_set("hit").alias("hits"))
+
+    positions = narrow.select("id", "text_hash", F.size("ws").alias("n"), F.posexplode_outer("ws").alias("pos", "word"))
+    keys = prefixes.select("prefix_word", "window_id", "place", F.size("words").alias("length"))
     candidates = positions.join(keys, F.col("word") == F.col("prefix_word")).filter(
         (start >= 0) & (start <= F.col("n") - F.col("length"))).select("id", "text_hash", "window_id", start.alias("start"))
-    candidates = materialize(candidates, "candidates")
-
-    # 4. the window's words beside each candidate, gathered per document and compared with the document's words
-    words = prefixes.select("window_id", "words").join(benchmark.select("window_id", "items"), "window_id")
-    words = _bounded(materialize(words, "window-words"),
-                     _bytes(prefixes, F.octet_length(F.array_join("words", " ")) + 256), limit)
-    gathered = candidates.join(words, "window_id").groupBy("id", "text_hash").agg(
+    tries = candidates.join(prefixes.select("window_id", "words", "items"), "window_id").groupBy("id", "text_hash").agg(
         F.collect_set(F.struct("start", "words", "items")).alias("tries"))
-    gathered = materialize(gathered.select(F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"), "tries"), "tries")
-    size = _bytes(gathered, F.size("tries") * (window * 16 + 64) + 32)
-    joined = tokens.join(_bounded(gathered, size, limit),
-                         F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")))
-    same = lambda t: F.slice(F.col("ws"), t["start"] + 1, F.size(t["words"])) == t["words"]
-    hits = F.transform(F.filter("tries", same), lambda t: F.struct(
+    tries = materialize(tries.select(F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"), "tries"), "tries")
+    joined = narrow.join(tries, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")))
+    fits = lambda t: F.slice(F.col("ws"), t["start"] + 1, F.size(t["words"])) == t["words"]
+    hits = F.transform(F.filter("tries", fits), lambda t: F.struct(
         t["start"].alias("start"), F.size(t["words"]).alias("length"), t["items"].alias("items")))
     return joined.select("id", "text_hash", hits.alias("hits")).filter(F.size("hits") > 0).distinct()
 
