@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from starweave.llm import (decontaminate, licences, line_dedup, minhash, packing, quality_model, quality_rules, token_rollup,
                            url_filter, warc_merkle)
@@ -28,32 +28,29 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILE_PAGES = 1000
 
 
-def _archive(pages: DataFrame, body: Column) -> DataFrame:
-    """(page_id, file, offset, payload): pages as WARC records, FILE_PAGES page ids to a file, one after the other."""
-    rows = pages.select("page_id", F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / FILE_PAGES)).alias("file"),
-                        warc_merkle.warc_record(F.col("url"), F.col("html")).alias("original"),
-                        warc_merkle.warc_record(F.col("url"), body).alias("payload"))
-    before = Window.partitionBy("file").orderBy("page_id", F.xxhash64("original")).rowsBetween(Window.unboundedPreceding, -1)
-    length = F.octet_length("original").cast("long")
-    return rows.withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0))).drop("original")
-
-
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged records of a replica of ``pages`` as WARC files: bodies changed, records lost, records added.
 
-    The replica is derived from the pages: page ids that leave 5 when divided by 97 lose the last character of their
-    body to a ``~`` (or get one), those that leave 7 with 101 are lost, and those that leave 11 with 103 come once more
-    a gibibyte further on.
+    The pages are response records, ``FILE_PAGES`` page ids to a file, one after the other. The replica is derived from
+    them: page ids that leave 5 when divided by 97 lose the last character of their body to a ``~`` (or get one), those
+    that leave 7 with 101 are lost, and those that leave 11 with 103 come once more a gibibyte further on.
     """
     pages = _read(spark, sf_dir, "pages")
     body = F.coalesce("html", F.lit(""))
-    damaged = F.when(F.col("page_id") % 97 == 5, F.concat(F.expr("left(coalesce(html, ''), greatest(char_length(html) - 1, 0))"),
-                                                          F.lit("~"))).otherwise(body)
-    ours = materialize(_archive(pages, body), "archive")
-    theirs = _archive(pages, damaged).filter(F.coalesce(F.col("page_id") % 101 != 7, F.lit(True)))
+    shorter = F.expr("left(coalesce(html, ''), greatest(char_length(coalesce(html, '')) - 1, 0))")
+    damaged = F.when(F.col("page_id") % 97 == 5, F.concat(shorter, F.lit("~"))).otherwise(body)
+    file = F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / FILE_PAGES)).alias("file")
+    ours = warc_merkle.with_digest(pages.select("page_id", file, warc_merkle.warc_record(F.col("url"), body).alias("payload"),
+                                                warc_merkle.warc_record(F.col("url"), damaged).alias("other")))
+    both = warc_merkle.with_digest(ours.withColumnsRenamed({"length": "own_length", "digest": "own_digest"}), "other")
+    # offsets from the lengths alone: bodies stay where they are read
+    before = Window.partitionBy("file").orderBy("page_id", "own_digest").rowsBetween(Window.unboundedPreceding, -1)
+    both = materialize(both.withColumn("offset", F.coalesce(F.sum("own_length").over(before), F.lit(0))), "records")
+    ours = both.select("page_id", "file", "offset", F.col("own_length").alias("length"), F.col("own_digest").alias("digest"))
+    theirs = both.filter(F.coalesce(F.col("page_id") % 101 != 7, F.lit(True))).select("page_id", "file", "offset", "length", "digest")
     again = ours.filter(F.col("page_id") % 103 == 11).withColumn("offset", F.col("offset") + (1 << 30))
-    theirs = materialize(theirs.unionByName(again), "replica")
-    found = warc_merkle.audit(warc_merkle.record_hashes(ours), warc_merkle.record_hashes(theirs))
+    found = warc_merkle.audit(warc_merkle.record_hashes(ours, payload_col=None),
+                              warc_merkle.record_hashes(theirs.unionByName(again), payload_col=None))
     places = ours.unionByName(again).select("page_id", F.col("file").alias("p_file"), F.col("offset").alias("p_offset"))
     out = found.join(places, F.col("file").eqNullSafe(F.col("p_file")) & (F.col("offset") == F.col("p_offset")))
     return out.select("page_id", "file", "offset", "kind")

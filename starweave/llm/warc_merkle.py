@@ -35,13 +35,22 @@ def warc_record(url: Column, body: Column) -> Column:
                     F.lit("\r\nContent-Length: "), length, F.lit("\r\n\r\n"), F.coalesce(body, F.lit("")), F.lit("\r\n\r\n"))
 
 
-def record_hashes(records: DataFrame, file_col: str = "file", offset_col: str = "offset",
-                  payload_col: str = "payload") -> DataFrame:
-    """(file, offset, length, digest, copies) of every record; written to the shared folder."""
+def with_digest(records: DataFrame, payload_col: str = "payload") -> DataFrame:
+    """``records`` with ``length`` and ``digest`` (SHA-256, hexadecimal) in place of the payload."""
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit("").cast("binary"))
-    rows = records.select(F.col(f"`{file_col}`").cast("string").alias("file"),
-                          F.coalesce(F.col(f"`{offset_col}`").cast("long"), F.lit(-1)).alias("offset"),
+    return records.select(*[F.col(f"`{c}`") for c in records.columns if c not in (payload_col, "length", "digest")],
                           F.octet_length(payload).cast("long").alias("length"), F.sha2(payload, 256).alias("digest"))
+
+
+def record_hashes(records: DataFrame, file_col: str = "file", offset_col: str = "offset",
+                  payload_col: str | None = "payload") -> DataFrame:
+    """(file, offset, length, digest, copies) of every record; written to the shared folder.
+
+    With ``payload_col`` None the records have been through ``with_digest`` already.
+    """
+    hashed = records if payload_col is None else with_digest(records, payload_col)
+    rows = hashed.select(F.col(f"`{file_col}`").cast("string").alias("file"),
+                         F.coalesce(F.col(f"`{offset_col}`").cast("long"), F.lit(-1)).alias("offset"), "length", "digest")
     return materialize(rows.groupBy("file", "offset", "length", "digest").agg(F.count(F.lit(1)).alias("copies")), "record-hashes")
 
 
