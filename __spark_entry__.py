@@ -17,9 +17,9 @@ from starweave.operators.keys import candidate_keys
 from starweave.operators.model import recommend_clustering
 from starweave.operators.profile import histogram, profile_tables
 from starweave.operators.split import resolve_fk
-from starweave.plans.catalog import catalogue_profile, modelled, profile_of, wide_input
+from entry_plans import catalogue_profile, modelled, profile_of, wide_input
 from starweave.sources.nested import flatten_nested
-from starweave.sources.wide import ORDERS_WIDE_SQL, SALES_WIDE_SQL
+from entry_wide import ORDERS_WIDE_SQL, SALES_WIDE_SQL
 
 try:  # the training-data operators are an optional subpackage with their own queries and SQL
     import corpus_pipeline
@@ -910,7 +910,10 @@ def sql_anomalies_all() -> str:
 
 
 def _hash_sql(cols: list[str]) -> str:
-    return "sha256(concat_ws('|', " + ", ".join(f"coalesce(CAST(\"{c}\" AS VARCHAR), '')" for c in cols) + "))"
+    """Values as text joined by |; a timestamp's fraction, if it has one, is written with six digits."""
+    text = {"ts": "CASE WHEN epoch_us(ts) % 1000000 = 0 THEN CAST(ts AS VARCHAR) ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END"}
+    parts = (text.get(c, f'CAST("{c}" AS VARCHAR)') for c in cols)
+    return "sha256(concat_ws('|', " + ", ".join(f"coalesce({t}, '')" for t in parts) + "))"
 
 
 _OW_COLS = [c for c, _ in SCHEMAS["orders_wide"]]

@@ -1,4 +1,4 @@
-"""Plans over the driver's test tables: profiles, models and splits used by the registered queries."""
+"""Plans over the test tables: profiles, models and splits used by the registered queries."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from starweave.operators.model import Model, infer_model
 from starweave.operators.profile import Profile, profile_tables
 from starweave.operators.split import split
 from starweave.session import written
-from starweave.sources.wide import TABLES, load_tables, orders_wide, sales_wide
+from entry_wide import TABLES, load_tables, orders_wide, sales_wide
 
 # Fixed value: the load timestamp stamped on rows by the registered queries (results must be repeatable).
 FIXED_LOAD_TS = _dt.datetime(2024, 1, 1, 0, 0, 0)

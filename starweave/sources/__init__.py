@@ -1,4 +1,4 @@
-"""Readers, source sniffing, nested flattening and the wide input views."""
+"""Readers, source sniffing and nested flattening."""
 
 from starweave.sources.readers import (
     SUPPORTED_FORMATS,
@@ -12,7 +12,6 @@ from starweave.sources.readers import (
 )
 from starweave.sources.sniff import file_metadata, sniff_delimiter, sniff_encoding, validate_source
 from starweave.sources.nested import flatten_nested
-from starweave.sources.wide import orders_wide, sales_wide, load_tables
 
 __all__ = [
     "SUPPORTED_FORMATS",
@@ -28,7 +27,4 @@ __all__ = [
     "sniff_encoding",
     "validate_source",
     "flatten_nested",
-    "orders_wide",
-    "sales_wide",
-    "load_tables",
 ]

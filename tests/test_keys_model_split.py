@@ -129,7 +129,7 @@ def test_value_type_violations_and_orphan_sample(spark):
 
 def test_catalogue_models(spark):
     from starweave.operators.model import infer_models, models_frame
-    from starweave.plans.catalog import catalogue_profile
+    from entry_plans import catalogue_profile
 
     p = catalogue_profile(spark, "/root/testdata/sf0.001")
     models = infer_models(p, candidate_keys(p))

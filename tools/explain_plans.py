@@ -15,7 +15,8 @@ import sys
 sys.path.insert(0, ".")
 
 from starweave.operators import quality  # noqa: E402
-from starweave.plans.catalog import modelled, profile_of  # noqa: E402
+from starweave.operators.profile import typed_frequencies  # noqa: E402
+from entry_plans import modelled, profile_of  # noqa: E402
 from starweave.session import get_session  # noqa: E402
 
 
@@ -29,8 +30,8 @@ def main() -> None:
     plans = {
         "fact (FACT_MAIN)": m.tables["FACT_MAIN"],
         "dimension (DIM_CUSTOMER)": m.tables["DIM_CUSTOMER"],
-        "frequency table (documents)": prof.typed,
-        "top values (documents)": prof.top_values(resolve=False),
+        "frequency table (documents)": typed_frequencies(prof.tables),
+        "top values (documents)": prof.top_value_keys(),
         "orphan keys (lineitem -> orders)": quality.orphan_keys(lineitem, orders, "l_orderkey", "o_orderkey"),
         "duplicate keys (lineitem)": quality.duplicate_keys(lineitem, ["l_orderkey", "l_linenumber"]),
     }
