@@ -78,7 +78,7 @@ def tokenizer(json_path: str | None, ranks_path: str, pattern: str, special: tup
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    plain = Tokenizer.from_file(json_path) if json_path else None
+    plain: list[Tokenizer] = []  # read when the first text with a special string comes
     pack = lambda ids: b"".join([i.to_bytes(WIDTH, "little") for i in ids])
     direct = lambda text: pack(bpe.encode_ordinary(text))
     by_word = _WordCache(direct).__getitem__
@@ -86,7 +86,9 @@ def tokenizer(json_path: str | None, ranks_path: str, pattern: str, special: tup
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
-            return pack(plain.encode(text, add_special_tokens=False).ids)
+            if not plain:
+                plain.append(Tokenizer.from_file(json_path))
+            return pack(plain[0].encode(text, add_special_tokens=False).ids)
         if double.search(text):
             return direct(text)
         first, *rest = text.split(" ")
