@@ -99,7 +99,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
 
     lengths = [len(t) for _, t in known if len(t) <= NOTICE_CHARS] or [0]
     possible = lambda x: F.char_length(F.btrim(x)).between(min(lengths) // 2, 2 * max(lengths))
-    lines = narrow.select("id", F.explode(F.filter(F.split("text", "\n", -1), possible)).alias("line"))
+    lines = narrow.select("id", F.explode_outer(F.filter(F.split("text", "\n", -1), possible)).alias("line"))
     hits = lines.join(table, F.sha2(canonical(F.col("line")), 256) == F.col("known_digest"))
     notices = hits.groupBy(F.col("id").alias("n_id")).agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"))
     out = whole.join(notices, F.col("id").eqNullSafe(F.col("n_id")), "left")
