@@ -3,8 +3,12 @@
 Every document gets counts over its whole text. A base rule rejects very short and very repetitive texts. The
 other documents are turned into a vector of transformed statistics, and for each group (language and source) the
 location and scatter of the tightest ``coverage`` share of the vectors are estimated by concentration steps: distances
-under the current estimate, the smallest distances that hold the share, mean and covariance of those, and so on. A
-document whose squared Mahalanobis distance exceeds ``cutoff`` is rejected.
+under the current estimate, the smallest distances that hold the share, mean and covariance of those, and so on. For the
+verdict only the harmful side of a statistic counts (``SIDES``): a text longer than its group's, or with fewer symbols or
+repetitions, is none the worse for it. A document whose squared Mahalanobis distance on these sides exceeds ``cutoff``, a
+quantile of the chi-squared distribution, is rejected.
+
+The floors are far below what the cutoff allows each statistic, so that every one of them can reject a text alone.
 
 All of it is DataFrame expressions. A step makes one pass over the (narrow) statistics table: moments are summed per
 group and distance bin, so a hot group is pre-aggregated in every task and only groups x bins rows are shuffled.
@@ -29,6 +33,27 @@ SYMBOLS = "#*$%&|<>"
 
 FEATURES = ("log_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
 
+# The harmful side of each feature (-1 below the group's mean, 1 above it, 0 both).
+SIDES = (-1, 0, 1, 1, 1)
+
+
+def _chi2_cdf(x: float, dof: int) -> float:
+    """Chi-squared distribution function for odd ``dof``."""
+    total, term = 0.0, math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(1, dof, 2):
+        total += term
+        term *= x / (k + 2)
+    return math.erf(math.sqrt(x / 2)) - total
+
+
+def chi2_quantile(share: float, dof: int) -> float:
+    """The value that holds ``share`` of the chi-squared distribution below it."""
+    lo, hi = 0.0, 200.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if _chi2_cdf(mid, dof) < share else (lo, mid)
+    return lo
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -39,8 +64,8 @@ class Settings:
     coverage: float = 0.75
     steps: int = 4
     min_group: int = 50
-    cutoff: float = 50.0
-    floors: tuple[float, ...] = (1.5, 0.3, 0.05, 0.25, 0.25)
+    cutoff: float = chi2_quantile(0.999, len(FEATURES))
+    floors: tuple[float, ...] = (0.1, 0.2, 0.05, 0.12, 0.14)
 
 
 def _repeat_words(grams: Column) -> Column:
@@ -93,22 +118,9 @@ def _vector() -> list[Column]:
             F.sqrt(F.col("n_dup_lines") / (n / 8 + F.col("n_dup_lines"))), F.sqrt(F.col("n_repeat_words") / n)]
 
 
-def _chi2_cdf(x: float, dof: int) -> float:
-    """Chi-squared distribution function for odd ``dof``."""
-    total, term = 0.0, math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
-    for k in range(1, dof, 2):
-        total += term
-        term *= x / (k + 2)
-    return math.erf(math.sqrt(x / 2)) - total
-
-
 def consistency_factor(coverage: float, dof: int) -> float:
     """What the covariance of the tightest ``coverage`` share is multiplied by to be that of a normal sample."""
-    lo, hi = 0.0, 200.0
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _chi2_cdf(mid, dof) < coverage else (lo, mid)
-    return coverage / _chi2_cdf(lo, dof + 2)
+    return coverage / _chi2_cdf(chi2_quantile(coverage, dof), dof + 2)
 
 
 def _cholesky(cov: dict[tuple[int, int], Column], p: int) -> list[list[tuple[str, Column]]]:
@@ -125,12 +137,17 @@ def _cholesky(cov: dict[tuple[int, int], Column], p: int) -> list[list[tuple[str
     return rows
 
 
-def _distance(p: int) -> Column:
-    """Squared Mahalanobis distance of x0.. under the joined m0.., l00.. (forward substitution)."""
+def _distance(p: int, sides: tuple[int, ...] | None = None) -> Column:
+    """Squared Mahalanobis distance of x0.. under the joined m0.., l00.. (forward substitution).
+
+    With ``sides`` a feature on its harmless side counts as equal to the mean.
+    """
     def solve(i: int, done: list[Column]) -> Column:
         if i == p:
             return sum((y * y for y in done[1:]), done[0] * done[0])
         rest = F.col(f"x{i}") - F.col(f"m{i}")
+        if sides and sides[i]:
+            rest = F.greatest(rest, F.lit(0.0)) if sides[i] > 0 else F.least(rest, F.lit(0.0))
         for k, y in enumerate(done):
             rest = rest - F.col(f"l{i}{k}") * y
         return let(rest / F.col(f"l{i}{i}"), lambda y: solve(i + 1, [*done, y]))
@@ -169,8 +186,9 @@ def _start(vectors: DataFrame, keys: list[str], p: int, floors: tuple[float, ...
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           source_col: str = "source", settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: its id, the counts, ``base_failed``, the squared ``distance`` (null where the base rule
-    already failed) and ``kept``. ``keep`` names further input columns to carry along."""
+    """One row per document: its id, the counts, ``base_failed``, the squared ``distance`` (of both sides of every
+    feature; null where the base rule already failed) and ``kept`` (by the harmful sides). ``keep`` names further input
+    columns to carry along."""
     p, s = len(FEATURES), settings
     keys = ["g_lang", "g_source"]
     narrow = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"),
@@ -211,20 +229,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         subset = inside.groupBy("g").agg(*[F.sum(c).alias(c) for c in cols])
         model = materialize(_from_moments(subset, ["g"], p, factor, s.floors), f"mcd-{step}")
 
-    judged = _with_distance(joined, model, p)
+    judged = _with_distance(joined, model, p, SIDES)
     distance = F.when(~F.col("base_failed"), F.col("distance"))
+    harm = F.when(~F.col("base_failed"), F.col("harm"))
     return judged.select(
         F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         distance.alias("distance"),
-        (~F.col("base_failed") & F.coalesce(distance <= s.cutoff, F.lit(True))).alias("kept"),
+        (~F.col("base_failed") & F.coalesce(harm <= s.cutoff, F.lit(True))).alias("kept"),
         *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def _with_distance(vectors: DataFrame, model: DataFrame, p: int) -> DataFrame:
-    """``vectors`` with ``distance`` under its group's estimate (null for a group without one)."""
+def _with_distance(vectors: DataFrame, model: DataFrame, p: int, sides: tuple[int, ...] | None = None) -> DataFrame:
+    """``vectors`` with ``distance`` under its group's estimate (null for a group without one), and ``harm``, the distance
+    on the given sides."""
     m = model.withColumnRenamed("g", "m_g")
     out = vectors.join(small(m, 400), F.col("g").eqNullSafe(F.col("m_g")), "left")
-    return out.select(*vectors.columns, _distance(p).alias("distance"))
+    harm = [_distance(p, sides).alias("harm")] if sides else []
+    return out.select(*vectors.columns, _distance(p).alias("distance"), *harm)
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -352,6 +352,31 @@ def test_covariance_estimate_against_numpy(spark):
     assert not any(out[500 + k]["kept"] for k in range(5)) and sum(out[k]["kept"] for k in range(120)) >= 118
 
 
+@pytest.mark.parametrize("planted", ["log_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate"])
+def test_each_statistic_alone_rejects(spark, planted):
+    """A text that differs in one statistic only; long clean texts and quiet ones stay."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice((4, 5, 6))))
+    text = lambda n: "\n".join(" ".join(word() for _ in range(10)) for _ in range(n // 10))
+    rows = [(k, text(r.randrange(1800, 2200))) for k in range(100)]
+    if planted == "log_words":
+        bad = text(60)
+    elif planted == "word_length":
+        bad = " ".join(word() + word()[:3] for _ in range(2000))
+    elif planted == "symbol_rate":
+        bad = " ".join(w[:-1] + "#" if k % 6 == 0 else w for k, w in enumerate(text(2000).split()))
+    elif planted == "dup_line_rate":  # one-word lines between others: no three words repeat
+        bad = "\n".join(f"{x}\nhome" for x in (" ".join(word() for _ in range(3)) for _ in range(500)))
+    else:  # 45 of 100 words in three-word windows that occur twice, on lines of their own making
+        half = [word() for _ in range(450)]
+        bad = " ".join([*half, *(word() for _ in range(1100)), *half])
+    rows += [(900, bad), (901, text(20_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    out = {x["doc_id"]: x for x in quality_rules.judge(df).collect()}
+    assert not out[900]["base_failed"] and not out[900]["kept"]
+    assert all(out[k]["kept"] for k in range(100)) and out[901]["kept"]
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage of the whole chain on all that its predecessor kept."""
     import duckdb
