@@ -2,8 +2,8 @@
 
 A text is made canonical: A-Z lower-cased, copyright lines dropped, every run of ASCII punctuation and white space one
 blank, equivalent spellings one. Its SHA-256 digest meets the digests of the known texts in an equality join. Besides
-the entire text each of its lines is looked up, for notices that stand on a line of their own; a line is tried only if
-its length can be that of a known notice, which follows from the table of known texts.
+the entire text each of its lines is looked up, for notices that stand on a line of their own, however much punctuation
+and white space is around them; a line is tried if its canonical form is as long as that of some known notice.
 
 The known side is broadcast only while its size, which is checked, stays within a limit. A hot digest (one licence in a
 third of all documents) is no hot key then; in the shuffled form Spark splits the partitions of the inner join.
@@ -26,6 +26,7 @@ SPELLINGS = (("license", "licence"), ("acknowledgment", "acknowledgement"), ("au
              ("merchantability", "merchantibility"), ("copyright holder", "copyright owner"), ("https", "http"))
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LINE_BREAKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"  # all of them but the line feed
 
 # Texts of short licences and of notices that stand for one.
 KNOWN = (
@@ -67,16 +68,25 @@ software.
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("All-rights-reserved", "All rights reserved."),
 )
-NOTICE_CHARS = 200  # known texts of up to this length are notices, looked up line by line
+NOTICE_CHARS = 200  # known texts with a canonical form of up to this length are notices, looked up line by line
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; null becomes empty."""
+def _spaced(text: Column, breaks: str) -> Column:
     out = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
-    out = F.regexp_replace(out, BREAKS, " ")
+    out = F.regexp_replace(out, breaks, " ")
     for to, spelled in SPELLINGS:
         out = F.replace(out, F.lit(spelled), F.lit(to))
-    return F.btrim(out)
+    return out
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text; null becomes empty."""
+    return F.btrim(_spaced(text, BREAKS))
+
+
+def canonical_lines(text: Column) -> Column:
+    """The canonical forms of a text's lines, in order: no step reaches past a line, so all are made in one go."""
+    return F.transform(F.split(_spaced(text, LINE_BREAKS), "\n", -1), lambda x: F.btrim(x))
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -97,10 +107,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     whole = narrow.select("id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
     whole = whole.join(table, F.col("digest") == F.col("known_digest"), "left").drop("known_digest")
 
-    lengths = [len(t) for _, t in known if len(t) <= NOTICE_CHARS] or [0]
-    possible = lambda x: F.char_length(F.btrim(x)).between(min(lengths) // 2, 2 * max(lengths))
-    lines = narrow.select("id", F.explode_outer(F.filter(F.split("text", "\n", -1), possible)).alias("line"))
-    hits = lines.join(table, F.sha2(canonical(F.col("line")), 256) == F.col("known_digest"))
+    long = F.char_length(canonical(F.col("text"))).alias("n")
+    lengths = [r["n"] for r in spark.createDataFrame(list(known), "licence string, text string").select(long).distinct().collect()]
+    lengths = [n for n in lengths if 0 < n <= NOTICE_CHARS]
+    possible = lambda x: F.char_length(x).isin(lengths)
+    lines = narrow.select("id", F.explode(F.filter(canonical_lines(F.col("text")), possible)).alias("line"))
+    hits = lines.join(table, F.sha2("line", 256) == F.col("known_digest"))
     notices = hits.groupBy(F.col("id").alias("n_id")).agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"))
     out = whole.join(notices, F.col("id").eqNullSafe(F.col("n_id")), "left")
     return out.select(F.col("id").alias(id_col), "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))

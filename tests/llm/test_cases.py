@@ -284,6 +284,25 @@ def test_licences(spark, odd):
     assert licences.scan(clashing(odd), limit=0).count() == odd.count() and licences.scan(odd.limit(0)).collect() == []
 
 
+def test_licence_notices_in_long_lines(spark):
+    """Punctuation and white space around a notice do not hide it, nor those in the known text the notices of others."""
+    stars = "*" * 100
+    rows = [(1, f"/*{stars} All rights reserved. {stars}*/"), (2, "x\r\n  Released under the MIT License" + " .\t-" * 90 + "\r\ny"),
+            (3, "All rights reserved " + "x" * 100), (4, "All rights\nreserved."), (5, f"a\n{stars}\n\n// Licensed under CC BY-NC 4.0 //")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["notices"] for r in licences.scan(df).collect()}
+    assert got == {1: "All-rights-reserved", 2: "MIT", 3: "", 4: "", 5: "CC-BY-NC-4.0"}
+    loud = (("Own", "-" * 150 + " my own terms " + "-" * 150),)
+    own = licences.scan(spark.createDataFrame([(1, "a\nMy own terms")], "doc_id long, text string"), known=loud).collect()
+    assert own[0]["notices"] == "Own"
+    from pyspark.sql import functions as F
+
+    texts = ["a\rCopyright x\r\nFree  for all,\n\n(c) y\x85z\n Copyright\nholder\r", "", "\n", "É\tLicense\u2028copyright é\nb", None]
+    both = spark.createDataFrame([(t,) for t in texts], "t string").select(licences.canonical_lines(F.col("t")).alias("a"), F.transform(
+        F.split(F.coalesce("t", F.lit("")), "\n", -1), lambda x: licences.canonical(x)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
+
+
 def test_rollup_is_idempotent(spark, tmp_path):
     store = token_rollup.Rollup(spark, str(tmp_path / "r"))
     assert store.totals().collect() == []
