@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from starweave.llm.common import BROADCAST_LIMIT, LOWER, UPPER, ascii_lower, materialize
+from starweave.llm.licence_digests import DIGESTS
 
 # Spellings that count as equal (each second form is replaced by the first).
 SPELLINGS = (("license", "licence"), ("acknowledgment", "acknowledgement"), ("authorize", "authorise"),
@@ -67,6 +68,29 @@ software.
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("All-rights-reserved", "All rights reserved."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("Apache-2.0", "Released under the Apache License, Version 2.0."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "This project is licensed under the MIT License."),
+    ("MIT", "This software is released under the MIT License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in (
+        "Apache-2.0", "MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "Unlicense", "CC-BY-4.0",
+        "CC-BY-SA-4.0", "CC-BY-NC-4.0")),
+    *((name, f"SPDX-License-Identifier: {name}{end}") for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+      for end in ("", "-only", "-or-later")),
 )
 NOTICE_CHARS = 200  # known texts with a canonical form of up to this length are notices, looked up line by line
 
@@ -89,11 +113,14 @@ def canonical_lines(text: Column) -> Column:
     return F.transform(F.split(_spaced(text, LINE_BREAKS), "\n", -1), lambda x: F.btrim(x))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(known_digest, licence) of the known texts."""
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN,
+                  digests: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
+    """(known_digest, licence) of the known texts, and of those of which only the digest is known."""
     rows = spark.createDataFrame(list(known), "licence string, text string")
     rows = rows.select("licence", canonical(F.col("text")).alias("c")).filter(F.col("c") != "")
-    return rows.groupBy(F.sha2("c", 256).alias("known_digest")).agg(F.min("licence").alias("licence"))
+    rows = rows.select("licence", F.sha2("c", 256).alias("known_digest"))
+    rows = rows.unionByName(spark.createDataFrame(list(digests), "licence string, known_digest string"))
+    return rows.groupBy("known_digest").agg(F.min("licence").alias("licence"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple[tuple[str, str], ...] = KNOWN,

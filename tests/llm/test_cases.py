@@ -284,6 +284,43 @@ def test_licences(spark, odd):
     assert licences.scan(clashing(odd), limit=0).count() == odd.count() and licences.scan(odd.limit(0)).collect() == []
 
 
+def test_full_licence_texts(spark):
+    """Usual full texts, in the wrapping in which they are published."""
+    mit = " ".join(dict(licences.KNOWN[:1])["MIT"].replace("\n\n", " @ ").split()).replace(" @ ", "\n\n")
+    bsd = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+  * Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer.
+  * Redistributions in binary form must reproduce the above copyright
+    notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL <COPYRIGHT HOLDER> BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND
+ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+    texts = {1: ("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), 2: ("MIT", mit), 3: ("BSD-2-Clause", bsd)}
+    folder = "/usr/share/common-licenses"
+    for k, (file, name) in enumerate((("Apache-2.0",) * 2, ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1",) * 2,
+                                      ("LGPL-3", "LGPL-3.0"), ("MPL-2.0",) * 2, ("CC0-1.0",) * 2)):
+        if os.path.exists(f"{folder}/{file}"):
+            texts[10 + k] = (name, open(f"{folder}/{file}", encoding="utf-8").read())
+    df = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["licence"] for r in licences.scan(df).collect()} == {i: n for i, (n, _) in texts.items()}
+    lines = spark.createDataFrame([(1, "// SPDX-License-Identifier: GPL-2.0-only\nx")], "doc_id long, text string")
+    assert licences.scan(lines).first()["notices"] == "GPL-2.0"
+
+
 def test_licence_notices_in_long_lines(spark):
     """Punctuation and white space around a notice do not hide it, nor those in the known text the notices of others."""
     stars = "*" * 100
