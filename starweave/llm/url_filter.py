@@ -2,12 +2,14 @@
 
 1. A url is cut into host and path. The longest listed rule whose host it belongs to and with whose path its path starts
    gives the verdict; those urls are also the labelled ones.
-2. Paths are counted per host after a first generalisation (each run of digits becomes ``#``), so hot hosts shrink to
-   their distinct shapes before anything else is done with them.
-3. Level by level, a node of a host's tree whose children are many and mostly rare is a variable place: its children
-   become one wildcard ``*``. What lies below ``max_depth`` segments becomes ``**``.
+2. Distinct paths are counted per host and shape (each run of digits becomes ``#``), so that repeated urls weigh no more
+   than single ones, and hot hosts shrink to their distinct shapes before anything else is done with them.
+3. Level by level, a node of a host's tree with ``many_children`` rare children (of at most 1 / ``rare_children`` paths) is
+   a variable place: its rare children become one wildcard ``*``, and frequent ones keep their name. What lies below
+   ``max_depth`` segments becomes ``**``.
 4. Sibling templates whose labelled shares of blocked urls do not differ significantly from what the siblings share
-   together are merged; the others stand alone.
+   together are merged; the others stand alone. Siblings without labelled urls join if the branch is homogeneous: two
+   labelled templates at least, and none that differs.
 5. A template (or merged branch) is rejected if its share of blocked urls, smoothed with ``weight`` urls of the overall
    share, reaches ``purity``. Templates without labelled urls keep to the overall share, which alone never rejects.
 
@@ -66,11 +68,13 @@ def _templates(shapes: DataFrame, s: Settings) -> DataFrame:
         segment = F.get("segments", F.lit(depth))
         rows = rows.withColumn("segment", segment)
         children = rows.filter(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
-        nodes = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("rows"))
-        variable = nodes.filter((F.col("children") >= s.many_children)
-                                & (F.col("children") >= s.rare_children * F.col("rows"))).select(
-            F.col("host").alias("v_host"), F.col("template").alias("v_template"), F.lit(True).alias("variable"))
-        rows = rows.join(variable, (F.col("host") == F.col("v_host")) & (F.col("template") == F.col("v_template")), "left")
+        rare = materialize(children.filter(s.rare_children * F.col("n") <= 1).drop("n"), "url-rare")
+        nodes = rare.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"))
+        variable = rare.join(nodes.filter(F.col("children") >= s.many_children), ["host", "template"], "left_semi").select(
+            F.col("host").alias("v_host"), F.col("template").alias("v_template"), F.col("segment").alias("v_segment"),
+            F.lit(True).alias("variable"))
+        rows = rows.join(variable, (F.col("host") == F.col("v_host")) & (F.col("template") == F.col("v_template"))
+                         & (F.col("segment") == F.col("v_segment")), "left")
         step = F.when(F.col("segment").isNull(), "").otherwise(
             F.concat(F.lit("/"), F.when(F.col("variable"), "*").otherwise(F.col("segment"))))
         rows = materialize(rows.select("host", "shape", "n", "segments", F.concat("template", step).alias("template")), "url-tree")
@@ -79,8 +83,8 @@ def _templates(shapes: DataFrame, s: Settings) -> DataFrame:
 
 
 def templates(urls: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(host, shape, template, rejected, purity) from rows of (host, shape, verdict), verdict null if not labelled."""
-    shapes = urls.groupBy("host", "shape").agg(
+    """(host, shape, template, rejected, purity) from rows of (host, path, shape, verdict), verdict null if not labelled."""
+    shapes = urls.select("host", "path", "shape", "verdict").distinct().groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("verdict").alias("labelled"),
         F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked"))
     shapes = materialize(shapes, "url-shapes")
@@ -92,7 +96,11 @@ def templates(urls: DataFrame, s: Settings = Settings()) -> DataFrame:
     share = F.try_divide(F.sum("blocked").over(siblings), F.sum("labelled").over(siblings))
     spread = F.sqrt(F.col("labelled") * F.col("share") * (1 - F.col("share")))
     alike = (F.col("labelled") > 0) & (F.abs(F.col("blocked") - F.col("labelled") * F.col("share")) <= s.z * spread)
-    judged = leaves.withColumn("share", share).withColumn("branch", F.when(alike, "").otherwise(F.col("template")))
+    leaves = leaves.withColumn("share", share).withColumn("alike", alike)
+    n_labelled = F.count(F.when(F.col("labelled") > 0, 1)).over(siblings)
+    homogeneous = (n_labelled >= 2) & (n_labelled == F.count(F.when(F.col("alike"), 1)).over(siblings))
+    joins = F.col("alike") | ((F.col("labelled") == 0) & homogeneous)
+    judged = leaves.withColumn("branch", F.when(joins, "").otherwise(F.col("template")))
     branch = Window.partitionBy("host", "parent", "branch")
     judged = judged.select("host", "template", F.sum("labelled").over(branch).alias("labelled"),
                            F.sum("blocked").over(branch).alias("blocked"))
@@ -111,7 +119,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = rows.withColumn("fit", listed(F.col("host"), F.col("path"), rules)).select(
         "id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"),
         F.regexp_replace("path", "[0-9]+", "#").alias("shape"))
-    tree = materialize(templates(rows.select("host", "shape", "verdict"), settings), "url-templates")
+    tree = materialize(templates(rows.select("host", "path", "shape", "verdict"), settings), "url-templates")
     size = tree.agg(F.sum(F.octet_length("host") + F.octet_length("shape") + F.octet_length("template") + 48)).first()[0] or 0
     tree = tree.select(F.col("host").alias("t_host"), F.col("shape").alias("t_shape"), "template", "purity", "rejected")
     tree = F.broadcast(tree) if size <= limit else tree

@@ -254,6 +254,23 @@ def test_url_templates_learn_from_the_listed(spark):
     assert out[out.rule.isna()].verdict.eq("block").all()  # the branch is almost all blocked
 
 
+@pytest.mark.parametrize("times", [1, 30])
+def test_url_verdicts_do_not_follow_repetition(spark, times):
+    """Production settings: blocked slugs judge their unlabelled siblings, and a frequent segment keeps its name."""
+    name = lambda k: f"{chr(97 + k % 26)}{chr(97 + k // 26)}"
+    ads = [f"http://bad.org/ads/old-{name(k)}" for k in range(80)] * times + [f"http://bad.org/ads/new-{name(k)}" for k in range(10)]
+    net = [f"http://x.net/{name(k)}/{k}" for k in range(30)] * times + [f"http://x.net/es/{k}" for k in range(60)]
+    few = [f"http://few.org/p/old-{name(k)}" for k in range(9)] * times + [f"http://few.org/p/new-{name(k)}" for k in range(3)]
+    rules = (*url_filter.RULES, ("bad.org", "/ads/old", "block"), ("few.org", "/p/old", "block"))
+    rows = list(enumerate(ads + net + few))
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).toPandas()
+    assert out[out.host == "bad.org"].verdict.eq("block").all() and set(out[out.host == "bad.org"].template) == {"/ads/*"}
+    assert set(out[out.path.str.startswith("/es/")].template) == {"/es/#"}  # not mixed with the rare ones
+    assert out[(out.host == "x.net") & out.rule.isna()].verdict.eq("allow").all()
+    assert set(out[out.path.str.startswith("/aa/")].template) == {"/*/#"}
+    assert out[out.host == "few.org"].verdict.eq("block").all()  # too few for a wildcard, but of one kind
+
+
 def archive(n, seed=0):
     return [(f"f{k % 3}" if k % 11 else None, (k // 3) * 40_000, words(seed + k, 10)) for k in range(n)]
 
