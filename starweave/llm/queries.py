@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from starweave.llm import (decontaminate, licences, line_dedup, minhash, packing, quality_model, quality_rules, token_rollup,
-                           url_filter, warc_merkle)
+from starweave.llm import (decontaminate, exact_topk, fill_in_middle, licences, line_dedup, minhash, packing, quality_model,
+                           quality_rules, token_rollup, url_filter, vector_codes, warc_merkle)
 from starweave.llm.common import materialize, new_scratch
 
 
@@ -109,6 +109,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units, form and lengths of every document's fill-in-middle text, its digest and that of the text rebuilt from it."""
+    out = fill_in_middle.transform(_read(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector, the error of its label and a digest of the codebooks."""
+    out = vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+TOP_K_EVERY = 20
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows by inner product for every vector whose id is divisible by ``TOP_K_EVERY``."""
+    return exact_topk.search(_read(spark, sf_dir, "embeddings"), F.col("id") % TOP_K_EVERY == 0)
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -120,6 +142,9 @@ QUERIES = {
     "op8_token_rollup": op8_token_rollup,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 _OP3_SQL = f"""
@@ -136,7 +161,77 @@ UNION ALL SELECT page_id, file, "offset", 'changed' FROM o WHERE page_id % 97 =
 UNION ALL SELECT page_id, file, "offset" + 1073741824, 'extra' FROM o WHERE page_id % 103 = 11
 """
 
+_OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
+c AS (
+  SELECT doc_id, text, units, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS one,
+         CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, array_to_string(units[1:least(one, two)], '') AS pre,
+         array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS mid,
+         array_to_string(units[greatest(one, two) + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS DOUBLE) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS DOUBLE) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _op12_sql(s: vector_codes.Settings = vector_codes.Settings()) -> str:
+    """Lloyd's rounds written out: one component a row, one common table expression for each codebook and assignment."""
+    def assigned(k: int) -> str:
+        return f"""
+a{k} AS MATERIALIZED (
+  SELECT r, part, min(d * {s.entries} + entry) % {s.entries} AS entry, min(d) AS d
+  FROM (SELECT r, part, entry, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{k} c USING (part, place) GROUP BY ALL)
+  GROUP BY ALL)"""
+
+    def moved(k: int) -> str:
+        return f"""
+c{k} AS MATERIALIZED (
+  SELECT part, entry, place, coalesce(m.v, c.v) AS v FROM c{k - 1} c LEFT JOIN (
+    SELECT part, entry, place, CAST(floor(CAST(sum(x.v) AS DOUBLE) / count(*)) AS BIGINT) AS v
+    FROM x JOIN a{k - 1} USING (r, part) GROUP BY ALL) m USING (part, entry, place))"""
+
+    rounds = ",".join(assigned(k) + "," + moved(k + 1) for k in range(s.rounds)) + "," + assigned(s.rounds)
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor({s.scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS v,
+         row_number() OVER (ORDER BY vec_id) - 1 AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (
+  SELECT r, i // (n // {s.parts}) AS part, i % (n // {s.parts}) AS place, v
+  FROM (SELECT r, len(v) AS n, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS i FROM k)),
+c0 AS MATERIALIZED (SELECT part, r AS entry, place, v FROM x WHERE r < {s.entries}),{rounds},
+f AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{s.rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, place)) FROM c{s.rounds}) AS codebooks_sha256
+FROM k JOIN f USING (r)
+"""
+
+
+_OP13_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(64 * CAST(e AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score,
+         CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {TOP_K_EVERY} = 0)
+WHERE rank <= 20
+"""
+
 ORACLES: dict[str, str] = {
     "op3_warc_audit": _OP3_SQL,
     "op7_licence_scan": licences.oracle(),
+    "op11_fill_in_middle": _OP11_SQL,
+    "op12_vector_codes": _op12_sql(),
+    "op13_exact_topk": _OP13_SQL,
 }
