@@ -19,6 +19,7 @@ itself; an empty table gives no row; extra columns are ignored, whatever their n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ LEVELS = 3
 
 @dataclass(frozen=True)
 class Settings:
-    """``plain_from`` and ``spm_below`` are shares of 100."""
+    """``plain_from`` and ``spm_below`` are shares of 100; no end of a mark may be the beginning of one."""
 
     prefix: str = "<P>"
     suffix: str = "<S>"
@@ -204,7 +205,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def restore(output: Column, form: Column, settings: Settings = Settings()) -> Column:
     """The exact text from its output and form. The marks occur nowhere else in a text that was cut, so they split it."""
-    marks = "|".join(rf"\Q{m}\E" for m in (settings.prefix, settings.suffix, settings.middle))
+    marks = "|".join(re.escape(m) for m in (settings.prefix, settings.suffix, settings.middle))
     parts = F.split(output, marks, -1)
     order = F.when(form == "spm", F.concat(F.get(parts, F.lit(2)), F.get(parts, F.lit(3)), F.get(parts, F.lit(1))))
     return F.when(form == "plain", output).otherwise(

@@ -1,6 +1,7 @@
 """Plain Python versions of the operators' results, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -92,3 +93,62 @@ def line_dedup(rows, min_chars=40, min_docs=5):
         kept = [x for x in lines if key(x) not in keeper or keeper[key(x)] in (doc, None)]
         out.append((doc, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
+
+
+def fill_in_middle(doc, text):
+    """(units, form, prefix characters, middle characters, output)."""
+    text = text or ""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if doc is None else doc}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[8 * k:8 * k + 8], 16) for k in range(4))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return len(units), "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h4 % 100 < 20:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def usable(vector):
+    return bool(vector) and all(x is not None and math.isfinite(x) for x in vector)
+
+
+def vector_codes(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """[(id, vector, label)] to ([(id, code, error, label_error)], digest of the codebooks); ids are distinct."""
+    kept = sorted((i, [math.floor(x * scale) for x in v], label) for i, v, label in rows if usable(v))
+    if not kept:
+        return [], None
+    size = len(kept[0][1]) // parts
+    pieces = [[v[p * size:(p + 1) * size] for p in range(parts)] for _, v, _ in kept]
+    books = [[pieces[e][p] for e in range(min(entries, len(kept)))] for p in range(parts)]
+
+    def nearest(p, x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            near = defaultdict(list)
+            for piece in pieces:
+                near[nearest(p, piece[p])[1]].append(piece[p])
+            for k, members in near.items():
+                books[p][k] = [sum(c) // len(members) for c in zip(*members)]
+    found = [[nearest(p, x) for p, x in enumerate(piece)] for piece in pieces]
+    total = Counter()
+    for (_, _, label), f in zip(kept, found):
+        total[label] += sum(d for d, _ in f)
+    text = ",".join(str(x) for book in books for e in book for x in e)
+    return ([(i, "".join(f"{k:02x}" for _, k in f), sum(d for d, _ in f), total[label]) for (i, _, label), f in zip(kept, found)],
+            hashlib.sha256(text.encode()).hexdigest())
+
+
+def top_k(rows, k=20, every=20, scale=64):
+    """[(id, vector)] to [(query id, rank, id, score)]; a query is a row, so that equal ids do not exclude each other."""
+    kept = [(i, [math.floor(x * scale) for x in v]) for i, v in rows if usable(v)]
+    out = []
+    for at, (q, v) in enumerate(kept):
+        if q is None or q % every:
+            continue
+        others = [(-sum(a * b for a, b in zip(v, w)), math.inf if i is None else i) for n, (i, w) in enumerate(kept) if n != at]
+        out += [(q, r + 1, None if i == math.inf else i, -s) for r, (s, i) in enumerate(sorted(others)[:k])]
+    return out
