@@ -20,7 +20,7 @@ from starweave.operators.model import Model, ModelTable
 from starweave.plans import audit
 from starweave.functions.frames import local_frame
 from starweave.session import written
-from starweave.sources.readers import _OVER, POSITION, converted, raw_csv, read_any
+from starweave.sources.readers import OVER, POSITION, RECORD, converted, raw_csv, read_any
 
 
 def _t(db: str, name: str) -> str:
@@ -103,10 +103,9 @@ def copy_into(spark: SparkSession, path: str, db: str, table: str, fmt: str = "p
     schema = spark.table(_t(db, table)).schema
     if fmt == "csv":
         parsed = _numbered(written(raw_csv(spark, path), "parsed"))
-        names = [c for c in parsed.columns if c not in (_OVER, *POSITION, "s_file", "s_block", "first", "before", "__row")]
+        names = [c for c in parsed.columns if c not in (OVER, RECORD, *POSITION, "s_file", "s_block", "first", "before", "__row")]
         source = {n: F.when(F.col(f"`{n}`") != "", F.col(f"`{n}`")) for n in names}
-        surplus, number = F.col(_OVER).isNotNull(), F.col("__row")
-        text = F.concat_ws(",", *[F.col(f"`{n}`") for n in names], F.col(_OVER))
+        surplus, number, text = F.col(OVER), F.col("__row"), F.col(RECORD)
     else:
         parsed = read_any(spark, path, fmt)
         names = parsed.columns

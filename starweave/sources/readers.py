@@ -1,19 +1,22 @@
 """Readers for CSV, JSON (array documents), JSON lines and Parquet.
 
-All readers are lazy ``spark.read`` plans: files are split by ``spark.sql.files.maxPartitionBytes``,
-so there is no "chunked" mode to manage — the scan is always partitioned. Two layouts cannot be split, whatever the
-engine: a JSON array document and a CSV file with quoted line breaks are read by one task per file.
+All readers are lazy plans over Spark's sources: files are split by ``spark.sql.files.maxPartitionBytes``, so there is no
+"chunked" mode to manage — the scan is always partitioned.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from starweave.session import written
-from starweave.sources.sniff import file_layouts
+from starweave.sources import framing
+from starweave.sources.sniff import file_layouts, load_paths
 
 SUPPORTED_FORMATS = ("csv", "json", "jsonl", "parquet")
 # Text fields read as missing values (the default NA tokens of the CSV reader being reproduced).
@@ -23,9 +26,10 @@ NA_VALUES = (
 )
 # Types tried, narrowest first; date-like text stays text (dates are parsed where they are profiled).
 _INFER_ORDER = ("int", "bigint", "double", "boolean")
-_OVER = "_over"
 # A null marker that never occurs in text (so empty fields stay empty strings while parsing).
 _NEVER = "\u0000"
+DICTIONARY_LIMIT = 32 << 20
+"""Most bytes of a broadcast dictionary of headers; larger ones are joined by a shuffle."""
 
 
 def format_from_path(path: str) -> str:
@@ -42,62 +46,92 @@ class CsvRead:
     rejects: DataFrame
 
 
+# Columns of ``raw_csv`` beside the fields: more fields than the header has, the record's text, and where it stands.
+OVER, RECORD = "__over", "__record"
 POSITION = ("__file", "__block", "__id")
 
 
-def _header_columns(spark: SparkSession, path: str, sep: str, encoding: str, header: bool) -> list[str]:
-    return (spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
-            .option("multiLine", encoding == "utf-16").option("inferSchema", False).csv(path).columns)
-
-
-def _raw_group(spark: SparkSession, path: str, first_file: str, sep: str, encoding: str, multi_line: bool, header: bool) -> DataFrame:
-    """All fields as text, the surplus field ``_over`` and where each row stands, read with one layout."""
-    names = _header_columns(spark, first_file, sep, encoding, header)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(_OVER, T.StringType())])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", header).option("sep", sep).option("encoding", encoding)
-        .option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", _NEVER)
-        .option("multiLine", multi_line).csv(path)
-    )
-    return rows.select(*[F.col(f"`{n}`") for n in names], _OVER, F.col("_metadata.file_path").alias(POSITION[0]),
-                       F.col("_metadata.file_block_start").alias(POSITION[1]),
-                       F.monotonically_increasing_id().alias(POSITION[2]))
+def field_count(record: Column, sep: str) -> Column:
+    """How many fields a record has: delimiters outside quoted fields, and one."""
+    begin = rf"(^|{re.escape(sep)})"
+    bare = F.when(F.contains(record, F.lit('"')), F.regexp_replace(record, begin + r'"[^"]*+(?:""[^"]*+)*+"', "$1")).otherwise(record)
+    return ((F.char_length(bare) - F.char_length(F.replace(bare, F.lit(sep), F.lit("")))) / len(sep)).cast("int") + 1
+
+
+def _records(spark: SparkSession, paths: str | list[str], group: Row, layouts: DataFrame, header: bool) -> DataFrame:
+    """(key, block, ordinal, record as text) of files of one layout, without their headers."""
+    if not group["multi_line"] and not group["whole"]:
+        # whole lines: a delimiter that never occurs, no quotes; the reader skips the headers and takes any line break
+        lines = spark.read.schema("record string").option("header", header).option("sep", "\u0001\u0002\u0001").option("quote", "").option(
+            "encoding", group["encoding"]).option("nullValue", _NEVER).csv(paths)
+        record = F.when(F.col("_metadata.file_block_start") == 0, F.regexp_replace("record", "^\ufeff", "")).otherwise(F.col("record"))
+        return lines.select(F.xxhash64("_metadata.file_path").alias("key"), F.col("_metadata.file_block_start").alias("block"),
+                            F.monotonically_increasing_id().alias("ordinal"), record.alias("record"))
+    latin = group["encoding"] in ("iso-8859-1", "latin-1", "latin1")
+    if group["whole"]:
+        listed = paths if isinstance(paths, list) else load_paths([r["file_path"] for r in layouts.select("file_path").collect()])
+        records, latin = framing.frame(framing.decoded_lines(spark, listed, group["encoding"]), None, group["delimiter"]), False
+    else:
+        inside = written(framing.inside_blocks(layouts.blocks), "csv-inside")
+        records = framing.frame(framing.text_lines(spark, paths), None if inside.isEmpty() else inside, group["delimiter"])
+    if header:
+        records = records.filter(~((F.col("block") == 0) & (F.col("ordinal") == 0)))
+    text = F.decode("record", "ISO-8859-1") if latin else F.col("record").cast("string")
+    return records.select("key", "block", "ordinal", F.rtrim(text, F.lit("\r\n")).alias("record"))
 
 
 def raw_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, header: bool = True,
             multi_line: bool | None = None) -> DataFrame:
-    """Every CSV row below ``path`` as text, each file with the delimiter, encoding and line mode found for it.
+    """Every CSV record below ``path``: its fields as text under the names of its own file's header, and ``OVER`` (more
+    fields than that header), ``RECORD`` (its text) and ``POSITION`` (hash of the file's path, block, number).
 
-    Files are grouped by layout (a handful of groups, whatever their number). A group is read with its options and keeps
-    the rows of its own files, found by a semi-join with the table of layouts; columns are matched by name.
+    Columns are those of all headers, in the order in which files (by path) first have them; names are alike whatever their
+    case. What a file lacks is NULL. Files are read in groups of equal encoding, delimiter and line mode (a handful), each by
+    the list of its paths, so that no file is parsed with another's options or twice.
     """
-    if sep is not None and encoding is not None and multi_line is not None:
-        return _raw_group(spark, path, path, sep, encoding, multi_line, header)
-    layouts = written(file_layouts(spark, path), "file-layouts")
-    if sep is not None:
-        layouts = layouts.withColumn("delimiter", F.lit(sep))
-    if encoding is not None:
-        layouts = layouts.withColumn("encoding", F.lit(encoding))
-    if multi_line is not None:
-        layouts = layouts.withColumn("multi_line", F.lit(multi_line))
-    keys = ["encoding", "delimiter", "multi_line"]
-    groups = layouts.groupBy(*keys).agg(F.min("file_path").alias("first")).orderBy("first").collect()  # few by construction
-    if not groups:
-        return _raw_group(spark, path, path, sep or ",", encoding or "utf-8", bool(multi_line), header)
+    layouts = file_layouts(spark, path, sep, encoding, multi_line, header)
+    keys = ["encoding", "delimiter", "multi_line", "whole"]
+    headers = layouts.groupBy(*keys, "names").agg(F.min("file_path").alias("first"), F.count(F.lit(1)).alias("files")).orderBy(
+        "first").collect()  # distinct headers
+    if not headers:
+        return spark.createDataFrame([], f"{OVER} boolean, {RECORD} string, {POSITION[0]} long, {POSITION[1]} long, {POSITION[2]} long")
+    names: dict[str, str] = {}
+    for h in headers:
+        for n in h["names"]:
+            names.setdefault(n.lower(), n)
+    groups: dict[tuple, list[Row]] = {}
+    for h in headers:
+        groups.setdefault(tuple(h[k] for k in keys), []).append(h)
     out = None
-    for g in groups:
-        first = path if len(groups) == 1 else g["first"]
-        part = _raw_group(spark, path, first, g["delimiter"], g["encoding"], g["multi_line"], header)
-        if len(groups) > 1:
-            own = layouts.where(" and ".join(f"{k} = {_sql(g[k])}" for k in keys)).select("file_path")
-            part = part.join(own, F.col(POSITION[0]) == F.col("file_path"), "left_semi")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    for group, own in groups.items():
+        mine = layouts.filter(F.lit(True) if len(groups) == 1 else reduce(and_, [F.col(k) == v for k, v in zip(keys, group)]))
+        paths = path if len(groups) == 1 else load_paths([r["file_path"] for r in mine.select("file_path").collect()])
+        records = _records(spark, paths, own[0], layouts, header)
+        part = _fields(records, own, mine, own[0]["delimiter"], names)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _sql(v) -> str:
-    return str(v).lower() if isinstance(v, bool) else "'" + v.replace("\t", "\\t") + "'"
+def _fields(records: DataFrame, headers: list[Row], layouts: DataFrame, sep: str, names: dict[str, str]) -> DataFrame:
+    """The records' fields under ``names``, each by its place in the header of the record's file."""
+    width = max(max(len(h["names"]) for h in headers), 1)
+    options = {"sep": sep, "escape": '"', "nullValue": _NEVER, "multiLine": "true", "maxColumns": str(max(20480, width + 1))}
+    parsed = records.withColumn("f", F.from_csv("record", ", ".join(f"f{i} string" for i in range(width)), options))
+    if len(headers) == 1:
+        place = {n.lower(): i for i, n in enumerate(headers[0]["names"])}
+        fields = [F.col(f"f.f{place[low]}") if low in place else F.lit(None).cast("string") for low in names]
+        columns, over = F.lit(len(headers[0]["names"])), parsed
+    else:  # a dictionary of the places of all names in each file
+        low = F.transform("names", lambda n: F.lower(n))
+        places = F.transform(F.lit(list(names)), lambda n: F.array_position(low, n).cast("int") - 1)
+        table = layouts.select(F.col("key").alias("l_key"), places.alias("places"), F.size("names").alias("columns"))
+        table = F.broadcast(table) if sum(h["files"] for h in headers) * (4 * len(names) + 64) <= DICTIONARY_LIMIT else table
+        over = parsed.join(table, F.col("key") == F.col("l_key")).withColumn("a", F.array(*[F.col(f"f.f{i}") for i in range(width)]))
+        fields = [F.get("a", F.get("places", F.lit(i))) for i in range(len(names))]
+        columns = F.col("columns")
+    return over.select(*[f.alias(n) for f, n in zip(fields, names.values())], (field_count(F.col("record"), sep) > columns).alias(OVER),
+                       F.col("record").alias(RECORD), F.col("key").alias(POSITION[0]), F.col("block").alias(POSITION[1]),
+                       F.col("ordinal").alias(POSITION[2]))
 
 
 def read_csv(
@@ -111,36 +145,28 @@ def read_csv(
     with_rejects: bool = False,
     na_values: tuple[str, ...] = NA_VALUES,
 ) -> DataFrame | CsvRead:
-    """CSV with inferred types; over-long lines are skipped, short lines are null-padded.
-
-    Delimiter, encoding and whether quoted fields span lines are found per file unless given; a file whose quotes never
-    span lines stays splittable.
+    """CSV with inferred types; records with more fields than their header are skipped, short ones are null-padded.
 
-    Spark's DROPMALFORMED would drop short rows too, so every line is read as strings against the header
-    schema widened by one trailing field ``_over``: a line with more fields than the header fills it. The
-    null marker is set to a character that never occurs in text, so an empty surplus field still counts
-    (empty data fields are turned into NULL afterwards). Only ``_over`` decides, which keeps the result
-    the same when Spark prunes the parsed columns (e.g. for a count of the rejects).
+    Delimiter, encoding, header and whether quoted fields span lines are found per file unless given. Every file's fields go
+    by its own header, so columns may stand in another order, be added or be missing from file to file. Files stay
+    splittable, also those with line breaks in quoted fields (``framing``); only UTF-16 is read by one task a file.
 
     Fields equal to one of ``na_values`` are missing values; ``infer_types`` then picks, per column, the
     narrowest of int / bigint / double / boolean that every remaining value converts to (one aggregate;
     date-like text stays text).
     """
     raw = raw_csv(spark, path, sep, encoding, header, multi_line)
-    names = [c for c in raw.columns if c != _OVER and c not in POSITION]
-    over_long = F.col(_OVER).isNotNull()
+    names = [c for c in raw.columns if c not in (OVER, RECORD, *POSITION)]
     na = list(na_values)
     text = {n: F.when(~F.col(f"`{n}`").isin(na), F.col(f"`{n}`")) if na else F.col(f"`{n}`") for n in names}
-    kept = raw.where(~over_long).select(*[text[n].alias(n) for n in names])
-    if infer_types:
+    kept = raw.where(~F.col(OVER)).select(*[text[n].alias(n) for n in names])
+    if infer_types and names:
         kept = _typed(kept, names)
     if not with_rejects:
         return kept
-    rejects = raw.where(over_long).select(
-        F.col(POSITION[0]).alias("file_path"),
-        F.concat_ws(sep or ",", *[F.col(f"`{n}`") for n in names], F.col(_OVER)).alias("rejected_row"),
-        F.lit("too many fields").alias("error_message"),
-    )
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path"))
+    rejects = raw.where(F.col(OVER)).join(files, F.col(POSITION[0]) == F.xxhash64("file_path")).select(
+        "file_path", F.col(RECORD).alias("rejected_row"), F.lit("too many fields").alias("error_message"))
     return CsvRead(kept, rejects)
 
 

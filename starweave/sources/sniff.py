@@ -2,39 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-# Delimiters tried in this order on the first line; the first one present wins.
-DELIMITERS = (",", ";", "\t", "|")
-DEFAULT_DELIMITER = ","
+import re
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def delimiter_expr(line: Column) -> Column:
-    out = F.lit(DEFAULT_DELIMITER)
-    for d in reversed(DELIMITERS):
-        out = F.when(line.contains(d), F.lit(d)).otherwise(out)
-    return out
+from starweave.session import written
+from starweave.sources import framing
 
+def file_layouts(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
+                 multi_line: bool | None = None, header: bool = True) -> DataFrame:
+    """(file_path, encoding, delimiter, multi_line, names) and more of every text file below ``path``, from one pass.
 
-def file_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, encoding, delimiter, multi_line) of every text file below ``path``, from one pass over its lines.
+    The encoding is UTF-16 with a byte-order mark, UTF-8 if every line is valid UTF-8, else Latin-1. The delimiter is the
+    first known one of the first record. ``multi_line`` tells whether a quoted field holds a line break; ``names`` are the
+    columns of the file's own header (or numbers, without ``header``). ``whole``: the file cannot be read in splits. Given
+    options replace what would be found. Files without a record are left out.
 
-    The encoding is UTF-16 with a byte-order mark, UTF-8 if every line is valid UTF-8, else Latin-1. ``multi_line`` is
-    true if a line has an odd number of quotes, that is if a quoted field may span lines. Files without lines are left out.
+    The result is a written table; its attribute ``blocks`` are the summaries of the files' blocks (see ``framing``).
     """
-    lines = spark.read.format("text").load(path).select(
-        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"))
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    first = F.min_by("value", F.when(F.col("block") == 0, F.col("pos")))
-    files = lines.groupBy("file_path").agg(
-        first.alias("first"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("odd"))
-    mark = F.hex(F.substring(F.col("first").cast("binary"), 1, 2))
-    wide = F.coalesce(mark.isin("FFFE", "FEFF"), F.lit(False))
-    encoding = F.when(wide, "utf-16").when(F.col("utf8"), "utf-8").otherwise("iso-8859-1")
-    return files.select("file_path", encoding.alias("encoding"), delimiter_expr(F.col("first")).alias("delimiter"),
-                        (wide | F.col("odd")).alias("multi_line"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file_path")).withColumn(
+        "key", F.xxhash64("file_path"))  # a listing, without contents
+    lines = framing.text_lines(spark, path)
+    if encoding is not None and multi_line is False:
+        lines = lines.filter(F.col("block") == 0)  # only headers are wanted
+    blocks = written(framing.summarise(lines, sep, header), "csv-blocks")
+    found = written(_per_file(files, blocks, sep, encoding), "csv-files")
+
+    # a quote after another of the delimiters than the file's own opens no field: those files are summarised anew
+    own = F.coalesce(*[F.when(F.col("delimiter") == d, 1 << i) for i, d in enumerate(framing.DELIMITERS)], F.lit(0))
+    doubtful = found.filter(~F.col("whole") & F.col("multi_line") & (F.col("mask").bitwiseAND(F.bitwise_not(own)) != 0)) if sep is None else None
+    again = [] if doubtful is None else doubtful.groupBy("delimiter").agg(F.collect_list("file_path").alias("paths")).collect()
+    for g in again:
+        exact = written(framing.summarise(framing.text_lines(spark, load_paths(g["paths"])), g["delimiter"], header), "csv-blocks")
+        blocks = blocks.join(F.broadcast(exact.select("key").distinct()), "key", "left_anti").unionByName(exact)
+    wholes = found.filter("whole").groupBy("encoding").agg(F.collect_list("file_path").alias("paths")).collect()
+    for g in wholes:
+        exact = written(framing.summarise(framing.decoded_lines(spark, load_paths(g["paths"]), g["encoding"]), sep, header), "csv-blocks")
+        blocks = blocks.join(F.broadcast(exact.select("key").distinct()), "key", "left_anti").unionByName(
+            exact.withColumn("wide", F.lit(g["encoding"] == "utf-16")).withColumn("cr", F.lit(True)).withColumn("open", F.lit(True)))
+    if again or wholes:
+        found = written(_per_file(files, blocks, sep, encoding), "csv-files")
+    if multi_line is not None:
+        found = found.withColumn("multi_line", F.lit(multi_line))
+    found.blocks = blocks
+    return found
+
+
+def _per_file(files: DataFrame, blocks: DataFrame, sep: str | None, encoding: str | None) -> DataFrame:
+    one = blocks.groupBy("key").agg(
+        F.bool_and("utf8").alias("utf8"), F.bool_or("wide").alias("wide"), F.bool_or("cr").alias("cr"), F.bool_or("open").alias("open"),
+        F.bit_or("mask").alias("mask"), F.max("delimiter").alias("delimiter"), F.first("names", True).alias("names"))
+    one = one.filter(F.col("names").isNotNull() | F.col("wide"))
+    if encoding is None:
+        code = F.when(F.col("wide"), "utf-16").when(F.col("utf8"), "utf-8").otherwise("iso-8859-1")
+    else:
+        code = F.lit(encoding.lower())
+    one = one.withColumn("encoding", code)
+    wide = F.startswith("encoding", F.lit("utf-16"))
+    latin = F.col("encoding").isin("iso-8859-1", "latin-1", "latin1")
+    text = lambda n: F.when(latin, F.decode(n, "ISO-8859-1")).otherwise(n.cast("string"))
+    return files.join(one, "key").select(
+        "file_path", "key", "encoding", (F.lit(sep) if sep is not None else F.coalesce("delimiter", F.lit(framing.DEFAULT_DELIMITER))).alias("delimiter"),
+        (F.col("open") | wide).alias("multi_line"), (wide | (F.col("cr") & F.col("open"))).alias("whole"), "mask",
+        F.transform(F.coalesce("names", F.array()), text).alias("names"))
+
+
+def load_paths(file_paths: list[str]) -> list[str]:
+    """File paths as Spark reports them (URI-encoded) in the form that readers take."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(p)) for p in file_paths]
 
 
 def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +82,7 @@ def sniff_delimiters(spark: SparkSession, path: str) -> DataFrame:
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """Delimiter of the first file (by path order)."""
     row = file_layouts(spark, path).orderBy("file_path").first()
-    return row["delimiter"] if row else DEFAULT_DELIMITER
+    return row["delimiter"] if row else framing.DEFAULT_DELIMITER
 
 
 def sniff_encodings(spark: SparkSession, path: str) -> DataFrame:

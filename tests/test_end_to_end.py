@@ -9,7 +9,8 @@ from starweave.operators.profile import profile_table
 from starweave.operators.quality import run_all
 from starweave.operators.split import split
 from starweave.plans import audit, load, sinks
-from starweave.sources import orders_wide, read_any
+from entry_wide import orders_wide
+from starweave.sources import read_any
 
 SF = "/root/testdata/sf0.001"
 
