@@ -36,7 +36,7 @@ def warehouse_type_of(dt: T.DataType) -> str:
 
 
 _WAREHOUSE_TO_SPARK = {
-    "NUMBER(38,0)": T.LongType(),
+    "NUMBER(38,0)": T.DecimalType(38, 0),
     "FLOAT": T.DoubleType(),
     "BOOLEAN": T.BooleanType(),
     "TIMESTAMP_NTZ": T.TimestampNTZType(),

@@ -132,7 +132,7 @@ def check_nulls(df: DataFrame, required: list[str], table_name: str) -> DataFram
 
 
 def _type_family(dt: T.DataType) -> str:
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) or (isinstance(dt, T.DecimalType) and dt.scale == 0):
         return "integer"
     if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
         return "float"

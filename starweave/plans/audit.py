@@ -16,6 +16,7 @@ from starweave.functions.frames import local_frame
 RUNS = "INGESTION_RUNS"
 STATUS = "INGESTION_TABLE_STATUS"
 ERRORS = "INGESTION_ERRORS"
+COMMITS = "INGESTION_COMMITS"
 IN_PROGRESS = "IN_PROGRESS"
 SUCCESS = "SUCCESS"
 PARTIAL = "PARTIAL"
@@ -32,6 +33,9 @@ STATUS_SCHEMA = (
 ERRORS_SCHEMA = (
     "ERROR_ID long, RUN_ID long, TABLE_NAME string, ROW_NUMBER long, ERROR_MESSAGE string, REJECTED_ROW string"
 )
+COMMITS_SCHEMA = (
+    "LOAD_ID string, TABLE_NAME string, RUN_ID long, LOCATION string, ROWS_LOADED long, ROWS_REJECTED long, COMMIT_TS timestamp_ntz"
+)
 # How many rows each log view shows.
 RECENT_RUNS = 100
 RECENT_STATUS = 500
@@ -43,7 +47,7 @@ def _t(db: str, name: str) -> str:
 
 
 def ensure_audit_tables(spark: SparkSession, db: str) -> None:
-    for name, schema in ((RUNS, RUNS_SCHEMA), (STATUS, STATUS_SCHEMA), (ERRORS, ERRORS_SCHEMA)):
+    for name, schema in ((RUNS, RUNS_SCHEMA), (STATUS, STATUS_SCHEMA), (ERRORS, ERRORS_SCHEMA), (COMMITS, COMMITS_SCHEMA)):
         if not spark.catalog.tableExists(f"{db}.{name}"):
             local_frame(spark, [], schema).write.mode("overwrite").format("parquet").saveAsTable(_t(db, name))
 
@@ -95,6 +99,17 @@ def log_errors(spark: SparkSession, db: str, run_id: int, table_name: str, rejec
     out.write.mode("append").insertInto(_t(db, ERRORS))
 
 
+def log_commit(spark: SparkSession, db: str, load_id: str, table: str, run_id: int, location: str, loaded: int, rejected: int) -> None:
+    """Record that a load's attempt at ``location`` is a table's contents. One row in one file: there wholly or not at all."""
+    row = (load_id, table, run_id, location, loaded, rejected, now())
+    local_frame(spark, [row], COMMITS_SCHEMA).write.mode("append").insertInto(_t(db, COMMITS))
+
+
+def commits(spark: SparkSession, db: str, table: str) -> DataFrame:
+    """The loads committed to a table."""
+    return spark.table(_t(db, COMMITS)).where(F.col("TABLE_NAME") == table)
+
+
 def runs(spark: SparkSession, db: str) -> DataFrame:
     """Current state of every run: its latest event."""
     ev = spark.table(_t(db, RUNS))

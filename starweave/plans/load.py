@@ -2,21 +2,25 @@
 
 * ``create_namespace`` / ``create_tables``: the database and one empty table per model table (schema from
   the model, duplicate column names dropped keeping the first);
-* ``copy_into``: load a written table by column name; rows that do not fit the *target* schema are rejected into
+* ``copy_into``: append a written table by column name; rows that do not fit the *target* schema are rejected into
   the errors table instead of failing the load; counts come from ``Observation`` on the write;
-* ``append_by_name``: append a frame, its columns aligned by name (missing ones NULL);
+* ``append_by_name``: append a frame, its columns aligned by name (missing ones NULL), with the same rejects;
+* ``load_table``: replace a table's contents all or nothing, once for each load id (attempt folder, commit record, pointer);
 * ``load_all``: namespace → audit tables → tables → run event → each table → final run event.
   Tables fail independently; the run ends SUCCESS, PARTIAL or FAILED.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from starweave.functions.types import spark_type_of
 from starweave.operators.model import Model, ModelTable
+from starweave.operators.profile import is_missing
 from starweave.plans import audit
 from starweave.functions.frames import local_frame
 from starweave.session import written
@@ -46,32 +50,36 @@ def table_schema(table: ModelTable) -> T.StructType:
     return T.StructType(fields)
 
 
-def create_tables(spark: SparkSession, model: Model, db: str) -> dict[str, T.StructType]:
-    """Create-or-replace one empty table per model table. NOT NULL is enforced by the quality checks."""
-    out = {}
-    for name, t in model.tables.items():
-        schema = table_schema(t)
-        local_frame(spark, [], schema).write.mode("overwrite").format("parquet").saveAsTable(_t(db, name))
-        out[name] = schema
-    return out
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def align_by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
-    have = set(df.columns)
-    cols = []
-    for f in schema.fields:
-        if f.name in have:
-            cols.append(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+def _base(spark: SparkSession, db: str, table: str) -> str:
+    """Folder below which the attempts of a table are written."""
+    return f"{spark.catalog.getDatabase(db).locationUri.rstrip('/')}/{table.lower()}-attempts"
 
 
-def append_by_name(spark: SparkSession, df: DataFrame, db: str, table: str) -> int:
-    schema = spark.table(_t(db, table)).schema
-    obs = Observation(f"append_{table}")
-    align_by_name(df, schema).observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(_t(db, table))
-    return int(obs.get.get("n", 0))
+def _point(spark: SparkSession, db: str, table: str, schema: T.StructType, path: str) -> None:
+    """Let the table be the data at ``path``; one change of the catalogue, so that readers see the old data or the new."""
+    if spark.catalog.tableExists(f"{db}.{table}"):
+        now = spark.table(_t(db, table)).schema
+        if [(f.name, f.dataType) for f in now.fields] == [(f.name, f.dataType) for f in schema.fields]:
+            spark.sql(f"ALTER TABLE {_t(db, table)} SET LOCATION '{path}'")
+            spark.catalog.refreshTable(_t(db, table))
+            return
+        spark.sql(f"DROP TABLE {_t(db, table)}")
+    spark.sql(f"CREATE TABLE {_t(db, table)} ({_ddl(schema)}) USING parquet LOCATION '{path}'")
+
+
+def create_tables(spark: SparkSession, model: Model, db: str, replace: bool = True) -> dict[str, T.StructType]:
+    """One empty table per model table; without ``replace`` those that exist stay as they are. NOT NULL is enforced by the
+    quality checks."""
+    out = {}
+    for name, t in model.tables.items():
+        out[name] = table_schema(t)
+        if replace or not spark.catalog.tableExists(f"{db}.{name}"):
+            _point(spark, db, name, out[name], f"{_base(spark, db, name)}/empty-{uuid.uuid4().hex[:12]}")
+    return out
 
 
 @dataclass
@@ -82,6 +90,54 @@ class CopyResult:
     rejects: DataFrame
 
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def _value(c: Column, kind: T.DataType, target: T.DataType) -> Column:
+    """``c`` (of type ``kind``) as ``target``, NULL if it cannot be one without changing what it says."""
+    if kind == target:
+        return c
+    if isinstance(kind, T.StringType):
+        return converted(c, target.simpleString())
+    whole = isinstance(target, _INTEGRAL) or (isinstance(target, T.DecimalType) and target.scale == 0)
+    if whole and isinstance(kind, _FRACTIONAL):
+        return F.when(c % 1 == 0, c.try_cast(target))
+    return c.try_cast(target)
+
+
+def _checked(frame: DataFrame, source: dict[str, Column], schema: T.StructType, surplus: Column) -> tuple[DataFrame, list[Column]]:
+    """(``frame`` with ``__error``, the columns of ``schema``): a present value that cannot be converted is an error."""
+    types = {f.name: f.dataType for f in frame.schema.fields}
+    values = {f.name: _value(source[f.name], types[f.name], f.dataType) if f.name in source else F.lit(None).cast(f.dataType)
+              for f in schema.fields}
+    failed = F.array_compact(F.array(F.lit(None).cast("string"), *[
+        F.when(~is_missing(source[f.name], types[f.name]) & values[f.name].isNull(), F.lit(f.name)) for f in schema.fields if f.name in source]))
+    message = F.when(surplus, "too many fields").when(F.size(failed) > 0, F.concat(F.lit("cannot convert: "), F.array_join(failed, ", ")))
+    return frame.withColumn("__error", message), [v.alias(n) for n, v in values.items()]
+
+
+def _split_rows(marked: DataFrame, values: list[Column], number: Column, text: Column, name: str, write: Callable[[DataFrame], None]) -> CopyResult:
+    """Write the rows without an error; both kinds are counted while they are written."""
+    obs = Observation(name)
+    seen = marked.observe(obs, F.count_if(F.col("__error").isNull()).alias("good"), F.count("__error").alias("bad"))
+    write(seen.where(F.col("__error").isNull()).select(*values))
+    rejects = marked.where(F.col("__error").isNotNull()).select(
+        number.alias("row_number"), F.col("__error").alias("error_message"), text.alias("rejected_row"))
+    loaded, errors = int(obs.get.get("good", 0)), int(obs.get.get("bad", 0))
+    return CopyResult(loaded + errors, loaded, errors, rejects)
+
+
+def append_by_name(spark: SparkSession, df: DataFrame, db: str, table: str) -> CopyResult:
+    """Append a frame, its columns aligned by name (missing ones NULL). Rows with a value that does not fit its column are
+    rejected, with their text as JSON; nothing turns into NULL."""
+    schema = spark.table(_t(db, table)).schema
+    marked, values = _checked(df, {n: F.col(f"`{n}`") for n in df.columns}, schema, F.lit(False))
+    text = F.to_json(F.struct(*[F.col(f"`{n}`") for n in df.columns]))
+    return _split_rows(marked, values, F.lit(None).cast("long"), text, f"append_{table}",
+                       lambda good: good.write.mode("append").insertInto(_t(db, table)))
+
+
 def _numbered(raw: DataFrame) -> DataFrame:
     """``raw`` (a written table of ``raw_csv``) with each row's number within its file, from counts per split."""
     file, block, pos = POSITION
@@ -93,14 +149,7 @@ def _numbered(raw: DataFrame) -> DataFrame:
         "__row", F.col("before") + F.col(pos) - F.col("first") + 1)
 
 
-def copy_into(spark: SparkSession, path: str, db: str, table: str, fmt: str = "parquet") -> CopyResult:
-    """Load a written file set into a table by column name; rows that do not fit are rejected, not fatal.
-
-    A row is rejected if it has more fields than its header, or if a value that is present cannot be converted to
-    the column's type; no value is silently turned into NULL. Rejects carry their row number within the file (CSV; other
-    formats have none), what was wrong, and the row's text. The rows are parsed once, into the shared folder.
-    """
-    schema = spark.table(_t(db, table)).schema
+def _copy(spark: SparkSession, path: str, schema: T.StructType, fmt: str, name: str, write: Callable[[DataFrame], None]) -> CopyResult:
     if fmt == "csv":
         parsed = _numbered(written(raw_csv(spark, path), "parsed"))
         names = [c for c in parsed.columns if c not in (OVER, RECORD, *POSITION, "s_file", "s_block", "first", "before", "__row")]
@@ -113,28 +162,53 @@ def copy_into(spark: SparkSession, path: str, db: str, table: str, fmt: str = "p
         surplus, number = F.lit(False), F.lit(None).cast("long")
         text = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]))
         parsed = parsed if fmt == "parquet" else written(parsed, "parsed")
-    types = {f.name: f.dataType for f in parsed.schema.fields}
+    marked, values = _checked(parsed, source, schema, surplus)
+    return _split_rows(marked, values, number, text, name, write)
 
-    def value(f: T.StructField) -> Column:
-        if f.name not in source:
-            return F.lit(None).cast(f.dataType)
-        if types[f.name] == f.dataType:
-            return source[f.name]
-        if isinstance(types[f.name], T.StringType):
-            return converted(source[f.name], f.dataType.simpleString())
-        return source[f.name].try_cast(f.dataType)
 
-    failed = F.array_compact(F.array(F.lit(None).cast("string"), *[
-        F.when(source[f.name].isNotNull() & value(f).isNull(), F.lit(f.name)) for f in schema.fields if f.name in source]))
-    message = F.when(surplus, "too many fields").when(F.size(failed) > 0, F.concat(F.lit("cannot convert: "), F.array_join(failed, ", ")))
-    marked = parsed.withColumn("__error", message)
-    obs = Observation(f"copy_{table}")
-    good = marked.where(F.col("__error").isNull()).select(*[value(f).alias(f.name) for f in schema.fields])
-    good.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").insertInto(_t(db, table))
-    rejects = marked.where(F.col("__error").isNotNull()).select(
-        number.alias("row_number"), F.col("__error").alias("error_message"), text.alias("rejected_row"))
-    loaded, errors = int(obs.get.get("n", 0)), rejects.count()
-    return CopyResult(loaded + errors, loaded, errors, rejects)
+def copy_into(spark: SparkSession, path: str, db: str, table: str, fmt: str = "parquet") -> CopyResult:
+    """Append a written file set to a table by column name; rows that do not fit are rejected, not fatal.
+
+    A row is rejected if it has more fields than its header, or if a value that is present cannot be converted to
+    the column's type; no value is silently turned into NULL. Rejects carry their row number within the file (CSV; other
+    formats have none), what was wrong, and the row's text. The rows are parsed once, into the shared folder.
+    """
+    return _copy(spark, path, spark.table(_t(db, table)).schema, fmt, f"copy_{table}",
+                 lambda good: good.write.mode("append").insertInto(_t(db, table)))
+
+
+@dataclass
+class Commit:
+    """What one load did to one table."""
+
+    rows_loaded: int
+    errors_seen: int
+    location: str
+    repeated: bool
+
+
+def load_table(spark: SparkSession, path: str, db: str, table: str, schema: T.StructType, load_id: str, run_id: int,
+               fmt: str = "parquet") -> Commit:
+    """Make the files at ``path`` the contents of a table, all or nothing, and once for each ``load_id``.
+
+    The rows go to a folder of their own (an attempt); then a commit record is written, and then the table is pointed at
+    that folder. Whatever fails before the record leaves the table as it was, and the attempt is never read. A load whose
+    record exists is not done again: the table is pointed at the attempt that the record names (a failure between the two
+    last steps is mended by that), unless a later load has been committed since.
+    """
+    done = audit.commits(spark, db, table).orderBy("COMMIT_TS", "LOCATION").collect()  # loads of one table
+    for c in done:
+        if c["LOAD_ID"] == load_id:
+            if c == done[-1]:
+                _point(spark, db, table, schema, c["LOCATION"])
+            return Commit(c["ROWS_LOADED"], c["ROWS_REJECTED"], c["LOCATION"], True)
+    attempt = f"{_base(spark, db, table)}/{run_id}-{uuid.uuid4().hex[:12]}"
+    res = _copy(spark, path, schema, fmt, f"load_{table}", lambda good: good.write.parquet(attempt))
+    if res.errors_seen:
+        audit.log_errors(spark, db, run_id, table, res.rejects)
+    audit.log_commit(spark, db, load_id, table, run_id, attempt, res.rows_loaded, res.errors_seen)
+    _point(spark, db, table, schema, attempt)
+    return Commit(res.rows_loaded, res.errors_seen, attempt, False)
 
 
 def validate_row_counts(spark: SparkSession, db: str, expected: dict[str, int]) -> DataFrame:
@@ -166,12 +240,18 @@ def load_all(
     fmt: str = "parquet",
     expected_rows: dict[str, int] | None = None,
     location: str | None = None,
+    load_id: str | None = None,
 ) -> dict:
-    """Load every written table; returns run id, per-table results and overall status."""
+    """Load every written table; returns run id, per-table results and overall status.
+
+    Each table is replaced all or nothing (``load_table``). With a ``load_id`` of the caller's, the tables that a run of
+    that id has loaded are left as they are when it is run again, so that a broken run can be repeated whole.
+    """
     start = audit.now()
     ns = create_namespace(spark, db, location)
     audit.ensure_audit_tables(spark, db)
-    create_tables(spark, model, db)
+    schemas = create_tables(spark, model, db, replace=False)
+    load_id = load_id or f"load-{uuid.uuid4().hex}"
     run_id = audit.log_run(spark, db, {"run_start_ts": start, "status": audit.IN_PROGRESS, "source_file_name": source_name,
                                        "total_tables": len(paths)})
     status_rows, loaded, failed = [], 0, 0
@@ -182,9 +262,7 @@ def load_all(
         try:
             if table not in model.tables:
                 raise ValueError(f"table {table} is not in the model")
-            res = copy_into(spark, path, db, table, fmt)
-            if res.errors_seen:
-                audit.log_errors(spark, db, run_id, table, res.rejects)
+            res = load_table(spark, path, db, table, schemas[table], load_id, run_id, fmt)
             row.update(status=audit.SUCCESS, rows_loaded=res.rows_loaded)  # an empty file is a success with 0 rows
             loaded += 1
         except Exception as exc:  # noqa: BLE001 - a failing table does not stop the others

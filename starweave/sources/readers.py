@@ -171,7 +171,7 @@ def read_csv(
 
 
 # What counts as the text of a number (casts alone would also take type suffixes like "10D").
-_NUMBERS = {"int": r"^\s*[+-]?\d+\s*$", "bigint": r"^\s*[+-]?\d+\s*$",
+_NUMBERS = {"int": r"^\s*[+-]?\d+\s*$", "bigint": r"^\s*[+-]?\d+\s*$", "decimal(38,0)": r"^\s*[+-]?\d+\s*$",
             "double": r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"}
 
 
