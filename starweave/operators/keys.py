@@ -1,13 +1,15 @@
 """Candidate keys: single columns and column pairs whose distinct share of the rows is >= 0.95.
 
-Singles come straight from the column profile. Pairs are pruned before any data is touched:
- * a pair cannot reach the threshold when d(a)·d(b) < 0.95·n (NULL counts as one more value);
- * a pair containing a column whose values (NULL included) are all different has exactly n values.
-
-The remaining pairs are counted in slices of their hash space, ``PAIRS_PER_JOB`` pairs to a job. The duplicates of a
-slice are exact, and a pair whose duplicates so far exceed 5 % of all rows cannot be a key any more: it is dropped
-for good, so only pairs that are (nearly) keys are ever counted in full. Values keep their types (``('a|b','c')``
-differs from ``('a','b|c')``) and NULL is a value.
+Singles come straight from the column profile. A pair is a key only if at most 5 % of its rows are duplicates, and most pairs
+are shown not to be without being counted in full:
+ * ``d(a) * d(b) < 0.95 * n`` (NULL counts as one more value), from the profile;
+ * the sum of ``min(count(v), d(b))`` over the values v of a, which bounds the pairs that occur, from the frequency table;
+ * the duplicates within a few slices of the hash space of the pair's values are exact, and are duplicates of the whole.
+
+A pair containing a column whose values (NULL included) are all different has exactly n values. The others are counted in
+``ROUNDS`` scans of the table, all pairs together however many they are: a row emits one entry for each pair whose hash falls
+into the round's slices, and a pair leaves as soon as its duplicates exceed 5 % of all rows, so only (near) keys are ever
+counted in full. Entries are 128-bit hashes of typed values (``('a|b','c')`` differs from ``('a','b|c')``); NULL is a value.
 """
 
 from __future__ import annotations
@@ -20,56 +22,54 @@ from starweave.operators.profile import Profile, family_value, is_missing, type_
 # Fixed value: share of distinct values over rows for a candidate key.
 MIN_UNIQUENESS = 0.95
 
-
-# Hash slices counted in each round (of SLICES), and pairs counted by one job.
+# Hash slices counted in each round (of SLICES).
 SLICES = 32
-ROUNDS = ((0, 1), (1, 4), (4, 12), (12, 32))
-PAIRS_PER_JOB = 48
-
+ROUNDS = ((0, 3), (3, 9), (9, 32))
 
-def _slice_counts(df: DataFrame, pairs: list[tuple[int, str, str]], lo: int, hi: int) -> DataFrame:
-    """(pair, distinct, rows) within the hash slices lo..hi-1 of each (number, column, column).
 
-    Pairs are grouped by the type families of their columns; a row emits one typed entry for each pair whose value
-    hash is in the slices, counted with partial aggregation: a hot value is one row per task.
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    by_families: dict[tuple[str, str], list] = {}
-    for i, a, b in pairs:
-        by_families.setdefault((type_family(types[a]), type_family(types[b])), []).append((i, a, b))
+def _pair_bounds(profile: Profile, table: str, distinct: dict[str, int]) -> dict[str, dict[int, int]]:
+    """For each column and number of values t of another one: the most value pairs that the two can have."""
+    limits = sorted(set(distinct.values()))
+    sums = [F.sum(F.least("cnt", F.lit(t))).alias(f"t{i}") for i, t in enumerate(limits)]
+    rows = profile.typed().where(F.col("table_name") == table).groupBy("column_name").agg(*sums).collect()  # one row per column
+    return {r["column_name"]: {t: r[f"t{i}"] for i, t in enumerate(limits)} for r in rows}
 
-    def value(c: str, family: str):
-        col = F.col(f"`{c}`")
-        return F.when(~is_missing(col, types[c]), family_value(col, types[c], family))
 
-    def entry(i: int, a: str, b: str, fa: str, fb: str):
-        return F.struct(F.lit(i).alias("pair"), value(a, fa).alias("a"), value(b, fb).alias("b"))
+def slice_counts(df: DataFrame, pairs: list[tuple[int, str, str]], lo: int, hi: int) -> DataFrame:
+    """(pair, distinct, rows) within the hash slices lo..hi-1 of each (number, column, column): one scan for all pairs.
 
-    out = None
-    for (fa, fb), members in by_families.items():
-        entries = F.array(*[entry(i, a, b, fa, fb) for i, a, b in members])
-        inside = F.filter(entries, lambda e: F.pmod(F.xxhash64(e["a"], e["b"]), F.lit(SLICES)).between(lo, hi - 1))
-        part = df.select(F.explode(inside).alias("e")).groupBy("e.pair", "e.a", "e.b").agg(F.count(F.lit(1)).alias("c")).groupBy(
-            "pair").agg(F.count(F.lit(1)).alias("distinct"), F.sum("c").alias("rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    Two hashes of each value are computed once a row; a pair of values is told apart by 128 bits made of them.
+    """
+    columns = sorted({c for _, a, b in pairs for c in (a, b)})
+    at = {c: i for i, c in enumerate(columns)}
+
+    def hashes(seed: int):
+        out = []
+        for c in columns:
+            col, kind = F.col(f"`{c}`"), df.schema[c].dataType
+            out.append(F.when(is_missing(col, kind), F.lit(seed).cast("long")).otherwise(
+                F.xxhash64(F.lit(seed), family_value(col, kind, type_family(kind)))))
+        return F.array(*out)
+
+    listed = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(at[a]).alias("a"), F.lit(at[b]).alias("b")) for i, a, b in pairs])
+    rows = df.select(hashes(1).alias("h"), hashes(2).alias("g")).select("h", "g", F.explode(listed).alias("p"))
+    both = lambda h, *seed: F.xxhash64(*seed, F.get(h, F.col("p.a")), F.get(h, F.col("p.b")))
+    rows = rows.select("p.pair", both("h").alias("x"), both("g", F.lit(3)).alias("y")).filter(
+        F.pmod("x", F.lit(SLICES)).between(lo, hi - 1))
+    counted = rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    return counted.groupBy("pair").agg(F.count(F.lit(1)).alias("distinct"), F.sum("c").alias("rows"))
 
 
 def pair_distinct_counts(df: DataFrame, pairs: list[tuple[str, str]], n: int, min_uniqueness: float) -> dict[tuple[str, str], int]:
     """Distinct values of those pairs that reach ``min_uniqueness`` of the ``n`` rows; the others are left out."""
-    distinct = {p: 0 for p in pairs}
-    duplicates = {p: 0 for p in pairs}
+    distinct, duplicates = {p: 0 for p in pairs}, {p: 0 for p in pairs}
     for lo, hi in ROUNDS:
         left = list(distinct)
-        for at in range(0, len(left), PAIRS_PER_JOB):
-            batch = left[at:at + PAIRS_PER_JOB]
-            columns = sorted({c for p in batch for c in p})
-            counts = _slice_counts(df.select(*[F.col(f"`{c}`") for c in columns]),
-                                   [(i, a, b) for i, (a, b) in enumerate(batch)], lo, hi)
-            for r in counts.collect():  # one row per pair
-                pair = batch[r["pair"]]
-                distinct[pair] += r["distinct"]
-                duplicates[pair] += r["rows"] - r["distinct"]
+        if not left:
+            break
+        for r in slice_counts(df, [(i, a, b) for i, (a, b) in enumerate(left)], lo, hi).collect():  # one row per pair
+            distinct[left[r["pair"]]] += r["distinct"]
+            duplicates[left[r["pair"]]] += r["rows"] - r["distinct"]
         distinct = {p: d for p, d in distinct.items() if n - duplicates[p] >= min_uniqueness * n}
     return distinct
 
@@ -96,15 +96,19 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
         if not pairs or n == 0:
             continue
         to_count = []
+        values = {r["column_name"]: r["distinct_count"] + (1 if r["null_count"] else 0) for r in cols}
         for i, a in enumerate(cols):
             for b in cols[i + 1:]:
-                da = a["distinct_count"] + (1 if a["null_count"] else 0)
-                db = b["distinct_count"] + (1 if b["null_count"] else 0)
+                da, db = values[a["column_name"]], values[b["column_name"]]
                 if da == n or db == n:
                     rows.append((table, "composite", a["column_name"], b["column_name"], a["ordinal"],
                                         b["ordinal"], n, None))
                 elif da * db >= min_uniqueness * n:
                     to_count.append((a, b))
+        if to_count:
+            most = _pair_bounds(profile, table, values)
+            bound = lambda a, b: min(most[a][values[b]], most[b][values[a]])
+            to_count = [(a, b) for a, b in to_count if bound(a["column_name"], b["column_name"]) >= min_uniqueness * n]
         names = [(a["column_name"], b["column_name"]) for a, b in to_count]
         found = pair_distinct_counts(profile.tables[table], names, n, min_uniqueness) if names else {}
         rows += [(table, "composite", *names[k], a["ordinal"], b["ordinal"], found[names[k]], None)
