@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,14 +18,15 @@ from starweave.operators.keys import candidate_keys
 from starweave.operators.model import recommend_clustering
 from starweave.operators.profile import histogram, profile_tables
 from starweave.operators.split import resolve_fk
+import entry_sources
 from entry_plans import catalogue_profile, modelled, profile_of, wide_input
 from starweave.sources.nested import flatten_nested
 from entry_wide import ORDERS_WIDE_SQL, SALES_WIDE_SQL
 
-try:  # the training-data operators are an optional subpackage with their own queries and SQL
+if find_spec("starweave.llm") and find_spec("corpus_pipeline"):  # an optional subpackage with its own queries and SQL
     import corpus_pipeline
     from starweave.llm import queries as llm_queries
-except ImportError:
+else:
     llm_queries = corpus_pipeline = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -687,6 +689,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dq_value_types": q_dq_value_types,
         "orphan_sample_labels": q_orphan_sample_labels,
     }
+    out |= entry_sources.QUERIES
     if llm_queries is not None:
         out |= llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
     return out
@@ -1390,7 +1393,7 @@ def oracle_sql() -> dict[str, str]:
             "UNION ALL SELECT 1, 'SUCCESS', 'orders_wide', 5, 5, 0"),
     }
     out |= _NEW_ORACLES | {"model_columns_3nf": sql_model_columns_3nf(), "model_columns_no_date": sql_model_columns_no_date(),
-                           "split_readback": sql_split_readback()}
+                           "split_readback": sql_split_readback()} | entry_sources.oracles(ORDERS_WIDE_SQL)
     if llm_queries is not None:
         out |= llm_queries.ORACLES
         if corpus_pipeline.ORACLE_SQL is not None:
