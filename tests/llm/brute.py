@@ -152,3 +152,64 @@ def top_k(rows, k=20, every=20, scale=64):
         others = [(-sum(a * b for a, b in zip(v, w)), math.inf if i is None else i) for n, (i, w) in enumerate(kept) if n != at]
         out += [(q, r + 1, None if i == math.inf else i, -s) for r, (s, i) in enumerate(sorted(others)[:k])]
     return out
+
+
+def url_verdicts(urls, rules, many=20, z=2.0, weight=4.0, purity=0.8):
+    """(template, verdict) of every url."""
+    rows = []
+    for url in urls:
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host):], maxsplit=1)[0]
+        fits = [r for r in rules if (host.lower() == r[0] or host.lower().endswith("." + r[0])) and path.startswith(r[1])]
+        best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+        rows.append((host.lower(), path, re.sub("[0-9]+", "#", path), best and best[2]))
+    stats = defaultdict(lambda: [0, 0, 0])
+    for host, _, shape, verdict in set(rows):
+        stats[(host, shape)][0] += 1
+        stats[(host, shape)][1] += verdict is not None
+        stats[(host, shape)][2] += verdict == "block"
+    tree = {}
+
+    def grow(host, prefix, below):
+        """``below``: [(shape, segments left, paths)] of one node."""
+        more = [x for x in below if x[1]]
+        for shape, left, _ in below:
+            if not left or len(more) < many:
+                tree[(host, shape)] = "".join([prefix, *("/" + x for x in left)])
+        if len(more) < many:
+            return
+        total, paths = sum(x[2] for x in below), Counter()
+        for _, left, n in more:
+            paths[left[0]] += n
+        rare = {c for c, n in paths.items() if n * many <= total}
+        kids = defaultdict(list)
+        for shape, left, n in more:
+            kids["*" if left[0] in rare and len(rare) >= many else left[0]].append((shape, left[1:], n))
+        for name, some in kids.items():
+            grow(host, f"{prefix}/{name}", some)
+
+    for host in {h for h, _ in stats}:
+        grow(host, "", [(s, s.split("/")[1:], v[0]) for (h, s), v in stats.items() if h == host])
+    leaves = defaultdict(lambda: [0, 0])
+    for key, (_, labelled, blocked) in stats.items():
+        leaves[(key[0], tree[key])][0] += labelled
+        leaves[(key[0], tree[key])][1] += blocked
+    families = defaultdict(list)
+    for (host, template), v in leaves.items():
+        families[(host, re.sub(r"/[^/]*$", "", template))].append((template, *v))
+    known = sum(v[1] for v in stats.values())
+    prior = min(sum(v[2] for v in stats.values()) / known if known else 0.0, purity / 2)
+    rejected = {}
+    for (host, _), members in families.items():
+        labelled, blocked = sum(m[1] for m in members), sum(m[2] for m in members)
+        share = blocked / labelled if labelled else 0.0
+        alike = {t for t, n, k in members if n and abs(k - n * share) <= z * math.sqrt(n * share * (1 - share))}
+        n_labelled = sum(1 for m in members if m[1])
+        whole = n_labelled >= 2 and n_labelled == len(alike)
+        joined = {t for t, n, _ in members if t in alike or (not n and whole)}
+        for t, n, k in members:
+            if t in joined:
+                n, k = (sum(m[i] for m in members if m[0] in joined) for i in (1, 2))
+            rejected[(host, t)] = (k + weight * prior) / (n + weight) >= purity
+    return [(tree[(h, s)], v or ("block" if rejected[(h, tree[(h, s)])] else "allow")) for h, _, s, v in rows]

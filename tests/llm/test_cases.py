@@ -249,8 +249,7 @@ def test_url_templates_learn_from_the_listed(spark):
     mixed = (("bad.org", "/ads/a", "block"),)
     urls = [f"http://bad.org/ads/{c}{k}{chr(98 + k % 20)}{chr(98 + k // 20)}" for c in "abc" for k in range(80)]
     urls = urls[:80] * 30 + urls[80:90]
-    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=mixed,
-                           settings=url_filter.Settings(many_children=20, rare_children=0.01)).toPandas()
+    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=mixed).toPandas()
     assert out[out.rule.isna()].verdict.eq("block").all()  # the branch is almost all blocked
 
 
@@ -271,6 +270,37 @@ def test_url_verdicts_do_not_follow_repetition(spark, times):
     assert out[out.host == "few.org"].verdict.eq("block").all()  # too few for a wildcard, but of one kind
 
 
+def url_rows(a_slug):
+    """Slugs with ``a_slug`` paths each: 50 of 60 are listed as blocked, 25 of 25 as allowed; long paths, deep branches."""
+    rows = [f"http://spam.io/go/{'old' if k < 50 else 'new'}{chr(97 + k % 26)}{chr(97 + k // 26)}/p{chr(97 + j % 26)}{chr(97 + j // 26)}"
+            for k in range(60) for j in range(a_slug)]
+    rows += [f"http://fine.io/a/b/c/d/e/f/g/h/{'old' if k < 25 else 'new'}{chr(97 + k)}/x{chr(97 + j % 26)}{chr(97 + j // 26)}"
+             for k in range(26) for j in range(a_slug)]
+    return rows + ["http://long.io/" + "s/" * 3000 + "end", "http://long.io//", "http://x.io", "http://y.io/" + "z" * 50_000]
+
+
+@pytest.mark.parametrize("limit", [0, 32 << 20])
+def test_url_verdicts_do_not_follow_the_size_of_the_crawl(spark, limit):
+    rules = (*url_filter.RULES, ("spam.io", "/go/old", "block"), ("fine.io", "/a/b/c/d/e/f/g/h/old", "allow"))
+    found = {}
+    for a_slug in (1, 50) if limit else (6,):
+        frame = clashing(spark.createDataFrame(list(enumerate(url_rows(a_slug))), "page_id long, url string"))
+        out = url_filter.judge(frame, rules=rules, limit=limit).collect()
+        assert len(out) == len(url_rows(a_slug))
+        want = brute.url_verdicts(url_rows(a_slug), rules)
+        assert {r["page_id"]: (r["template"], r["verdict"]) for r in out} == dict(enumerate(want))
+        found[a_slug] = {(r["host"], r["verdict"]) for r in out if r["rule"] is None}
+        assert found[a_slug] == {("spam.io", "block"), ("fine.io", "allow"), ("long.io", "allow"), ("x.io", "allow"), ("y.io", "allow")}
+
+
+def test_url_many_rules(spark):
+    """50 rules are still one generated expression."""
+    rules = tuple((f"h{i}.org", f"/p{i}/", "block" if i % 2 else "allow") for i in range(50))
+    urls = [(i, f"http://www.h{i}.org/p{i}/x") for i in range(50)]
+    out = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules=rules).collect()
+    assert all(r["rule"] == f"h{r['page_id']}.org/p{r['page_id']}/" and r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in out)
+
+
 def archive(n, seed=0):
     return [(f"f{k % 3}" if k % 11 else None, (k // 3) * 40_000, words(seed + k, 10)) for k in range(n)]
 

@@ -101,6 +101,9 @@ def test_url_rules(spark, con):
         assert (r["host"], r["path"]) == (host.lower(), path)
         assert r["rule"] == (best and best[0] + best[1]) and r["verdict"] in ("allow", "block")
         assert best is None or r["verdict"] == best[2]
+    order = sorted(urls)
+    want = dict(zip(order, brute.url_verdicts([urls[i] for i in order], RULES)))
+    assert {r["page_id"]: (r["template"], r["verdict"]) for r in got} == want
 
 
 def test_token_rollup(spark, con):
