@@ -81,7 +81,7 @@ class Course:
         return course[np.searchsorted(self.at, ends)]
 
 
-def _lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary column of lines, each with its line break."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
@@ -89,7 +89,7 @@ def _lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
     """(key, block, first row, end row) of the rows of a batch that belong to the same block."""
     key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
     if len(key):
@@ -193,11 +193,11 @@ def _summaries(sep: str | None, header: bool):
         done: list[tuple] = []
         for batch in batches:
             valid = batch.column("utf8").to_numpy(zero_copy_only=False)
-            for key, block, first, end in _runs(batch):
+            for key, block, first, end in runs(batch):
                 if now is None or (now.key, now.block) != (key, block):
                     done += [now.row()] if now else []
                     now = _Summary(key, block, sep, header)
-                now.add(*_lines_of(batch.column("line").slice(first, end - first)), bool(valid[first:end].all()))
+                now.add(*lines_of(batch.column("line").slice(first, end - first)), bool(valid[first:end].all()))
         done += [now.row()] if now else []
         if done:
             yield pa.RecordBatch.from_pylist([dict(zip(_SUMMARY_ARROW.names, r)) for r in done], _SUMMARY_ARROW)
@@ -278,10 +278,10 @@ class _Framer:
         return ((HEAD if self.kind == HEAD else TAIL), b"".join(self.open)) if self.open else None
 
 
-_PIECES = "key long, block long, ordinal long, kind int, record binary"
+PIECES = "key long, block long, ordinal long, kind int, record binary"
 
 
-def _pieces(key: int, block: int, first: int, kind: int, records: list[bytes] | pa.Array) -> pa.RecordBatch:
+def pieces_of(key: int, block: int, first: int, kind: int, records: list[bytes] | pa.Array) -> pa.RecordBatch:
     n = len(records)
     ordinal = np.arange(first, first + n)
     return pa.RecordBatch.from_arrays(
@@ -296,7 +296,7 @@ def _cut(seps: bytes):
             if before is not None:  # the record that was open; a head is no record of this block
                 record = before + data[starts[0]:ends[0]].tobytes()
                 if kind == HEAD or record.strip():
-                    yield _pieces(now.key, now.block, now.ordinal, kind, [record])
+                    yield pieces_of(now.key, now.block, now.ordinal, kind, [record])
                     now.ordinal += kind != HEAD
                 continue
             body = data[:ends[-1]]
@@ -304,31 +304,41 @@ def _cut(seps: bytes):
             cuts = np.concatenate([starts, ends[-1:]]).astype(np.int64)
             records = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(
                 np.ascontiguousarray(body))]).filter(pa.array(shown)).cast(pa.binary())
-            yield _pieces(now.key, now.block, now.ordinal, kind, records)
+            yield pieces_of(now.key, now.block, now.ordinal, kind, records)
             now.ordinal += int(shown.sum())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Framer | None = None
         for batch in batches:
             inside = batch.column("inside").to_numpy(zero_copy_only=False)
-            for key, block, first, end in _runs(batch):
+            for key, block, first, end in runs(batch):
                 if now is None or (now.key, now.block) != (key, block):
                     if now and (rest := now.rest()):
-                        yield _pieces(now.key, now.block, now.ordinal, rest[0], [rest[1]])
+                        yield pieces_of(now.key, now.block, now.ordinal, rest[0], [rest[1]])
                     now = _Framer(key, block, bool(inside[first]), seps)
                     fresh = block == 0
                 else:
                     fresh = False
-                data, offsets = _lines_of(batch.column("line").slice(first, end - first))
+                data, offsets = lines_of(batch.column("line").slice(first, end - first))
                 if fresh and data[:3].tobytes() == UTF8_MARK:
                     data, offsets = data[3:], np.maximum(offsets - 3, 0)
                 yield from closed(now, data, offsets)
         if now and (rest := now.rest()):
-            yield _pieces(now.key, now.block, now.ordinal, rest[0], [rest[1]])
+            yield pieces_of(now.key, now.block, now.ordinal, rest[0], [rest[1]])
 
     return rows
 
 
+def with_states(lines: DataFrame, states: DataFrame, limit: int) -> DataFrame:
+    """``lines`` with what ``states`` (written, one row a block) says of their blocks, each block's in their order."""
+    of = states.select(F.col("key").alias("s_key"), F.col("block").alias("s_block"), *[c for c in states.columns if c not in ("key", "block")])
+    same = (F.col("key") == F.col("s_key")) & (F.col("block") == F.col("s_block"))
+    if states.count() * 64 <= limit:
+        return lines.join(F.broadcast(of), same, "left").drop("s_key", "s_block")
+    lines = lines.withColumn("n", F.monotonically_increasing_id()).join(of, same, "left")
+    return lines.repartition("key", "block").sortWithinPartitions("key", "block", "n").drop("s_key", "s_block", "n")
+
+
 def frame(lines: DataFrame, inside: DataFrame | None, sep: str, limit: int = 32 << 20) -> DataFrame:
     """(key, block, ordinal, record): every record of the files, where it begins, and its number within that block.
 
@@ -338,21 +348,19 @@ def frame(lines: DataFrame, inside: DataFrame | None, sep: str, limit: int = 32
     if inside is None:
         lines = lines.withColumn("inside", F.lit(False))
     else:
-        opened = inside.select(F.col("key").alias("i_key"), F.col("block").alias("i_block"))
-        same = (F.col("key") == F.col("i_key")) & (F.col("block") == F.col("i_block"))
-        if inside.count() * 64 <= limit:
-            lines = lines.join(F.broadcast(opened), same, "left")
-        else:
-            lines = lines.withColumn("n", F.monotonically_increasing_id()).join(opened, same, "left")
-            lines = lines.repartition("key", "block").sortWithinPartitions("key", "block", "n")
-        lines = lines.select("key", "block", "line", F.col("i_block").isNotNull().alias("inside"))
+        lines = with_states(lines, inside.withColumn("begun", F.lit(True)), limit).select(
+            "key", "block", "line", F.coalesce("begun", F.lit(False)).alias("inside"))
     ship(lines.sparkSession)
-    pieces = lines.mapInArrow(_cut(sep.encode()[-1:]), _PIECES)
+    pieces = lines.mapInArrow(_cut(sep.encode()[-1:]), PIECES)
     if inside is None:
         return pieces.select("key", "block", "ordinal", "record")
-    pieces = written(pieces, "csv-records")  # read for the whole records and for the pieces
+    return assembled(written(pieces, "csv-records"))  # read for the whole records and for the pieces
+
+
+def assembled(pieces: DataFrame) -> DataFrame:
+    """(key, block, ordinal, record) from whole records and pieces: a tail begins a record, the heads after it go on with it,
+    block by block (the head of a block comes before its tail)."""
     whole = pieces.filter(F.col("kind") == WHOLE).select("key", "block", "ordinal", "record")
-    # a tail begins a record; the heads after it go on with it, block by block (the head of a block comes before its tail)
     order = Window.partitionBy("key").orderBy("block", F.desc("kind"))
     tail = F.col("kind") == TAIL
     parts = pieces.filter(F.col("kind") != WHOLE).withColumn(

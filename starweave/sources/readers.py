@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 
 from starweave.session import written
 from starweave.sources import framing
+from starweave.sources.json_arrays import json_objects
 from starweave.sources.sniff import file_layouts, load_paths
 
 SUPPORTED_FORMATS = ("csv", "json", "jsonl", "parquet")
@@ -204,7 +205,11 @@ def _typed(kept: DataFrame, names: list[str]) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A JSON document holding an array of records (multi-line JSON)."""
+    """JSON documents that hold an array of records (or records), read in splits (``json_arrays``); documents in another
+    encoding than UTF-8 are read by one task each."""
+    lines = json_objects(spark, path) if encoding is None or encoding.lower() in ("utf-8", "utf8") else None
+    if lines is not None:
+        return spark.read.json(lines)
     reader = spark.read.option("multiLine", True)
     if encoding:
         reader = reader.option("encoding", encoding)
