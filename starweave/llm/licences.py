@@ -124,11 +124,11 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: tuple[tuple[str, str], ...] = KNOWN,
-         limit: int = BROADCAST_LIMIT) -> DataFrame:
+         digests: tuple[tuple[str, str], ...] = DIGESTS, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """One row per document: its id, digest, licence (of the entire text, or null) and notices (sorted names of the
     licences that lines name, comma-joined, empty if none)."""
     spark = docs.sparkSession
-    table = materialize(known_digests(spark, known), "known-licences")
+    table = materialize(known_digests(spark, known, digests), "known-licences")
     table = F.broadcast(table) if table.count() * 128 <= limit else table
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     whole = narrow.select("id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
@@ -145,8 +145,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     return out.select(F.col("id").alias(id_col), "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
-def oracle(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
-    """DuckDB SQL of ``scan`` over ``documents``."""
+def oracle(known: tuple[tuple[str, str], ...] = KNOWN, digests: tuple[tuple[str, str], ...] = DIGESTS) -> str:
+    """DuckDB SQL of ``scan`` over ``documents``: the same tables, the same rule for lines."""
     quote = lambda t: "'" + t.replace("'", "''") + "'"
 
     def canon(x: str) -> str:
@@ -156,15 +156,14 @@ def oracle(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
             x = f"replace({x}, {quote(spelled)}, {quote(to)})"
         return f"trim({x}, ' ')"
 
-    values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in known)
-    lengths = [len(t) for _, t in known if len(t) <= NOTICE_CHARS]
+    values = lambda rows: ", ".join(f"({quote(name)}, {quote(text)})" for name, text in rows)
     return f"""
-WITH known AS (SELECT sha256({canon('t')}) AS known_digest, min(n) AS licence FROM (VALUES {values}) v(n, t) GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-tried AS (SELECT doc_id, sha256({canon('line')}) AS d FROM lines
-          WHERE length(trim(line, ' ')) BETWEEN {min(lengths) // 2} AND {2 * max(lengths)}),
-notices AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
-            FROM tried JOIN known ON d = known_digest GROUP BY 1)
+WITH texts AS (SELECT n, {canon('t')} AS c FROM (VALUES {values(known)}) v(n, t)),
+known AS (SELECT known_digest, min(n) AS licence FROM (
+    SELECT sha256(c) AS known_digest, n FROM texts WHERE c <> '' UNION ALL SELECT d, n FROM (VALUES {values(digests)}) v(n, d)) GROUP BY 1),
+lines AS (SELECT doc_id, {canon('line')} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+notices AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM lines JOIN known ON sha256(c) = known_digest
+            WHERE length(c) IN (SELECT length(c) FROM texts WHERE length(c) BETWEEN 1 AND {NOTICE_CHARS}) GROUP BY 1)
 SELECT x.doc_id, x.digest, k.licence, coalesce(n.notices, '') AS notices
 FROM (SELECT doc_id, sha256({canon('text')}) AS digest FROM documents) x
 LEFT JOIN known k ON x.digest = k.known_digest LEFT JOIN notices n ON x.doc_id = n.doc_id"""

@@ -8,11 +8,11 @@
 3. Roots of two replicas are compared; below a root or node that differs only its children are read and compared, and
    so on to the leaves. Only records of differing leaves are compared one by one.
 
-A group never holds more than the records of ``leaf_bytes`` of one file, or ``fanout`` nodes; equal records at one offset are
-counted, not repeated.
+A group never holds more than the records of ``leaf_bytes`` of one file, or twice ``fanout`` nodes; equal records at one offset
+are counted, not repeated. Records without an offset have leaves of their own, ranges of digests of a 16-millionth each.
 
-Cases: null file names are a file of their own; a null offset counts as -1 (the leaf before the first); a null payload is
-a record of no bytes; records may be repeated (their number is part of the hash); extra columns are ignored; an empty
+Cases: null file names are a file of their own; a null offset is reported as -1, and a record that has none is found missing
+or extra (or changed, if only the number of its copies differs); a null payload is a record of no bytes; records may be repeated (their number is part of the hash); extra columns are ignored; an empty
 replica differs from the other in every record, two empty ones in none.
 """
 
@@ -26,6 +26,7 @@ from starweave.llm.common import materialize
 
 LEAF_BYTES = 1 << 18
 FANOUT_BITS = 4
+DIGEST_LEAF_BITS = 24  # records without an offset: leaves are the digests that share so many leading bits
 
 
 def warc_record(url: Column, body: Column) -> Column:
@@ -54,14 +55,24 @@ def record_hashes(records: DataFrame, file_col: str = "file", offset_col: str =
     return materialize(rows.groupBy("file", "offset", "length", "digest").agg(F.count(F.lit(1)).alias("copies")), "record-hashes")
 
 
-def _leaf(offset: Column) -> Column:
-    return F.floor(offset / LEAF_BYTES).cast("long") + 1  # offset -1 is in leaf 0
+def _leaf() -> Column:
+    """A record's leaf: its range of offsets, or without an offset (-1) a range of digests, numbered below zero."""
+    by_digest = -1 - F.conv(F.substring("digest", 1, DIGEST_LEAF_BITS // 4), 16, 10).cast("long")
+    return F.when(F.col("offset") < 0, by_digest).otherwise(F.floor(F.col("offset") / LEAF_BYTES).cast("long"))
+
+
+def _up(level: int, levels: int) -> Column:
+    """The parent of a node of ``level``; the roots join both kinds of leaves."""
+    return F.lit(0).cast("long") if level == levels - 1 else F.shiftright("node", FANOUT_BITS)
 
 
 def height(*replicas: DataFrame) -> int:
     """Levels above the leaves until every file has one node."""
-    last = [r.agg(F.max(_leaf(F.col("offset")))).first()[0] or 0 for r in replicas]
-    return max(1, -(-max(last).bit_length() // FANOUT_BITS))
+    bounds = [r.agg(F.max(_leaf()), F.min("offset")).first() for r in replicas]
+    bits = max((last or 0).bit_length() if (last or 0) > 0 else 0 for last, _ in bounds)
+    if any(first is not None and first < 0 for _, first in bounds):
+        bits = max(bits, DIGEST_LEAF_BITS)
+    return max(1, -(-bits // FANOUT_BITS))
 
 
 def tree(hashes: DataFrame, levels: int) -> list[DataFrame]:
@@ -70,12 +81,12 @@ def tree(hashes: DataFrame, levels: int) -> list[DataFrame]:
         return F.sha2(F.array_join(F.transform(F.sort_array(parts), lambda p: F.array_join(p["text"], ":")), "\n"), 256)
 
     text = F.array(F.col("offset").cast("string"), F.col("length").cast("string"), F.col("copies").cast("string"), F.col("digest"))
-    level = hashes.groupBy("file", _leaf(F.col("offset")).alias("node")).agg(
+    level = hashes.groupBy("file", _leaf().alias("node")).agg(
         digest(F.collect_list(F.struct("offset", "digest", "length", text.alias("text")))).alias("digest"))
     out = [materialize(level, "merkle-0")]
     for k in range(1, levels + 1):
         text = F.array(F.col("node").cast("string"), F.col("digest"))
-        level = out[-1].groupBy("file", F.shiftright("node", FANOUT_BITS).alias("up")).agg(
+        level = out[-1].groupBy("file", _up(k - 1, levels).alias("up")).agg(
             digest(F.collect_list(F.struct("node", text.alias("text")))).alias("digest"))
         out.append(materialize(level.withColumnRenamed("up", "node"), f"merkle-{k}"))
     return out
@@ -104,17 +115,18 @@ def audit(hashes_a: DataFrame, hashes_b: DataFrame, levels: int | None = None, t
     a, b = trees or (tree(hashes_a, levels), tree(hashes_b, levels))
     bad = materialize(_differing(a[levels], b[levels]), "merkle-diff")
     for k in range(levels - 1, -1, -1):
-        up = F.shiftright("node", FANOUT_BITS)
+        up = _up(k, levels)
         bad = materialize(_differing(_below(a[k], up, bad), _below(b[k], up, bad)), "merkle-diff")
 
     def places(hashes: DataFrame, side: str) -> DataFrame:
-        found = _below(hashes, _leaf(F.col("offset")), bad)
+        found = _below(hashes.withColumn("leaf", _leaf()), F.col("leaf"), bad)
         kinds = F.sort_array(F.collect_list(F.array_join(F.array("digest", F.col("copies").cast("string")), "x")))
-        return found.groupBy("file", "offset").agg(F.array_join(kinds, ",").alias(f"digest_{side}")).select(
-            F.col("file").alias(f"file_{side}"), F.col("offset").alias(f"offset_{side}"), f"digest_{side}")
+        return found.groupBy("file", "offset", "leaf").agg(F.array_join(kinds, ",").alias(f"digest_{side}")).select(
+            F.col("file").alias(f"file_{side}"), F.col("offset").alias(f"offset_{side}"), F.col("leaf").alias(f"leaf_{side}"),
+            f"digest_{side}")
 
     both = places(hashes_a, "a").join(places(hashes_b, "b"), F.col("file_a").eqNullSafe(F.col("file_b"))
-                                      & (F.col("offset_a") == F.col("offset_b")), "full_outer")
+                                      & (F.col("offset_a") == F.col("offset_b")) & (F.col("leaf_a") == F.col("leaf_b")), "full_outer")
     differ = both.filter(~F.col("digest_a").eqNullSafe(F.col("digest_b")))
     kind = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("changed")
     return differ.select(F.when(F.col("offset_a").isNotNull(), F.col("file_a")).otherwise(F.col("file_b")).alias("file"),

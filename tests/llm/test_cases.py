@@ -305,6 +305,18 @@ def archive(n, seed=0):
     return [(f"f{k % 3}" if k % 11 else None, (k // 3) * 40_000, words(seed + k, 10)) for k in range(n)]
 
 
+def test_merkle_without_offsets(spark):
+    """Records without offsets are told apart by their digests, in leaves of their own."""
+    schema = "file string, offset long, payload string"
+    a = [("f" if k % 3 else None, None, words(k, 6)) for k in range(300)] + [("f", k * 1000, words(k, 4)) for k in range(200)] * 2
+    b = [r for k, r in enumerate(a) if k not in (10, 12)] + [("f", None, "extra"), a[7], ("f", 5, "new")]
+    x, y = (warc_merkle.record_hashes(clashing(spark.createDataFrame(r, schema))) for r in (a, b))
+    assert x.groupBy("file", warc_merkle._leaf()).count().agg({"count": "max"}).first()[0] < 300
+    got = sorted((r["file"] or "", r["offset"], r["kind"]) for r in warc_merkle.audit(x, y).collect())
+    assert got == sorted([("f", -1, "missing"), ("", -1, "missing"), ("f", -1, "extra"), ("f", -1, "changed"), ("f", 5, "extra")])
+    assert warc_merkle.audit(x, x).collect() == [] and warc_merkle.roots(x, y).count() == 4
+
+
 def test_merkle_finds_every_damage(spark):
     schema = "file string, offset long, payload string"
     a = archive(200) + [archive(1)[0]]
