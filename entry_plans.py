@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from starweave.operators.keys import candidate_keys
 from starweave.operators.model import Model, infer_model
 from starweave.operators.profile import Profile, profile_tables
-from starweave.operators.split import split
+from starweave.operators.split import ROW_HASH, split, with_row_hash
 from starweave.session import written
 from entry_wide import TABLES, load_tables, orders_wide, sales_wide
 
@@ -21,6 +21,7 @@ FIXED_LOAD_TS = _dt.datetime(2024, 1, 1, 0, 0, 0)
 @dataclass
 class Modelled:
     source: DataFrame
+    hashed: DataFrame  # the source with its row hashes
     profile: Profile
     keys: DataFrame
     model: Model
@@ -52,9 +53,10 @@ def catalogue_profile(spark: SparkSession, sf_dir: str) -> Profile:
 def modelled(spark: SparkSession, sf_dir: str, name: str = "orders_wide", order_by: str = "transaction_id",
              **model_options) -> Modelled:
     # The wide input is read by the profile, every dimension and the fact: it is written once.
-    src = written(wide_input(spark, sf_dir, name), name)
+    hashed = written(with_row_hash(wide_input(spark, sf_dir, name)), name)
+    src = hashed.drop(ROW_HASH)
     prof = profile_tables(spark, {name: src})
     keys = candidate_keys(prof)
     model = infer_model(prof, keys, name, **model_options)
-    tables = split(src, model, name, order_by=order_by, load_ts=FIXED_LOAD_TS, cache_input=False)
-    return Modelled(src, prof, keys, model, tables)
+    tables = split(hashed, model, name, order_by=order_by, load_ts=FIXED_LOAD_TS, cache_input=False)
+    return Modelled(src, hashed, prof, keys, model, tables)

@@ -101,7 +101,7 @@ def _loads(spark: SparkSession, sf_dir: str, loads: list[tuple[str, str]]) -> Da
     m = modelled(spark, sf_dir)
     paths = {}
     for kind in {k for _, k in loads} & {"all", "odd"}:
-        df = m.source if kind == "all" else m.source.where(F.col("transaction_id") % 2 == 1)
+        df = m.hashed if kind == "all" else m.hashed.where(F.col("transaction_id") % 2 == 1)
         tables = split(df, m.model, "orders_wide", order_by="transaction_id", load_ts=FIXED_LOAD_TS, cache_input=False)
         rows = sinks.write_tables(spark, tables, _fresh(spark, f"split-{kind}")).collect()  # one row per table
         paths[kind] = {r["table_name"]: r["path"] for r in rows}

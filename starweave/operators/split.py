@@ -1,9 +1,11 @@
 """Split a wide table into the modelled dimension and fact tables.
 
-* Dimensions: rows with a NULL natural key are dropped, then the *first* row (by an explicit order
-  column) of every natural key is kept — ``min_by`` with map-side partial aggregation, so a natural key
-  holding a third of all rows is collapsed on the map side, never gathered into one task. The row hash
-  of the whole source row is computed before the shuffle; only the attributes and the hash travel.
+* Dimensions: rows with a NULL natural key are dropped, then the *first* row (by explicit order columns)
+  of every natural key is kept, in two phases: the least order value per key, then the rows that have it. The
+  order of a whole row is one fixed-width number, so the first phase is a hash aggregate with map-side
+  combine (a natural key holding a third of all rows is one entry per task; nothing is sorted), and the
+  second joins on key *and* order value, which spreads such a key over all partitions. The row hash of the
+  source row is computed once, when the input is written.
 * Facts: one narrow ``select`` per input row. Surrogate keys are SHA-256 over the natural key text, a
   pure function of the row, so foreign keys are computed inline — no join, no shuffle.
 * The date dimension holds the distinct calendar dates of every date column.
@@ -14,8 +16,9 @@ from __future__ import annotations
 import datetime as _dt
 import warnings
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from starweave.functions.calendar import calendar_columns
 from starweave.functions.hashing import hash_columns, hash_frame_columns
@@ -23,7 +26,10 @@ from starweave.operators.model import DATE_DIMENSION, FACT_SK, MAIN_SK, Model, M
 from starweave.operators.profile import is_missing, parse_timestamp
 from starweave.session import written
 
-ORDER_COL = "__order"
+ROW_HASH = "__row_hash"
+ORDER = "__order"  # prefix of the order columns
+# Hex digits of the row hash next to an order column, and without one (60 and 120 bits).
+TIE_DIGITS, HASH_DIGITS = 15, 30
 
 
 def _q(name: str) -> Column:
@@ -46,27 +52,64 @@ class SplitContext:
         ]
 
 
+def _sources(df: DataFrame) -> DataFrame:
+    """``df`` without the columns that this module adds."""
+    return df.drop(*[c for c in df.columns if c == ROW_HASH or c.startswith(ORDER)])
+
+
 def row_hash(df: DataFrame) -> Column:
-    """SHA-256 over the canonical text of all source columns."""
-    return hash_frame_columns(df, [c for c in df.columns if c != ORDER_COL])
+    """SHA-256 over the canonical text of all source columns (read, not computed, where ``with_row_hash`` added it)."""
+    return F.col(ROW_HASH) if ROW_HASH in df.columns else hash_frame_columns(df, _sources(df).columns)
+
+
+def with_row_hash(df: DataFrame) -> DataFrame:
+    """``df`` with the hash of each row, so that what is written once need not be hashed for every table."""
+    return df.withColumn(ROW_HASH, row_hash(df))
 
 
 def surrogate_key(df: DataFrame, columns: list[str]) -> Column:
     return hash_frame_columns(df, columns)
 
 
+def _hash_number(start: int, digits: int) -> Column:
+    """Hex digits of the row hash as a number that orders like their text."""
+    part = lambda at, n: F.conv(F.substring(ROW_HASH, at, n), 16, 10).cast("decimal(38,0)")
+    if digits <= TIE_DIGITS:
+        return part(start, digits)
+    return part(start, TIE_DIGITS) * F.lit(Decimal(16 ** (digits - TIE_DIGITS))) + part(start + TIE_DIGITS, digits - TIE_DIGITS)
+
+
+def _whole_number(c: Column, dtype: T.DataType) -> Column | None:
+    """An order value as a 64-bit number of the same order; None for types that have none."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c)
+    return F.unix_micros(c) if isinstance(dtype, T.TimestampType) else None
+
+
 def with_order(df: DataFrame, order_by: list[str] | str | None = None) -> DataFrame:
-    """Attach the order that defines a natural key's "first" row: the given columns, then the row's hash.
+    """Attach the order that defines a natural key's "first" row: the given columns (NULL first), then the row's hash.
 
-    Ties of the given columns are thus decided by the rows themselves, so the same rows are first in every run. Without
-    columns the order is that of the row hashes alone, which is repeatable but not the order of the file; a warning
-    says so.
+    One whole-numbered, date or timestamp column and the hash's first 60 bits make one 38-digit decimal. Otherwise
+    every order column is a level of its own, followed by 120 bits of the hash. Ties of the given columns are thus
+    decided by the rows themselves, so the same rows are first in every run. Without columns the order is that of the
+    row hashes alone, which is repeatable but not the order of the file; a warning says so.
     """
     if isinstance(order_by, str):
         order_by = [order_by]
     if not order_by:
         warnings.warn("no order columns: the first row of a natural key is the one with the least row hash", stacklevel=3)
-    return df.withColumn(ORDER_COL, F.struct(*[_q(c) for c in order_by or []], row_hash(df).alias("__hash")))
+    out = with_row_hash(df)
+    whole = _whole_number(_q(order_by[0]), df.schema[order_by[0]].dataType) if order_by and len(order_by) == 1 else None
+    if whole is not None:
+        least = F.lit(Decimal(-2 ** 63 - 1)).cast("decimal(20,0)")  # NULL comes before every value
+        value = F.coalesce(whole.cast("decimal(20,0)"), least).cast("decimal(38,0)")
+        scaled = (value * F.lit(Decimal(16 ** TIE_DIGITS))).cast("decimal(38,0)")
+        return out.withColumn(f"{ORDER}0", (scaled + _hash_number(1, TIE_DIGITS)).cast("decimal(38,0)"))
+    names = list(order_by or [])
+    levels = {f"{ORDER}{i}": _q(c) for i, c in enumerate(names)}
+    return out.withColumns({**levels, f"{ORDER}{len(names)}": _hash_number(1, HASH_DIGITS).cast("decimal(38,0)")})
 
 
 def _date_of(df: DataFrame, column: str) -> Column:
@@ -77,26 +120,42 @@ def date_key(d: Column) -> Column:
     return hash_columns([d.cast("string")])
 
 
+def _first_rows(rows: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
+    """The rows that are first among those of their key: least in the first level, among these in the second, ...
+
+    Per level one aggregate of fixed-width values and one equality join with its result (one row per key; AQE
+    broadcasts it only when its measured size allows). Rows left over several times are equal in all their columns.
+    """
+    for level in levels:
+        least = rows.groupBy(*keys).agg(F.when(F.count(level) == F.count(F.lit(1)), F.min(level)).alias("__least"))
+        least = least.select(*[F.col(k).alias(f"__least{k}") for k in keys], "__least")
+        same = F.col(level).eqNullSafe(F.col("__least"))
+        for k in keys:
+            same = same & (F.col(k) == F.col(f"__least{k}"))
+        rows = rows.join(least, same).select(*rows.columns)
+    return rows.drop(*levels).distinct()
+
+
 def build_dimension(df: DataFrame, table: ModelTable, ctx: SplitContext) -> DataFrame:
     """One row per non-null natural key: SK, ``<nk>_NK``, attributes of the first row, metadata."""
-    if ORDER_COL not in df.columns:
+    if f"{ORDER}0" not in df.columns:
         df = with_order(df)
     nk = table.natural_key
     attrs = [c.source for c in table.columns if c.kind == "attribute"]
-    src = df.drop(ORDER_COL)
-    keyed = df.select(
-        *[_q(c) for c in nk], _q(ORDER_COL),
-        F.struct(*[_q(a) for a in attrs], _q(f"{ORDER_COL}`.`__hash").alias("__row_hash")).alias("__row"),
-    )
+    src = _sources(df)
     not_null = F.lit(True)
     for c in nk:  # NaN is a missing value, too
         not_null = not_null & ~is_missing(_q(c), src.schema[c].dataType)
-    first = keyed.where(not_null).groupBy(*[_q(c) for c in nk]).agg(F.min_by("__row", ORDER_COL).alias("__row"))
+    levels = [c for c in df.columns if c.startswith(ORDER)]
+    keys = [f"__key{i}" for i in range(len(nk))]
+    rows = df.where(not_null).select(*[_q(c).alias(k) for c, k in zip(nk, keys)], *levels,
+                                     *[_q(a).alias(f"__attr{i}") for i, a in enumerate(attrs)], ROW_HASH)
+    first = _first_rows(rows, keys, levels)
     return first.select(
-        surrogate_key(src, nk).alias(f"{table.name}_SK"),
-        *[_q(c).alias(f"{c}_NK") for c in nk],
-        *[F.col(f"__row.`{a}`").alias(a) for a in attrs],
-        *ctx.metadata(F.col("__row.__row_hash")),
+        hash_columns(keys, [src.schema[c].dataType for c in nk]).alias(f"{table.name}_SK"),
+        *[F.col(k).alias(f"{c}_NK") for c, k in zip(nk, keys)],
+        *[F.col(f"__attr{i}").alias(a) for i, a in enumerate(attrs)],
+        *ctx.metadata(F.col(ROW_HASH)),
     )
 
 
@@ -119,7 +178,7 @@ def _fk_expr(df: DataFrame, nk: list[str]) -> Column:
 
 def build_fact(df: DataFrame, model: Model, table: ModelTable, ctx: SplitContext) -> DataFrame:
     """One output row per input row; a single projection (no shuffle)."""
-    src = df.drop(ORDER_COL) if ORDER_COL in df.columns else df
+    src = _sources(df)
     cols: list[Column] = []
     for c in table.columns:
         if c.kind == "sk" and c.is_pk:
@@ -132,7 +191,7 @@ def build_fact(df: DataFrame, model: Model, table: ModelTable, ctx: SplitContext
             cols.append(F.when(d.isNotNull(), date_key(d)).alias(c.name))
         elif c.kind == "fk":
             cols.append(_fk_expr(src, model.tables[c.references].natural_key).alias(c.name))
-    return src.select(*cols, *ctx.metadata(row_hash(src)))
+    return df.select(*cols, *ctx.metadata(row_hash(df)))
 
 
 def split(
@@ -144,10 +203,11 @@ def split(
     cache_input: bool = True,
 ) -> dict[str, DataFrame]:
     """Lazy frames for every model table, dimensions first (nothing runs until they are written or
-    checked). With ``cache_input`` the input is written to the shared folder first, since every table reads it."""
+    checked). With ``cache_input`` the input and its row hashes are written to the shared folder first, since every
+    table reads them."""
     ctx = SplitContext(source_name, load_ts or _dt.datetime.now().replace(microsecond=0))
     if cache_input and len(model.tables) > 1:
-        df = written(df, "split-input")  # every dimension and the fact read it
+        df = written(with_row_hash(df), "split-input")  # every dimension and the fact read it
     ordered = with_order(df, order_by)
     out: dict[str, DataFrame] = {}
     for name, t in model.tables.items():
