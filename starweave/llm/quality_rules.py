@@ -3,18 +3,24 @@
 Every document gets counts over its whole text. A base rule rejects very short and very repetitive texts. The
 other documents are turned into a vector of transformed statistics, and for each group (language and source) the
 location and scatter of the tightest ``coverage`` share of the vectors are estimated by concentration steps: distances
-under the current estimate, the smallest distances that hold the share, mean and covariance of those, and so on. For the
-verdict only the harmful side of a statistic counts (``SIDES``): a text longer than its group's, or with fewer symbols or
+under the current estimate, the smallest distances that hold the share, mean and covariance of those, and so on, from
+two starts (medians with quartile ranges, and the moments of all vectors) until no group's determinant falls any more.
+A step that does not lower a group's determinant is not taken, and of the two ends the lesser determinant is the group's
+estimate. The moments of a group of n vectors are mixed with its language's by the weights n and ``shrinkage``: a large
+source is judged by itself, a small one mostly by its language, and nothing changes abruptly with a group's size.
+
+For the verdict only the harmful side of a statistic counts (``SIDES``): a text longer than its group's, or with fewer symbols or
 repetitions, is none the worse for it. A document whose squared Mahalanobis distance on these sides exceeds ``cutoff``, a
 quantile of the chi-squared distribution, is rejected.
 
 The floors are far below what the cutoff allows each statistic, so that every one of them can reject a text alone.
 
 All of it is DataFrame expressions. A step makes one pass over the (narrow) statistics table: moments are summed per
-group and distance bin, so a hot group is pre-aggregated in every task and only groups x bins rows are shuffled.
+group, start and distance bin, so a hot group is pre-aggregated in every task and only groups x bins rows are shuffled.
+The driver reads one flag a step: whether some group's determinant fell.
 
-Cases: null text counts as empty (base rule fails); null language or source is a value of its own; sources with fewer
-than ``min_group`` documents of a language are estimated together; repeated rows each count and each get the same
+Cases: null text counts as empty (base rule fails); null language or source is a value of its own; a
+source's only document is judged by its language's estimate almost alone; repeated rows each count and each get the same
 verdict; extra columns pass through ``filter_documents`` untouched and are ignored by ``judge``; an empty table gives an
 empty result.
 """
@@ -57,13 +63,18 @@ def chi2_quantile(share: float, dof: int) -> float:
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the rules. ``floors``: least standard deviation of each feature, in the features' units."""
+    """Parameters of the rules. ``floors``: least standard deviation of each feature, in the features' units.
+
+    ``shrinkage``: the language's weight beside a group's n vectors. A determinant falls if its logarithm falls by more
+    than ``tolerance``; ``max_steps`` only bounds a run whose sums differ by rounding from step to step.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     coverage: float = 0.75
-    steps: int = 4
-    min_group: int = 50
+    shrinkage: float = 50.0
+    tolerance: float = 1e-6
+    max_steps: int = 30
     cutoff: float = chi2_quantile(0.999, len(FEATURES))
     floors: tuple[float, ...] = (0.1, 0.2, 0.05, 0.12, 0.14)
 
@@ -184,6 +195,54 @@ def _start(vectors: DataFrame, keys: list[str], p: int, floors: tuple[float, ...
         *[(of(i, scale(i)) if i == j else F.max(F.lit(0.0))).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)])
 
 
+def _moments(vectors: DataFrame, keys: list[str], p: int) -> DataFrame:
+    """n, sums s0.. and sums of products q00.. per key."""
+    return vectors.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
+
+
+def _shrunk(sums: DataFrame, p: int, shrinkage: float, name: str) -> DataFrame:
+    """Sums of groups and starts as mean moments (n = 1), mixed with those of all the language's groups."""
+    cols = [f"s{i}" for i in range(p)] + [f"q{i}{j}" for i in range(p) for j in range(i + 1)]
+    sums = materialize(sums, name)
+    lang = sums.groupBy(F.col("g.lang").alias("t_lang"), F.col("start").alias("t_start")).agg(
+        F.sum("n").alias("t_n"), *[F.sum(c).alias(f"t_{c}") for c in cols])
+    both = sums.join(small(materialize(lang, f"{name}-lang"), 400),
+                     F.col("g.lang").eqNullSafe(F.col("t_lang")) & (F.col("start") == F.col("t_start")))
+    own = F.col("n") / (F.col("n") + shrinkage)
+    return both.select("g", "start", F.lit(1.0).alias("n"),
+                       *[(own * F.col(c) / F.col("n") + (1 - own) * F.col(f"t_{c}") / F.col("t_n")).alias(c) for c in cols])
+
+
+def _estimate(vectors: DataFrame, p: int, s: Settings) -> DataFrame:
+    """Per group ``g`` the location m0.. and Cholesky factor l00.. of least determinant (see the module's docstring)."""
+    factor, shape = consistency_factor(s.coverage, p), [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
+    everything = _moments(vectors, ["g"], p).withColumn("start", F.lit(1))
+    classical = _from_moments(_shrunk(everything, p, s.shrinkage, "mcd-all"), ["g", "start"], p, 1.0, s.floors)
+    starts = _start(vectors, ["g"], p, s.floors).withColumn("start", F.lit(0)).unionByName(classical)
+    model = materialize(starts.select("g", "start", *shape, F.lit(float("inf")).alias("logdet")), "mcd-starts")
+    for step in range(s.max_steps):
+        near = _with_distance(vectors, model, p, keep=("start",))
+        sums = _moments(near.withColumn("bin", F.floor(F.log(1 + F.col("distance")) * 32)), ["g", "start", "bin"], p)
+        w = Window.partitionBy("g", "start")
+        inside = sums.select("*", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"),
+                             F.sum("n").over(w).alias("all")).filter(F.col("before") < s.coverage * F.col("all"))
+        cols = ["n", *[f"s{i}" for i in range(p)], *[f"q{i}{j}" for i in range(p) for j in range(i + 1)]]
+        subset = inside.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in cols])
+        new = _from_moments(_shrunk(subset, p, s.shrinkage, f"mcd-sums-{step}"), ["g", "start"], p, factor, s.floors)
+        new = new.withColumn("logdet", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, p)), 2 * F.log(F.col("l00"))))
+        new = new.select(F.col("g").alias("n_g"), F.col("start").alias("n_start"), F.struct("logdet", *shape).alias("new"))
+        both = model.join(new, F.col("g").eqNullSafe(F.col("n_g")) & (F.col("start") == F.col("n_start")))
+        both = both.withColumn("fell", F.col("new.logdet") < F.col("logdet") - s.tolerance)
+        model = materialize(both.select("g", "start", "fell", *[
+            F.when(F.col("fell"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in (*shape, "logdet")]), f"mcd-{step}")
+        if not model.filter("fell").limit(1).count():
+            break
+    best = model.groupBy("g").agg(F.min(F.struct("logdet", "start", *shape)).alias("best"))
+    return materialize(best.select("g", *[F.col(f"best.{c}").alias(c) for c in shape]), "mcd")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           source_col: str = "source", settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: its id, the counts, ``base_failed``, the squared ``distance`` (of both sides of every
@@ -200,36 +259,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         | (100 * F.col("n_repeat_words") > s.max_repeat_percent * F.col("n_words")))
     counted = materialize(counted.select("*", *[c.alias(f"x{i}") for i, c in enumerate(_vector())]), "quality-stats")
 
-    # sources with few documents of a language share one group (g_source null and g_pooled true)
-    sizes = counted.filter(~F.col("base_failed")).groupBy(*keys).agg(F.count(F.lit(1)).alias("g_n"))
-    sizes = materialize(sizes, "quality-groups")
-    null_safe = lambda a, b: a.eqNullSafe(b)
-    big = sizes.filter(F.col("g_n") >= s.min_group).select(
-        F.col("g_lang").alias("b_lang"), F.col("g_source").alias("b_source"), F.lit(True).alias("g_own"))
-    joined = counted.join(small(big, 200), null_safe(F.col("g_lang"), F.col("b_lang"))
-                          & null_safe(F.col("g_source"), F.col("b_source")), "left")
-    joined = joined.select(*counted.columns, F.when(F.col("g_own"), F.struct(
-        F.lit(True).alias("own"), F.col("g_lang").alias("lang"), F.col("g_source").alias("source"))).otherwise(F.struct(
-            F.lit(False).alias("own"), F.col("g_lang").alias("lang"), F.lit(None).cast("string").alias("source"))).alias("g"))
-    joined = joined.drop(*keys)
-    vectors = joined.filter(~F.col("base_failed"))
-
-    factor = consistency_factor(s.coverage, p)
-    model = materialize(_start(vectors, ["g"], p, s.floors), "mcd-start")
-    for step in range(s.steps):
-        near = _with_distance(vectors, model, p)
-        bins = near.withColumn("bin", F.floor(F.log(1 + F.col("distance")) * 32))
-        sums = bins.groupBy("g", "bin").agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)],
-            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
-        w = Window.partitionBy("g")
-        inside = sums.select("*", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"),
-                             F.sum("n").over(w).alias("all")).filter(F.col("before") < s.coverage * F.col("all"))
-        cols = ["n", *[f"s{i}" for i in range(p)], *[f"q{i}{j}" for i in range(p) for j in range(i + 1)]]
-        subset = inside.groupBy("g").agg(*[F.sum(c).alias(c) for c in cols])
-        model = materialize(_from_moments(subset, ["g"], p, factor, s.floors), f"mcd-{step}")
+    grouped = counted.withColumn("g", F.struct(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"))).drop(*keys)
+    model = _estimate(grouped.filter(~F.col("base_failed")), p, s)
 
-    judged = _with_distance(joined, model, p, SIDES)
+    judged = _with_distance(grouped, model, p, SIDES)
     distance = F.when(~F.col("base_failed"), F.col("distance"))
     harm = F.when(~F.col("base_failed"), F.col("harm"))
     return judged.select(
@@ -239,13 +272,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def _with_distance(vectors: DataFrame, model: DataFrame, p: int, sides: tuple[int, ...] | None = None) -> DataFrame:
+def _with_distance(vectors: DataFrame, model: DataFrame, p: int, sides: tuple[int, ...] | None = None,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """``vectors`` with ``distance`` under its group's estimate (null for a group without one), and ``harm``, the distance
-    on the given sides."""
+    on the given sides; ``keep`` names further columns of the model."""
     m = model.withColumnRenamed("g", "m_g")
     out = vectors.join(small(m, 400), F.col("g").eqNullSafe(F.col("m_g")), "left")
     harm = [_distance(p, sides).alias("harm")] if sides else []
-    return out.select(*vectors.columns, _distance(p).alias("distance"), *harm)
+    return out.select(*vectors.columns, *keep, _distance(p).alias("distance"), *harm)
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -436,35 +436,28 @@ def test_quality_rules_odd_rows(spark, odd):
 
 def test_covariance_estimate_against_numpy(spark):
     """Concentration steps redone with numpy on the same statistics give the same distances."""
-    s = quality_rules.Settings(min_group=10)
+    s = quality_rules.Settings()
     rng = random.Random(3)
     rows = [(k, " ".join(("ab", "cde#", "fghij", "k")[rng.randrange(4)] + str(rng.randrange(900)) for _ in range(rng.randrange(60, 300))),
-             "en", f"s{k % 2}") for k in range(120)]
+             "en", f"s{k % 2}" if k > 6 else "rare") for k in range(120)]
     rows += [(500 + k, " ".join(f"#{j}$%" for j in range(80)), "en", "s0") for k in range(5)]
+    rows += [(600, rows[9][1], "de", None), (601, rows[10][1], None, "s0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     out = {r["doc_id"]: r for r in quality_rules.judge(df, settings=s).collect()}
-    p, factor = 5, quality_rules.consistency_factor(s.coverage, 5)
-    floors = np.array(s.floors)
-    for source in ("s0", "s1"):
-        ids = [i for i, _, _, so in rows if so == source and not out[i]["base_failed"]]
-        v = []
-        for i in ids:
+    groups, ids = {}, {}
+    for i, _, lang, source in rows:
+        if not out[i]["base_failed"]:
             n, wc, sy, dl, rp = (out[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-            v.append([np.log(n), wc / n, np.sqrt(sy / n), np.sqrt(dl / (n / 8 + dl)), np.sqrt(rp / n)])
-        v = np.array(v)
-        cells = np.floor(v * 64)
-        quart = lambda q: (np.array([np.sort(c)[int(np.ceil(q * len(c))) - 1] for c in cells.T]) + 0.5) / 64
-        mean, cov = quart(0.5), np.diag(np.maximum((quart(0.75) - quart(0.25)) / 1.349, floors) ** 2)
-        for _ in range(s.steps):
-            d = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
-            b = np.floor(np.log(1 + d) * 32)
-            cut = np.sort(b)[int(np.ceil(s.coverage * len(b))) - 1]
-            sub = v[b <= cut]
-            mean = sub.mean(axis=0)
-            cov = factor * (sub.T @ sub / len(sub) - np.outer(mean, mean)) + np.diag(floors ** 2)
+            groups.setdefault((lang, source), []).append(
+                [np.log(n), wc / n, np.sqrt(sy / n), np.sqrt(dl / (n / 8 + dl)), np.sqrt(rp / n)])
+            ids.setdefault((lang, source), []).append(i)
+    assert len(ids["en", "rare"]) == 7 and len(groups) == 5
+    for g, (mean, cov) in brute.least_determinants({g: np.array(v) for g, v in groups.items()}, s).items():
+        v = np.array(groups[g])
         d = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
-        assert np.allclose(d, [out[i]["distance"] for i in ids], rtol=1e-6)
+        assert np.allclose(d, [out[i]["distance"] for i in ids[g]], rtol=1e-5)
     assert not any(out[500 + k]["kept"] for k in range(5)) and sum(out[k]["kept"] for k in range(120)) >= 118
+    assert out[600]["kept"] and out[601]["kept"]
 
 
 @pytest.mark.parametrize("planted", ["log_words", "word_length", "symbol_rate", "dup_line_rate", "repeat_rate"])
