@@ -6,8 +6,9 @@ location and scatter of the tightest ``coverage`` share of the vectors are estim
 under the current estimate, the smallest distances that hold the share, mean and covariance of those, and so on, from
 two starts (medians with quartile ranges, and the moments of all vectors) until no group's determinant falls any more.
 A step that does not lower a group's determinant is not taken, and of the two ends the lesser determinant is the group's
-estimate. The moments of a group of n vectors are mixed with its language's by the weights n and ``shrinkage``: a large
-source is judged by itself, a small one mostly by its language, and nothing changes abruptly with a group's size.
+estimate. The same is first done for each language as a whole; in the steps of a group of n vectors its mean and covariance
+are mixed with its language's by the weights n and ``shrinkage``: a large source is judged by itself, a small one
+(whose tightest share may be all of it, outliers included) mostly by its language, and nothing changes abruptly.
 
 For the verdict only the harmful side of a statistic counts (``SIDES``): a text longer than its group's, or with fewer symbols or
 repetitions, is none the worse for it. A document whose squared Mahalanobis distance on these sides exceeds ``cutoff``, a
@@ -166,18 +167,33 @@ def _distance(p: int, sides: tuple[int, ...] | None = None) -> Column:
     return solve(0, [])
 
 
-def _from_moments(sums: DataFrame, keys: list[str], p: int, factor: float, floors: tuple[float, ...]) -> DataFrame:
-    """Per group the mean m0.. and the Cholesky factor l00.. of the scaled covariance with its diagonal floored."""
+def _from_moments(sums: DataFrame, keys: list[str], p: int, factor: float, floors: tuple[float, ...],
+                  target: DataFrame | None = None, shrinkage: float = 0.0) -> DataFrame:
+    """Per group the mean m0.. and the Cholesky factor l00.. of the scaled covariance with its diagonal floored.
+
+    With a ``target`` (estimates by language, ``g.lang``) they are those of a mixture of the group, by weight n, and its
+    target, by weight ``shrinkage``.
+    """
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
     out = sums.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(p)],
-                      *[(F.col(f"q{i}{j}") / F.col("n")).alias(f"e{i}{j}") for i in range(p) for j in range(i + 1)])
+                      *[(F.col(f"q{i}{j}") / F.col("n")).alias(f"e{i}{j}") for i, j in pairs])
     cov = {(i, j): factor * (F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (floors[i] ** 2 if i == j else 0.0)
-           for i in range(p) for j in range(i + 1)}
-    out = out.select(*keys, *[f"m{i}" for i in range(p)], *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
-    cov = {(i, j): F.col(f"c{i}{j}") for (i, j) in cov}
-    for row in _cholesky(cov, p):
+           for i, j in pairs}
+    out = out.select(*keys, "n", *[f"m{i}" for i in range(p)], *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
+    if target is not None:
+        aim = target.select(F.col("g.lang").alias("t_lang"), *[F.col(f"m{i}").alias(f"t{i}") for i in range(p)],
+                            *[sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(1, j + 1)), F.col(f"l{i}0") * F.col(f"l{j}0"))
+                              .alias(f"t{i}{j}") for i, j in pairs])
+        out = out.join(small(aim, 400), F.col("g.lang").eqNullSafe(F.col("t_lang")))
+        own = F.col("n") / (F.col("n") + shrinkage)
+        between = lambda i, j: (F.col(f"m{i}") - F.col(f"t{i}")) * (F.col(f"m{j}") - F.col(f"t{j}"))
+        out = out.select(*keys, *[(own * F.col(f"m{i}") + (1 - own) * F.col(f"t{i}")).alias(f"m{i}") for i in range(p)],
+                         *[(own * F.col(f"c{i}{j}") + (1 - own) * F.col(f"t{i}{j}") + own * (1 - own) * between(i, j))
+                           .alias(f"c{i}{j}") for i, j in pairs])
+    for row in _cholesky({(i, j): F.col(f"c{i}{j}") for i, j in pairs}, p):
         for name, col in row:
             out = out.withColumn(name, col)
-    return out.select(*keys, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return out.select(*keys, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i, j in pairs])
 
 
 def _start(vectors: DataFrame, keys: list[str], p: int, floors: tuple[float, ...]) -> DataFrame:
@@ -202,24 +218,12 @@ def _moments(vectors: DataFrame, keys: list[str], p: int) -> DataFrame:
         *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
 
 
-def _shrunk(sums: DataFrame, p: int, shrinkage: float, name: str) -> DataFrame:
-    """Sums of groups and starts as mean moments (n = 1), mixed with those of all the language's groups."""
-    cols = [f"s{i}" for i in range(p)] + [f"q{i}{j}" for i in range(p) for j in range(i + 1)]
-    sums = materialize(sums, name)
-    lang = sums.groupBy(F.col("g.lang").alias("t_lang"), F.col("start").alias("t_start")).agg(
-        F.sum("n").alias("t_n"), *[F.sum(c).alias(f"t_{c}") for c in cols])
-    both = sums.join(small(materialize(lang, f"{name}-lang"), 400),
-                     F.col("g.lang").eqNullSafe(F.col("t_lang")) & (F.col("start") == F.col("t_start")))
-    own = F.col("n") / (F.col("n") + shrinkage)
-    return both.select("g", "start", F.lit(1.0).alias("n"),
-                       *[(own * F.col(c) / F.col("n") + (1 - own) * F.col(f"t_{c}") / F.col("t_n")).alias(c) for c in cols])
-
-
-def _estimate(vectors: DataFrame, p: int, s: Settings) -> DataFrame:
+def _estimate(vectors: DataFrame, p: int, s: Settings, target: DataFrame | None = None) -> DataFrame:
     """Per group ``g`` the location m0.. and Cholesky factor l00.. of least determinant (see the module's docstring)."""
-    factor, shape = consistency_factor(s.coverage, p), [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
+    factor = consistency_factor(s.coverage, p)
+    shape = [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
     everything = _moments(vectors, ["g"], p).withColumn("start", F.lit(1))
-    classical = _from_moments(_shrunk(everything, p, s.shrinkage, "mcd-all"), ["g", "start"], p, 1.0, s.floors)
+    classical = _from_moments(everything, ["g", "start"], p, 1.0, s.floors, target, s.shrinkage)
     starts = _start(vectors, ["g"], p, s.floors).withColumn("start", F.lit(0)).unionByName(classical)
     model = materialize(starts.select("g", "start", *shape, F.lit(float("inf")).alias("logdet")), "mcd-starts")
     for step in range(s.max_steps):
@@ -230,7 +234,7 @@ def _estimate(vectors: DataFrame, p: int, s: Settings) -> DataFrame:
                              F.sum("n").over(w).alias("all")).filter(F.col("before") < s.coverage * F.col("all"))
         cols = ["n", *[f"s{i}" for i in range(p)], *[f"q{i}{j}" for i in range(p) for j in range(i + 1)]]
         subset = inside.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in cols])
-        new = _from_moments(_shrunk(subset, p, s.shrinkage, f"mcd-sums-{step}"), ["g", "start"], p, factor, s.floors)
+        new = _from_moments(subset, ["g", "start"], p, factor, s.floors, target, s.shrinkage)
         new = new.withColumn("logdet", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, p)), 2 * F.log(F.col("l00"))))
         new = new.select(F.col("g").alias("n_g"), F.col("start").alias("n_start"), F.struct("logdet", *shape).alias("new"))
         both = model.join(new, F.col("g").eqNullSafe(F.col("n_g")) & (F.col("start") == F.col("n_start")))
@@ -249,7 +253,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     feature; null where the base rule already failed) and ``kept`` (by the harmful sides). ``keep`` names further input
     columns to carry along."""
     p, s = len(FEATURES), settings
-    keys = ["g_lang", "g_source"]
     narrow = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"),
                          F.col(f"`{lang_col}`").cast("string").alias("g_lang"),
                          F.col(f"`{source_col}`").cast("string").alias("g_source"),
@@ -259,8 +262,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         | (100 * F.col("n_repeat_words") > s.max_repeat_percent * F.col("n_words")))
     counted = materialize(counted.select("*", *[c.alias(f"x{i}") for i, c in enumerate(_vector())]), "quality-stats")
 
-    grouped = counted.withColumn("g", F.struct(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"))).drop(*keys)
-    model = _estimate(grouped.filter(~F.col("base_failed")), p, s)
+    group = lambda source: F.struct(F.col("g_lang").alias("lang"), source.cast("string").alias("source"))
+    grouped = counted.withColumn("g", group(F.col("g_source")))
+    vectors = grouped.filter(~F.col("base_failed"))
+    languages = _estimate(vectors.withColumn("g", group(F.lit(None))), p, s)
+    model = _estimate(vectors, p, s, languages)
 
     judged = _with_distance(grouped, model, p, SIDES)
     distance = F.when(~F.col("base_failed"), F.col("distance"))

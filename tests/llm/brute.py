@@ -216,7 +216,7 @@ def url_verdicts(urls, rules, many=20, z=2.0, weight=4.0, purity=0.8):
 
 
 def least_determinants(groups, s):
-    """Mean and covariance of each group of vectors, by concentration steps of all groups from both starts."""
+    """Mean and covariance of each group of vectors, by concentration steps from both starts: languages, then groups."""
     import numpy as np
 
     from starweave.llm.quality_rules import consistency_factor
@@ -224,39 +224,33 @@ def least_determinants(groups, s):
     p = len(s.floors)
     floors, factor = np.array(s.floors), consistency_factor(s.coverage, p)
 
-    def mixed(subsets, scale):
-        out = {}
-        for g, v in subsets.items():
-            tongue = np.vstack([w for h, w in subsets.items() if h[0] == g[0]])
-            own = len(v) / (len(v) + s.shrinkage)
-            mean = own * v.mean(axis=0) + (1 - own) * tongue.mean(axis=0)
-            second = own * v.T @ v / len(v) + (1 - own) * tongue.T @ tongue / len(tongue)
-            out[g] = mean, scale * (second - np.outer(mean, mean)) + np.diag(floors ** 2)
-        return out
+    def moments(v, scale, target):
+        mean = v.mean(axis=0)
+        cov = scale * np.cov(v.T, bias=True) + np.diag(floors ** 2)
+        if target is None:
+            return mean, cov
+        own, gap = len(v) / (len(v) + s.shrinkage), mean - target[0]
+        return (own * mean + (1 - own) * target[0],
+                own * cov + (1 - own) * target[1] + own * (1 - own) * np.outer(gap, gap))
 
     def quartiles(v):
         cells = np.floor(v * 64)
         at = lambda q: (np.array([np.sort(c)[int(np.ceil(q * len(c))) - 1] for c in cells.T]) + 0.5) / 64
         return at(0.5), np.diag(np.maximum((at(0.75) - at(0.25)) / 1.349, floors) ** 2)
 
-    best = {}
-    for start in ({g: quartiles(v) for g, v in groups.items()}, mixed(groups, 1.0)):
-        model, logdet = dict(start), dict.fromkeys(groups, np.inf)
-        for _ in range(s.max_steps):
-            subsets = {}
-            for g, v in groups.items():
-                mean, cov = model[g]
-                d = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
+    def least(v, target=None):
+        ends = []
+        for model in (quartiles(v), moments(v, 1.0, target)):
+            logdet = np.inf
+            while True:
+                d = np.einsum("ij,jk,ik->i", v - model[0], np.linalg.inv(model[1]), v - model[0])
                 bins = np.floor(np.log(1 + d) * 32)
-                subsets[g] = v[bins <= np.sort(bins)[int(np.ceil(s.coverage * len(bins))) - 1]]
-            fell = False
-            for g, (mean, cov) in mixed(subsets, factor).items():
-                new = np.linalg.slogdet(cov)[1]
-                if new < logdet[g] - s.tolerance:
-                    model[g], logdet[g], fell = (mean, cov), new, True
-            if not fell:
-                break
-        for g in groups:
-            if g not in best or logdet[g] < best[g][0]:
-                best[g] = logdet[g], model[g]
-    return {g: m for g, (_, m) in best.items()}
+                new = moments(v[bins <= np.sort(bins)[int(np.ceil(s.coverage * len(bins))) - 1]], factor, target)
+                if np.linalg.slogdet(new[1])[1] >= logdet - s.tolerance:
+                    break
+                model, logdet = new, np.linalg.slogdet(new[1])[1]
+            ends.append((logdet, model))
+        return min(ends, key=lambda e: e[0])[1]
+
+    tongues = {g: least(np.vstack([w for h, w in groups.items() if h[0] == g])) for g in {h[0] for h in groups}}
+    return {g: least(v, tongues[g[0]]) for g, v in groups.items()}
