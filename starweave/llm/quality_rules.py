@@ -135,36 +135,32 @@ def consistency_factor(coverage: float, dof: int) -> float:
     return coverage / _chi2_cdf(chi2_quantile(coverage, dof), dof + 2)
 
 
-def _cholesky(cov: dict[tuple[int, int], Column], p: int) -> list[list[tuple[str, Column]]]:
-    """Column expressions of the lower factor, one list per row so that each can use the ones before it."""
-    rows = []
-    for i in range(p):
-        row = []
-        for j in range(i + 1):
-            s = cov[(i, j)]
-            for k in range(j):
-                s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            row.append((f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l{j}{j}")))
-        rows.append(row)
-    return rows
-
-
 def _distance(p: int, sides: tuple[int, ...] | None = None) -> Column:
     """Squared Mahalanobis distance of x0.. under the joined m0.., l00.. (forward substitution).
 
-    With ``sides`` a feature on its harmless side counts as equal to the mean.
+    With ``sides`` a feature on its harmless side counts as equal to the mean. The expressions of this module's steps are
+    SQL text: a step has some hundred of them, and one call each to build them takes the driver longer than the step.
     """
-    def solve(i: int, done: list[Column]) -> Column:
-        if i == p:
-            return sum((y * y for y in done[1:]), done[0] * done[0])
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
+    text = " + ".join(f"y{i} * y{i}" for i in range(p))
+    for i in reversed(range(p)):
+        rest = f"x{i} - m{i}"
         if sides and sides[i]:
-            rest = F.greatest(rest, F.lit(0.0)) if sides[i] > 0 else F.least(rest, F.lit(0.0))
-        for k, y in enumerate(done):
-            rest = rest - F.col(f"l{i}{k}") * y
-        return let(rest / F.col(f"l{i}{i}"), lambda y: solve(i + 1, [*done, y]))
+            rest = f"{'greatest' if sides[i] > 0 else 'least'}({rest}, 0D)"
+        rest = " - ".join([f"({rest})", *[f"l{i}{k} * y{k}" for k in range(i)]])
+        text = f"element_at(transform(array(({rest}) / l{i}{i}), y{i} -> {text}), 1)"
+    return F.expr(text)
+
+
+def _with_cholesky(out: DataFrame, p: int) -> DataFrame:
+    """``out`` with the lower factor l00.. of the covariance c00.., column by column: each diagonal, then what is below it."""
+    def left(i: int, j: int) -> str:
+        return " - ".join([f"c{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]])
 
-    return solve(0, [])
+    for j in range(p):
+        out = out.selectExpr("*", f"sqrt(greatest({left(j, j)}, 1e-12D)) AS l{j}{j}")
+        if j + 1 < p:
+            out = out.selectExpr("*", *[f"({left(i, j)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, p)])
+    return out
 
 
 def _from_moments(sums: DataFrame, keys: list[str], p: int, factor: float, floors: tuple[float, ...],
@@ -175,24 +171,19 @@ def _from_moments(sums: DataFrame, keys: list[str], p: int, factor: float, floor
     target, by weight ``shrinkage``.
     """
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    out = sums.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(p)],
-                      *[(F.col(f"q{i}{j}") / F.col("n")).alias(f"e{i}{j}") for i, j in pairs])
-    cov = {(i, j): factor * (F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (floors[i] ** 2 if i == j else 0.0)
-           for i, j in pairs}
-    out = out.select(*keys, "n", *[f"m{i}" for i in range(p)], *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
+    out = sums.selectExpr(*keys, "n", *[f"s{i} / n AS m{i}" for i in range(p)], *[f"q{i}{j} / n AS e{i}{j}" for i, j in pairs])
+    floor = lambda i, j: floors[i] ** 2 if i == j else 0.0
+    out = out.selectExpr(*keys, "n", *[f"m{i}" for i in range(p)],
+                         *[f"{float(factor)!r}D * (e{i}{j} - m{i} * m{j}) + {floor(i, j)!r}D AS c{i}{j}" for i, j in pairs])
     if target is not None:
-        aim = target.select(F.col("g.lang").alias("t_lang"), *[F.col(f"m{i}").alias(f"t{i}") for i in range(p)],
-                            *[sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(1, j + 1)), F.col(f"l{i}0") * F.col(f"l{j}0"))
-                              .alias(f"t{i}{j}") for i, j in pairs])
+        aim = target.selectExpr("g.lang AS t_lang", *[f"m{i} AS t{i}" for i in range(p)],
+                                *[" + ".join(f"l{i}{k} * l{j}{k}" for k in range(j + 1)) + f" AS t{i}{j}" for i, j in pairs])
         out = out.join(small(aim, 400), F.col("g.lang").eqNullSafe(F.col("t_lang")))
-        own = F.col("n") / (F.col("n") + shrinkage)
-        between = lambda i, j: (F.col(f"m{i}") - F.col(f"t{i}")) * (F.col(f"m{j}") - F.col(f"t{j}"))
-        out = out.select(*keys, *[(own * F.col(f"m{i}") + (1 - own) * F.col(f"t{i}")).alias(f"m{i}") for i in range(p)],
-                         *[(own * F.col(f"c{i}{j}") + (1 - own) * F.col(f"t{i}{j}") + own * (1 - own) * between(i, j))
-                           .alias(f"c{i}{j}") for i, j in pairs])
-    for row in _cholesky({(i, j): F.col(f"c{i}{j}") for i, j in pairs}, p):
-        for name, col in row:
-            out = out.withColumn(name, col)
+        own = f"(n / (n + {float(shrinkage)!r}D))"
+        out = out.selectExpr(*keys, *[f"{own} * m{i} + (1 - {own}) * t{i} AS m{i}" for i in range(p)],
+                             *[f"{own} * c{i}{j} + (1 - {own}) * t{i}{j} + {own} * (1 - {own}) * ((m{i} - t{i}) * (m{j} - t{j}))"
+                               f" AS c{i}{j}" for i, j in pairs])
+    out = _with_cholesky(out, p)
     return out.select(*keys, *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i, j in pairs])
 
 
@@ -204,18 +195,18 @@ def _start(vectors: DataFrame, keys: list[str], p: int, floors: tuple[float, ...
     run = cells.select("*", F.sum("n").over(w.orderBy("cell")).alias("upto"), F.sum("n").over(w).alias("all"))
     at = lambda share: (F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("cell"))) + 0.5) / 64
     quart = run.groupBy(*keys, "f").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"))
-    of = lambda i, c: F.max(F.when(F.col("f") == i, c))
-    scale = lambda i: F.greatest((F.col("hi") - F.col("lo")) / 1.349, F.lit(floors[i]))
+    scale = lambda i: f"greatest((hi - lo) / 1.349D, {float(floors[i])!r}D)"
     return quart.groupBy(*keys).agg(
-        *[of(i, F.col("mid")).alias(f"m{i}") for i in range(p)],
-        *[(of(i, scale(i)) if i == j else F.max(F.lit(0.0))).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)])
+        *[F.expr(f"max(CASE WHEN f = {i} THEN mid END) AS m{i}") for i in range(p)],
+        *[F.expr((f"max(CASE WHEN f = {i} THEN {scale(i)} END)" if i == j else "max(0D)") + f" AS l{i}{j}")
+          for i in range(p) for j in range(i + 1)])
 
 
 def _moments(vectors: DataFrame, keys: list[str], p: int) -> DataFrame:
     """n, sums s0.. and sums of products q00.. per key."""
     return vectors.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)],
-        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
+        F.count(F.lit(1)).alias("n"), *[F.expr(f"sum(x{i}) AS s{i}") for i in range(p)],
+        *[F.expr(f"sum(x{i} * x{j}) AS q{i}{j}") for i in range(p) for j in range(i + 1)])
 
 
 def _estimate(vectors: DataFrame, p: int, s: Settings, target: DataFrame | None = None) -> DataFrame:
@@ -233,18 +224,18 @@ def _estimate(vectors: DataFrame, p: int, s: Settings, target: DataFrame | None
         inside = sums.select("*", (F.sum("n").over(w.orderBy("bin")) - F.col("n")).alias("before"),
                              F.sum("n").over(w).alias("all")).filter(F.col("before") < s.coverage * F.col("all"))
         cols = ["n", *[f"s{i}" for i in range(p)], *[f"q{i}{j}" for i in range(p) for j in range(i + 1)]]
-        subset = inside.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in cols])
+        subset = inside.groupBy("g", "start").agg(*[F.expr(f"sum({c}) AS {c}") for c in cols])
         new = _from_moments(subset, ["g", "start"], p, factor, s.floors, target, s.shrinkage)
-        new = new.withColumn("logdet", sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(1, p)), 2 * F.log(F.col("l00"))))
+        new = new.withColumn("logdet", F.expr(" + ".join(f"2 * ln(l{i}{i})" for i in range(p))))
         new = new.select(F.col("g").alias("n_g"), F.col("start").alias("n_start"), F.struct("logdet", *shape).alias("new"))
         both = model.join(new, F.col("g").eqNullSafe(F.col("n_g")) & (F.col("start") == F.col("n_start")))
         both = both.withColumn("fell", F.col("new.logdet") < F.col("logdet") - s.tolerance)
-        model = materialize(both.select("g", "start", "fell", *[
-            F.when(F.col("fell"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in (*shape, "logdet")]), f"mcd-{step}")
+        model = materialize(both.selectExpr("g", "start", "fell", *[
+            f"if(fell, new.{c}, {c}) AS {c}" for c in (*shape, "logdet")]), f"mcd-{step}")
         if not model.filter("fell").limit(1).count():
             break
     best = model.groupBy("g").agg(F.min(F.struct("logdet", "start", *shape)).alias("best"))
-    return materialize(best.select("g", *[F.col(f"best.{c}").alias(c) for c in shape]), "mcd")
+    return materialize(best.selectExpr("g", *[f"best.{c} AS {c}" for c in shape]), "mcd")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
