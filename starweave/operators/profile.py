@@ -90,9 +90,8 @@ def type_family(dt: T.DataType) -> str:
     return "text"
 
 
-# One grouping key type for every column: a struct with one field per family, only the column's own field
-# set (NULL struct for a NULL value). Struct keys hash natively, so all columns of all tables share one
-# unpivot, one scan and one shuffle.
+# A value in the frequency table: a struct with one field per family, only the column's own field set (NULL struct for a
+# NULL value), so that the values of all columns of all tables stand in one table.
 _KEY_FIELDS = (("integral", "l", "bigint"), ("fractional", "d", "double"), ("timestamp_ntz", "tn", "timestamp_ntz"),
                ("timestamp", "tz", "timestamp"), ("date", "dt", "date"), ("text", "s", "string"))
 
@@ -107,41 +106,45 @@ def family_value(c: Column, dt: T.DataType, family: str) -> Column:
     return c
 
 
-def typed_key(c: Column, dt: T.DataType) -> Column:
-    fam = type_family(dt)
-    fields = [
-        (family_value(c, dt, fam) if f == fam else F.lit(None).cast(t)).alias(name) for f, name, t in _KEY_FIELDS
-    ]
-    return F.when(~is_missing(c, dt), F.struct(*fields))
-
-
 def is_missing(c: Column, dt: T.DataType) -> Column:
     """NULL, or NaN of a floating-point column."""
     return (c.isNull() | F.isnan(c)) if isinstance(dt, (T.FloatType, T.DoubleType)) else c.isNull()
 
 
-def _unpivot_typed(df: DataFrame, table_name: str) -> DataFrame:
-    fields = df.schema.fields
-    keyed = df.select(*[typed_key(_q(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(fields)])
-    stacked = F.explode(
-        F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"c{i}").alias("value")) for i, f in enumerate(fields)])
-    )
-    return keyed.select(F.lit(table_name).alias("table_name"), stacked.alias("kv")).select(
-        "table_name", "kv.column_name", "kv.value"
-    )
+def _unpivot_family(df: DataFrame, fields: list[tuple[int, T.StructField]], family: str) -> DataFrame:
+    """(number, v) of the given numbered columns, all of one family."""
+    values = [F.when(~is_missing(_q(f.name), f.dataType), family_value(_q(f.name), f.dataType, family)).alias(str(i))
+              for i, f in fields]
+    long = df.select(*values).unpivot([], [str(i) for i, _ in fields], "number", "v")
+    return long.select(F.col("number").cast("int").alias("number"), "v")
 
 
 def typed_frequencies(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, value struct, cnt) over all columns of all tables; NULL is its own value.
 
-    Map-side partial aggregation collapses repeated values before the shuffle, so a value held by a
+    The columns of one family are counted together under the key (number of the column, value in its own type): a
+    fixed-width key except for texts, so that a row of a near-unique column costs some 30 bytes of the aggregation's memory
+    and of the shuffle. Map-side partial aggregation collapses repeated values before the shuffle, so a value held by a
     third of all rows costs one row per map task.
     """
-    stacked = None
-    for name, df in tables.items():
-        part = _unpivot_typed(df, name)
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked.groupBy("table_name", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    columns = [(name, f) for name, df in tables.items() for f in df.schema.fields]
+    names = [F.get(F.array(*[F.lit(x) for x in xs]), F.col("number")) for xs in
+             ([t for t, _ in columns], [f.name for _, f in columns])]
+    out = None
+    for family, field_name, _ in _KEY_FIELDS:
+        long = None
+        for name, df in tables.items():
+            own = [(i, f) for i, (t, f) in enumerate(columns) if t == name and type_family(f.dataType) == family]
+            if own:
+                part = _unpivot_family(df, own, family)
+                long = part if long is None else long.unionByName(part)
+        if long is None:
+            continue
+        value = F.struct(*[(F.col("v") if f == field_name else F.lit(None)).cast(kind).alias(f) for _, f, kind in _KEY_FIELDS])
+        counted = long.groupBy("number", "v").agg(F.count(F.lit(1)).alias("cnt")).select(
+            names[0].alias("table_name"), names[1].alias("column_name"), F.when(F.col("v").isNotNull(), value).alias("value"), "cnt")
+        out = counted if out is None else out.unionByName(counted)
+    return out
 
 
 @dataclass
