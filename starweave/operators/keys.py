@@ -4,20 +4,30 @@ Singles come straight from the column profile. A pair is a key only if at most 5
 are shown not to be without being counted in full:
  * ``d(a) * d(b) < 0.95 * n`` (NULL counts as one more value), from the profile;
  * the sum of ``min(count(v), d(b))`` over the values v of a, which bounds the pairs that occur, from the frequency table;
- * the duplicates within a few slices of the hash space of the pair's values are exact, and are duplicates of the whole.
+ * the duplicates within a few slices of the hash space of one column of the pair are exact, and are duplicates of the whole.
 
 A pair containing a column whose values (NULL included) are all different has exactly n values. The others are counted in
-``ROUNDS`` scans of the table, all pairs together however many they are: a row emits one entry for each pair whose hash falls
-into the round's slices, and a pair leaves as soon as its duplicates exceed 5 % of all rows, so only (near) keys are ever
-counted in full. Entries are 128-bit hashes of typed values (``('a|b','c')`` differs from ``('a','b|c')``); NULL is a value.
+``ROUNDS`` scans of the table, and a pair leaves as soon as its duplicates exceed 5 % of all rows, so only (near) keys are ever
+counted in full. Each pair is led by that of its columns whose most frequent value has fewer rows. A row is shuffled once for
+each leading column, by the hash of its value, with one hash for each column that is paired with it; the rows of a value
+then stand together and their distinct pairs are counted in numpy, chunk by chunk. Where even the leading column has a value of
+more than ``GROUP_ROWS`` rows, a row emits one entry for each such pair instead, and the entries are counted by an aggregate, which
+collapses hot values. Values are told apart by 128 bits of hashes of typed values (``('a|b','c')`` differs from
+``('a','b|c')``); NULL is a value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starweave.functions.frames import local_frame
 from starweave.operators.profile import Profile, family_value, is_missing, type_family
+from starweave.session import ship
 
 # Fixed value: share of distinct values over rows for a candidate key.
 MIN_UNIQUENESS = 0.95
@@ -26,13 +36,25 @@ MIN_UNIQUENESS = 0.95
 SLICES = 32
 ROUNDS = ((0, 3), (3, 9), (9, 32))
 
+# Most rows of one value of a leading column, and rows that a task counts at once.
+GROUP_ROWS = 100_000
+CHUNK_ROWS = 500_000
+
 
-def _pair_bounds(profile: Profile, table: str, distinct: dict[str, int]) -> dict[str, dict[int, int]]:
-    """For each column and number of values t of another one: the most value pairs that the two can have."""
+def _pair_bounds(profile: Profile, table: str, distinct: dict[str, int]) -> tuple[dict[str, dict[int, int]], dict[str, int]]:
+    """For each column and number of values t of another one: the most value pairs that the two can have; and for each
+    column the rows of its most frequent value."""
     limits = sorted(set(distinct.values()))
     sums = [F.sum(F.least("cnt", F.lit(t))).alias(f"t{i}") for i, t in enumerate(limits)]
-    rows = profile.typed().where(F.col("table_name") == table).groupBy("column_name").agg(*sums).collect()  # one row per column
-    return {r["column_name"]: {t: r[f"t{i}"] for i, t in enumerate(limits)} for r in rows}
+    rows = profile.typed().where(F.col("table_name") == table).groupBy("column_name").agg(
+        F.max("cnt").alias("most"), *sums).collect()  # one row per column
+    return {r["column_name"]: {t: r[f"t{i}"] for i, t in enumerate(limits)} for r in rows}, {r["column_name"]: r["most"] for r in rows}
+
+
+def _value_hash(df: DataFrame, column: str, seed: int) -> Column:
+    col, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    return F.when(is_missing(col, kind), F.lit(seed).cast("long")).otherwise(
+        F.xxhash64(F.lit(seed), family_value(col, kind, type_family(kind))))
 
 
 def slice_counts(df: DataFrame, pairs: list[tuple[int, str, str]], lo: int, hi: int) -> DataFrame:
@@ -42,15 +64,7 @@ def slice_counts(df: DataFrame, pairs: list[tuple[int, str, str]], lo: int, hi:
     """
     columns = sorted({c for _, a, b in pairs for c in (a, b)})
     at = {c: i for i, c in enumerate(columns)}
-
-    def hashes(seed: int):
-        out = []
-        for c in columns:
-            col, kind = F.col(f"`{c}`"), df.schema[c].dataType
-            out.append(F.when(is_missing(col, kind), F.lit(seed).cast("long")).otherwise(
-                F.xxhash64(F.lit(seed), family_value(col, kind, type_family(kind)))))
-        return F.array(*out)
-
+    hashes = lambda seed: F.array(*[_value_hash(df, c, seed) for c in columns])
     listed = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(at[a]).alias("a"), F.lit(at[b]).alias("b")) for i, a, b in pairs])
     rows = df.select(hashes(1).alias("h"), hashes(2).alias("g")).select("h", "g", F.explode(listed).alias("p"))
     both = lambda h, *seed: F.xxhash64(*seed, F.get(h, F.col("p.a")), F.get(h, F.col("p.b")))
@@ -60,16 +74,103 @@ def slice_counts(df: DataFrame, pairs: list[tuple[int, str, str]], lo: int, hi:
     return counted.groupBy("pair").agg(F.count(F.lit(1)).alias("distinct"), F.sum("c").alias("rows"))
 
 
-def pair_distinct_counts(df: DataFrame, pairs: list[tuple[str, str]], n: int, min_uniqueness: float) -> dict[tuple[str, str], int]:
-    """Distinct values of those pairs that reach ``min_uniqueness`` of the ``n`` rows; the others are left out."""
+def _led(pairs: list[tuple[int, str, str]]) -> dict[str, list[tuple[int, str]]]:
+    """For each leading column its pairs: (number, other column)."""
+    leads: dict[str, list[tuple[int, str]]] = {}
+    for i, a, b in pairs:
+        leads.setdefault(a, []).append((i, b))
+    return leads
+
+
+def _group_counter(numbers: list[list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (lead, x, y0, y1, ...) in the order of x: for pair number numbers[lead][i] the distinct (x, yi), and the rows."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        distinct, rows = Counter(), Counter()
+
+        def add(part: list) -> None:
+            for lead, pairs in enumerate(numbers):
+                at = np.flatnonzero(part[0] == lead)
+                if not len(at):
+                    continue
+                x = part[1][at]
+                first = np.r_[True, x[1:] != x[:-1]]
+                size = np.diff(np.r_[np.flatnonzero(first), len(x)])
+                shared = np.repeat(size > 1, size)  # rows of values with several rows; the others are one pair each
+                xs, at = x[shared], at[shared]
+                for place, pair in enumerate(pairs):
+                    y = part[2 + place][at]
+                    z = xs * np.int64(-7046029254386353131) + y  # equal pairs have equal z, so only equal z are looked at in full
+                    ordered = np.sort(z)
+                    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+                    if len(twice):
+                        found = np.minimum(np.searchsorted(twice, z), len(twice) - 1)
+                        again = twice[found] == z
+                        a, b = xs[again], y[again]
+                        order = np.lexsort((b, a))
+                        a, b = a[order], b[order]
+                        distinct[pair] -= int(((a[1:] == a[:-1]) & (b[1:] == b[:-1])).sum())
+                    distinct[pair] += len(x)
+                    rows[pair] += len(x)
+
+        held: list[list] = []
+
+        def whole(last: bool) -> None:
+            """Count what is held, except (unless it is the last) the rows of the greatest x, of which more may come."""
+            part = [np.concatenate(c) for c in zip(*held)]
+            cut = len(part[1]) if last else int(np.searchsorted(part[1], part[1][-1]))
+            add([c[:cut] for c in part])
+            held[:] = [] if last else [[c[cut:] for c in part]]
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                if sum(len(c[0]) for c in held) >= CHUNK_ROWS:
+                    whole(False)
+        if held:
+            whole(True)
+        found = list(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([distinct[p] for p in found], pa.int64()),
+                                          pa.array([rows[p] for p in found], pa.int64())], names=["pair", "distinct", "rows"])
+    return count
+
+
+def lead_counts(df: DataFrame, pairs: list[tuple[int, str, str]], lo: int, hi: int) -> DataFrame:
+    """``slice_counts`` by leading columns (each pair's first): slices lo..hi-1 of the hash space of the leading values.
+
+    A row is told apart from others by 64 bits of its leading value and 64 bits of both values.
+    """
+    ship(df.sparkSession)
+    leads = _led(pairs)
+    width = max(len(own) for own in leads.values())
+    parts = []
+    for k, (lead, own) in enumerate(leads.items()):
+        ys = [F.xxhash64(F.lit(3), _value_hash(df, lead, 2), _value_hash(df, b, 1)) for _, b in own]
+        ys += [F.lit(0).cast("long")] * (width - len(own))
+        x = _value_hash(df, lead, 1)
+        parts.append(df.where(F.pmod(x, F.lit(SLICES)).between(lo, hi - 1)).select(
+            F.lit(k).alias("lead"), x.alias("x"), *[y.alias(f"y{i}") for i, y in enumerate(ys)]))
+    rows = reduce(DataFrame.unionByName, parts).repartition("x").sortWithinPartitions("x")
+    counted = rows.mapInArrow(_group_counter([[i for i, _ in own] for own in leads.values()]), "pair int, distinct long, rows long")
+    return counted.groupBy("pair").agg(F.sum("distinct").alias("distinct"), F.sum("rows").alias("rows"))
+
+
+def pair_distinct_counts(df: DataFrame, pairs: list[tuple[str, str]], n: int, min_uniqueness: float,
+                         most: dict[str, int]) -> dict[tuple[str, str], int]:
+    """Distinct values of those pairs that reach ``min_uniqueness`` of the ``n`` rows; the others are left out.
+
+    ``most``: for each column the rows of its most frequent value."""
     distinct, duplicates = {p: 0 for p in pairs}, {p: 0 for p in pairs}
     for lo, hi in ROUNDS:
         left = list(distinct)
-        if not left:
-            break
-        for r in slice_counts(df, [(i, a, b) for i, (a, b) in enumerate(left)], lo, hi).collect():  # one row per pair
-            distinct[left[r["pair"]]] += r["distinct"]
-            duplicates[left[r["pair"]]] += r["rows"] - r["distinct"]
+        led = [(i, *sorted(p, key=most.__getitem__)) for i, p in enumerate(left)]
+        hot = [p for p in led if most[p[1]] > GROUP_ROWS]
+        cool = [p for p in led if most[p[1]] <= GROUP_ROWS]
+        for count, some in ((lead_counts, cool), (slice_counts, hot)):
+            for r in count(df, some, lo, hi).collect() if some else []:  # one row per pair
+                distinct[left[r["pair"]]] += r["distinct"]
+                duplicates[left[r["pair"]]] += r["rows"] - r["distinct"]
         distinct = {p: d for p, d in distinct.items() if n - duplicates[p] >= min_uniqueness * n}
     return distinct
 
@@ -106,11 +207,11 @@ def candidate_keys(profile: Profile, min_uniqueness: float = MIN_UNIQUENESS, pai
                 elif da * db >= min_uniqueness * n:
                     to_count.append((a, b))
         if to_count:
-            most = _pair_bounds(profile, table, values)
-            bound = lambda a, b: min(most[a][values[b]], most[b][values[a]])
+            bounds, most = _pair_bounds(profile, table, values)
+            bound = lambda a, b: min(bounds[a][values[b]], bounds[b][values[a]])
             to_count = [(a, b) for a, b in to_count if bound(a["column_name"], b["column_name"]) >= min_uniqueness * n]
         names = [(a["column_name"], b["column_name"]) for a, b in to_count]
-        found = pair_distinct_counts(profile.tables[table], names, n, min_uniqueness) if names else {}
+        found = pair_distinct_counts(profile.tables[table], names, n, min_uniqueness, most) if names else {}
         rows += [(table, "composite", *names[k], a["ordinal"], b["ordinal"], found[names[k]], None)
                  for k, (a, b) in enumerate(to_count) if names[k] in found]
     totals = local_frame(spark, 

@@ -41,3 +41,38 @@ def test_frequencies_are_shuffled_by_column_number_and_plain_value(spark):
             if name in ("i", "s"):
                 want[("u", name, v)] += 1
     assert got == want
+
+
+def test_pairs_of_one_leading_column_shuffle_one_row(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(150)]), rng.choice([None, *range(9)]), rng.choice("xyz"), float(rng.randrange(40))) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a long, b int, c string, d double").repartition(5)
+    pairs = [(0, "a", "b"), (1, "a", "c"), (2, "a", "d"), (3, "d", "b")]
+    counted = keys.lead_counts(df, pairs, 0, keys.SLICES)
+    plan = _plan(counted)
+    assert "Generate explode" not in plan and plan.count("hashpartitioning(x") == 1
+    at = {"a": 0, "b": 1, "c": 2, "d": 3}
+    assert {r["pair"]: (r["distinct"], r["rows"]) for r in counted.collect()} == {
+        i: (len({(r[at[a]], r[at[b]]) for r in rows}), len(rows)) for i, a, b in pairs}
+
+
+def test_groups_are_counted_across_batches_and_chunks(monkeypatch):
+    monkeypatch.setattr(keys, "CHUNK_ROWS", 30)
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(-20, 20), lead, rng.randrange(4), rng.randrange(2)) for lead in (0, 1) for _ in range(400))
+    names = ["lead", "x", "y0", "y1"]
+    table = [pa.RecordBatch.from_pydict({"lead": [r[1] for r in part], "x": [r[0] for r in part], "y0": [r[2] for r in part],
+                                         "y1": [r[3] for r in part]}) for part in (rows[i:i + 7] for i in range(0, len(rows), 7))]
+    assert table[0].schema.names == names
+    out = next(keys._group_counter([[5, 6], [7]])(iter(table))).to_pylist()
+    assert {r["pair"]: (r["distinct"], r["rows"]) for r in out} == {
+        p: (len({(r[0], r[k]) for r in rows if r[1] == lead}), 400) for p, lead, k in ((5, 0, 2), (6, 0, 3), (7, 1, 2))}
+
+
+def test_hot_leading_values_give_the_same_keys(spark, monkeypatch):
+    rows = [(i % 500 if i % 3 else None, i // 7, f"c{i % 11}", float(i % 400)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b long, c string, d double")
+    wanted = sorted(map(str, candidate_keys(profile_table(df), min_uniqueness=0.5).collect()))
+    assert wanted
+    monkeypatch.setattr(keys, "GROUP_ROWS", 300)
+    assert sorted(map(str, candidate_keys(profile_table(df), min_uniqueness=0.5).collect())) == wanted
