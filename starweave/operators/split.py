@@ -126,6 +126,7 @@ def _first_rows(rows: DataFrame, keys: list[str], levels: list[str]) -> DataFram
     Per level one aggregate of fixed-width values and one equality join with its result (one row per key; AQE
     broadcasts it only when its measured size allows). Rows left over several times are equal in all their columns.
     """
+    named, rows = rows.columns, rows.withColumn(ROW_HASH, F.unhex(ROW_HASH))  # half the bytes in both shuffles
     for level in levels:
         least = rows.groupBy(*keys).agg(F.when(F.count(level) == F.count(F.lit(1)), F.min(level)).alias("__least"))
         least = least.select(*[F.col(k).alias(f"__least{k}") for k in keys], "__least")
@@ -133,7 +134,8 @@ def _first_rows(rows: DataFrame, keys: list[str], levels: list[str]) -> DataFram
         for k in keys:
             same = same & (F.col(k) == F.col(f"__least{k}"))
         rows = rows.join(least, same).select(*rows.columns)
-    return rows.drop(*levels).distinct()
+    rows = rows.drop(*levels).distinct().withColumn(ROW_HASH, F.lower(F.hex(ROW_HASH)))
+    return rows.select(*[c for c in named if c not in levels])
 
 
 def build_dimension(df: DataFrame, table: ModelTable, ctx: SplitContext) -> DataFrame:

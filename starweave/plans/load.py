@@ -23,7 +23,7 @@ from starweave.operators.model import Model, ModelTable
 from starweave.operators.profile import is_missing
 from starweave.plans import audit
 from starweave.functions.frames import local_frame
-from starweave.session import written
+from starweave.session import CODEC, written
 from starweave.sources.readers import OVER, POSITION, RECORD, converted, raw_csv, read_any
 
 
@@ -203,7 +203,7 @@ def load_table(spark: SparkSession, path: str, db: str, table: str, schema: T.St
                 _point(spark, db, table, schema, c["LOCATION"])
             return Commit(c["ROWS_LOADED"], c["ROWS_REJECTED"], c["LOCATION"], True)
     attempt = f"{_base(spark, db, table)}/{run_id}-{uuid.uuid4().hex[:12]}"
-    res = _copy(spark, path, schema, fmt, f"load_{table}", lambda good: good.write.parquet(attempt))
+    res = _copy(spark, path, schema, fmt, f"load_{table}", lambda good: good.write.option("compression", CODEC).parquet(attempt))
     if res.errors_seen:
         audit.log_errors(spark, db, run_id, table, res.rejects)
     audit.log_commit(spark, db, load_id, table, run_id, attempt, res.rows_loaded, res.errors_seen)

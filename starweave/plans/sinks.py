@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from starweave.functions.frames import local_frame
+from starweave.session import CODEC
 
 SUMMARY_SCHEMA = "table_name string, path string, row_count long, size_bytes long, error string"
 
@@ -44,6 +45,8 @@ def write_tables(
             writer = df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).format(fmt)
             if fmt == "csv":
                 writer = writer.option("header", True).option("escape", '"')
+            if fmt == "parquet":
+                writer = writer.option("compression", CODEC)
             if partition_by and name in partition_by:
                 writer = writer.partitionBy(*partition_by[name])
             writer.save(path)

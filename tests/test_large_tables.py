@@ -76,3 +76,35 @@ def test_hot_leading_values_give_the_same_keys(spark, monkeypatch):
     assert wanted
     monkeypatch.setattr(keys, "GROUP_ROWS", 300)
     assert sorted(map(str, candidate_keys(profile_table(df), min_uniqueness=0.5).collect())) == wanted
+
+
+def _split(spark):
+    df = spark.createDataFrame([(i, i % 40, f"n{i % 40}", float(i)) for i in range(400)],
+                               "sale_id long, customer_id long, customer_name string, sales_amount double")
+    p = profile_table(df, "s")
+    model = infer_model(p, candidate_keys(p), "s")
+    return model, split(df, model, "s", order_by="sale_id", load_ts=TS)
+
+
+def test_checks_do_not_compute_split_tables_anew(spark):
+    model, tables = _split(spark)
+    checks = quality.run_all(model, tables, include_types=True)
+    plan = _plan(checks)
+    assert "sha2" not in plan and "checked-fact_main" in plan
+    assert checks.where("not passed").count() == 0 and checks.where("check_name = 'data_types'").count() == len(tables)
+
+
+def test_row_hashes_are_shuffled_as_bytes_and_written_as_zstd(spark, tmpdir_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from starweave.plans import sinks
+
+    _, tables = _split(spark)
+    assert "unhex(__row_hash" in _plan(tables["DIM_CUSTOMER"])
+    sinks.write_tables(spark, {"DIM_CUSTOMER": tables["DIM_CUSTOMER"]}, tmpdir_path).collect()
+    files = glob.glob(sinks.table_path(tmpdir_path, "DIM_CUSTOMER") + "/*.parquet")
+    assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files)
+    hashes = {r["ROW_HASH"] for r in spark.read.parquet(sinks.table_path(tmpdir_path, "DIM_CUSTOMER")).collect()}
+    assert hashes <= {r["ROW_HASH"] for r in tables["FACT_MAIN"].collect()} and len(hashes) == 40
