@@ -14,6 +14,7 @@ from starweave.functions.types import spark_type_of
 from starweave.operators.model import Model, ModelTable
 from starweave.operators.profile import is_missing
 from starweave.functions.frames import local_frame
+from starweave.session import written
 
 RESULT_SCHEMA = (
     "table_name string, check_name string, column_name string, passed boolean, violation_count long, "
@@ -222,11 +223,24 @@ def load_split_tables(spark: SparkSession, model: Model, paths: dict[str, str],
     return tables, local_frame(spark, failures, RESULT_SCHEMA)
 
 
+def _checked_columns(model: Model, name: str, df: DataFrame) -> DataFrame:
+    """The columns of a table that ``run_all`` reads, written once."""
+    table = model.tables[name]
+    read = {*table.primary_key, *(c.name for c in table.columns if not c.nullable),
+            *(fc for ft, fc, _, _ in model.relationships if ft == name), *(tc for _, _, tt, tc in model.relationships if tt == name)}
+    columns = [_q(c) for c in dict.fromkeys(df.columns) if c in read]
+    return written(df.select(*columns), f"checked-{name.lower()}") if columns else df
+
+
 def run_all(model: Model, tables: dict[str, DataFrame], include_types: bool = False) -> DataFrame:
     """PK and NULL checks per table, FK check per relationship (tables missing from ``tables`` are
-    skipped), optionally type checks; one result frame."""
+    skipped), optionally type checks; one result frame.
+
+    Several checks read each table: the columns they read are written to the shared folder once, so that a table that is
+    still a plan (a split, files of text) is not computed anew for each check."""
     spark = model.spark
     parts: list[DataFrame] = []
+    whole, tables = tables, {n: _checked_columns(model, n, df) for n, df in tables.items() if n in model.tables}
     for name, t in model.tables.items():
         if name not in tables:
             continue
@@ -237,7 +251,7 @@ def run_all(model: Model, tables: dict[str, DataFrame], include_types: bool = Fa
         if required:
             parts.append(check_nulls(df, required, name))
         if include_types:
-            parts.append(check_types(spark, df, t))
+            parts.append(check_types(spark, whole[name], t))
     for ft, fc, tt, tc in model.relationships:
         if ft in tables and tt in tables:
             parts.append(check_fk(tables[ft], tables[tt], fc, tc, f"{ft} -> {tt}"))
