@@ -11,7 +11,7 @@ A pair containing a column whose values (NULL included) are all different has ex
 counted in full. Each pair is led by that of its columns whose most frequent value has fewer rows. A row is shuffled once for
 each leading column, by the hash of its value, with one hash for each column that is paired with it; the rows of a value
 then stand together and their distinct pairs are counted in numpy, chunk by chunk. Where even the leading column has a value of
-more than ``GROUP_ROWS`` rows, a row emits one entry for each such pair instead, and the entries are counted by an aggregate, which
+more than ``GROUP_ROWS`` rows, or the table has more than ``LED_PAIRS`` such pairs, a row emits one entry for each such pair instead, and the entries are counted by an aggregate, which
 collapses hot values. Values are told apart by 128 bits of hashes of typed values (``('a|b','c')`` differs from
 ``('a','b|c')``); NULL is a value.
 """
@@ -38,6 +38,8 @@ ROUNDS = ((0, 3), (3, 9), (9, 32))
 
 # Most rows of one value of a leading column, and rows that a task counts at once.
 GROUP_ROWS = 100_000
+# Most pairs of a table counted by leading columns: their plan has an expression for each.
+LED_PAIRS = 256
 CHUNK_ROWS = 500_000
 
 
@@ -162,11 +164,12 @@ def pair_distinct_counts(df: DataFrame, pairs: list[tuple[str, str]], n: int, mi
 
     ``most``: for each column the rows of its most frequent value."""
     distinct, duplicates = {p: 0 for p in pairs}, {p: 0 for p in pairs}
+    by_entry = lambda p: len(pairs) > LED_PAIRS or most[p[1]] > GROUP_ROWS  # noqa: E731 - the same in all rounds
     for lo, hi in ROUNDS:
         left = list(distinct)
         led = [(i, *sorted(p, key=most.__getitem__)) for i, p in enumerate(left)]
-        hot = [p for p in led if most[p[1]] > GROUP_ROWS]
-        cool = [p for p in led if most[p[1]] <= GROUP_ROWS]
+        hot = [p for p in led if by_entry(p)]
+        cool = [p for p in led if not by_entry(p)]
         for count, some in ((lead_counts, cool), (slice_counts, hot)):
             for r in count(df, some, lo, hi).collect() if some else []:  # one row per pair
                 distinct[left[r["pair"]]] += r["distinct"]
