@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from starweave.operators.keys import candidate_keys
 from starweave.operators.model import Model, infer_model
 from starweave.operators.profile import Profile, profile_tables
-from starweave.operators.split import ROW_HASH, split, with_row_hash
-from starweave.session import written
+from starweave.operators.split import source_columns, split, with_order
+from starweave.session import HASH_TEXT, written
 from entry_wide import TABLES, load_tables, orders_wide, sales_wide
 
 # Fixed value: the load timestamp stamped on rows by the registered queries (results must be repeatable).
@@ -21,7 +21,7 @@ FIXED_LOAD_TS = _dt.datetime(2024, 1, 1, 0, 0, 0)
 @dataclass
 class Modelled:
     source: DataFrame
-    hashed: DataFrame  # the source with its row hashes
+    hashed: DataFrame  # the source with its row hashes and their order
     profile: Profile
     keys: DataFrame
     model: Model
@@ -52,9 +52,9 @@ def catalogue_profile(spark: SparkSession, sf_dir: str) -> Profile:
 
 def modelled(spark: SparkSession, sf_dir: str, name: str = "orders_wide", order_by: str = "transaction_id",
              **model_options) -> Modelled:
-    # The wide input is read by the profile, every dimension and the fact: it is written once.
-    hashed = written(with_row_hash(wide_input(spark, sf_dir, name)), name)
-    src = hashed.drop(ROW_HASH)
+    # The wide input is read by the profile, every dimension (twice) and the fact: it is written once, in order.
+    hashed = written(with_order(wide_input(spark, sf_dir, name), order_by), name, **HASH_TEXT)
+    src = source_columns(hashed)
     prof = profile_tables(spark, {name: src})
     keys = candidate_keys(prof)
     model = infer_model(prof, keys, name, **model_options)

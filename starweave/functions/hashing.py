@@ -66,10 +66,9 @@ def float_text(c: Column, single: bool = False) -> Column:
     """Shortest round-trip text of a float/double (see ``_formatted_float_text``); NaN -> NULL."""
     plain = c.cast("string")
     # Fast path: Spark's own text without exponent and with at most 15 digits in all (sign and point
-    # aside) is already the shortest form (a decimal of <= 15 digits that converts back is unique).
-    fast = ~plain.contains("E") & (F.length(plain) <= F.when(plain.startswith("-"), 17).otherwise(16))
-    if single:
-        fast = fast & (F.abs(c) >= 1e-4) & (F.abs(c) < 1e6)
+    # aside) is already the shortest form (a decimal of <= 15 digits that converts back is unique). The JVM writes no
+    # exponent from 1e-3 up to 1e7; both are told from the number, so that the text is made as seldom as possible.
+    fast = (F.abs(c) >= 1e-3) & (F.abs(c) < (1e6 if single else 1e7)) & (F.length(plain) <= F.when(c < 0, 17).otherwise(16))
     # The formatted rendering reuses its pieces many times; inside a lambda it is evaluated only for the
     # rows that reach it instead of being hoisted in front of the CASE for every row.
     formatted = F.transform(F.array(c), lambda v: _formatted_float_text(v, single))[0]
@@ -91,9 +90,9 @@ def canonical_text(col: Column | str, data_type: T.DataType | None = None) -> Co
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return float_text(c, single=isinstance(data_type, T.FloatType))
     if isinstance(data_type, T.TimestampType):  # the UTC wall time, whatever the session's zone
-        seconds = (F.unix_micros(c) / F.lit(1000000).cast("decimal(20,0)")).cast("decimal(18,6)")
-        c = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
-        return _six_digits(c.cast("string"))
+        micros = F.unix_micros(c)
+        text = F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")).cast("string")
+        return F.when(micros % 1000000 == 0, text).otherwise(_six_digits(text))
     if isinstance(data_type, T.TimestampNTZType):
         return _six_digits(c.cast("string"))
     return c.cast("string")

@@ -5,7 +5,7 @@
   order of a whole row is one fixed-width number, so the first phase is a hash aggregate with map-side
   combine (a natural key holding a third of all rows is one entry per task; nothing is sorted), and the
   second joins on key *and* order value, which spreads such a key over all partitions. The row hash of the
-  source row is computed once, when the input is written.
+  source row and its order value are computed once, when the input is written.
 * Facts: one narrow ``select`` per input row. Surrogate keys are SHA-256 over the natural key text, a
   pure function of the row, so foreign keys are computed inline — no join, no shuffle.
 * The date dimension holds the distinct calendar dates of every date column.
@@ -24,7 +24,7 @@ from starweave.functions.calendar import calendar_columns
 from starweave.functions.hashing import hash_columns, hash_frame_columns
 from starweave.operators.model import DATE_DIMENSION, FACT_SK, MAIN_SK, Model, ModelTable
 from starweave.operators.profile import is_missing, parse_timestamp
-from starweave.session import written
+from starweave.session import HASH_TEXT, written
 
 ROW_HASH = "__row_hash"
 ORDER = "__order"  # prefix of the order columns
@@ -52,14 +52,14 @@ class SplitContext:
         ]
 
 
-def _sources(df: DataFrame) -> DataFrame:
+def source_columns(df: DataFrame) -> DataFrame:
     """``df`` without the columns that this module adds."""
     return df.drop(*[c for c in df.columns if c == ROW_HASH or c.startswith(ORDER)])
 
 
 def row_hash(df: DataFrame) -> Column:
     """SHA-256 over the canonical text of all source columns (read, not computed, where ``with_row_hash`` added it)."""
-    return F.col(ROW_HASH) if ROW_HASH in df.columns else hash_frame_columns(df, _sources(df).columns)
+    return F.col(ROW_HASH) if ROW_HASH in df.columns else hash_frame_columns(df, source_columns(df).columns)
 
 
 def with_row_hash(df: DataFrame) -> DataFrame:
@@ -94,19 +94,24 @@ def with_order(df: DataFrame, order_by: list[str] | str | None = None) -> DataFr
     One whole-numbered, date or timestamp column and the hash's first 60 bits make one 38-digit decimal. Otherwise
     every order column is a level of its own, followed by 120 bits of the hash. Ties of the given columns are thus
     decided by the rows themselves, so the same rows are first in every run. Without columns the order is that of the
-    row hashes alone, which is repeatable but not the order of the file; a warning says so.
+    row hashes alone, which is repeatable but not the order of the file; a warning says so. A frame that has this very order
+    already (its column says by what) stays as it is.
     """
     if isinstance(order_by, str):
         order_by = [order_by]
+    first = f"{ORDER}0"
+    if order_by and first in df.columns and df.schema[first].metadata.get("order_by") == list(order_by):
+        return df
     if not order_by:
         warnings.warn("no order columns: the first row of a natural key is the one with the least row hash", stacklevel=3)
-    out = with_row_hash(df)
+    out = with_row_hash(df.drop(*[c for c in df.columns if c.startswith(ORDER)]))
     whole = _whole_number(_q(order_by[0]), df.schema[order_by[0]].dataType) if order_by and len(order_by) == 1 else None
     if whole is not None:
         least = F.lit(Decimal(-2 ** 63 - 1)).cast("decimal(20,0)")  # NULL comes before every value
         value = F.coalesce(whole.cast("decimal(20,0)"), least).cast("decimal(38,0)")
         scaled = (value * F.lit(Decimal(16 ** TIE_DIGITS))).cast("decimal(38,0)")
-        return out.withColumn(f"{ORDER}0", (scaled + _hash_number(1, TIE_DIGITS)).cast("decimal(38,0)"))
+        out = out.withColumn(first, (scaled + _hash_number(1, TIE_DIGITS)).cast("decimal(38,0)"))
+        return out.withMetadata(first, {"order_by": list(order_by)})  # such a level is never NULL
     names = list(order_by or [])
     levels = {f"{ORDER}{i}": _q(c) for i, c in enumerate(names)}
     return out.withColumns({**levels, f"{ORDER}{len(names)}": _hash_number(1, HASH_DIGITS).cast("decimal(38,0)")})
@@ -124,17 +129,22 @@ def _first_rows(rows: DataFrame, keys: list[str], levels: list[str]) -> DataFram
     """The rows that are first among those of their key: least in the first level, among these in the second, ...
 
     Per level one aggregate of fixed-width values and one equality join with its result (one row per key; AQE
-    broadcasts it only when its measured size allows). Rows left over several times are equal in all their columns.
+    broadcasts it only when its measured size allows). Rows left over several times are equal in all their columns, levels
+    included. Where a level cannot be NULL the rows are shuffled by key and level, once for the join and the removal of
+    such copies.
     """
-    named, rows = rows.columns, rows.withColumn(ROW_HASH, F.unhex(ROW_HASH))  # half the bytes in both shuffles
+    named, rows = rows.columns, rows.withColumn(ROW_HASH, F.unhex(ROW_HASH))  # half the bytes in the shuffles
     for level in levels:
-        least = rows.groupBy(*keys).agg(F.when(F.count(level) == F.count(F.lit(1)), F.min(level)).alias("__least"))
+        nullable = "order_by" not in rows.schema[level].metadata  # read from files, every column is declared nullable
+        value = F.when(F.count(level) == F.count(F.lit(1)), F.min(level)) if nullable else F.min(level)
+        least = rows.groupBy(*keys).agg(value.alias("__least"))
         least = least.select(*[F.col(k).alias(f"__least{k}") for k in keys], "__least")
-        same = F.col(level).eqNullSafe(F.col("__least"))
+        same = F.col(level).eqNullSafe(F.col("__least")) if nullable else F.col(level) == F.col("__least")
         for k in keys:
             same = same & (F.col(k) == F.col(f"__least{k}"))
-        rows = rows.join(least, same).select(*rows.columns)
-    rows = rows.drop(*levels).distinct().withColumn(ROW_HASH, F.lower(F.hex(ROW_HASH)))
+        spread = rows if nullable else rows.repartition(*keys, level)
+        rows = spread.join(least, same).select(*rows.columns)
+    rows = rows.distinct().drop(*levels).withColumn(ROW_HASH, F.lower(F.hex(ROW_HASH)))
     return rows.select(*[c for c in named if c not in levels])
 
 
@@ -144,7 +154,7 @@ def build_dimension(df: DataFrame, table: ModelTable, ctx: SplitContext) -> Data
         df = with_order(df)
     nk = table.natural_key
     attrs = [c.source for c in table.columns if c.kind == "attribute"]
-    src = _sources(df)
+    src = source_columns(df)
     not_null = F.lit(True)
     for c in nk:  # NaN is a missing value, too
         not_null = not_null & ~is_missing(_q(c), src.schema[c].dataType)
@@ -180,7 +190,7 @@ def _fk_expr(df: DataFrame, nk: list[str]) -> Column:
 
 def build_fact(df: DataFrame, model: Model, table: ModelTable, ctx: SplitContext) -> DataFrame:
     """One output row per input row; a single projection (no shuffle)."""
-    src = _sources(df)
+    src = source_columns(df)
     cols: list[Column] = []
     for c in table.columns:
         if c.kind == "sk" and c.is_pk:
@@ -205,11 +215,12 @@ def split(
     cache_input: bool = True,
 ) -> dict[str, DataFrame]:
     """Lazy frames for every model table, dimensions first (nothing runs until they are written or
-    checked). With ``cache_input`` the input and its row hashes are written to the shared folder first, since every
+    checked). With ``cache_input`` the input, its row hashes and their order are written to the shared folder first, since every
     table reads them."""
     ctx = SplitContext(source_name, load_ts or _dt.datetime.now().replace(microsecond=0))
     if cache_input and len(model.tables) > 1:
-        df = written(with_row_hash(df), "split-input")  # every dimension and the fact read it
+        # every dimension (twice) and the fact read it
+        df = written(with_order(df, order_by) if order_by else with_row_hash(df), "split-input", **HASH_TEXT)
     ordered = with_order(df, order_by)
     out: dict[str, DataFrame] = {}
     for name, t in model.tables.items():

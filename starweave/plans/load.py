@@ -23,7 +23,7 @@ from starweave.operators.model import Model, ModelTable
 from starweave.operators.profile import is_missing
 from starweave.plans import audit
 from starweave.functions.frames import local_frame
-from starweave.session import CODEC, written
+from starweave.session import HASH_TEXT, written
 from starweave.sources.readers import OVER, POSITION, RECORD, converted, raw_csv, read_any
 
 
@@ -91,6 +91,7 @@ class CopyResult:
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_DIGITS = (3, 5, 10, 19)  # of their greatest values
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -106,14 +107,31 @@ def _value(c: Column, kind: T.DataType, target: T.DataType) -> Column:
     return c.try_cast(target)
 
 
+def _always_fits(kind: T.DataType, target: T.DataType) -> bool:
+    """Whether the types alone say that every value of ``kind`` can be one of ``target``."""
+    if kind == target:
+        return True
+    if not isinstance(kind, _INTEGRAL):
+        return False
+    if isinstance(target, _INTEGRAL):
+        return _INTEGRAL.index(type(kind)) <= _INTEGRAL.index(type(target))
+    if isinstance(target, T.DecimalType):
+        return target.precision - target.scale >= _DIGITS[_INTEGRAL.index(type(kind))]
+    return isinstance(target, (T.FloatType, T.DoubleType))
+
+
 def _checked(frame: DataFrame, source: dict[str, Column], schema: T.StructType, surplus: Column) -> tuple[DataFrame, list[Column]]:
-    """(``frame`` with ``__error``, the columns of ``schema``): a present value that cannot be converted is an error."""
+    """(``frame`` with ``__error``, the columns of ``schema``): a present value that cannot be converted is an error. Columns
+    whose type lets no value fail are not tested row by row."""
     types = {f.name: f.dataType for f in frame.schema.fields}
     values = {f.name: _value(source[f.name], types[f.name], f.dataType) if f.name in source else F.lit(None).cast(f.dataType)
               for f in schema.fields}
-    failed = F.array_compact(F.array(F.lit(None).cast("string"), *[
-        F.when(~is_missing(source[f.name], types[f.name]) & values[f.name].isNull(), F.lit(f.name)) for f in schema.fields if f.name in source]))
-    message = F.when(surplus, "too many fields").when(F.size(failed) > 0, F.concat(F.lit("cannot convert: "), F.array_join(failed, ", ")))
+    message = F.when(surplus, "too many fields")
+    tested = [F.when(~is_missing(source[f.name], types[f.name]) & values[f.name].isNull(), F.lit(f.name))
+              for f in schema.fields if f.name in source and not _always_fits(types[f.name], f.dataType)]
+    if tested:
+        failed = F.array_compact(F.array(F.lit(None).cast("string"), *tested))
+        message = message.when(F.size(failed) > 0, F.concat(F.lit("cannot convert: "), F.array_join(failed, ", ")))
     return frame.withColumn("__error", message), [v.alias(n) for n, v in values.items()]
 
 
@@ -203,7 +221,7 @@ def load_table(spark: SparkSession, path: str, db: str, table: str, schema: T.St
                 _point(spark, db, table, schema, c["LOCATION"])
             return Commit(c["ROWS_LOADED"], c["ROWS_REJECTED"], c["LOCATION"], True)
     attempt = f"{_base(spark, db, table)}/{run_id}-{uuid.uuid4().hex[:12]}"
-    res = _copy(spark, path, schema, fmt, f"load_{table}", lambda good: good.write.option("compression", CODEC).parquet(attempt))
+    res = _copy(spark, path, schema, fmt, f"load_{table}", lambda good: good.write.options(**HASH_TEXT).parquet(attempt))
     if res.errors_seen:
         audit.log_errors(spark, db, run_id, table, res.rejects)
     audit.log_commit(spark, db, load_id, table, run_id, attempt, res.rows_loaded, res.errors_seen)

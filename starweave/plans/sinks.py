@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from starweave.functions.frames import local_frame
-from starweave.session import CODEC
+from starweave.session import HASH_TEXT
 
 SUMMARY_SCHEMA = "table_name string, path string, row_count long, size_bytes long, error string"
 
@@ -46,7 +46,7 @@ def write_tables(
             if fmt == "csv":
                 writer = writer.option("header", True).option("escape", '"')
             if fmt == "parquet":
-                writer = writer.option("compression", CODEC)
+                writer = writer.options(**HASH_TEXT)
             if partition_by and name in partition_by:
                 writer = writer.partitionBy(*partition_by[name])
             writer.save(path)

@@ -5,13 +5,14 @@ import random
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from starweave.operators import keys, quality
 from starweave.operators.keys import candidate_keys
-from starweave.operators.model import infer_model
+from starweave.operators.model import ModelColumn, ModelTable, infer_model
 from starweave.operators.profile import profile_table, typed_frequencies
-from starweave.operators.split import split
+from starweave.operators.split import SplitContext, build_dimension, split, with_order
+from starweave.plans import load
 
 TS = dt.datetime(2024, 1, 1)
 
@@ -94,6 +95,48 @@ def test_checks_do_not_compute_split_tables_anew(spark):
     assert checks.where("not passed").count() == 0 and checks.where("check_name = 'data_types'").count() == len(tables)
 
 
+def test_order_is_written_once_and_first_rows_are_shuffled_once(spark):
+    model, tables = _split(spark)
+    dim = tables["DIM_CUSTOMER"]
+    plan = _plan(dim)
+    assert "conv(" not in plan  # the order value is read
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = dim.select("*")
+        assert _plan(joined).count("Exchange hashpartitioning") == 3  # rows; least by key; least by key and order
+        assert {r["customer_id_NK"]: r["customer_name"] for r in joined.collect()} == {k: f"n{k}" for k in range(40)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_order_of_other_columns_replaces_the_written_one(spark):
+    df = spark.createDataFrame([(1, "b", 9, "x"), (1, "a", 3, "y"), (2, None, 5, "z"), (2, "a", 1, "w"), (2, None, 5, "z")],
+                               "k long, t string, n long, v string")
+    firsts = {}
+    table = ModelTable("D", "DIM", [ModelColumn("v", "STRING", True, "attribute", "v")], ["D_SK"], natural_key=["k"])
+    for name, frame in (("n", with_order(with_order(df, "t"), "n")), ("t", with_order(with_order(df, "n"), "t"))):
+        out = build_dimension(frame, table, SplitContext("s", TS)).collect()
+        firsts[name] = sorted((r["k_NK"], r["v"]) for r in out)
+    assert firsts == {"n": [(1, "y"), (2, "w")], "t": [(1, "y"), (2, "z")]}
+    assert [c for c in with_order(with_order(df, "t"), "n").columns if c.startswith("__order")] == ["__order0"]
+
+
+def test_load_tests_only_columns_that_can_fail(spark):
+    target = T.StructType([T.StructField("a", T.DecimalType(38, 0)), T.StructField("b", T.StringType()), T.StructField("c", T.IntegerType()),
+                           T.StructField("d", T.DecimalType(18, 0)), T.StructField("e", T.DoubleType()), T.StructField("f", T.LongType())])
+    df = spark.createDataFrame([(2 ** 63 - 1, "x", 2 ** 31, 10 ** 18, float("nan"), 5), (-2 ** 63, None, None, None, None, None), (1, "", 7, 8, 9.5, 6)],
+                               "a long, b string, c long, d long, e double, f int")
+    source = {c: F.col(c) for c in df.columns}
+    marked, values = load._checked(df, source, target, F.lit(False))
+    assert [r["__error"] for r in marked.collect()] == ["cannot convert: c, d", None, None]
+    plan = _plan(marked)
+    assert "cannot convert" in plan and not any(f"THEN {c} END" in plan for c in "abef")
+    assert marked.where("__error IS NULL").select(*values).count() == 2
+    fits = ["a", "b", "e", "f"]
+    part, _ = load._checked(df.select(*fits), {c: source[c] for c in fits}, target, F.lit(False))
+    assert "cannot convert" not in _plan(part) and [r["__error"] for r in part.collect()] == [None] * 3
+
+
 def test_row_hashes_are_shuffled_as_bytes_and_written_as_zstd(spark, tmpdir_path):
     import glob
 
