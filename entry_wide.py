@@ -49,13 +49,19 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 
 
 def sales_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item with order, customer, nation and part attributes."""
+    """One row per line item with order, customer, nation and part attributes.
+
+    The orders get their customers first, and the line items their few part columns, so that line items are never shuffled with
+    the columns of orders and customers.
+    """
     t = load_tables(spark, sf_dir, ("lineitem", "orders", "customer", "nation", "part"))
-    return (
-        t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    orders = (
+        t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    )
+    return (
+        t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"),
             F.col("c_custkey").alias("customer_id"),

@@ -94,6 +94,7 @@ def type_family(dt: T.DataType) -> str:
 # NULL value), so that the values of all columns of all tables stand in one table.
 _KEY_FIELDS = (("integral", "l", "bigint"), ("fractional", "d", "double"), ("timestamp_ntz", "tn", "timestamp_ntz"),
                ("timestamp", "tz", "timestamp"), ("date", "dt", "date"), ("text", "s", "string"))
+FAMILY_FIELDS = {family: name for family, name, _ in _KEY_FIELDS}
 
 
 def family_value(c: Column, dt: T.DataType, family: str) -> Column:

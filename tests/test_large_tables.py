@@ -79,6 +79,116 @@ def test_hot_leading_values_give_the_same_keys(spark, monkeypatch):
     assert sorted(map(str, candidate_keys(profile_table(df), min_uniqueness=0.5).collect())) == wanted
 
 
+def _odd_rows(spark):
+    rng = random.Random(6)
+    day = lambda: dt.datetime(1969, 12, 1) + dt.timedelta(days=rng.randrange(60))
+    rows = [(rng.choice([None, -7, 0, 90]), rng.choice([None, -2 ** 63, 2 ** 63 - 1, 5]), rng.choice([None, float("nan"), -0.0, 0.0, -0.25, 1.5]),
+             rng.choice([None, float("inf"), 0.1, 1e300]), rng.choice([None, 1 / 3, 2.0]), rng.choice([None, day()]), rng.choice([None, day().date()]),
+             day() + dt.timedelta(microseconds=rng.randrange(3)), rng.choice([None, dt.datetime(1969, 12, 31, 23, 59, 58, tzinfo=dt.timezone.utc), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)]),
+             rng.choice([None, "", "a", "b" * 70, "b" * 71]), rng.choice([None, True, False]), rng.randrange(60), f"n{rng.randrange(80)}") for _ in range(900)]
+    df = spark.createDataFrame(rows, "whole int, wide long, part double, far double, third double, day timestamp_ntz, date date, moment timestamp_ntz, "
+                                     "zoned timestamp, text string, flag boolean, lead long, name string")
+    return df.repartition(5), rows
+
+
+def _codes(df):
+    p = profile_table(df)
+    distinct = {r["column_name"]: r["distinct_count"] for r in p.column_profile().collect()}
+    _, spans = keys._pair_bounds(p, "input", distinct)
+    return keys.value_codes(p, "input", df.columns, distinct, spans)
+
+
+def _same_value(v):
+    return None if v != v else v + 0.0 if isinstance(v, float) else v
+
+
+def test_codes_are_short_and_tell_values_apart(spark):
+    df, rows = _odd_rows(spark)
+    codes = _codes(df)
+    assert set(codes) == set(df.columns)
+    assert {c: codes[c].bits for c in ("whole", "part", "day", "date", "zoned", "lead")} == {
+        "whole": 7, "part": 8, "day": 6, "date": 6, "zoned": 31, "lead": 6}
+    assert all(code.bits <= 2 * 11 + 4 for c, code in codes.items() if c != "zoned")
+    coded = df.select(*df.columns, *[keys._value_code(df, c, code).alias(f"_{c}") for c, code in codes.items()]).collect()
+    for c, code in codes.items():
+        pairs = {(_same_value(r[c]), r[f"_{c}"]) for r in coded}
+        assert len(pairs) == len({v for v, _ in pairs}) == len({n for _, n in pairs}), c
+        assert all(0 <= n < 2 ** code.bits and (n == 0) == (v is None) for v, n in pairs), c
+
+
+def test_pairs_are_shuffled_as_codes_in_few_words(spark, monkeypatch):
+    df, rows = _odd_rows(spark)
+    at = {c: i for i, c in enumerate(df.columns)}
+    others = [c for c in df.columns if c not in ("lead", "name")]
+    pairs = [(i, lead, c) for i, (lead, c) in enumerate((lead, c) for lead in ("lead", "name") for c in [*others, "lead"] if c != lead)]
+    wanted = {i: (len({(r[at[a]], _same_value(r[at[b]])) for r in rows}), len(rows)) for i, a, b in pairs}
+    codes = _codes(df)
+    counted = keys.lead_counts(df, pairs, 0, keys.SLICES, codes)
+    plan = _plan(counted)
+    assert plan.count("Exchange hashpartitioning(") == 2 and " y1#" in plan and " y2#" not in plan  # a row has three words for 12 columns
+    some = {c: code for c, code in codes.items() if c in ("whole", "text", "lead")}
+    name = {"name": codes["name"]}
+    for given in (codes, some, name, {}):
+        assert {r["pair"]: (r["distinct"], r["rows"]) for r in keys.lead_counts(df, pairs, 0, keys.SLICES, given).collect()} == wanted
+    sliced = Counter()
+    for lo, hi in keys.ROUNDS:
+        for r in keys.lead_counts(df, pairs, lo, hi, codes).collect():
+            sliced[r["pair"], "distinct"] += r["distinct"]
+            sliced[r["pair"], "rows"] += r["rows"]
+    assert {i: (sliced[i, "distinct"], sliced[i, "rows"]) for i in wanted} == wanted
+    monkeypatch.setattr(keys, "HASHED_VALUES", 0)
+    assert "text" not in _codes(df) and "whole" in _codes(df)
+
+
+def test_hash_codes_with_collisions_are_not_used(spark):
+    df = spark.createDataFrame([(f"t{i}", i % 7) for i in range(300)], "text string, whole long")
+    p = profile_table(df)
+    distinct = {"text": 3, "whole": 7}  # a wrong number of values, so that the hash gets too few bits
+    _, spans = keys._pair_bounds(p, "input", distinct)
+    assert set(keys.value_codes(p, "input", ["text", "whole"], distinct, spans)) == {"whole"}
+
+
+def test_sales_wide_shuffles_line_items_without_customer_columns(spark, tmpdir_path):
+    from entry_wide import sales_wide
+
+    day = dt.datetime(2024, 1, 1)
+    line = [(o, p, s, n, 1.0 * n, 2.5, 0.1, 0.0, "A", "O", day) for n, (o, p, s) in enumerate(
+        [(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (None, 1, 1), (3, None, 1), (9, 1, 1), (4, 9, 1), (3, 2, None)])]
+    order = [(1, 1, "F", 1.0, day, "1"), (1, 1, "O", 1.0, day, "2"), (2, 2, "F", 1.0, day, "1"), (3, None, "F", 1.0, day, "1"), (4, 3, "P", 1.0, day, "1"),
+             (None, 1, "F", 1.0, day, "1"), (3, 4, "F", 1.0, day, "3")]
+    customer = [(1, "c1", 1, 0.0, "M"), (2, "c2", 2, 0.0, "M"), (2, "c2", 1, 0.0, None), (3, "c3", 9, 0.0, "M"), (4, "c4", 1, 0.0, "M"), (None, "x", 1, 0.0, "M")]
+    part = [(1, "p", "b1", "t1", 1, 1.0), (2, "p", "b2", None, 1, 1.0), (2, "p", "b3", "t3", 1, 1.0), (None, "p", "b", "t", 1, 1.0)]
+    nation = [(1, "n1", 1), (2, "n2", 1)]
+    for name, rows, schema in (
+            ("lineitem", line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                               "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+            ("orders", order, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+            ("customer", customer, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+            ("part", part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+            ("nation", nation, "n_nationkey int, n_name string, n_regionkey int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmpdir_path}/{name}.parquet")
+    wanted = Counter(
+        (o[0] * 10 + x[3], c[0], c[1], c[4], n[1], p[0], p[2], p[3], x[4], x[5], x[6], o[2], o[5], x[10], o[4])
+        for x in line for o in order if x[0] == o[0] is not None for c in customer if o[1] == c[0] is not None
+        for n in nation if c[2] == n[0] for p in part if x[1] == p[0] is not None)
+    assert wanted
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = sales_wide(spark, tmpdir_path)
+        plan = _plan(df).splitlines()
+        assert Counter(map(tuple, df.collect())) == wanted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda text: len(text) - len(text.lstrip(" :+-*(0123456789)"))
+    shuffled = []
+    for i, text in enumerate(plan):
+        if "Exchange hashpartitioning(" in text:
+            below = next((k for k in range(i + 1, len(plan)) if depth(plan[k]) <= depth(text)), len(plan))
+            shuffled.append(" ".join(plan[i:below]))
+    with_lines = [text for text in shuffled if "l_orderkey" in text]
+    assert len(with_lines) == 2 and not any("c_name" in text for text in with_lines)
+
+
 def _split(spark):
     df = spark.createDataFrame([(i, i % 40, f"n{i % 40}", float(i)) for i in range(400)],
                                "sale_id long, customer_id long, customer_name string, sales_amount double")
