@@ -114,8 +114,7 @@ def value_codes(profile: Profile, table: str, columns: list[str], distinct: dict
     bits = {c: 2 * distinct[c].bit_length() + 3 for c in columns if c not in codes and 0 < distinct[c] <= HASHED_VALUES}
     low = lambda c: lambda v: F.xxhash64(F.lit(1), v).bitwiseAND(F.lit((1 << bits[c]) - 1)) + 1
     if bits:
-        of_column = reduce(lambda out, c: out.when(F.col("column_name") == c, low(c)(F.col(f"value.{FAMILY_FIELDS[type_family(types[c])]}"))),
-                           bits, F)
+        of_column = F.coalesce(*[F.when(F.col("column_name") == c, low(c)(F.col(f"value.{FAMILY_FIELDS[type_family(types[c])]}"))) for c in bits])
         found = profile.typed().where((F.col("table_name") == table) & F.col("column_name").isin(list(bits)) & F.col("value").isNotNull()) \
             .select("column_name", of_column.alias("code")).distinct().groupBy("column_name").count().collect()  # one row per column
         codes |= {r["column_name"]: Code(bits[r["column_name"]] + 1, low(r["column_name"])) for r in found
@@ -205,7 +204,6 @@ def _group_counter(numbers: list[list[int]], places: list[tuple[Field, list[Fiel
         import numpy as np
 
         distinct, rows = Counter(), Counter()
-
         masks = np.array([_mask(x) for x, _, _ in places], np.int64)
 
         def read(part: list, f: Field, at: np.ndarray) -> np.ndarray:
@@ -271,8 +269,7 @@ def lead_counts(df: DataFrame, pairs: list[tuple[int, str, str]], lo: int, hi: i
     leads = _led(pairs)
     value = lambda c: _value_code(df, c, codes[c]) if c in codes else _value_hash(df, c, 1)
     bits = lambda c: codes[c].bits if c in codes else 64
-    places = []
-    parts = []
+    places, parts = [], []
     for lead, own in leads.items():
         x, *fields = _layout(bits(lead), [bits(b) for _, b in own] + ([] if lead in codes else [64]))
         places.append((x, fields[:len(own)], None if lead in codes else fields[-1]))
